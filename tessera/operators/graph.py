@@ -1,13 +1,13 @@
 """Graph helpers on DataFrames: connected components and global ranking.
 
-Connected components use min-label propagation with pointer jumping. Each
-round is two joins and one aggregate; the label table is persisted while
-reliably checkpointed every round so that the plan, the lineage and the
-recovery after a lost executor stay bounded.
+Connected components use distributed union-find by contraction (see
+:func:`connected_components`).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,45 +19,82 @@ class NotConverged(RuntimeError):
     pass
 
 
+LAST_ROUNDS = 0  # rounds used by the latest connected_components call (diagnostics)
+
+
+def _local_union_find(batches):
+    """Components of the edges held by one task (vectorised min-label
+    propagation with pointer jumping); yields (v, r) with r the smallest
+    vertex of v's local component."""
+    srcs, dsts = [], []
+    for b in batches:
+        srcs.append(b["src"].to_numpy(dtype=np.int64))
+        dsts.append(b["dst"].to_numpy(dtype=np.int64))
+    if not srcs:
+        return
+    src, dst = np.concatenate(srcs), np.concatenate(dsts)
+    if len(src) == 0:
+        return
+    verts, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d = inv[: len(src)], inv[len(src):]
+    lab = np.arange(len(verts))  # indices into the sorted ids: smaller index = smaller id
+    while True:
+        old = lab.copy()
+        np.minimum.at(lab, s, lab[d])
+        np.minimum.at(lab, d, lab[s])
+        while True:
+            nxt = lab[lab]
+            if np.array_equal(nxt, lab):
+                break
+            lab = nxt
+        if np.array_equal(lab, old):
+            break
+    yield pd.DataFrame({"v": verts, "r": verts[lab]})
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
-                         max_rounds: int = 100) -> DataFrame:
+                         max_edges_per_task: int = 2_000_000, max_levels: int = 64) -> DataFrame:
     """Label every vertex with the smallest vertex id of its component.
 
     ``vertices`` has column ``vid``; ``edges`` has ``src``/``dst`` (either
     direction suffices). Returns ``(vid, root)``.
+
+    Distributed union-find by contraction: the edge set is hash-partitioned
+    into tasks of at most ``max_edges_per_task`` edges; each task resolves
+    the components of its own edges in numpy; a vertex that got different
+    local roots in different tasks links those roots, and only these links
+    form the next level's edge set. Every level is reliably checkpointed (the
+    recovery point after a lost executor, and a cut of the plan). Labels are
+    the composition of the per-level maps.
     """
     spark = vertices.sparkSession
     ensure_checkpoint_dir(spark)
-    und = (edges.select(F.col("src"), F.col("dst"))
-           .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-           .where(F.col("src") != F.col("dst"))
-           .distinct()
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    labels = vertices.select(F.col(vid).alias("v"), F.col(vid).alias("lab"))
-    for _ in range(max_rounds):
-        nbr = (und.join(labels.select(F.col("v").alias("dst"), F.col("lab").alias("nl")), "dst")
-               .groupBy("src").agg(F.min("nl").alias("m")))
-        step = (labels.join(nbr, labels.v == nbr.src, "left")
-                .select("v", F.col("lab").alias("old"),
-                        F.least("lab", F.coalesce("m", "lab")).alias("lab")))
-        # pointer jumping: follow the label one hop (labels are vertices of the same component)
-        hop = step.select(F.col("v").alias("hv"), F.col("lab").alias("hl"))
-        new = (step.join(hop, step.lab == hop.hv, "left")
-               .select("v", "old", F.least("lab", F.coalesce("hl", "lab")).alias("lab")))
-        # the round's plan reads the previous labels several times, so without a
-        # cut the plan grows every round; the reliable checkpoint cuts it and is
-        # also the recovery point if an executor is lost. Persisting first makes
-        # the checkpoint write reuse the computed round instead of redoing it.
-        cached = new.persist(StorageLevel.MEMORY_AND_DISK)
-        new = cached.checkpoint(eager=True)
-        cached.unpersist()
-        changed = new.where(F.col("lab") != F.col("old")).limit(1).count()
-        labels = new.select("v", "lab")
-        if changed == 0:
-            und.unpersist()
-            return labels.select(F.col("v").alias(vid), F.col("lab").alias("root"))
-    und.unpersist()
-    raise NotConverged(f"connected components did not converge in {max_rounds} rounds")
+    cur = (edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
+           .where(F.col("src") != F.col("dst")))
+    maps = []
+    global LAST_ROUNDS
+    for level in range(1, max_levels + 1):
+        LAST_ROUNDS = level
+        cur = cur.checkpoint(eager=True)
+        n_edges = cur.count()
+        if n_edges == 0:
+            break
+        tasks = max(1, -(-n_edges // max_edges_per_task))
+        local = (cur.repartition(tasks, F.xxhash64("src", F.lit(level)))
+                 .mapInPandas(_local_union_find, "v long, r long")
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+        roots = local.groupBy("v").agg(F.min("r").alias("m"))
+        maps.append(roots.checkpoint(eager=True))
+        cur = (local.join(maps[-1], "v").where(F.col("r") != F.col("m"))
+               .select(F.col("r").alias("src"), F.col("m").alias("dst")).distinct())
+        local.unpersist()
+    else:
+        raise NotConverged(f"connected components did not converge in {max_levels} levels")
+    labels = vertices.select(F.col(vid).cast("long").alias("v"), F.col(vid).cast("long").alias("lab"))
+    for m in maps:
+        labels = (labels.join(m.select(F.col("v").alias("mv"), F.col("m")), F.col("lab") == F.col("mv"), "left")
+                  .select("v", F.coalesce("m", "lab").alias("lab")))
+    return labels.select(F.col("v").alias(vid), F.col("lab").alias("root"))
 
 
 def dense_index(df: DataFrame, col: str, out: str = "idx", partitions: int | None = None) -> DataFrame:

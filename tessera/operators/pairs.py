@@ -74,3 +74,30 @@ def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
             .where(F.col("id") < F.col("id2"))
             .where(sq_dist("x", "x2", dim) <= F.lit(float(eps) * float(eps)))
             .select(F.col("id").alias("i"), F.col("id2").alias("j")))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: int = 2048,
+                left_rows: int | None = None, right_rows: int | None = None, key: str = "id") -> DataFrame:
+    """Apply ``fn(left_block_pdf, right_block_pdf) -> pdf`` to every pair of
+    (left block, right block).
+
+    Rows are hashed into blocks of about ``block_rows``; each block is
+    shipped to the tasks of its partner blocks, so a task holds at most two
+    blocks and the work per task is bounded by ``block_rows**2``. ``fn``
+    must reduce what it sees (sums, partial top-k) instead of returning
+    pairs.
+    """
+    from pyspark.sql import functions as F
+    nl = left_rows if left_rows is not None else left.count()
+    nr = right_rows if right_rows is not None else right.count()
+    bl = max(1, -(-nl // block_rows))
+    br = max(1, -(-nr // block_rows))
+    lx = (left.withColumn("_lb", F.pmod(F.xxhash64(key), F.lit(bl)).cast("int"))
+          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
+    rx = (right.withColumn("_rb", F.pmod(F.xxhash64(key), F.lit(br)).cast("int"))
+          .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(bl - 1)))))
+
+    def run(lpdf, rpdf):
+        return fn(lpdf.drop(columns=["_lb", "_rb"]), rpdf.drop(columns=["_lb", "_rb"]))
+
+    return lx.groupBy("_lb", "_rb").cogroup(rx.groupBy("_lb", "_rb")).applyInPandas(run, schema=schema)

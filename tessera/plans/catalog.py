@@ -590,6 +590,33 @@ def q_assemble_features(spark, sf):
               .select("event_id", "pos", names[F.col("pos")].alias("feature"), "value"))
 
 
+PG_NUM = ["p_size", "p_retailprice"]
+
+
+@register("impute_knn", f"""
+WITH {SQL_PG},
+pts AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part_gaps),
+cand AS (
+  SELECT r.k, 0 AS ci, d.k AS dk, d.a AS v,
+         CASE WHEN r.b IS NOT NULL AND d.b IS NOT NULL THEN 2.0 / 1.0 * ((r.b - d.b) * (r.b - d.b)) END AS d2
+  FROM pts r JOIN pts d ON r.a IS NULL AND d.a IS NOT NULL
+  UNION ALL
+  SELECT r.k, 1 AS ci, d.k, d.b,
+         CASE WHEN r.a IS NOT NULL AND d.a IS NOT NULL THEN 2.0 / 1.0 * ((r.a - d.a) * (r.a - d.a)) END
+  FROM pts r JOIN pts d ON r.b IS NULL AND d.b IS NOT NULL),
+top AS (SELECT k, ci, avg(v) AS fill FROM (
+          SELECT k, ci, v, row_number() OVER (PARTITION BY k, ci ORDER BY d2, dk) AS rn FROM cand WHERE d2 IS NOT NULL)
+        WHERE rn <= 5 GROUP BY k, ci)
+SELECT p.k AS p_partkey,
+       round(coalesce(p.a, ta.fill, (SELECT avg(a) FROM pts)), 6) AS p_size,
+       round(coalesce(p.b, tb.fill, (SELECT avg(b) FROM pts)), 6) AS p_retailprice
+FROM pts p LEFT JOIN top ta ON ta.k = p.k AND ta.ci = 0 LEFT JOIN top tb ON tb.k = p.k AND tb.ci = 1""")
+def q_impute_knn(spark, sf):
+    from tessera.operators.knn import knn_impute
+    pg = T.part_gaps(spark, sf).select("p_partkey", *PG_NUM)
+    return r6(knn_impute(pg, ["p_partkey"], PG_NUM, k=5))
+
+
 # ================================================================ DBSCAN
 
 SQL_CF_DB = ",\n".join([SQL_CF, sql_zscore("customer_features", "c_custkey", CF_COLS, "cz"),
