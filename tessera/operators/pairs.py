@@ -92,6 +92,8 @@ def block_pairs(left: DataFrame, right: DataFrame, fn, schema: str, block_rows:
     nr = right_rows if right_rows is not None else right.count()
     bl = max(1, -(-nl // block_rows))
     br = max(1, -(-nr // block_rows))
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     lx = (left.withColumn("_lb", F.pmod(F.xxhash64(key), F.lit(bl)).cast("int"))
           .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
     rx = (right.withColumn("_rb", F.pmod(F.xxhash64(key), F.lit(br)).cast("int"))

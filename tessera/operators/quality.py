@@ -39,6 +39,11 @@ def _valid(df: DataFrame, key: str, x: str, cluster: str) -> DataFrame:
                                                  F.col(cluster).cast("int").alias("c"))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """Same columns under new attribute ids (avoids self-join ambiguity)."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _scorable(valid: DataFrame) -> tuple[bool, int, int]:
     r = collect_row(valid, F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("k"))
     n, k = r["n"], r["k"]
@@ -138,9 +143,12 @@ def silhouette_rows(df: DataFrame, key: str, x: str = "x", cluster: str = "clust
     r = collect_row(valid, F.count(F.lit(1)).alias("n"))
     nb = max(1, math.ceil(r["n"] / block_rows))
     blk = valid.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
-    left = blk.select("id", "x", "c", "rb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("pb"))
-    right = blk.select(F.col("id"), F.col("x"), F.col("c"), F.col("rb").alias("pb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
+    # fresh aliases on both sides: the two sides of the cogroup come from the
+    # same rows, and the labels often share lineage with the features
+    left = blk.select(F.col("id").alias("id"), F.col("x").alias("x"), F.col("c").alias("c"),
+                      F.col("rb").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("pb"))
+    right = blk.select(F.col("id").alias("id"), F.col("x").alias("x"), F.col("c").alias("c"),
+                       F.col("rb").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
 
     def pair_fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         return _block_sums(lpdf, rpdf)
@@ -148,8 +156,8 @@ def silhouette_rows(df: DataFrame, key: str, x: str = "x", cluster: str = "clust
     sums = (left.groupBy("rb", "pb").cogroup(right.groupBy("rb", "pb"))
             .applyInPandas(pair_fn, schema="id long, pc int, s double")
             .groupBy("id", "pc").agg(F.sum("s").alias("s")))
-    sizes = valid.groupBy(F.col("c").alias("pc")).agg(F.count(F.lit(1)).alias("pn"))
-    own = valid.select("id", "c")
+    sizes = _fresh(valid).groupBy(F.col("c").alias("pc")).agg(F.count(F.lit(1)).alias("pn"))
+    own = _fresh(valid.select("id", "c"))
     # per (row, cluster) mean distance; own cluster divides by n - 1 (self excluded)
     per = (sums.join(F.broadcast(sizes), "pc").join(own, "id")
            .select("id", "c", "pc", "pn",

@@ -870,3 +870,140 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: q.sql for name, q in REGISTRY.items() if q.sql}
+
+
+# ================================================================ clustering jobs
+
+def _uf_x(spark, sf):
+    uf = T.user_features(spark, sf)
+    return encode.preprocess(uf, ["user_id"], "StandardScaler", "Mean").frame
+
+
+def _cf_x(spark, sf):
+    cf = T.customer_features(spark, sf)
+    return encode.preprocess(cf, ["c_custkey"], "StandardScaler", "Mean").frame
+
+
+HEIGHT_UF = 0.5
+
+
+@register("single_linkage", f"""
+WITH RECURSIVE {SQL_UF},
+{sql_zscore("user_features", "user_id", UF_COLS, "uz")},
+{sql_dbscan("uz", "user_id", UF_COLS, HEIGHT_UF, 1, "sl")}
+SELECT user_id, cluster FROM sl""")
+def q_single_linkage(spark, sf):
+    """Single-linkage clusters cut at height 0.5 (components of the 0.5-graph)."""
+    from tessera.operators.agglomerative import single_linkage_at
+    return single_linkage_at(_uf_x(spark, sf), "user_id", HEIGHT_UF)
+
+
+def _agglo(linkage):
+    def run(spark, sf):
+        from tessera.operators.agglomerative import agglomerative
+        return agglomerative(_uf_x(spark, sf), "user_id", k=3, linkage=linkage)
+    return run
+
+
+register("agglomerative_ward")(_agglo("ward"))
+register("agglomerative_complete")(_agglo("complete"))
+register("agglomerative_average")(_agglo("average"))
+
+
+@register("dendrogram")
+def q_dendrogram(spark, sf):
+    from tessera.operators.agglomerative import dendrogram
+    return r6(dendrogram(_uf_x(spark, sf), "user_id", "ward"))
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf):
+    return kmeans.kmeans(_cf_x(spark, sf), "c_custkey", k=3)
+
+
+@register("elbow")
+def q_elbow(spark, sf):
+    return r6(kmeans.elbow(_cf_x(spark, sf), "c_custkey", max_k=10))
+
+
+@register("silhouette_sweep")
+def q_silhouette_sweep(spark, sf):
+    from tessera.plans.search import silhouette_sweep
+    return r6(silhouette_sweep(_uf_x(spark, sf), "user_id", max_k=10))
+
+
+@register("pca_project_2d")
+def q_pca_project_2d(spark, sf):
+    enc = encode.preprocess(T.customer_features(spark, sf), ["c_custkey"], "StandardScaler", "Mean")
+    return r6(features.pca_project_2d(enc.frame, ["c_custkey"], enc.dim))
+
+
+@register("pca_explained")
+def q_pca_explained(spark, sf):
+    return r6(features.pca_explained(T.line_num(spark, sf), LN_VALS))
+
+
+def _search_counts_sql() -> str:
+    parts, ctes = [], []
+    for i, eps in enumerate((0.2, 0.4, 0.6, 0.8, 1.0)):
+        ctes.append(sql_dbscan("uz", "user_id", UF_COLS, eps, 5, f"s{i}"))
+        parts.append(f"SELECT CAST({eps} AS DOUBLE) AS eps, CAST(count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS BIGINT) "
+                     f"AS clusters, CAST(count(CASE WHEN cluster = -1 THEN 1 END) AS BIGINT) AS noise FROM s{i}")
+    return (f"WITH RECURSIVE {SQL_UF},\n{sql_zscore('user_features', 'user_id', UF_COLS, 'uz')},\n"
+            + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts))
+
+
+@register("automl_dbscan_counts", _search_counts_sql())
+def q_automl_dbscan_counts(spark, sf):
+    """The DBSCAN part of the search grid: clusters and noise per eps."""
+    from tessera.plans.search import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
+    x = _uf_x(spark, sf).persist()
+    rows = []
+    for eps in DBSCAN_EPS:
+        c = quality.cluster_counts(dbscan(x, "user_id", eps, DBSCAN_MIN_SAMPLES)).collect()[0]
+        rows.append((float(eps), c["clusters"], c["noise"]))
+    return spark.createDataFrame(rows, "eps double, clusters bigint, noise bigint")
+
+
+@register("automl_rank")
+def q_automl_rank(spark, sf):
+    from tessera.plans.search import run_search
+    ranked, _, _ = run_search(_uf_x(spark, sf), "user_id", n_km=8)
+    return ranked
+
+
+def _metrics_sql(lab: str, src: str, key: str, cols: list[str]) -> str:
+    d = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    dc = " + ".join(f"(v.{c} - c.{c}) * (v.{c} - c.{c})" for c in cols)
+    dcc = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in cols)
+    dg = " + ".join(f"(c.{c} - g.{c}) * (c.{c} - g.{c})" for c in cols)
+    return f"""v AS (SELECT z.*, l.cluster FROM {src} z JOIN {lab} l USING ({key}) WHERE l.cluster <> -1),
+sz AS (SELECT cluster, count(*) AS n FROM v GROUP BY cluster),
+pc AS (SELECT a.{key} AS i, a.cluster AS own, b.cluster AS pc, sum(sqrt({d})) AS s
+       FROM v a JOIN v b ON true GROUP BY a.{key}, a.cluster, b.cluster),
+ab AS (SELECT i, max(CASE WHEN pc.pc = own THEN s / (sz.n - 1) END) AS a, min(CASE WHEN pc.pc <> own THEN s / sz.n END) AS b,
+              max(CASE WHEN pc.pc = own THEN sz.n END) AS own_n FROM pc JOIN sz ON sz.cluster = pc.pc GROUP BY i),
+sil AS (SELECT avg(CASE WHEN own_n <= 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab),
+c AS (SELECT cluster, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in cols)} FROM v GROUP BY cluster),
+g AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in cols)} FROM v),
+intra AS (SELECT v.cluster, avg(sqrt({dc})) AS s, sum({dc}) AS w FROM v JOIN c USING (cluster) GROUP BY v.cluster),
+dbr AS (SELECT a.cluster, max((ia.s + ib.s) / sqrt({dcc})) AS r FROM c a JOIN c b ON a.cluster <> b.cluster
+        JOIN intra ia ON ia.cluster = a.cluster JOIN intra ib ON ib.cluster = b.cluster GROUP BY a.cluster),
+db AS (SELECT avg(r) AS davies_bouldin FROM dbr),
+ch AS (SELECT CASE WHEN (SELECT sum(w) FROM intra) = 0 THEN 1.0 ELSE
+          (SELECT sum(c.n * ({dg})) FROM c, g) * ((SELECT count(*) FROM v) - (SELECT count(*) FROM c))
+          / ((SELECT sum(w) FROM intra) * ((SELECT count(*) FROM c) - 1)) END AS calinski_harabasz),
+cnt AS (SELECT CAST(count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS BIGINT) AS clusters,
+               CAST(count(CASE WHEN cluster = -1 THEN 1 END) AS BIGINT) AS noise FROM {lab})"""
+
+
+@register("train_dbscan_e2e", f"""
+WITH RECURSIVE {SQL_CF_DB},
+{_metrics_sql("clab", "cz", "c_custkey", CF_COLS)}
+SELECT clusters, noise, round(silhouette, 6) AS silhouette, round(davies_bouldin, 6) AS davies_bouldin,
+       round(calinski_harabasz, 6) AS calinski_harabasz FROM cnt, sil, db, ch""")
+def q_train_dbscan_e2e(spark, sf):
+    """Train job: preprocess (mean, standard) -> DBSCAN(0.4, 5) -> all metrics."""
+    from tessera.plans.train import train
+    res = train(T.customer_features(spark, sf), "c_custkey", "DBSCAN", {"eps": EPS_CF_001, "min_samples": 5})
+    return r6(res.metrics)
