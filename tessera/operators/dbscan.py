@@ -73,3 +73,39 @@ def neighbour_counts(df: DataFrame, key: str, eps: float, x: str = "x",
     deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     return (pts.select("id").join(deg.withColumnRenamed("a", "id"), "id", "left")
             .select(F.col("id").alias(key), (F.coalesce("deg", F.lit(0)) + 1).cast("bigint").alias("n_neighbors")))
+
+
+def core_points(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, x: str = "x") -> DataFrame:
+    """(key, x, cluster) of the core points: what a saved DBSCAN model keeps."""
+    res = dbscan_fit(df, key, eps, min_samples, x)
+    return (df.select(key, x).join(res.core, key, "left_semi")
+            .join(res.labels, key).select(key, F.col(x).alias("x"), "cluster"))
+
+
+def assign_to_core(new: DataFrame, core: DataFrame, key: str, eps: float, x: str = "x") -> DataFrame:
+    """New rows take the cluster of their nearest core point within eps
+    (ties to the lower cluster number); rows with no core point within eps
+    are noise. Uses the same grid eps-join, between two different tables."""
+    from tessera.functions.exprs import sq_dist
+    dim = vector_dim(new, x)
+    a0, a1 = 0, (1 if dim > 1 else None)
+
+    def cells(df, idc, xc):
+        return df.select(F.col(idc).alias("nid"), F.col(xc).alias("nx"),
+                         F.floor(F.col(xc)[a0] / eps).alias("cx"),
+                         (F.floor(F.col(xc)[a1] / eps) if a1 is not None else F.lit(0).cast("long")).alias("cy"))
+
+    probe = cells(new, key, x)
+    offs = [(dx, dy) for dx in (-1, 0, 1) for dy in ((-1, 0, 1) if a1 is not None else (0,))]
+    build = (core.select(F.col("x").alias("kx"), F.col("cluster").alias("kc"),
+                         F.floor(F.col("x")[a0] / eps).alias("bx"),
+                         (F.floor(F.col("x")[a1] / eps) if a1 is not None else F.lit(0).cast("long")).alias("by"))
+             .select("kx", "kc", F.explode(F.array(*[F.struct((F.col("bx") + dx).alias("cx"), (F.col("by") + dy).alias("cy"))
+                                                      for dx, dy in offs])).alias("c"))
+             .select("kx", "kc", "c.cx", "c.cy"))
+    near = (probe.join(build, ["cx", "cy"])
+            .withColumn("d2", sq_dist("nx", "kx", dim))
+            .where(F.col("d2") <= eps * eps)
+            .groupBy("nid").agg(F.min(F.struct("d2", "kc")).alias("b")))
+    return (new.select(F.col(key).alias("nid")).join(near, "nid", "left")
+            .select(F.col("nid").alias(key), F.coalesce(F.col("b.kc"), F.lit(-1)).cast("int").alias("cluster")))

@@ -1007,3 +1007,45 @@ def q_train_dbscan_e2e(spark, sf):
     from tessera.plans.train import train
     res = train(T.customer_features(spark, sf), "c_custkey", "DBSCAN", {"eps": EPS_CF_001, "min_samples": 5})
     return r6(res.metrics)
+
+
+# ================================================================ sources, report, stream
+
+@register("csv_infer", f"""
+WITH {SQL_EG},
+s AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,
+             CAST(value AS VARCHAR) AS value FROM events_gaps)
+""" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", CASE
+      WHEN count({c}) = 0 THEN 'double'
+      WHEN count(CASE WHEN {c} IS NOT NULL AND TRY_CAST(trim({c}) AS BIGINT) IS NULL THEN 1 END) = 0
+        THEN CASE WHEN count({c}) = count(*) THEN 'bigint' ELSE 'double' END
+      WHEN count(CASE WHEN {c} IS NOT NULL AND TRY_CAST(trim({c}) AS DOUBLE) IS NULL THEN 1 END) = 0 THEN 'double'
+      WHEN count(CASE WHEN {c} IS NOT NULL AND {c} NOT IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')
+                 THEN 1 END) = 0 AND count({c}) = count(*) THEN 'boolean'
+      ELSE 'string' END AS dtype FROM s""" for c in ["event_id", "user_id", "event_type", "value"]))
+def q_csv_infer(spark, sf):
+    """Type inference on the string form of a table (as a CSV scan sees it)."""
+    from tessera.sources.csv import infer_types, to_missing
+    eg = T.events_gaps(spark, sf)
+    strings = to_missing(eg.select(*[F.col(c).cast("string").alias(c) for c in eg.columns]))
+    types = infer_types(strings)
+    return spark.createDataFrame([(c, t) for c, t in types.items()], "column string, dtype string")
+
+
+@register("report")
+def q_report(spark, sf):
+    """The eight-section report for DBSCAN on the per-user features."""
+    from tessera.plans.report import build_report
+    from tessera.plans.train import train
+    uf = T.user_features(spark, sf)
+    res = train(uf, "user_id", "DBSCAN", {"eps": EPS_UF, "min_samples": 5})
+    labelled = results.label_join(uf, res.labels, ["user_id"])
+    return build_report(spark, labelled, ["user_id"], res.metrics, "DBSCAN", "Mean", "StandardScaler", "None")
+
+
+@register("stream_cluster_drift")
+def q_stream_cluster_drift(spark, sf):
+    """Events replayed as a stream, scored by a static KMeans, counted per day."""
+    from tessera.streaming.assign import events_drift
+    return events_drift(spark, sf)
