@@ -1,10 +1,10 @@
 """KMeans: Spark ML fit, nearest-centre assignment, one Lloyd step, inertia,
 and the elbow sweep.
 
-Centres are model state (k x d, bounded by ``k``). Assignment inlines them
-as literals in one codegen'd expression per row (distance to each centre,
-arg-min with ties to the lowest index), so it needs neither a join nor a
-broadcast. Cluster numbers are made canonical: ordered by the smallest key
+Centres are model state (k x d, bounded by ``k``). Assignment needs neither
+a join nor a broadcast: small models inline the centres as literals in one
+codegen'd expression per row, larger ones ship them inside an Arrow-batched
+pandas UDF (arg-min, ties to the lowest index). Cluster numbers are made canonical: ordered by the smallest key
 of each cluster.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,20 +38,49 @@ def _dist2_to(x: str, centre: list[float]) -> Column:
     return e
 
 
-def assign(df: DataFrame, centres: list[list[float]], x: str = "x", out: str = "cluster") -> DataFrame:
-    """Nearest centre by Euclidean distance; ties go to the lowest centre index."""
+EXPR_MAX_VALUES = 64  # up to k * d literals the assignment stays one codegen'd expression
+
+
+def _nearest_udf(centres: list[list[float]]):
+    """Arrow-batched nearest centre: (cluster, squared distance) per row."""
+    from pyspark.sql.functions import pandas_udf
+
+    C = np.asarray(centres, dtype=np.float64)
+
+    @pandas_udf("struct<i:int,d:double>")
+    def nearest(xs: pd.Series) -> pd.DataFrame:
+        X = np.stack(xs.to_numpy()).astype(np.float64)
+        d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+        i = np.argmin(d2, axis=1)  # first minimum: ties go to the lowest index
+        return pd.DataFrame({"i": i.astype("int32"), "d": d2[np.arange(len(X)), i]})
+
+    return nearest
+
+
+def _nearest(x: str, centres: list[list[float]]) -> Column:
     k, d = len(centres), len(centres[0]) if centres else 0
     if k * d > MAX_CENTRE_VALUES:
-        raise ValueError(f"{k} centres x {d} dims is above {MAX_CENTRE_VALUES} inlined values")
-    dists = F.array(*[F.struct(_dist2_to(x, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    return df.withColumn(out, F.array_min(dists)["i"].cast("int"))
+        raise ValueError(f"{k} centres x {d} dims is above {MAX_CENTRE_VALUES} values")
+    if k * d <= EXPR_MAX_VALUES:
+        return F.array_min(F.array(*[F.struct(_dist2_to(x, c).alias("d"), F.lit(i).alias("i"))
+                                     for i, c in enumerate(centres)]))
+    return _nearest_udf(centres)(F.col(x))
+
+
+def assign(df: DataFrame, centres: list[list[float]], x: str = "x", out: str = "cluster") -> DataFrame:
+    """Nearest centre by Euclidean distance; ties go to the lowest centre index.
+
+    Small models inline the centres as literals (one codegen'd expression);
+    larger ones use an Arrow-batched pandas UDF that computes the distance
+    matrix of each batch in numpy.
+    """
+    return df.withColumn(out, _nearest(x, centres)["i"].cast("int"))
 
 
 def assign_with_distance(df: DataFrame, centres: list[list[float]], x: str = "x") -> DataFrame:
-    dists = F.array(*[F.struct(_dist2_to(x, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    best = F.array_min(dists)
-    return df.withColumn("_best", best).withColumn("cluster", F.col("_best.i").cast("int")) \
-             .withColumn("d2", F.col("_best.d")).drop("_best")
+    return (df.withColumn("_best", _nearest(x, centres))
+            .withColumn("cluster", F.col("_best.i").cast("int"))
+            .withColumn("d2", F.col("_best.d")).drop("_best"))
 
 
 def lloyd_step(df: DataFrame, centres: list[list[float]], x: str = "x") -> DataFrame:

@@ -50,16 +50,19 @@ def _partial_topk(k: int, p: int):
             donors = np.flatnonzero(dm[:, ci])
             if len(recv) == 0 or len(donors) == 0:
                 continue
+            donors = donors[np.argsort(dks[donors], kind="stable")]  # key order breaks distance ties
             sub = d2[np.ix_(recv, donors)]
-            for a, ri in enumerate(recv):
-                row = sub[a]
-                ok = np.flatnonzero(~np.isnan(row))
-                if len(ok) == 0:
-                    continue
-                order = np.lexsort((dks[donors[ok]], row[ok]))[:k]
-                sel = donors[ok[order]]
-                out.append(pd.DataFrame({"rid": rids[ri], "ci": ci, "d2": row[ok[order]],
-                                         "dk": dks[sel], "v": D[sel, ci]}))
+            sub = np.where(np.isnan(sub), np.inf, sub)
+            kk = min(k, len(donors))
+            order = np.argsort(sub, axis=1, kind="stable")[:, :kk]
+            dist = np.take_along_axis(sub, order, axis=1)
+            ok = np.isfinite(dist)
+            if not ok.any():
+                continue
+            rr, cc = np.nonzero(ok)
+            sel = donors[order[rr, cc]]
+            out.append(pd.DataFrame({"rid": rids[recv[rr]], "ci": ci, "d2": dist[rr, cc],
+                                     "dk": dks[sel], "v": D[sel, ci]}))
         if not out:
             return pd.DataFrame({c: [] for c in ["rid", "ci", "d2", "dk", "v"]})
         return pd.concat(out, ignore_index=True)
