@@ -78,8 +78,13 @@ def zscore_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
         if st["m"] is None or st["const"]:
             keep = F.lit(False)
             continue
-        z = (F.col(c).cast("double") - F.lit(st["m"])) / F.lit(st["s"])
-        keep = keep & F.coalesce(F.abs(z) < 3, F.lit(False))
+        x = F.col(c).cast("double")
+        z = (x - F.lit(st["m"])) / F.lit(st["s"])
+        # the exact test, plus a slightly wider range on the raw column that
+        # parquet can use for row-group pruning (a NULL fails both: in a
+        # filter NULL counts as false)
+        slack = 3 * st["s"] * (1 + 1e-9) + 1e-12
+        keep = keep & (F.col(c) >= F.lit(st["m"] - slack)) & (F.col(c) <= F.lit(st["m"] + slack)) & (F.abs(z) < 3)
     return df.where(keep)
 
 
@@ -98,8 +103,8 @@ def iqr_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
             continue
         q1, q3 = q[f"q{i}"]
         iqr = q3 - q1
-        x = F.col(c).cast("double")
-        keep = keep & F.coalesce((x >= F.lit(q1 - 1.5 * iqr)) & (x <= F.lit(q3 + 1.5 * iqr)), F.lit(False))
+        # plain range predicates: NULL fails them inside a filter, and they push down to parquet
+        keep = keep & (F.col(c) >= F.lit(q1 - 1.5 * iqr)) & (F.col(c) <= F.lit(q3 + 1.5 * iqr))
     return df.where(keep)
 
 
