@@ -1,8 +1,10 @@
 """DBSCAN as DataFrame operations (exact).
 
-1. eps-join (grid cells, salted) -> neighbour pairs, self excluded;
-2. core: 1 + number of neighbours >= min_samples (a point is its own neighbour);
-3. connected components of the core-core graph (min-label propagation);
+0. identical points are collapsed into weighted units (they share their
+   neighbourhood, core status and label), so duplicates never produce pairs;
+1. eps-join (grid cells, salted) -> neighbour pairs of units, self excluded;
+2. core: neighbours counted with multiplicity, itself included, >= min_samples;
+3. connected components of the core-core graph (distributed union-find);
 4. a non-core point with a core neighbour takes the smallest cluster number
    among its core neighbours (that is the cluster that reaches it first when
    clusters are grown in key order); all others are noise (-1);
@@ -30,16 +32,39 @@ class DBSCANResult:
     core: DataFrame         # (key) of core points, for assigning new rows
 
 
+def _units(pts: DataFrame) -> DataFrame:
+    """Identical points have identical neighbourhoods: collapse them into one
+    weighted unit (smallest key, multiplicity). A partial aggregation, so a
+    value repeated by a third of the rows costs one row per task, and the
+    eps-join never emits pairs between duplicates."""
+    return pts.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
+
+
+def _unit_pairs(units: DataFrame, eps: float, dim: int, max_cell_rows: int):
+    pairs = eps_join(units.select("id", "x"), eps, dim, max_cell_rows=max_cell_rows)
+    both = (pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
+            .unionByName(pairs.select(F.col("j").alias("a"), F.col("i").alias("b"))))
+    return pairs, both
+
+
+def _unit_degree(units: DataFrame, both: DataFrame) -> DataFrame:
+    """(id, n): neighbours of a unit counted with multiplicity, itself included."""
+    wb = both.join(units.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    nb = wb.groupBy("a").agg(F.sum("wb").alias("nbw"))
+    return (units.select("id", "w").join(nb.withColumnRenamed("a", "id"), "id", "left")
+            .select("id", (F.col("w") + F.coalesce("nbw", F.lit(0))).alias("n")))
+
+
 def dbscan_fit(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
                x: str = "x", max_cell_rows: int = 20000) -> DBSCANResult:
-    pts = df.select(F.col(key).alias("id"), F.col(x).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    dim = vector_dim(pts)
-    pairs = eps_join(pts, eps, dim, max_cell_rows=max_cell_rows).persist(StorageLevel.MEMORY_AND_DISK)
-    both = pairs.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(
-        pairs.select(F.col("j").alias("a"), F.col("i").alias("b")))
-    deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    core = (pts.select("id").join(deg.withColumnRenamed("a", "id"), "id", "left")
-            .where(F.coalesce(F.col("deg"), F.lit(0)) + 1 >= min_samples)
+    pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
+    units = _units(pts).persist(StorageLevel.MEMORY_AND_DISK)
+    dim = vector_dim(units)
+    pairs, both = _unit_pairs(units, eps, dim, max_cell_rows)
+    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    both = (pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
+            .unionByName(pairs.select(F.col("j").alias("a"), F.col("i").alias("b"))))
+    core = (_unit_degree(units, both).where(F.col("n") >= min_samples)
             .select("id").persist(StorageLevel.MEMORY_AND_DISK))
     cc_edges = (pairs.join(core.withColumnRenamed("id", "i"), "i", "left_semi")
                 .join(core.withColumnRenamed("id", "j"), "j", "left_semi")
@@ -50,12 +75,17 @@ def dbscan_fit(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
     border = (both.join(core.withColumnRenamed("id", "a"), "a", "left_anti")
               .join(core_lab.withColumnRenamed("id", "b"), "b")
               .groupBy("a").agg(F.min("cluster").alias("bcl")))
-    labels = (pts.select("id")
-              .join(core_lab, "id", "left")
-              .join(border, F.col("id") == F.col("a"), "left")
-              .select(F.col("id").alias(key),
-                      F.coalesce("cluster", "bcl", F.lit(-1)).cast("int").alias("cluster")))
-    return DBSCANResult(labels, core.withColumnRenamed("id", key))
+    unit_lab = (units.select("id", "x")
+                .join(core_lab, "id", "left")
+                .join(border, F.col("id") == F.col("a"), "left")
+                .select("x", F.col("id").alias("uid"),
+                        F.coalesce("cluster", "bcl", F.lit(-1)).cast("int").alias("cluster")))
+    # back to every row: an equi-join on the feature vector (one unit row per
+    # value, so a hot value is a skewed probe side that AQE splits)
+    labelled = pts.join(unit_lab, "x")
+    labels = labelled.select(F.col("id").alias(key), "cluster")
+    core_keys = labelled.join(core.withColumnRenamed("id", "uid"), "uid", "left_semi").select(F.col("id").alias(key))
+    return DBSCANResult(labels, core_keys)
 
 
 def dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, x: str = "x",
@@ -68,11 +98,12 @@ def neighbour_counts(df: DataFrame, key: str, eps: float, x: str = "x",
                      max_cell_rows: int = 20000) -> DataFrame:
     """``(key, n_neighbors)``: points within eps, the point itself included."""
     pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
-    pairs = eps_join(pts, eps, max_cell_rows=max_cell_rows)
-    both = pairs.select(F.col("i").alias("a")).unionByName(pairs.select(F.col("j").alias("a")))
-    deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    return (pts.select("id").join(deg.withColumnRenamed("a", "id"), "id", "left")
-            .select(F.col("id").alias(key), (F.coalesce("deg", F.lit(0)) + 1).cast("bigint").alias("n_neighbors")))
+    units = _units(pts)
+    _, both = _unit_pairs(units, eps, vector_dim(units), max_cell_rows)
+    deg = _unit_degree(units, both)
+    return (pts.join(units.select("x", F.col("id").alias("uid")), "x")
+            .join(deg.withColumnRenamed("id", "uid"), "uid")
+            .select(F.col("id").alias(key), F.col("n").cast("bigint").alias("n_neighbors")))
 
 
 def core_points(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, x: str = "x") -> DataFrame:

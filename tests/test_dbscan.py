@@ -76,3 +76,15 @@ def test_neighbour_counts_include_self(spark):
     X = np.array([[0.0], [0.5], [3.0]])
     got = {r["k"]: r["n_neighbors"] for r in neighbour_counts(_frame(spark, X), "k", 0.6).collect()}
     assert got == {0: 2, 1: 2, 2: 1}
+
+
+def test_hot_duplicate_value(spark):
+    # a third of the rows share one feature vector: collapsed into one unit
+    rng = np.random.default_rng(11)
+    X = np.vstack([np.tile([[1.0, 1.0]], (40, 1)), rng.normal(size=(80, 2)) * 0.6])
+    for eps, ms in ((0.3, 5), (0.5, 50)):
+        got = _labels(dbscan(_frame(spark, X), "k", eps, ms))
+        assert (got == sequential_dbscan(X, eps, ms)).all()
+    counts = {r["k"]: r["n_neighbors"] for r in neighbour_counts(_frame(spark, X), "k", 0.3).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert all(counts[i] == int((D[i] <= 0.3).sum()) for i in range(len(X)))
