@@ -63,9 +63,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     into tasks of at most ``max_edges_per_task`` edges; each task resolves
     the components of its own edges in numpy; a vertex that got different
     local roots in different tasks links those roots, and only these links
-    form the next level's edge set. Every level is reliably checkpointed (the
-    recovery point after a lost executor, and a cut of the plan). Labels are
-    the composition of the per-level maps.
+    form the next level's edge set. Every level's local result is reliably
+    checkpointed (the recovery point after a lost executor, and a cut of the
+    plan). Labels are the composition of the per-level maps.
     """
     spark = vertices.sparkSession
     ensure_checkpoint_dir(spark)
@@ -73,21 +73,28 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
            .where(F.col("src") != F.col("dst")))
     maps = []
     global LAST_ROUNDS
+    prev = None
     for level in range(1, max_levels + 1):
         LAST_ROUNDS = level
-        cur = cur.checkpoint(eager=True)
+        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
         n_edges = cur.count()
+        if prev is not None:
+            prev.unpersist()
+        prev = cur
         if n_edges == 0:
             break
         tasks = max(1, -(-n_edges // max_edges_per_task))
-        local = (cur.repartition(tasks, F.xxhash64("src", F.lit(level)))
-                 .mapInPandas(_local_union_find, "v long, r long")
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-        roots = local.groupBy("v").agg(F.min("r").alias("m"))
-        maps.append(roots.checkpoint(eager=True))
-        cur = (local.join(maps[-1], "v").where(F.col("r") != F.col("m"))
+        computed = (cur.repartition(tasks, F.xxhash64("src", F.lit(level)))
+                    .mapInPandas(_local_union_find, "v long, r long")
+                    .persist(StorageLevel.MEMORY_AND_DISK))
+        # reliable checkpoint of the level's result: it cuts the plan (the next
+        # level is derived from it) and is the recovery point after a lost executor
+        local = computed.checkpoint(eager=True)
+        computed.unpersist()
+        roots = local.groupBy("v").agg(F.min("r").alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+        maps.append(roots)
+        cur = (local.join(roots, "v").where(F.col("r") != F.col("m"))
                .select(F.col("r").alias("src"), F.col("m").alias("dst")).distinct())
-        local.unpersist()
     else:
         raise NotConverged(f"connected components did not converge in {max_levels} levels")
     labels = vertices.select(F.col(vid).cast("long").alias("v"), F.col(vid).cast("long").alias("lab"))
