@@ -148,37 +148,64 @@ def _units(df: DataFrame, key: str, x: str, dim: int, n: int, max_units: int, se
     return units, mapped, False
 
 
-def agglomerative_fit(df: DataFrame, key: str, k: int = 3, linkage: str = "ward", x: str = "x",
-                      max_units: int = MAX_UNITS, seed: int = 42) -> AggloResult:
-    if linkage not in LINKAGES:
-        raise ValueError(f"unknown linkage {linkage!r}")
-    src = df.select(key, x).persist(StorageLevel.MEMORY_AND_DISK)
-    n = src.count()
-    if n < k:
-        raise ValueError(f"{n} rows cannot form {k} clusters")
-    dim = vector_dim(src, x)
-    units, row_map, exact = _units(src, key, x, dim, n, max_units, seed)
-
+def _merge_units(units: DataFrame, linkage: str, ks: list[int]) -> DataFrame:
+    """One pandas task over the bounded unit table: the merge table and the
+    unit labels for every cut in ``ks``."""
     def merge_all(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", kind="stable").reset_index(drop=True)
         c = np.stack(pdf["x"].to_numpy()).astype(np.float64)
         w = pdf["w"].to_numpy(dtype=np.float64)
         mt = nn_chain(c, w, linkage)
-        lab = cut_tree(mt, len(pdf), k)
         uids = pdf["uid"].to_numpy()
-        merge_rows = pd.DataFrame({
-            "kind": "merge", "uid": -1, "label": -1,
+        parts = [pd.DataFrame({
+            "kind": "merge", "k": -1, "uid": -1, "label": -1,
             "left": uids[mt[:, 0].astype(int)] if len(mt) else [],
             "right": uids[mt[:, 1].astype(int)] if len(mt) else [],
-            "height": mt[:, 2] if len(mt) else [], "size": mt[:, 3] if len(mt) else []})
-        lab_rows = pd.DataFrame({"kind": "label", "uid": uids, "label": uids[lab],
-                                 "left": -1, "right": -1, "height": 0.0, "size": 0.0})
-        return pd.concat([lab_rows, merge_rows], ignore_index=True)
-
-    schema = "kind string, uid long, label long, left long, right long, height double, size double"
+            "height": mt[:, 2] if len(mt) else [], "size": mt[:, 3] if len(mt) else []})]
+        for k in ks:
+            lab = cut_tree(mt, len(pdf), k)
+            parts.append(pd.DataFrame({"kind": "label", "k": k, "uid": uids, "label": uids[lab],
+                                       "left": -1, "right": -1, "height": 0.0, "size": 0.0}))
+        return pd.concat(parts, ignore_index=True)
+
+    schema = "kind string, k int, uid long, label long, left long, right long, height double, size double"
     # the unit table has at most max_units rows, so one group is bounded by the parameter
-    out = (units.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(merge_all, schema)
-           .persist(StorageLevel.MEMORY_AND_DISK))
+    return (units.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(merge_all, schema)
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def _prepare(df: DataFrame, key: str, x: str, max_units: int, seed: int, k_max: int):
+    src = df.select(key, x).persist(StorageLevel.MEMORY_AND_DISK)
+    n = src.count()
+    if n < k_max:
+        raise ValueError(f"{n} rows cannot form {k_max} clusters")
+    dim = vector_dim(src, x)
+    units, row_map, exact = _units(src, key, x, dim, n, max_units, seed)
+    return units, row_map, exact, n
+
+
+def agglomerative_cuts(df: DataFrame, key: str, ks: list[int], linkage: str = "ward", x: str = "x",
+                       max_units: int = MAX_UNITS, seed: int = 42) -> DataFrame:
+    """(k, key, cluster) for several cluster counts from one merge tree."""
+    if linkage not in LINKAGES:
+        raise ValueError(f"unknown linkage {linkage!r}")
+    units, row_map, _, _ = _prepare(df, key, x, max_units, seed, max(ks))
+    out = _merge_units(units, linkage, list(ks))
+    unit_lab = out.where(F.col("kind") == "label").select("k", "uid", F.col("label").alias("root"))
+    keyed = row_map.join(unit_lab, "uid")
+    # canonical numbering per k: exactly k clusters per k, so each window partition is bounded by k
+    first = keyed.groupBy("k", "root").agg(F.min("key").alias("mk"))
+    numbered = first.select("k", "root", (F.dense_rank().over(Window.partitionBy("k").orderBy("mk")) - 1)
+                            .cast("int").alias("cluster"))
+    return keyed.join(numbered, ["k", "root"]).select("k", F.col("key").alias(key), "cluster")
+
+
+def agglomerative_fit(df: DataFrame, key: str, k: int = 3, linkage: str = "ward", x: str = "x",
+                      max_units: int = MAX_UNITS, seed: int = 42) -> AggloResult:
+    if linkage not in LINKAGES:
+        raise ValueError(f"unknown linkage {linkage!r}")
+    units, row_map, exact, n = _prepare(df, key, x, max_units, seed, k)
+    out = _merge_units(units, linkage, [k])
     unit_lab = out.where(F.col("kind") == "label").select("uid", F.col("label").alias("root"))
     merges = (out.where(F.col("kind") == "merge")
               .select("left", "right", "height", "size"))

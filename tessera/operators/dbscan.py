@@ -55,13 +55,8 @@ def _unit_degree(units: DataFrame, both: DataFrame) -> DataFrame:
             .select("id", (F.col("w") + F.coalesce("nbw", F.lit(0))).alias("n")))
 
 
-def dbscan_fit(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
-               x: str = "x", max_cell_rows: int = 20000) -> DBSCANResult:
-    pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
-    units = _units(pts).persist(StorageLevel.MEMORY_AND_DISK)
-    dim = vector_dim(units)
-    pairs, both = _unit_pairs(units, eps, dim, max_cell_rows)
-    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+def _labels_from_pairs(pts: DataFrame, units: DataFrame, pairs: DataFrame, min_samples: int,
+                       key: str) -> DBSCANResult:
     both = (pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
             .unionByName(pairs.select(F.col("j").alias("a"), F.col("i").alias("b"))))
     core = (_unit_degree(units, both).where(F.col("n") >= min_samples)
@@ -88,6 +83,33 @@ def dbscan_fit(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
     return DBSCANResult(labels, core_keys)
 
 
+def dbscan_fit(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
+               x: str = "x", max_cell_rows: int = 20000) -> DBSCANResult:
+    pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
+    units = _units(pts).persist(StorageLevel.MEMORY_AND_DISK)
+    dim = vector_dim(units)
+    pairs, _ = _unit_pairs(units, eps, dim, max_cell_rows)
+    return _labels_from_pairs(pts, units, pairs.persist(StorageLevel.MEMORY_AND_DISK), min_samples, key)
+
+
+def dbscan_multi(df: DataFrame, key: str, eps_list: list[float], min_samples: int = 5, x: str = "x",
+                 max_cell_rows: int = 20000) -> DataFrame:
+    """(eps, key, cluster) for several eps values sharing one pair table built
+    at the largest eps (each smaller eps is a filter on the distances)."""
+    pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
+    units = _units(pts).persist(StorageLevel.MEMORY_AND_DISK)
+    dim = vector_dim(units)
+    widest = (eps_join(units.select("id", "x"), max(eps_list), dim, max_cell_rows=max_cell_rows, with_d2=True)
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    out = None
+    for eps in eps_list:
+        pairs = widest.where(F.col("d2") <= F.lit(float(eps) * float(eps))).select("i", "j")
+        lab = _labels_from_pairs(pts, units, pairs, min_samples, key).labels
+        lab = lab.select(F.lit(float(eps)).alias("eps"), key, "cluster")
+        out = lab if out is None else out.unionByName(lab)
+    return out
+
+
 def dbscan(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, x: str = "x",
            max_cell_rows: int = 20000) -> DataFrame:
     """``(key, cluster)`` with -1 for noise."""

@@ -41,7 +41,7 @@ def grid_axes(pts: DataFrame, dim: int, x: str = "x") -> list[int]:
 
 
 def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
-             max_cell_rows: int = 20000, axes: list[int] | None = None) -> DataFrame:
+             max_cell_rows: int = 20000, axes: list[int] | None = None, with_d2: bool = False) -> DataFrame:
     """All unordered pairs ``(i, j)``, ``i < j``, with Euclidean distance <= eps.
 
     ``pts`` has columns ``id`` (orderable, unique) and ``x`` (array<double>).
@@ -70,10 +70,12 @@ def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
              .join(cells, ["cx", "cy"])  # only cells that exist
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
              .drop("salts"))
-    return (probe.join(build, ["cx", "cy", "salt"])
-            .where(F.col("id") < F.col("id2"))
-            .where(sq_dist("x", "x2", dim) <= F.lit(float(eps) * float(eps)))
-            .select(F.col("id").alias("i"), F.col("id2").alias("j")))
+    out = (probe.join(build, ["cx", "cy", "salt"])
+           .where(F.col("id") < F.col("id2"))
+           .withColumn("d2", sq_dist("x", "x2", dim))
+           .where(F.col("d2") <= F.lit(float(eps) * float(eps))))
+    cols = [F.col("id").alias("i"), F.col("id2").alias("j")] + ([F.col("d2")] if with_d2 else [])
+    return out.select(*cols)
 
 
 def block_pairs(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: int = 2048,

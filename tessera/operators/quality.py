@@ -201,3 +201,82 @@ def all_metrics(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster")
     return df.sparkSession.createDataFrame(
         [(counts["clusters"], counts["noise"], sil, db, ch)],
         "clusters bigint, noise bigint, silhouette double, davies_bouldin double, calinski_harabasz double")
+
+
+# ------------------------------------------------ many labellings at once
+
+def scores_by(df: DataFrame, key: str, group: str, x: str = "x", cluster: str = "cluster",
+              block_rows: int = 2048) -> DataFrame:
+    """Silhouette and Davies-Bouldin for several labellings of the same rows
+    in one pass: ``df`` has (group, key, x, cluster); the block-pair job and
+    the centroid passes are grouped by ``group``. Returns (group, clusters,
+    noise, silhouette, davies_bouldin), NULL scores where not computable."""
+    spark = df.sparkSession
+    allrows = df.select(F.col(group).cast("int").alias("g"), F.col(key).cast("long").alias("id"),
+                        F.col(x).alias("x"), F.col(cluster).cast("int").alias("c"))
+    counts = {r["g"]: r for r in allrows.groupBy("g").agg(
+        F.count_distinct(F.when(F.col("c") != -1, F.col("c"))).alias("k"),
+        F.count(F.when(F.col("c") == -1, 1)).alias("noise"),
+        F.count(F.when(F.col("c") != -1, 1)).alias("n")).collect()}
+    ok = [g for g, r in counts.items() if r["n"] >= 2 and 2 <= r["k"] <= r["n"] - 1]
+    if sum(counts[g]["k"] for g in ok) > MAX_CLUSTERS:
+        raise ValueError("too many clusters across labellings")
+    sil, db = {}, {}
+    if ok:
+        valid = allrows.where(F.col("c") != -1).where(F.col("g").isin(ok))
+        valid = valid.persist()
+        nmax = max(counts[g]["n"] for g in ok)
+        nb = max(1, math.ceil(nmax / block_rows))
+        blk = valid.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+        left = blk.select(F.col("g").alias("g"), F.col("id").alias("id"), F.col("x").alias("x"),
+                          F.col("c").alias("c"), F.col("rb").alias("rb"),
+                          F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("pb"))
+        right = blk.select(F.col("g").alias("g"), F.col("id").alias("id"), F.col("x").alias("x"),
+                           F.col("c").alias("c"), F.col("rb").alias("pb"),
+                           F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
+
+        def pair_fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+            out = _block_sums(lpdf, rpdf)
+            out.insert(0, "g", np.int32(lpdf["g"].iloc[0]) if len(lpdf) else np.int32(0))
+            return out
+
+        sums = (left.groupBy("g", "rb", "pb").cogroup(right.groupBy("g", "rb", "pb"))
+                .applyInPandas(pair_fn, schema="g int, id long, pc int, s double")
+                .groupBy("g", "id", "pc").agg(F.sum("s").alias("s")))
+        sizes = _fresh(valid).groupBy("g", F.col("c").alias("pc")).agg(F.count(F.lit(1)).alias("pn"))
+        own = _fresh(valid.select("g", "id", "c"))
+        per = (sums.join(F.broadcast(sizes), ["g", "pc"]).join(own, ["g", "id"])
+               .select("g", "id", "c", "pc", "pn",
+                       F.when(F.col("pc") == F.col("c"), F.try_divide(F.col("s"), F.col("pn") - 1))
+                       .otherwise(F.col("s") / F.col("pn")).alias("mean_d")))
+        ab = per.groupBy("g", "id").agg(
+            F.max(F.when(F.col("pc") == F.col("c"), F.col("mean_d"))).alias("a"),
+            F.max(F.when(F.col("pc") == F.col("c"), F.col("pn"))).alias("own_n"),
+            F.min(F.when(F.col("pc") != F.col("c"), F.col("mean_d"))).alias("b"))
+        s = (F.when(F.col("own_n") <= 1, F.lit(0.0)).when(F.greatest("a", "b") == 0, F.lit(0.0))
+             .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
+        sil = {r["g"]: r["s"] for r in ab.groupBy("g").agg(F.avg(s).alias("s")).collect()}
+        # Davies-Bouldin: centroids and mean distance to them per (labelling, cluster)
+        from tessera.operators.pairs import vector_dim
+        dim = vector_dim(valid)
+        cents = valid.groupBy("g", "c").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dim)]).alias("cx"))
+        intra = (_fresh(valid).join(F.broadcast(cents), ["g", "c"])
+                 .groupBy("g", "c").agg(F.first("cx").alias("cx"),
+                                        F.avg(F.sqrt(sq_dist("x", "cx", dim))).alias("s")))
+        by_g: dict[int, list] = {}
+        for r in intra.collect():  # one row per (labelling, cluster): bounded by MAX_CLUSTERS
+            by_g.setdefault(r["g"], []).append(r)
+        for g, rows in by_g.items():
+            c = np.array([r["cx"] for r in rows], dtype=np.float64)
+            sv = np.array([r["s"] for r in rows], dtype=np.float64)
+            dist = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1), 0.0))
+            if np.allclose(sv, 0) or np.allclose(dist, 0):
+                db[g] = 0.0
+            else:
+                dist[dist == 0] = np.inf
+                ratio = (sv[:, None] + sv[None, :]) / dist
+                np.fill_diagonal(ratio, -np.inf)
+                db[g] = float(np.mean(ratio.max(axis=1)))
+        valid.unpersist()
+    rows = [(int(g), int(r["k"]), int(r["noise"]), sil.get(g), db.get(g)) for g, r in counts.items()]
+    return spark.createDataFrame(rows, "g int, clusters bigint, noise bigint, silhouette double, davies_bouldin double")
