@@ -96,7 +96,8 @@ def inertia(df: DataFrame, centres: list[list[float]], x: str = "x") -> DataFram
 
 
 def kmeans_fit(df: DataFrame, key: str, k: int = 3, init: str = "k-means++", max_iter: int = 300,
-               seed: int = 42, x: str = "x", n_init: int | None = None, tol: float = 1e-4) -> KMeansFit:
+               seed: int = 42, x: str = "x", n_init: int | None = None, tol: float = 1e-4,
+               canonical: bool = True) -> KMeansFit:
     """Spark ML KMeans. ``k-means++`` uses Spark's parallel k-means|| seeding
     (one run); ``random`` keeps the best of ``n_init`` (default 10) seeds."""
     from pyspark.ml.clustering import KMeans
@@ -114,6 +115,8 @@ def kmeans_fit(df: DataFrame, key: str, k: int = 3, init: str = "k-means++", max
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     iters = model.summary.numIter
     data.unpersist()
+    if not canonical:
+        return KMeansFit(centres, float(cost), int(iters))
     # canonical numbering: clusters ordered by their smallest key
     lab = assign(df.select(key, x), centres, x, "raw")
     order = [r["raw"] for r in lab.groupBy("raw").agg(F.min(key).alias("m")).orderBy("m").collect()]
@@ -132,7 +135,7 @@ def elbow(df: DataFrame, key: str, max_k: int = 10, x: str = "x", seed: int = 42
     data = df.select(key, x).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for k in range(2, max_k + 1):
-        fit = kmeans_fit(data, key, k, seed=seed, x=x)
+        fit = kmeans_fit(data, key, k, seed=seed, x=x, canonical=False)
         rows.append((k, fit.inertia))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")

@@ -956,13 +956,12 @@ def _search_counts_sql() -> str:
 @register("automl_dbscan_counts", _search_counts_sql())
 def q_automl_dbscan_counts(spark, sf):
     """The DBSCAN part of the search grid: clusters and noise per eps."""
+    from tessera.operators.dbscan import dbscan_multi
     from tessera.plans.search import DBSCAN_EPS, DBSCAN_MIN_SAMPLES
-    x = _uf_x(spark, sf).persist()
-    rows = []
-    for eps in DBSCAN_EPS:
-        c = quality.cluster_counts(dbscan(x, "user_id", eps, DBSCAN_MIN_SAMPLES)).collect()[0]
-        rows.append((float(eps), c["clusters"], c["noise"]))
-    return spark.createDataFrame(rows, "eps double, clusters bigint, noise bigint")
+    multi = dbscan_multi(_uf_x(spark, sf), "user_id", list(DBSCAN_EPS), DBSCAN_MIN_SAMPLES)
+    return multi.groupBy("eps").agg(
+        F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"),
+        F.count(F.when(F.col("cluster") == -1, 1)).alias("noise"))
 
 
 @register("automl_rank")
