@@ -276,3 +276,14 @@ def dropna_impact(df: DataFrame) -> DataFrame:
     return agg.select("rows", "rows_after", pct.alias("pct_kept"),
                       ((F.col("rows_after") < 50) | (pct < 30)).alias("warn"))
 
+
+
+# ------------------------------------------------------------ E7 x/y pairs
+
+def xy_pairs(df: DataFrame, key_cols: list[str], x: str, y: str, color: str | None = None) -> DataFrame:
+    """The points of an x/y scatter (all rows; sample downstream with the
+    deterministic sample when a display needs fewer)."""
+    cols = [*key_cols, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    if color:
+        cols.append(F.col(color).cast("string").alias("color"))
+    return df.select(*cols)

@@ -121,3 +121,18 @@ def cluster_descriptions(labelled: DataFrame, key_cols: list[str], cluster: str
     return prof.select(
         F.col(cluster), F.col("n"), (F.col("n") * 100.0 / total).alias("pct"),
         F.when(F.col(cluster) == -1, F.lit(NOISE_TEXT)).otherwise(desc).alias("description"))
+
+
+def cluster_map(x_df: DataFrame, labels: DataFrame, key_cols: list[str], dim: int,
+                hover: DataFrame | None = None) -> DataFrame:
+    """Points of the cluster map: centred 2-D PCA projection of ``x`` with the
+    label (and optional hover columns), joined by key."""
+    from tessera.operators.features import pca_project_2d
+    pts = pca_project_2d(x_df, key_cols, dim).join(labels.select(*key_cols, "cluster"), key_cols)
+    return pts.join(hover, key_cols, "left") if hover is not None else pts
+
+
+def comparison_series(ranked: DataFrame) -> DataFrame:
+    """Bar series of the search comparison: label = algorithm + config."""
+    return ranked.select("ordinal", F.concat_ws(" ", "algorithm", "config").alias("label"),
+                         "silhouette", "davies_bouldin", "clusters")

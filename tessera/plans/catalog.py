@@ -1048,3 +1048,28 @@ def q_stream_cluster_drift(spark, sf):
     """Events replayed as a stream, scored by a static KMeans, counted per day."""
     from tessera.streaming.assign import events_drift
     return events_drift(spark, sf)
+
+
+@register("xy_pairs", f"""
+WITH {SQL_EG}
+SELECT event_id, CAST(user_id AS DOUBLE) AS x, round(value, 6) AS y, event_type AS color FROM events_gaps""")
+def q_xy_pairs(spark, sf):
+    return r6(profile.xy_pairs(T.events_gaps(spark, sf), ["event_id"], "user_id", "value", "event_type"))
+
+
+@register("cluster_map")
+def q_cluster_map(spark, sf):
+    """Cluster map points: 2-D projection of the scaled customer features with
+    the DBSCAN labels and the customer name as hover text."""
+    enc = encode.preprocess(T.customer_features(spark, sf), ["c_custkey"], "StandardScaler", "Mean")
+    labels = dbscan(enc.frame, "c_custkey", EPS_CF_001, 5)
+    hover = T.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return r6(results.cluster_map(enc.frame, labels, ["c_custkey"], enc.dim, hover))
+
+
+@register("automl_comparison")
+def q_automl_comparison(spark, sf):
+    """The comparison series of the ranked search (shown when >= 3 results)."""
+    from tessera.plans.search import rank, evaluate, config_grid, deterministic_sample
+    x = deterministic_sample(_uf_x(spark, sf), "user_id")
+    return results.comparison_series(rank(evaluate(x, "user_id", config_grid(8))))
