@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import categorical_cols, collect_row, nan_to_null, numeric_cols
+from tessera.functions.quantiles import quantiles
 from tessera.operators.encode import MISSING
 
 IMPUTATIONS = ("Mean", "Median", "KNN", "Drop Rows")
@@ -44,14 +45,15 @@ def impute(df: DataFrame, strategy: str = "Mean", exclude: list[str] = ()) -> Da
     num = numeric_cols(df, exclude=exclude)
     if not num:
         return fill_categorical(df, exclude=list(exclude))
-    stat = (lambda x: F.percentile(x, 0.5)) if strategy == "Median" else F.avg
     row = collect_row(df, F.count(F.lit(1)).alias("n"),
-                      *[F.struct(stat(F.col(c).cast("double")).alias("v"), F.count(F.col(c)).alias("nn"))
+                      *[F.struct(F.avg(F.col(c).cast("double")).alias("v"), F.count(F.col(c)).alias("nn"))
                         .alias(f"c{i}") for i, c in enumerate(num)])
+    gaps = [c for i, c in enumerate(num) if row[f"c{i}"]["nn"] < row["n"]]
+    medians = quantiles(df, gaps, [0.5]) if strategy == "Median" else {}
     out = []
     for c in df.columns:
-        if c in num and row[f"c{num.index(c)}"]["nn"] < row["n"]:
-            fill = row[f"c{num.index(c)}"]["v"]
+        if c in gaps:
+            fill = ((medians[c] or [None])[0] if strategy == "Median" else row[f"c{num.index(c)}"]["v"])
             x = F.col(c).cast("double")
             out.append((F.coalesce(x, F.lit(fill)) if fill is not None else x).alias(c))
         else:
@@ -94,14 +96,13 @@ def iqr_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
     num = numeric_cols(df, exclude=exclude)
     if not num:
         return df
-    q = collect_row(df, *[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
-                          for i, c in enumerate(num)])
+    q = quantiles(df, num, [0.25, 0.75])
     keep = F.lit(True)
-    for i, c in enumerate(num):
-        if q[f"q{i}"] is None:
+    for c in num:
+        if q[c] is None:
             keep = F.lit(False)
             continue
-        q1, q3 = q[f"q{i}"]
+        q1, q3 = q[c]
         iqr = q3 - q1
         # plain range predicates: NULL fails them inside a filter, and they push down to parquet
         keep = keep & (F.col(c) >= F.lit(q1 - 1.5 * iqr)) & (F.col(c) <= F.lit(q3 + 1.5 * iqr))
@@ -114,12 +115,11 @@ def clip_percentiles(df: DataFrame, lo: float = 0.01, hi: float = 0.99, exclude:
     num = numeric_cols(df, exclude=exclude)
     if not num:
         return df
-    q = collect_row(df, *[F.percentile(F.col(c).cast("double"), F.array(F.lit(lo), F.lit(hi))).alias(f"q{i}")
-                          for i, c in enumerate(num)])
+    q = quantiles(df, num, [lo, hi])
     out = []
     for c in df.columns:
-        if c in num and q[f"q{num.index(c)}"] is not None:
-            a, b = q[f"q{num.index(c)}"]
+        if c in num and q[c] is not None:
+            a, b = q[c]
             x = F.col(c).cast("double")
             # bare greatest/least skip NULL and would invent a value
             out.append(F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(b)), F.lit(a))).alias(c))

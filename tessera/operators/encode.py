@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import (categorical_cols, collect_row, nan_to_null,
                                      numeric_cols)
+from tessera.functions.quantiles import quantiles
 
 SCALERS = ("StandardScaler", "MinMaxScaler", "RobustScaler")
 IMPUTERS = ("Mean", "Median", "KNN")
@@ -58,9 +59,8 @@ def fit_scaler(df: DataFrame, cols: list[str], kind: str = "StandardScaler") ->
         aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
         if kind == "StandardScaler":
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
-        elif kind == "RobustScaler":
-            aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"))
     row = collect_row(df, *aggs)
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75]) if kind == "RobustScaler" else {}
     center, scale = {}, {}
     for i, c in enumerate(cols):
         mn, mx = row[f"mn{i}"], row[f"mx{i}"]
@@ -74,7 +74,7 @@ def fit_scaler(df: DataFrame, cols: list[str], kind: str = "StandardScaler") ->
             center[c] = mn
             scale[c] = None if mn == mx else mx - mn
         else:
-            q25, q50, q75 = row[f"q{i}"]
+            q25, q50, q75 = qs[c]
             center[c] = q50
             iqr = q75 - q25
             scale[c] = 1.0 if iqr == 0 else iqr
@@ -114,10 +114,9 @@ def fit_imputer(df: DataFrame, cols: list[str], strategy: str = "Mean") -> Fitte
     if not cols:
         return FittedImputer(strategy, {})
     if strategy == "Median":
-        aggs = [F.percentile(F.col(c).cast("double"), 0.5).alias(f"v{i}") for i, c in enumerate(cols)]
-    else:
-        aggs = [F.avg(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
-    row = collect_row(df, *aggs)
+        med = quantiles(df, cols, [0.5])
+        return FittedImputer(strategy, {c: (med[c] or [None])[0] for c in cols})
+    row = collect_row(df, *[F.avg(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
     return FittedImputer(strategy, {c: row[f"v{i}"] for i, c in enumerate(cols)})
 
 

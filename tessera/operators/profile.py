@@ -4,7 +4,9 @@ column-removal suggestions derived from them.
 
 Every operator runs all of its columns in one aggregate and returns a small
 DataFrame in long form (one row per column or per column pair). Exact
-quantiles use ``percentile`` (the linear rule).
+quantiles use the linear rule (``tessera.functions.quantiles``: Spark's
+``percentile`` for columns with few distinct values, distributed order
+statistics otherwise).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, numeric_cols
+from tessera.functions.quantiles import quantiles
 
 def quartiles():
     return F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
@@ -59,12 +62,13 @@ def column_overview(df: DataFrame, order_by: str) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear), max per numeric column."""
     cols = cols or numeric_cols(df)
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75])
     agg = df.agg(*[F.struct(
         F.count(F.col(c)).alias("count"),
         F.avg(F.col(c).cast("double")).alias("mean"),
         F.stddev_samp(F.col(c).cast("double")).alias("std"),
         F.min(F.col(c).cast("double")).alias("min"),
-        F.percentile(F.col(c).cast("double"), quartiles()).alias("q"),
+        F.array(*[F.lit(v).cast("double") for v in (qs[c] or [None, None, None])]).alias("q"),
         F.max(F.col(c).cast("double")).alias("max")).alias(f"c{i}") for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}.count").alias("count"),
                         F.col(f"c{i}.mean").alias("mean"), F.col(f"c{i}.std").alias("std"),
@@ -116,11 +120,10 @@ def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (extreme values inside the fences)
     and outlier counts. Two passes: quartiles, then fences as literals."""
     cols = cols or numeric_cols(df)
-    q = collect_row(df, *[F.percentile(F.col(c).cast("double"), quartiles()).alias(f"q{i}")
-                          for i, c in enumerate(cols)])
+    q = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs, meta = [], []
-    for i, c in enumerate(cols):
-        qs = q[f"q{i}"]
+    for c in cols:
+        qs = q[c]
         if qs is None:
             continue
         q1, q2, q3 = qs
@@ -186,12 +189,11 @@ def high_corr_pairs(df: DataFrame, threshold: float = 0.8, cols: list[str] | Non
 def outlier_counts(df: DataFrame, col: str) -> DataFrame:
     """|z| > 3 (population std) and outside the 1.5 IQR fences, on non-missing values."""
     x = F.col(col).cast("double")
-    s = collect_row(df, F.avg(x).alias("m"), F.stddev_pop(x).alias("s"),
-                    F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    s = collect_row(df, F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
     if s["m"] is None:
         return df.sparkSession.createDataFrame([(col, 0, 0, 0)],
                                                "column string, z_outliers bigint, iqr_outliers bigint, n bigint")
-    q1, q3 = s["q"]
+    q1, q3 = quantiles(df, [col], [0.25, 0.75])[col]
     iqr = q3 - q1
     z = F.try_divide(x - F.lit(s["m"]), F.lit(s["s"]))
     return df.where(x.isNotNull()).agg(
