@@ -14,6 +14,9 @@ found by order statistics:
 3. per-partition counts (one number per partition) locate each needed rank;
 4. only the partitions that hold needed ranks are sorted locally and the
    values at those ranks are read.
+
+All high-cardinality columns of one call share one pass (unpivoted on a
+column id).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row
 
-SMALL_DISTINCT = 1_000_000   # distinct values up to which ``percentile`` is safe
+SMALL_DISTINCT = 2_000_000   # distinct values up to which the ``percentile`` buffer stays small (tens of MB)
 ROWS_PER_PARTITION = 2_000_000
 
 
@@ -47,38 +50,63 @@ def _interpolate(n: int, probs: list[float], at: dict[int, float]) -> list[float
     return out
 
 
-def order_statistic_quantiles(df: DataFrame, col: str, probs: list[float], n: int | None = None) -> list[float] | None:
-    """Exact linear quantiles of one column without a single-task buffer."""
+def order_statistic_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
+                                   counts: dict[str, int]) -> dict[str, list[float] | None]:
+    """Exact linear quantiles of several columns in one range-partitioned pass.
+
+    The columns are unpivoted to (column id, value) and range-partitioned on
+    (column id, value, row hash); each column then occupies a contiguous run
+    of partitions, and a rank is located from the per-(partition, column)
+    counts.
+    """
     from tessera.session import ensure_checkpoint_dir
     spark = df.sparkSession
-    v = F.col(col).cast("double")
-    vals = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"), F.xxhash64(*df.columns).alias("tb"))
-    if n is None:
-        n = vals.count()
-    if n == 0:
-        return None
-    parts = max(1, min(10_000, -(-n // ROWS_PER_PARTITION)))
+    live = [c for c in cols if counts.get(c)]
+    out: dict[str, list[float] | None] = {c: None for c in cols}
+    if not live:
+        return out
+    tb = F.xxhash64(*df.columns)
+    long = df.select(tb.alias("tb"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cid"), F.col(c).cast("double").alias("v")) for i, c in enumerate(live)])).alias("p"))
+    long = long.select("p.cid", "p.v", "tb").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    total = sum(counts[c] for c in live)
+    parts = max(1, min(10_000, -(-total // ROWS_PER_PARTITION)))
     ensure_checkpoint_dir(spark)
-    ranged = (vals.repartitionByRange(parts, "v", "tb").withColumn("_pid", F.spark_partition_id())
+    ranged = (long.repartitionByRange(parts, "cid", "v", "tb").withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    starts, acc = {}, 0
-    for pid, c in counts:
-        starts[pid] = (acc, c)
-        acc += c
-    want = {}
-    for r in _ranks(n, probs):
-        for pid, (s0, c) in starts.items():
-            if s0 <= r < s0 + c:
-                want.setdefault(pid, []).append(r - s0)
+    pc = sorted((r["cid"], r["_pid"], r["c"]) for r in
+                ranged.groupBy("cid", "_pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    starts: dict[tuple[int, int], tuple[int, int]] = {}
+    acc: dict[int, int] = {}
+    for cid, pid, c in pc:
+        starts[(cid, pid)] = (acc.get(cid, 0), c)
+        acc[cid] = acc.get(cid, 0) + c
+    want: dict[tuple[int, int], list[int]] = {}
+    for cid, c in enumerate(live):
+        for r in _ranks(counts[c], probs):
+            for (cc, pid), (s0, n) in starts.items():
+                if cc == cid and s0 <= r < s0 + n:
+                    want.setdefault((cid, pid), []).append(r - s0)
     sel = F.lit(False)
-    for pid, locals_ in want.items():
-        sel = sel | ((F.col("_pid") == pid) & F.col("lr").isin(locals_))
-    w = Window.partitionBy("_pid").orderBy("v", "tb")
-    picked = (ranged.where(F.col("_pid").isin(list(want)))
+    for (cid, pid), locals_ in want.items():
+        sel = sel | ((F.col("cid") == cid) & (F.col("_pid") == pid) & F.col("lr").isin(locals_))
+    w = Window.partitionBy("_pid", "cid").orderBy("v", "tb")
+    picked = (ranged.where(F.col("_pid").isin(sorted({p for _, p in want})))
               .withColumn("lr", F.row_number().over(w) - 1).where(sel).collect())
-    at = {starts[r["_pid"]][0] + r["lr"]: r["v"] for r in picked}
-    return _interpolate(n, probs, at)
+    at: dict[int, dict[int, float]] = {}
+    for r in picked:
+        at.setdefault(r["cid"], {})[starts[(r["cid"], r["_pid"])][0] + r["lr"]] = r["v"]
+    for cid, c in enumerate(live):
+        out[c] = _interpolate(counts[c], probs, at[cid])
+    return out
+
+
+def order_statistic_quantiles(df: DataFrame, col: str, probs: list[float], n: int | None = None) -> list[float] | None:
+    """Exact linear quantiles of one column without a single-task buffer."""
+    if n is None:
+        v = F.col(col).cast("double")
+        n = df.where(v.isNotNull() & ~F.isnan(v)).count()
+    return order_statistic_quantiles_multi(df, [col], probs, {col: n})[col]
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -88,8 +116,12 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     the others."""
     if not cols:
         return {}
+    def value(c):  # NaN is missing, like NULL
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
     stats = collect_row(df, F.count(F.lit(1)).alias("n"),
-                        *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+                        *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     if stats["n"] <= small_distinct:
         small, large = list(cols), []
     else:
@@ -100,10 +132,11 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     out: dict[str, list[float] | None] = {}
     if small:
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = collect_row(df, *[F.percentile(F.col(c).cast("double"), arr).alias(f"q{i}")
+        row = collect_row(df, *[F.percentile(value(c), arr).alias(f"q{i}")
                                 for i, c in enumerate(small)])
         for i, c in enumerate(small):
             out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else None
-    for c in large:
-        out[c] = order_statistic_quantiles(df, c, probs, stats[f"n{cols.index(c)}"])
+    if large:
+        out.update(order_statistic_quantiles_multi(df, large, probs,
+                                                   {c: stats[f"n{cols.index(c)}"] for c in large}))
     return out
