@@ -40,7 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir``; we only invent one (under /tmp) for local
     masters, where the driver and the executors share one disk.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: the server owns the setting
+        try:
+            return spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001
+            return ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -73,8 +79,11 @@ def ship_package(spark: SparkSession) -> None:
     import importlib.util
     import zipfile
 
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: ship as a session artifact instead
+        sc, app = None, f"connect-{id(spark)}"
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -86,6 +95,9 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     zf.write(full, os.path.join("tessera", os.path.relpath(full, root)))
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(app)
     assert importlib.util.find_spec("tessera") is not None
