@@ -140,3 +140,72 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         out.update(order_statistic_quantiles_multi(df, large, probs,
                                                    {c: stats[f"n{cols.index(c)}"] for c in large}))
     return out
+
+
+def grouped_quantiles(df: DataFrame, group: str, cols: list[str], probs: list[float],
+                      small_distinct: int = SMALL_DISTINCT) -> dict[tuple, list[float] | None]:
+    """Exact linear quantiles per (group value, column).
+
+    With few distinct values per column, one grouped ``percentile``
+    aggregate; otherwise one range-partitioned order-statistics pass over
+    (column id, group, value, row hash), so a group holding a third of the
+    rows is spread over many partitions. Keys of the result: (group, column).
+    """
+    if not cols:
+        return {}
+
+    def value(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
+    n = df.count()
+    if n <= small_distinct:
+        large = False
+    else:
+        approx = collect_row(df, *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)])
+        large = any(approx[f"d{i}"] * 1.2 > small_distinct for i in range(len(cols)))
+    if not large:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        rows = df.groupBy(group).agg(*[F.percentile(value(c), arr).alias(f"q{i}") for i, c in enumerate(cols)]).collect()
+        return {(r[group], c): (list(r[f"q{i}"]) if r[f"q{i}"] is not None else None)
+                for r in rows for i, c in enumerate(cols)}
+    from tessera.session import ensure_checkpoint_dir
+    tb = F.xxhash64(*df.columns)
+    long = (df.select(F.col(group).alias("g"), tb.alias("tb"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("cid"), value(c).alias("v")) for i, c in enumerate(cols)])).alias("p"))
+        .select("p.cid", "g", "p.v", "tb").where(F.col("v").isNotNull()))
+    parts = max(1, min(10_000, -(-n * len(cols) // ROWS_PER_PARTITION)))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (long.repartitionByRange(parts, "cid", "g", "v", "tb").withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    pc = sorted(((r["cid"], r["g"], r["_pid"], r["c"]) for r in
+                 ranged.groupBy("cid", "g", "_pid").agg(F.count(F.lit(1)).alias("c")).collect()),
+                key=lambda t: (t[0], str(t[1]), t[2]))
+    starts, acc = {}, {}
+    for cid, g, pid, c in pc:
+        starts[(cid, g, pid)] = (acc.get((cid, g), 0), c)
+        acc[(cid, g)] = acc.get((cid, g), 0) + c
+    want = {}
+    for (cid, g), total in acc.items():
+        for r in _ranks(total, probs):
+            for (c2, g2, pid), (s0, cnt) in starts.items():
+                if c2 == cid and g2 == g and s0 <= r < s0 + cnt:
+                    want.setdefault((cid, g, pid), []).append(r - s0)
+    sel = F.lit(False)
+    for (cid, g, pid), locs in want.items():
+        gcond = F.col("g").isNull() if g is None else (F.col("g") == F.lit(g))
+        sel = sel | ((F.col("cid") == cid) & gcond & (F.col("_pid") == pid) & F.col("lr").isin(locs))
+    w = Window.partitionBy("_pid", "cid", "g").orderBy("v", "tb")
+    picked = (ranged.where(F.col("_pid").isin(sorted({p for _, _, p in want})))
+              .withColumn("lr", F.row_number().over(w) - 1).where(sel).collect())
+    at = {}
+    for r in picked:
+        key = (r["cid"], r["g"])
+        at.setdefault(key, {})[starts[(r["cid"], r["g"], r["_pid"])][0] + r["lr"]] = r["v"]
+    out = {}
+    groups = {g for (_, g) in acc}
+    for g in groups:
+        for i, c in enumerate(cols):
+            total = acc.get((i, g), 0)
+            out[(g, c)] = _interpolate(total, probs, at[(i, g)]) if total else None
+    return out

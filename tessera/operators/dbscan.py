@@ -77,7 +77,9 @@ def _labels_from_pairs(pts: DataFrame, units: DataFrame, pairs: DataFrame, min_s
                         F.coalesce("cluster", "bcl", F.lit(-1)).cast("int").alias("cluster")))
     # back to every row: an equi-join on the feature vector (one unit row per
     # value, so a hot value is a skewed probe side that AQE splits)
-    labelled = pts.join(unit_lab, "x")
+    # labels feed many downstream aggregates: cut them from the lineage once
+    # (reliable checkpoint, one row per input row)
+    labelled = pts.join(unit_lab, "x").checkpoint(eager=True)
     labels = labelled.select(F.col("id").alias(key), "cluster")
     core_keys = labelled.join(core.withColumnRenamed("id", "uid"), "uid", "left_semi").select(F.col("id").alias(key))
     return DBSCANResult(labels, core_keys)

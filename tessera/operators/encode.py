@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +195,9 @@ def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler
     if num:
         present = collect_row(df, *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(num)])
         num = [c for i, c in enumerate(num) if present[f"n{i}"] > 0]
-    base = df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in num], *cat)
+    # every statistic pass below and the encoded frame read this table
+    base = (df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in num], *cat)
+            .persist(StorageLevel.MEMORY_AND_DISK))
     fitted_imp = None
     if num:
         if imputer == "KNN":

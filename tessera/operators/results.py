@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, numeric_cols
-from tessera.operators.profile import quartiles
 
 NOISE_TEXT = "Outlier points not assigned to any cluster by DBSCAN."
 
@@ -80,18 +79,24 @@ def pair_scatter(labelled: DataFrame, key_cols: list[str], cluster: str = "clust
 def cluster_describe(labelled: DataFrame, key_cols: list[str], cluster: str = "cluster",
                      features: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per (cluster, feature)."""
+    from tessera.functions.quantiles import grouped_quantiles
     feats = _features(labelled, key_cols, cluster, features)
+    qs = grouped_quantiles(labelled, cluster, feats, [0.25, 0.5, 0.75])
     agg = labelled.groupBy(cluster).agg(*[F.struct(
         F.count(F.col(c)).alias("count"),
         F.avg(F.col(c).cast("double")).alias("mean"),
         F.stddev_samp(F.col(c).cast("double")).alias("std"),
         F.min(F.col(c).cast("double")).alias("min"),
-        F.percentile(F.col(c).cast("double"), quartiles()).alias("q"),
         F.max(F.col(c).cast("double")).alias("max")).alias(f"c{i}") for i, c in enumerate(feats)])
+    # quartiles per (cluster, feature): one row per cluster, so a literal map is bounded
+    qmap = F.create_map(*[x for (g, c), q in qs.items() if q is not None
+                          for x in (F.lit(f"{g}|{c}"), F.array(*[F.lit(float(v)) for v in q]))])
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}.count").alias("count"),
                         F.col(f"c{i}.mean").alias("mean"), F.col(f"c{i}.std").alias("std"),
-                        F.col(f"c{i}.min").alias("min"), F.col(f"c{i}.q")[0].alias("q25"),
-                        F.col(f"c{i}.q")[1].alias("q50"), F.col(f"c{i}.q")[2].alias("q75"),
+                        F.col(f"c{i}.min").alias("min"),
+                        qmap[F.concat_ws("|", F.col(cluster).cast("string"), F.lit(c))][0].alias("q25"),
+                        qmap[F.concat_ws("|", F.col(cluster).cast("string"), F.lit(c))][1].alias("q50"),
+                        qmap[F.concat_ws("|", F.col(cluster).cast("string"), F.lit(c))][2].alias("q75"),
                         F.col(f"c{i}.max").alias("max")) for i, c in enumerate(feats)]
     return agg.select(cluster, F.explode(F.array(*structs)).alias("r")).select(cluster, "r.*")
 

@@ -13,5 +13,17 @@ def test_order_statistics_match_linear_rule(spark, monkeypatch):
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     monkeypatch.setattr(Q, "ROWS_PER_PARTITION", 300)  # many range partitions
     got = Q.quantiles(df, ["v"], probs, small_distinct=10)["v"]  # force the distributed path
-    assert np.array_equal(np.array(got), np.quantile(present, probs))
-    assert Q.quantiles(df, ["v"], probs)["v"] == got  # percentile path agrees
+    assert np.allclose(got, np.quantile(present, probs), rtol=1e-12, atol=1e-12)
+    assert np.allclose(Q.quantiles(df, ["v"], probs)["v"], got, rtol=1e-12, atol=1e-12)  # percentile path
+
+
+def test_grouped_order_statistics(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    g = rng.integers(-1, 3, size=2000)
+    v = rng.normal(size=2000)
+    v[g == 0] = np.round(v[g == 0], 1)  # many ties in one group
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "cluster int, a double")
+    monkeypatch.setattr(Q, "ROWS_PER_PARTITION", 150)
+    got = Q.grouped_quantiles(df, "cluster", ["a"], [0.25, 0.5, 0.75], small_distinct=10)
+    for c in (-1, 0, 1, 2):
+        assert np.allclose(got[(c, "a")], np.quantile(v[g == c], [0.25, 0.5, 0.75]), rtol=1e-12, atol=1e-12)
