@@ -560,7 +560,7 @@ def q_scale_robust(spark, sf):
 @register("one_hot", """
 WITH cats AS (SELECT DISTINCT coalesce(p_type, 'Missing') AS v FROM part)
 SELECT p.p_partkey, 'p_type_' || cats.v AS feature,
-       CASE WHEN coalesce(p.p_type, 'Missing') = cats.v THEN 1.0 ELSE 0.0 END AS value
+       CASE WHEN coalesce(p.p_type, 'Missing') = cats.v THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS value
 FROM part p CROSS JOIN cats""")
 def q_one_hot(spark, sf):
     p = T.table(spark, sf, "part").select("p_partkey", "p_type")
