@@ -42,10 +42,10 @@ class TrainResult:
 
 
 def train(df: DataFrame, key: str, algorithm: str, params: dict, scaler: str = "StandardScaler",
-          imputer: str = "Mean", min_columns: int = 1) -> TrainResult:
+          imputer: str = "Mean", min_columns: int = 2) -> TrainResult:
     feats = [c for c in df.columns if c != key]
     if len(feats) < min_columns:
-        raise ValueError("at least one feature column is needed to cluster")
+        raise ValueError(f"at least {min_columns} feature columns are needed to cluster")
     enc = encode.preprocess(df, [key], scaler, imputer)
     x = enc.frame.persist(StorageLevel.MEMORY_AND_DISK)
     labels = fit_labels(x, key, algorithm, params).persist(StorageLevel.MEMORY_AND_DISK)

@@ -33,3 +33,13 @@ def test_descriptions_with_negative_mean(spark):
     assert got[1] == "above-average v"
     assert got[0] == "below-average v"
     assert got[-1] == results.NOISE_TEXT
+
+
+def test_train_validation(spark):
+    import pytest
+    from tessera.plans.train import fit_labels, train
+    one = spark.createDataFrame([(i, float(i)) for i in range(20)], "k long, a double")
+    with pytest.raises(ValueError):
+        train(one, "k", "KMeans", {"n_clusters": 2})
+    with pytest.raises(ValueError):
+        fit_labels(one, "k", "Spectral", {})
