@@ -176,6 +176,7 @@ class Encoded:
     scaler: FittedScaler
     imputer: FittedImputer | None
     categories: dict[str, list[str]] = field(default_factory=dict)
+    source: DataFrame | None = None  # the persisted input (keys + raw features), before imputation
 
     @property
     def dim(self) -> int:
@@ -198,6 +199,7 @@ def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler
     # every statistic pass below and the encoded frame read this table
     base = (df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in num], *cat)
             .persist(StorageLevel.MEMORY_AND_DISK))
+    source = base
     fitted_imp = None
     if num:
         if imputer == "KNN":
@@ -214,7 +216,7 @@ def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler
     if not parts:
         parts, names = [F.lit(0.0)], ["zero"]
     frame = base.select(*key_cols, F.array(*[p.cast("double") for p in parts]).alias("x"))
-    return Encoded(frame, names, num, fitted_sc, fitted_imp, cats)
+    return Encoded(frame, names, num, fitted_sc, fitted_imp, cats, source)
 
 
 def assemble(df: DataFrame, key_cols: list[str], cols: list[str]) -> DataFrame:

@@ -154,7 +154,7 @@ def _uf_labelled(spark: SparkSession, sf: str) -> DataFrame:
     uf = T.user_features(spark, sf)
     enc = encode.preprocess(uf, ["user_id"], "StandardScaler", "Mean")
     lab = dbscan(enc.frame, "user_id", EPS_UF, 5)
-    return results.label_join(uf, lab, ["user_id"])
+    return results.label_join(enc.source.select(*uf.columns), lab, ["user_id"])
 
 
 SQL_UF_LAB = ",\n".join([SQL_UF, sql_zscore("user_features", "user_id", UF_COLS, "uz"),

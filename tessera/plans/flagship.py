@@ -22,7 +22,8 @@ def customer_segments(spark: SparkSession, sf_dir: str, eps: float = 0.6, min_sa
     cf = T.customer_features(spark, sf_dir)
     enc = encode.preprocess(cf, ["c_custkey"], "StandardScaler", "Mean")
     labels = dbscan(enc.frame, "c_custkey", eps, min_samples)
-    labelled = results.label_join(cf, labels, ["c_custkey"])
+    # the persisted raw features: the orders aggregation is not recomputed
+    labelled = results.label_join(enc.source.select("c_custkey", *FEATURES), labels, ["c_custkey"])
     return (labelled.groupBy("cluster")
             .agg(F.count(F.lit(1)).alias("size"),
                  *[F.avg(c).alias(f"mean_{c}") for c in FEATURES])
