@@ -3,8 +3,11 @@
 The eps-join hashes points into a 2-D grid of side ``eps`` on the two
 highest-variance coordinates. Two points within ``eps`` differ by less than
 ``eps`` on every coordinate, so they fall in the same or an adjacent cell:
-joining each cell with its 3x3 neighbourhood and then testing the exact
-distance loses nothing, in any dimension.
+joining each cell with its neighbourhood and then testing the exact
+distance loses nothing, in any dimension. Only half of the 3x3
+neighbourhood is joined (the own cell and four "forward" cells), which
+finds every unordered pair exactly once and replicates each point 5 times
+instead of 9.
 
 Skew: a crowded cell would put all its points into one join task. Cells
 are counted first (one aggregate, kept as a DataFrame) and every cell gets
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, sq_dist
 
-_OFFSETS_2D = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-_OFFSETS_1D = [(dx, 0) for dx in (-1, 0, 1)]
+# Half neighbourhoods: the own cell plus one of each pair of opposite
+# neighbours, so every pair of adjacent cells is joined in one direction only.
+_HALF_2D = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
+_HALF_1D = [(0, 0), (1, 0)]
 
 
 def vector_dim(df: DataFrame, x: str = "x") -> int:
@@ -61,20 +66,25 @@ def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
     probe = (base.join(cells, ["cx", "cy"])
              .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
              .select("id", "x", "cx", "cy", "salt"))
-    offsets = _OFFSETS_2D if a1 is not None else _OFFSETS_1D
+    offsets = _HALF_2D if a1 is not None else _HALF_1D
+    # a point of cell Q meets the probe cells Q - o, o in the half
+    # neighbourhood: each pair of adjacent cells is joined once, and a pair
+    # inside one cell is kept in id order
     shifted = base.select(
         F.col("id").alias("id2"), F.col("x").alias("x2"),
-        F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
+        F.explode(F.array(*[F.struct((F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"),
+                                     F.lit(dx == 0 and dy == 0).alias("same"))
                             for dx, dy in offsets])).alias("c"))
-    build = (shifted.select("id2", "x2", "c.cx", "c.cy")
+    build = (shifted.select("id2", "x2", "c.cx", "c.cy", "c.same")
              .join(cells, ["cx", "cy"])  # only cells that exist
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
              .drop("salts"))
     out = (probe.join(build, ["cx", "cy", "salt"])
-           .where(F.col("id") < F.col("id2"))
+           .where(~F.col("same") | (F.col("id") < F.col("id2")))
            .withColumn("d2", sq_dist("x", "x2", dim))
            .where(F.col("d2") <= F.lit(float(eps) * float(eps))))
-    cols = [F.col("id").alias("i"), F.col("id2").alias("j")] + ([F.col("d2")] if with_d2 else [])
+    cols = [F.least("id", "id2").alias("i"), F.greatest("id", "id2").alias("j")]
+    cols += [F.col("d2")] if with_d2 else []
     return out.select(*cols)
 
 
