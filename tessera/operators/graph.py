@@ -1,6 +1,6 @@
 """Graph helpers on DataFrames: connected components and global ranking.
 
-Connected components use distributed union-find by contraction (see
+Connected components contract the graph level by level (see
 :func:`connected_components`).
 """
 
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ LAST_ROUNDS = 0  # rounds used by the latest connected_components call (diagnost
 
 def _local_union_find(batches):
     """Components of the edges held by one task (vectorised min-label
-    propagation with pointer jumping); yields (v, r) with r the smallest
+    propagation with pointer jumping); yields (v, p) with p the smallest
     vertex of v's local component."""
     srcs, dsts = [], []
     for b in batches:
@@ -49,59 +48,69 @@ def _local_union_find(batches):
             lab = nxt
         if np.array_equal(lab, old):
             break
-    yield pd.DataFrame({"v": verts, "r": verts[lab]})
+    yield pd.DataFrame({"v": verts, "p": verts[lab]})
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
-                         max_edges_per_task: int = 2_000_000, max_levels: int = 64) -> DataFrame:
+                         max_edges_per_task: int = 1_000_000, max_levels: int = 64) -> DataFrame:
     """Label every vertex with the smallest vertex id of its component.
 
     ``vertices`` has column ``vid``; ``edges`` has ``src``/``dst`` (either
-    direction suffices). Returns ``(vid, root)``.
-
-    Distributed union-find by contraction: the edge set is hash-partitioned
-    into tasks of at most ``max_edges_per_task`` edges; each task resolves
-    the components of its own edges in numpy; a vertex that got different
-    local roots in different tasks links those roots, and only these links
-    form the next level's edge set. Every level's local result is reliably
-    checkpointed (the recovery point after a lost executor, and a cut of the
-    plan). Labels are the composition of the per-level maps.
+    direction suffices; loops and repeated edges are harmless). Returns
+    ``(vid, root)``.
+
+    Random-priority contraction: at every level each vertex hooks onto the
+    member of its closed neighbourhood with the smallest salted hash, edges
+    are rewritten to the hooks, and loops and repeats drop out. A path loses
+    about half of its vertices a level and a star collapses at once, so the
+    number of levels is logarithmic whatever the shape or the numbering of
+    the graph. The hook is a min-aggregate (combined before the shuffle), the
+    rewriting two joins. When at most ``max_edges_per_task`` edges are left,
+    one task of that bounded size solves the rest in numpy. Every level's
+    edges are reliably checkpointed, which cuts the plan and is the recovery
+    point after a lost executor.
     """
     spark = vertices.sparkSession
     ensure_checkpoint_dir(spark)
-    cur = (edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
-           .where(F.col("src") != F.col("dst")))
-    maps = []
     global LAST_ROUNDS
-    prev = None
+    src, dst = F.col("src").cast("long"), F.col("dst").cast("long")
+    cur = (edges.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"))
+           .where("src <> dst").distinct().checkpoint(eager=True))
+    first, maps = cur, []
     for level in range(1, max_levels + 1):
         LAST_ROUNDS = level
-        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-        n_edges = cur.count()
-        if prev is not None:
-            prev.unpersist()
-        prev = cur
-        if n_edges == 0:
+        if cur.count() <= max_edges_per_task:
             break
-        tasks = max(1, -(-n_edges // max_edges_per_task))
-        computed = (cur.repartition(tasks, F.xxhash64("src", F.lit(level)))
-                    .mapInPandas(_local_union_find, "v long, r long")
-                    .persist(StorageLevel.MEMORY_AND_DISK))
-        # reliable checkpoint of the level's result: it cuts the plan (the next
-        # level is derived from it) and is the recovery point after a lost executor
-        local = computed.checkpoint(eager=True)
-        computed.unpersist()
-        roots = local.groupBy("v").agg(F.min("r").alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
-        maps.append(roots)
-        cur = (local.join(roots, "v").where(F.col("r") != F.col("m"))
-               .select(F.col("r").alias("src"), F.col("m").alias("dst")).distinct())
+        order = F.xxhash64(F.col("nb"), F.lit(level))
+        hook = (cur.select(F.col("src").alias("v"), F.col("dst").alias("nb"))
+                .union(cur.select("dst", "src"))
+                .groupBy("v").agg(F.min(F.struct(order.alias("o"), "nb")).alias("m"))
+                .select("v", F.when(F.struct(F.xxhash64("v", F.lit(level)).alias("o"), F.col("v").alias("nb")) < F.col("m"),
+                                    F.col("v")).otherwise(F.col("m.nb")).alias("p"))
+                .checkpoint(eager=True))
+        maps.append(hook)
+        a = hook.select(F.col("v").alias("src"), F.col("p").alias("a"))
+        b = hook.select(F.col("v").alias("dst"), F.col("p").alias("b"))
+        cur = (cur.join(a, "src").join(b, "dst")
+               .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+               .where("src <> dst").distinct().checkpoint(eager=True))
     else:
         raise NotConverged(f"connected components did not converge in {max_levels} levels")
-    labels = vertices.select(F.col(vid).cast("long").alias("v"), F.col(vid).cast("long").alias("lab"))
+    maps.append(cur.repartition(1).mapInPandas(_local_union_find, "v long, p long"))
+    ends = first.select(F.col("src").alias("v")).union(first.select("dst")).distinct()
+    labels = ends.select("v", F.col("v").alias("lab"))
     for m in maps:
-        labels = (labels.join(m.select(F.col("v").alias("mv"), F.col("m")), F.col("lab") == F.col("mv"), "left")
-                  .select("v", F.coalesce("m", "lab").alias("lab")))
-    return labels.select(F.col("v").alias(vid), F.col("lab").alias("root"))
+        labels = (labels.join(m.select(F.col("v").alias("mv"), "p"), F.col("lab") == F.col("mv"), "left")
+                  .select("v", F.coalesce("p", "lab").alias("lab")))
+    if len(maps) > 1:  # with one level the local result is the smallest id already
+        labels = labels.checkpoint(eager=True)
+        smallest = labels.groupBy("lab").agg(F.min("v").alias("root"))
+        labels = labels.join(smallest, "lab").select("v", "root")
+    else:
+        labels = labels.select("v", F.col("lab").alias("root"))
+    return (vertices.select(F.col(vid).cast("long").alias(vid))
+            .join(labels, F.col(vid) == F.col("v"), "left")
+            .select(vid, F.coalesce("root", F.col(vid)).alias("root")))
 
 
 def dense_index(df: DataFrame, col: str, out: str = "idx", partitions: int | None = None) -> DataFrame:

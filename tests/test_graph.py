@@ -33,6 +33,16 @@ def test_components_across_many_tasks(spark):
         assert [got[i] for i in range(n)] == want
 
 
+def test_long_path_converges_in_logarithmic_levels(spark):
+    from tessera.operators import graph
+    n = 5_000
+    e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(spark.range(n), e, max_edges_per_task=50).agg(
+        F.count("id").alias("n"), F.max("root").alias("m")).collect()[0]
+    assert (got["n"], got["m"]) == (n, 0)
+    assert graph.LAST_ROUNDS < 20
+
+
 def test_dense_index_is_global_rank(spark):
     df = spark.createDataFrame([(int(x),) for x in (50, 3, 3, 900, 7, 50, 1)], "r long")
     got = {r["r"]: r["idx"] for r in dense_index(df, "r", partitions=3).collect()}
