@@ -234,7 +234,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     fields = "id long, row long, n_bytes long, k long, chunks long, head string, n long, tail string"
 
-    def compose(_key, group: pd.DataFrame) -> pd.DataFrame:
+    def compose(_key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         t = transducer(spec.value)
         group = group.sort_values("k")
         total = None
