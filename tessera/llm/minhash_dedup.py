@@ -39,11 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.llm.common import materialize, semi_by_id, slices, table, utf8
+from tessera.llm.common import materialize, semi_by_id, slices, sorted_groups, table, utf8
 from tessera.operators.graph import connected_components
 
 K = 64
 SHORT_LIST = 16
+BLOCK = 1024
+#: Values of the larger sketches that compare long lists; sets of fewer shingles are there in full.
+WIDE = 256
 FEATURES = "id long, n_shingles long, f1 long, f2 long, sketch array<long>"
 
 
@@ -118,9 +121,65 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, es
             .select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
 
 
+def _rest(placed: DataFrame, open_lists: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a long list and may
+    be links, by comparing blocks of the list's members inside the tasks."""
+    wide = sets.select("id", F.transform(F.slice("shingles", 1, WIDE), lambda x: F.shiftright(x, 32).cast("int")).alias("wide"))
+    sizes = placed.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    members = (placed.join(open_lists.select("value"), "value", "left_semi").join(sizes, "value")
+               .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+               .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+               .select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
+               .join(wide, "id"))
+    return (members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+            .mapInArrow(_compare_blocks(percent / 100), "a long, b long").distinct())
+
+
+def _compare_blocks(least: float):
+    def run(batches):
+        for g in sorted_groups(batches, ["value", "i", "j"]):
+            ids, roots, side = (g.column(c).to_numpy() for c in ("id", "root", "mine"))
+            if roots.min() == roots.max():
+                continue
+            i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+            col = g.column("wide").combine_chunks()
+            off = col.offsets.to_numpy().astype(np.int64)
+            flat = col.values.to_numpy()[off[0]: off[-1]]
+            off -= off[0]
+            size = np.diff(off)
+            top = np.where(size < WIDE, np.iinfo(np.int32).max, flat[np.maximum(off[1:] - 1, 0)])
+            _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+            shared = times[code] > 1  # values of one member only are in no intersection
+            row = np.repeat(np.arange(len(ids)), size)[shared]
+            _, code = np.unique(code[shared], return_inverse=True)
+            x, y = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            common = np.zeros((len(x), len(y)), np.float32)
+            for lo in range(0, int(code.max(initial=-1)) + 1, 2048):
+                here = (code >= lo) & (code < lo + 2048)
+                m = np.zeros((len(ids), 2048), np.float32)
+                m[row[here], code[here] - lo] = 1
+                common += m[x] @ m[y].T
+            # elements of each member up to each other member's last value: there both sets are known in full
+            below = np.stack([np.searchsorted(flat[off[r]: off[r + 1]], top, side="right") for r in range(len(ids))])
+            union = below[np.ix_(x, y)] + below[np.ix_(y, x)].T - common
+            whole = (size[x][:, None] < WIDE) & (size[y][None, :] < WIDE)
+            bound = np.where(whole, least - 0.001, least - 4.5 * np.sqrt(least * (1 - least) / np.maximum(union, 1)))
+            a, b = np.nonzero((common >= bound * union) & (common > 0) & (roots[x][:, None] != roots[y][None, :]))
+            sure = whole[a, b] & (common[a, b] >= (least + 0.001) * union[a, b])
+            a, b = x[a], y[b]
+            lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            rl, rh = np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b])
+            _, one = np.unique(np.stack([rl[sure], rh[sure]], axis=1), axis=0, return_index=True)
+            keep = np.concatenate([np.flatnonzero(sure)[one], np.flatnonzero(~sure)])
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep])], ["a", "b"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     k: int = K, percent: int = 85, share: float = 0.6, estimate: float | None = None,
-                    short_list: int = SHORT_LIST, pivot_rounds: int = 3) -> DataFrame:
+                    short_list: int = SHORT_LIST, pivot_rounds: int = 2, block: int = BLOCK) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Two documents are linked when 100 * intersection >= percent * union of
@@ -179,13 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 pairs = (placed.join(open_lists, "value").where("root <> pivot_root")
                          .select(F.col("id").alias("a"), F.col("pivot").alias("b")))
             else:
-                crowds = placed.join(open_lists.select("value"), "value", "left_semi").groupBy("value", "root").agg(
-                    F.count(F.lit(1)).alias("c"))
-                top = crowds.groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("crowd"))
-                outside = placed.join(top, "value").where("root <> crowd").select(
-                    "value", F.col("id").alias("a"), F.col("root").alias("ra"))
-                pairs = (outside.join(placed.select("value", F.col("id").alias("b"), "root"), "value")
-                         .where("ra <> root").select("a", "b"))
+                pairs = _rest(placed, open_lists, sets, percent, block)
             links = materialize(links.union(verify(pairs)).distinct(), "links")
 
     # 4. components of the representatives, then of every document
