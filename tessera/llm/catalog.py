@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import embedding_dedup, minhash_dedup, quality_classifier, secret_scan, token_counts, warc
+from tessera.llm import (
+    decontamination,
+    embedding_dedup,
+    minhash_dedup,
+    quality_classifier,
+    secret_scan,
+    sentencepiece_codec,
+    token_counts,
+    warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_warc": warc.op3_warc,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
