@@ -55,9 +55,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
                          max_edges_per_task: int = 1_000_000, max_levels: int = 64) -> DataFrame:
     """Label every vertex with the smallest vertex id of its component.
 
-    ``vertices`` has column ``vid``; ``edges`` has ``src``/``dst`` (either
-    direction suffices; loops and repeated edges are harmless). Returns
-    ``(vid, root)``.
+    ``vertices`` has column ``vid``; ``edges`` has ``src``/``dst`` (see
+    :func:`component_labels`). Returns ``(vid, root)``.
+    """
+    labels = component_labels(edges, max_edges_per_task, max_levels)
+    return (vertices.select(F.col(vid).cast("long").alias(vid))
+            .join(labels, F.col(vid) == F.col("v"), "left")
+            .select(vid, F.coalesce("root", F.col(vid)).alias("root")))
+
+
+def component_labels(edges: DataFrame, max_edges_per_task: int = 1_000_000, max_levels: int = 64) -> DataFrame:
+    """``(v, root)`` for every vertex that has an edge: the smallest vertex
+    id of its component. ``edges`` has ``src``/``dst``; either direction
+    suffices, loops and repeated edges are harmless.
 
     Random-priority contraction: at every level each vertex hooks onto the
     member of its closed neighbourhood with the smallest salted hash, edges
@@ -70,12 +80,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     edges are reliably checkpointed, which cuts the plan and is the recovery
     point after a lost executor.
     """
-    spark = vertices.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(edges.sparkSession)
     global LAST_ROUNDS
     src, dst = F.col("src").cast("long"), F.col("dst").cast("long")
     cur = (edges.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"))
-           .where("src <> dst").distinct().checkpoint(eager=True))
+           .where("src <> dst").checkpoint(eager=True))
     first, maps = cur, []
     for level in range(1, max_levels + 1):
         LAST_ROUNDS = level
@@ -96,21 +105,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
                .where("src <> dst").distinct().checkpoint(eager=True))
     else:
         raise NotConverged(f"connected components did not converge in {max_levels} levels")
-    maps.append(cur.repartition(1).mapInPandas(_local_union_find, "v long, p long"))
-    ends = first.select(F.col("src").alias("v")).union(first.select("dst")).distinct()
-    labels = ends.select("v", F.col("v").alias("lab"))
-    for m in maps:
+    rest = cur.repartition(1).mapInPandas(_local_union_find, "v long, p long")
+    if not maps:  # one task has seen all edges: its result is the smallest id already
+        return rest.select("v", F.col("p").alias("root"))
+    labels = first.select(F.col("src").alias("v")).union(first.select("dst")).distinct().select("v", F.col("v").alias("lab"))
+    for m in [*maps, rest]:
         labels = (labels.join(m.select(F.col("v").alias("mv"), "p"), F.col("lab") == F.col("mv"), "left")
                   .select("v", F.coalesce("p", "lab").alias("lab")))
-    if len(maps) > 1:  # with one level the local result is the smallest id already
-        labels = labels.checkpoint(eager=True)
-        smallest = labels.groupBy("lab").agg(F.min("v").alias("root"))
-        labels = labels.join(smallest, "lab").select("v", "root")
-    else:
-        labels = labels.select("v", F.col("lab").alias("root"))
-    return (vertices.select(F.col(vid).cast("long").alias(vid))
-            .join(labels, F.col(vid) == F.col("v"), "left")
-            .select(vid, F.coalesce("root", F.col(vid)).alias("root")))
+    labels = labels.checkpoint(eager=True)
+    smallest = labels.groupBy("lab").agg(F.min("v").alias("root"))
+    return labels.join(smallest, "lab").select("v", "root")
 
 
 def dense_index(df: DataFrame, col: str, out: str = "idx", partitions: int | None = None) -> DataFrame:
