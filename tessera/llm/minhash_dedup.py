@@ -13,13 +13,13 @@ sketch values are the keys of inverted lists.
    documents sharing ``share`` of their sketches must meet (prefix
    filtering). A passage copied into a third of the corpus makes its
    values frequent, hence last, and they link only documents made of it.
-3. Short lists are paired. In long lists, groups of thousands of near
-   copies, every document is compared with one pivot per list, links merge
+3. Short lists are paired; in long lists, groups of thousands of near
+   copies, every document is compared with the list's pivot. Links merge
    documents into components, and lists that still span several components
-   get another pivot; after ``pivot_rounds`` what is left (documents outside
-   the list's largest component, each against the list's other components)
-   is compared in full. Pairs inside one component decide nothing and are
-   never formed, so a large group costs rounds x its size and no link
+   are compared in full inside the tasks, as pairs of blocks of ``block``
+   documents, by larger sketches; only pairs of different components that
+   may be links leave the task, of certain links a spanning forest. Pairs
+   inside one component decide nothing and are never formed, and no link
    between components is lost.
 4. Each candidate pair is filtered by the union sketch: of the k smallest
    values of both sketches, the share in both estimates Jaccard; below
@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words
 from tessera.llm.common import materialize, semi_by_id, slices, sorted_groups, table, utf8
-from tessera.operators.graph import connected_components
+from tessera.operators.graph import component_labels
 
 K = 64
 SHORT_LIST = 16
 BLOCK = 1024
 #: Values of the larger sketches that compare long lists; sets of fewer shingles are there in full.
-WIDE = 256
+WIDE = 512
 FEATURES = "id long, n_shingles long, f1 long, f2 long, sketch array<long>"
 
 
@@ -103,37 +103,67 @@ def _full_sets(n: int):
     return run
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, estimate: float,
-              percent: int) -> DataFrame:
-    """Links (src, dst) among distinct candidate pairs (a, b)."""
-    sa = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    sb = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+def _verified(pairs: DataFrame, sets: DataFrame, k: int, estimate: float, percent: int) -> DataFrame:
+    """Links (src, dst) among candidate pairs (a, b): filtered by the union
+    sketch, then verified on the full sets."""
+    sketch = F.slice("shingles", 1, k)  # the sets are sorted by the hash
+    sa = sets.select(F.col("id").alias("a"), sketch.alias("sa"))
+    sb = sets.select(F.col("id").alias("b"), sketch.alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "union"))
-    near = (pairs.join(sa, "a").join(sb, "b").withColumn("union", union)
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    near = (ordered.join(sa, "a").join(sb, "b").withColumn("union", union)
             .where(both >= F.lit(estimate) * F.size("union")).select("a", "b"))
     xa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
     xb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
     common = F.size(F.array_intersect("xa", "xb"))
-    return (near.join(xa, "a").join(xb, "b").withColumn("common", common)
+    return (near.join(xb, "b").join(xa, "a").withColumn("common", common)
             .where(F.lit(100) * F.col("common")
                    >= F.lit(percent) * (F.size("xa") + F.size("xb") - F.col("common")))
-            .select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+            .select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _rest(placed: DataFrame, open_lists: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _rest(long: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in a long list and may
     be links, by comparing blocks of the list's members inside the tasks."""
+    placed = (long.join(labels, F.col("id") == F.col("v"), "left")
+              .select("value", "id", F.coalesce("root", "id").alias("root")))
+    placed = materialize(placed, "placed")
+    open_lists = (placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+                  .where("lo <> hi").select("value", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
     wide = sets.select("id", F.transform(F.slice("shingles", 1, WIDE), lambda x: F.shiftright(x, 32).cast("int")).alias("wide"))
-    sizes = placed.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    members = (placed.join(open_lists.select("value"), "value", "left_semi").join(sizes, "value")
-               .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    members = (placed.join(open_lists, "value").join(wide, "id")
                .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
-               .join(wide, "id"))
+               .select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "wide"))
     return (members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-            .mapInArrow(_compare_blocks(percent / 100), "a long, b long").distinct())
+            .mapInArrow(_compare_blocks(percent / 100), "a long, b long"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of edges (a, b) that connect all that the edges connect, at
+    most a few per vertex: every component takes one edge to another, then
+    components merge, until no edge crosses."""
+    _, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a):]
+    label = np.arange(code.max(initial=-1) + 1)
+    chosen = []
+    open_ = np.flatnonzero(label[x] != label[y])
+    while len(open_):
+        lx, ly = label[x[open_]], label[y[open_]]
+        _, first = np.unique(np.concatenate([lx, ly]), return_index=True)
+        pick = np.unique(open_[first % len(open_)])
+        chosen.append(pick)
+        while True:
+            low = np.minimum(label[x[pick]], label[y[pick]])
+            before = label.copy()
+            np.minimum.at(label, label[x[pick]], low)
+            np.minimum.at(label, label[y[pick]], low)
+            label = label[label]
+            if np.array_equal(before, label):
+                break
+        open_ = open_[label[x[open_]] != label[y[open_]]]
+    return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
 
 
 def _compare_blocks(least: float):
@@ -166,12 +196,12 @@ def _compare_blocks(least: float):
             whole = (size[x][:, None] < WIDE) & (size[y][None, :] < WIDE)
             bound = np.where(whole, least - 0.001, least - 4.5 * np.sqrt(least * (1 - least) / np.maximum(union, 1)))
             a, b = np.nonzero((common >= bound * union) & (common > 0) & (roots[x][:, None] != roots[y][None, :]))
-            sure = whole[a, b] & (common[a, b] >= (least + 0.001) * union[a, b])
+            spread = np.sqrt(least * (1 - least) / np.maximum(union[a, b], 1))
+            sure = common[a, b] >= np.where(whole[a, b], least + 0.001, least + 5 * spread) * union[a, b]
             a, b = x[a], y[b]
             lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-            rl, rh = np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b])
-            _, one = np.unique(np.stack([rl[sure], rh[sure]], axis=1), axis=0, return_index=True)
-            keep = np.concatenate([np.flatnonzero(sure)[one], np.flatnonzero(~sure)])
+            certain = np.flatnonzero(sure)
+            keep = np.concatenate([certain[_forest(roots[a[certain]], roots[b[certain]])], np.flatnonzero(~sure)])
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep])], ["a", "b"])
     return run
@@ -179,7 +209,7 @@ def _compare_blocks(least: float):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     k: int = K, percent: int = 85, share: float = 0.6, estimate: float | None = None,
-                    short_list: int = SHORT_LIST, pivot_rounds: int = 2, block: int = BLOCK) -> DataFrame:
+                    short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Two documents are linked when 100 * intersection >= percent * union of
@@ -190,78 +220,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     feats = materialize(src.mapInArrow(_features(shingle, k), FEATURES), "sketches")
 
-    # 1. classes of equal sets; the smallest id represents its class
-    classes = (feats.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "f1", "f2")
-               .agg(F.min("id").alias("rep"), F.max("id").alias("other")))
-    classes = materialize(classes, "classes")
-    reps = feats.where("n_shingles > 0").join(
-        classes.select("n_shingles", "f1", "f2", F.col("rep").alias("id")), ["n_shingles", "f1", "f2", "id"], "left_semi")
-    # repeated rows only lengthen the sorted values below, which takes more of them, never fewer
-    posts = materialize(reps.select("id", F.explode("sketch").alias("value"), F.size("sketch").alias("s")), "posts")
-
-    # 2. rarest values of every document
+    # classes of equal sets; the smallest id represents its class
+    classes = materialize(
+        feats.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "f1", "f2")
+        .agg(F.min("id").alias("rep"), F.max("id").alias("other"), F.first("sketch").alias("sketch")), "classes")
+    # inverted lists: a document enters those of its rarest retained values. An id that stands for several
+    # sets sorts their values together and takes more of them, never fewer.
+    posts = classes.select(F.col("rep").alias("id"), F.explode("sketch").alias("value"), F.size("sketch").alias("s"))
     freq = posts.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     tau = F.ceil(F.lit(share) * F.col("s"))
     shared = (posts.join(freq, "value").groupBy("id", "s")
               .agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("vs")))
-    take = F.greatest(F.lit(0), (F.col("s") - tau + 1 - (F.col("s") - F.size("vs"))).cast("int"))
-    entries = (shared.select("id", F.explode(F.slice("vs", F.lit(1), take)).alias("e"))
-               .select("id", F.col("e.value").alias("value")).distinct())
-    entries = materialize(entries, "entries")
-    sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    take = F.greatest(F.lit(0), (F.size("vs") - tau + 1).cast("int"))
+    entries = materialize(shared.select("id", F.explode(F.array_distinct(F.slice("vs", F.lit(1), take))).alias("e"))
+                          .select("id", F.col("e.value").alias("value")), "entries")
+    sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id")).alias("pivot")).where("n > 1")
     lists = materialize(entries.join(sizes, "value"), "lists")
 
-    ids = lists.select("id").distinct()
-    sketches = materialize(semi_by_id(feats.where("n_shingles > 0").select("id", "sketch"), ids, "id"), "candidates")
+    ids = materialize(lists.select("id").distinct(), "candidates")
     sets = materialize(semi_by_id(src, ids, "id").mapInArrow(_full_sets(shingle), "id long, shingles array<long>"), "sets")
 
-    def verify(pairs):
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        return _verified(ordered, sketches, sets, k, estimate, percent)
-
-    # 3. short lists pair up; long lists go through pivots
+    # short lists pair up; in long lists everyone meets the pivot
     short = lists.where(F.col("n") <= short_list)
+    long = lists.where(F.col("n") > short_list)
     x, y = short.select("value", F.col("id").alias("a")), short.select("value", F.col("id").alias("b"))
-    links = materialize(verify(x.join(y, "value").where("a < b")), "links")
-    long = lists.where(F.col("n") > short_list).select("value", "id")
+    pairs = x.join(y, "value").where("a < b").select("a", "b").union(long.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    links = materialize(_verified(pairs, sets, k, estimate, percent), "links")
     if not long.isEmpty():
-        for r in range(pivot_rounds + 1):
-            comps = connected_components(ids, links)
-            placed = materialize(long.join(comps, "id").select("value", "id", "root"), "placed")
-            open_lists = placed.groupBy("value").agg(
-                F.min("root").alias("lo"), F.max("root").alias("hi"),
-                F.min_by("id", F.xxhash64("id", F.lit(r))).alias("pivot"),
-                F.min_by("root", F.xxhash64("id", F.lit(r))).alias("pivot_root")).where("lo <> hi")
-            if open_lists.isEmpty():
-                break
-            if r < pivot_rounds:
-                pairs = (placed.join(open_lists, "value").where("root <> pivot_root")
-                         .select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-            else:
-                pairs = _rest(placed, open_lists, sets, percent, block)
-            links = materialize(links.union(verify(pairs)).distinct(), "links")
-
-    # 4. components of the representatives, then of every document
-    roots = connected_components(classes.where("rep is not null").select(F.col("rep").alias("id")).distinct(),
-                                 _with_shared_ids(feats, classes, links))
-    roots = materialize(roots.where("id <> root"), "roots")
+        rest = _rest(long.select("value", "id"), component_labels(links), sets, percent, block)
+        links = links.union(materialize(_verified(rest, sets, k, estimate, percent), "links"))
+
+    # components of the representatives, then of every document
+    links = links.union(_shared_ids(feats, classes))
+    roots = materialize(component_labels(links).where("v <> root"), "roots")
     mine = (feats.select("id", "n_shingles", "f1", "f2")
             .join(classes.where("rep < other").select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"], "left")
             .select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-            .join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+            .join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left")
             .select("id", "n_shingles", F.coalesce("root", "rep").alias("component_id")))
     return mine.select(F.col("id").alias(id_col), "n_shingles", "component_id",
                        (F.col("id").isNotNull() & (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
-def _with_shared_ids(feats: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Links plus, for ids that occur in several rows, links between the
-    classes their rows belong to (rows that share an id are one vertex)."""
-    several = feats.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    same = (feats.join(several.select("id"), "id", "left_semi").where("n_shingles > 0")
+def _shared_ids(feats: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id: such rows are one vertex."""
+    several = materialize(feats.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+                          .where("c > 1").select("id"), "repeated")
+    if several.isEmpty():
+        return several.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return (feats.join(several, "id", "left_semi").where("n_shingles > 0")
             .join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"])
             .where("rep <> id").select(F.col("rep").alias("src"), F.col("id").alias("dst")))
-    return links.union(same)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
