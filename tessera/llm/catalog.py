@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import (
     decontamination,
     embedding_dedup,
+    license_scan,
     minhash_dedup,
     quality_classifier,
     secret_scan,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_warc": warc.op3_warc,
         "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_decontamination": decontamination.op7_decontamination,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
