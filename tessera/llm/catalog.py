@@ -11,6 +11,7 @@ from tessera.llm import (
     embedding_dedup,
     license_scan,
     minhash_dedup,
+    pii_surrogates,
     quality_classifier,
     secret_scan,
     sentencepiece_codec,
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_pii_surrogates": pii_surrogates.op8_pii_surrogates,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
