@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, minhash_dedup, quality_classifier, secret_scan, sentencepiece_codec
-from tessera.llm.common import BROADCAST_IDS, materialize, table
+from tessera.llm.common import BROADCAST_IDS, free_name, materialize, table
 from tessera.session import ship_package
 
 MIN_QUALITY = 0.3
@@ -32,7 +32,8 @@ MIN_QUALITY = 0.3
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = quality_classifier.train(docs.select("doc_id", "text"), labels.where(~quality_classifier.held_out()))
-    return quality_classifier.score(docs, model, out="_score").where(F.col("_score") >= MIN_QUALITY).drop("_score")
+    out = free_name(docs, "_score")
+    return quality_classifier.score(docs, model, out=out).where(F.col(out) >= MIN_QUALITY).drop(out)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

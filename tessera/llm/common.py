@@ -32,6 +32,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def semi_by_id(big: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """Rows of ``big`` whose ``col`` is in ``ids`` (distinct). The ids are
     broadcast only when counted to be at most BROADCAST_IDS; otherwise the

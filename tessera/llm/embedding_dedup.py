@@ -7,7 +7,7 @@ into ``probes - 1`` neighbouring buckets, where the hash with the closest
 decision takes its runner-up coordinate. Vectors that meet in a bucket are
 candidates, and every candidate pair is verified by its cosine in double
 precision. ``hashes`` follows the number of vectors (buckets keep a bounded
-expected size) and ``tables`` follows ``hashes`` for the recall
+expected size), ``probes`` and ``tables`` follow ``hashes`` for the recall
 (``tests/llm`` measures it against brute force).
 
 Equal vectors are first collapsed into one weighted class. A bucket is
@@ -36,7 +36,6 @@ from tessera.llm.common import materialize, sorted_groups, table
 from tessera.operators.graph import connected_components
 
 BLOCK = 1024
-PROBES = 2
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -176,7 +175,7 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9,
-                 hashes: int | None = None, tables: int | None = None, probes: int = PROBES,
+                 hashes: int | None = None, tables: int | None = None, probes: int | None = None,
                  block: int = BLOCK) -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` for every row."""
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall(
@@ -193,6 +192,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     dim = classes.agg(F.max(F.size("v"))).first()[0]
     if hashes is None:
         hashes = max(1, round(math.log(n) / math.log(2 * dim)))
+    if probes is None:
+        probes = max(2, hashes)
     if tables is None:
         tables = 3 + 3 * 2 ** (hashes - 1)
     fields = f"rep long, h long, w long, v {dict(classes.dtypes)['v']}, buckets array<long>"

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, slices, table
+from tessera.llm.common import free_name, materialize, slices, table
 
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "person")
 MAX_ROUNDS = 50
@@ -233,29 +233,31 @@ def assign(known: DataFrame, key: bytes) -> DataFrame:
 def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = b"corpus") -> DataFrame:
     """``docs`` with the text rewritten and ``n_<kind>`` mentions per kind."""
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), text), 256))
-    said = materialize(keyed.select(F.col("_key").alias("key"), text.alias("text")).mapInArrow(
+    mark, known = free_name(docs, "_key"), free_name(docs, "_later")
+    counted = {k: free_name(docs, f"n_{k}") for k in KINDS}
+    keyed = docs.withColumn(mark, F.sha2(F.concat_ws("\u0001", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), text), 256))
+    said = materialize(keyed.select(F.col(mark).alias("key"), text.alias("text")).mapInArrow(
         _mentions(), "key string, kind string, canon string"), "mentions")
     assigned = assign(said.select("kind", "canon").distinct(), key)
     later = assigned.where("attempt > 0").select("kind", "canon", "attempt")
     extra = materialize(said.join(later, ["kind", "canon"]).groupBy("key").agg(
-        F.collect_set(F.struct("kind", "canon", "attempt")).alias("_later")).withColumnRenamed("key", "_key"), "later")
+        F.collect_set(F.struct("kind", "canon", "attempt")).alias(known)).withColumnRenamed("key", mark), "later")
     n = extra.count()
     if n == 0:
-        keyed = keyed.withColumn("_later", F.lit(None).cast(dict(extra.dtypes)["_later"]))
+        keyed = keyed.withColumn(known, F.lit(None).cast(dict(extra.dtypes)[known]))
     else:
-        keyed = keyed.join(F.broadcast(extra) if n <= BROADCAST_ROWS else extra, "_key", "left")
+        keyed = keyed.join(F.broadcast(extra) if n <= BROADCAST_ROWS else extra, mark, "left")
     own = docs.columns
-    names = [*own, *(f"n_{k}" for k in KINDS)]
+    names = [*own, *counted.values()]
     schema = docs.withColumn(text_col, text)
     for k in KINDS:
-        schema = schema.withColumn(f"n_{k}", F.lit(0).cast("long"))
+        schema = schema.withColumn(counted[k], F.lit(0).cast("long"))
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, text_col):
                 out, counts = [], {k: [] for k in KINDS}
-                for t, later_ in zip(b.column(text_col).to_pylist(), b.column("_later").to_pylist(), strict=True):
+                for t, later_ in zip(b.column(text_col).to_pylist(), b.column(known).to_pylist(), strict=True):
                     attempts = {(x["kind"], x["canon"]): x["attempt"] for x in later_ or ()}
                     parts, at, seen = [], 0, dict.fromkeys(KINDS, 0)
                     for s, e, kind, canon in entities(t) if t else ():
@@ -267,7 +269,7 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         counts[k].append(seen[k])
                 columns = [pa.array(out, pa.string()) if c == text_col else b.column(c) for c in own]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[k], pa.int64()) for k in KINDS)], names)
-    return keyed.withColumn(text_col, text).select(*own, "_later").mapInArrow(run, schema.schema)
+    return keyed.withColumn(text_col, text).select(*own, known).mapInArrow(run, schema.schema)
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

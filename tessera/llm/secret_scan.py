@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import free_name, materialize, table
 
 #: Fixed values: (kind, pattern of what precedes the value, pattern of the value, least length of the value).
 BASE = (
@@ -100,23 +100,23 @@ def redacted(docs: DataFrame, text_col: str = "text", owner_col: str = "source",
              repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 2, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every owner-specific candidate value replaced by ``mask``;
     examples that more owners share stay."""
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(
+    key, values = free_name(docs, "_key"), free_name(docs, "_live")
+    keyed = docs.withColumn(key, F.sha2(F.concat_ws(
         "\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (owner_col, *repo_cols, text_col))), 256))
-    found = find_secrets(keyed, "_key", text_col, owner_col, repo_cols, max_owners)
+    found = find_secrets(keyed, key, text_col, owner_col, repo_cols, max_owners)
     # equal texts of one owner and repository get the same answer, so one row a key is enough
-    live = (found.where(F.size("live") > 0).groupBy("_key")
-            .agg(F.first("live").alias("_live")))
+    live = found.where(F.size("live") > 0).groupBy(key).agg(F.first("live").alias(values))
     text = F.col(text_col).cast("string")
     plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
     out = F.aggregate(
-        F.array_sort(F.col("_live")), F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
+        F.array_sort(F.col(values)), F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
         lambda acc, s: F.when(s["end"] - F.char_length(s["value"]) < acc["at"], acc).otherwise(F.struct(
             s["end"].alias("at"),
             F.concat(acc["text"], F.substr(plain, acc["at"] + 1, s["end"] - F.char_length(s["value"]) - acc["at"]),
                      F.lit(mask)).alias("text"))),
         lambda acc: F.concat(acc["text"], F.substr(plain, acc["at"] + 1)))
-    return (keyed.join(live, "_key", "left")
-            .withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(out)).select(*docs.columns))
+    return (keyed.join(live, key, "left")
+            .withColumn(text_col, F.when(F.col(values).isNull(), text).otherwise(out)).select(*docs.columns))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.bpe import Merges
 from tessera.llm.common import slices, table
@@ -283,7 +284,7 @@ def _spec(spark: SparkSession, model_path: str):
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
     """``docs`` with the array column ``out`` of piece ids."""
     spec = _spec(docs.sparkSession, model_path)
-    schema = docs.withColumn(out, F.array().cast("array<int>")).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         c = codec(spec.value)
@@ -297,7 +298,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
 def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
     """``encoded`` with the column ``out``, the text of the pieces."""
     spec = _spec(encoded.sparkSession, model_path)
-    schema = encoded.withColumn(out, F.lit("").cast("string")).schema
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         c = codec(spec.value)
