@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
             .join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left")
             .select("id", "n_shingles", F.coalesce("root", "rep").alias("component_id")))
-    return mine.select(F.col("id").alias(id_col), "n_shingles", "component_id",
+    return mine.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
                        (F.col("id").isNotNull() & (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
