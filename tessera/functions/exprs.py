@@ -8,7 +8,7 @@ NaN, and ``count(distinct)`` counts it).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -36,24 +36,31 @@ def null_if_nan(c: str | Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def ref(name: str) -> Column:
+    """The column of that name, whatever characters it has (dots included)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def nan_as_missing(df: DataFrame) -> DataFrame:
+    """NaN -> NULL in every float/double column; types stay."""
+    return df.select(*[null_if_nan(ref(f.name)).alias(f.name)
+                       if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else ref(f.name)
+                       for f in df.schema.fields])
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN -> NULL in every float/double column; booleans/dates -> strings."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            out.append(null_if_nan(f.name).alias(f.name))
+            out.append(null_if_nan(ref(f.name)).alias(f.name))
         elif isinstance(f.dataType, _CATEGORICAL_CASTS):
-            out.append(F.col(f.name).cast("string").alias(f.name))
+            out.append(ref(f.name).cast("string").alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(ref(f.name))
     return df.select(*out)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields NULL instead of raising under ANSI mode."""
-    return F.try_divide(a, b)
-
-
 def collect_row(df: DataFrame, *aggs: Column) -> Row:
     """Run one aggregate over the whole frame and bring back its single row.
 
@@ -80,15 +87,11 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     steps: to ``digits + 3`` first, which absorbs last-bit noise from
     summation order, then to ``digits``."""
     return df.select(*[
-        round_binary(round_binary(F.col(f.name), digits + 3), digits).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+        round_binary(round_binary(ref(f.name), digits + 3), digits).alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else ref(f.name)
         for f in df.schema.fields])
 
 
-def vec_elems(col: str, dim: int) -> list[Column]:
-    return [F.col(col)[i] for i in range(dim)]
-
-
 def sq_dist(a: str, b: str, dim: int) -> Column:
     """Squared Euclidean distance between two array<double> columns.
 
@@ -100,9 +103,3 @@ def sq_dist(a: str, b: str, dim: int) -> Column:
     for t in terms[1:]:
         total = total + t
     return total
-
-
-def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"unknown column(s): {', '.join(missing)}")

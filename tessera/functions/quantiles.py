@@ -26,9 +26,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import collect_row
+from tessera.functions.exprs import collect_row, ref
 
-SMALL_DISTINCT = 2_000_000   # distinct values up to which the ``percentile`` buffer stays small (tens of MB)
+SMALL_DISTINCT = 50_000   # distinct values up to which ``percentile`` is used: a few MB in a buffer, same result
 ROWS_PER_PARTITION = 2_000_000
 
 
@@ -67,10 +67,10 @@ def order_statistic_quantiles_multi(df: DataFrame, cols: list[str], probs: list[
         return out
     tb = F.xxhash64(*df.columns)
     long = df.select(tb.alias("tb"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("cid"), F.col(c).cast("double").alias("v")) for i, c in enumerate(live)])).alias("p"))
+        F.struct(F.lit(i).alias("cid"), ref(c).cast("double").alias("v")) for i, c in enumerate(live)])).alias("p"))
     long = long.select("p.cid", "p.v", "tb").where(F.col("v").isNotNull() & ~F.isnan("v"))
     total = sum(counts[c] for c in live)
-    parts = max(1, min(10_000, -(-total // ROWS_PER_PARTITION)))
+    parts = max(1, -(-total // ROWS_PER_PARTITION))
     ensure_checkpoint_dir(spark)
     ranged = (long.repartitionByRange(parts, "cid", "v", "tb").withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
@@ -117,7 +117,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if not cols:
         return {}
     def value(c):  # NaN is missing, like NULL
-        x = F.col(c).cast("double")
+        x = ref(c).cast("double")
         return F.when(~F.isnan(x), x)
 
     stats = collect_row(df, F.count(F.lit(1)).alias("n"),
@@ -125,7 +125,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if stats["n"] <= small_distinct:
         small, large = list(cols), []
     else:
-        approx = collect_row(df, *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}")
+        approx = collect_row(df, *[F.approx_count_distinct(ref(c), 0.05).alias(f"d{i}")
                                    for i, c in enumerate(cols)])
         small = [c for i, c in enumerate(cols) if approx[f"d{i}"] * 1.2 <= small_distinct]
         large = [c for c in cols if c not in small]
@@ -155,14 +155,14 @@ def grouped_quantiles(df: DataFrame, group: str, cols: list[str], probs: list[fl
         return {}
 
     def value(c):
-        x = F.col(c).cast("double")
+        x = ref(c).cast("double")
         return F.when(~F.isnan(x), x)
 
     n = df.count()
     if n <= small_distinct:
         large = False
     else:
-        approx = collect_row(df, *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)])
+        approx = collect_row(df, *[F.approx_count_distinct(ref(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)])
         large = any(approx[f"d{i}"] * 1.2 > small_distinct for i in range(len(cols)))
     if not large:
         arr = F.array(*[F.lit(float(p)) for p in probs])

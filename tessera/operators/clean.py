@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import categorical_cols, collect_row, nan_to_null, numeric_cols
+from tessera.functions.exprs import categorical_cols, collect_row, nan_as_missing, nan_to_null, numeric_cols, ref
 from tessera.functions.quantiles import quantiles
 from tessera.operators.encode import MISSING
 
@@ -25,8 +25,8 @@ def drop_rows(df: DataFrame) -> DataFrame:
 
 def fill_categorical(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
     cats = set(categorical_cols(df, exclude=exclude))
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) if c in cats
-                       else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias(c) if c in cats
+                       else ref(c) for c in df.columns])
 
 
 def impute(df: DataFrame, strategy: str = "Mean", exclude: list[str] = ()) -> DataFrame:
@@ -46,7 +46,7 @@ def impute(df: DataFrame, strategy: str = "Mean", exclude: list[str] = ()) -> Da
     if not num:
         return fill_categorical(df, exclude=list(exclude))
     row = collect_row(df, F.count(F.lit(1)).alias("n"),
-                      *[F.struct(F.avg(F.col(c).cast("double")).alias("v"), F.count(F.col(c)).alias("nn"))
+                      *[F.struct(F.avg(ref(c).cast("double")).alias("v"), F.count(ref(c)).alias("nn"))
                         .alias(f"c{i}") for i, c in enumerate(num)])
     gaps = [c for i, c in enumerate(num) if row[f"c{i}"]["nn"] < row["n"]]
     medians = quantiles(df, gaps, [0.5]) if strategy == "Median" else {}
@@ -54,25 +54,26 @@ def impute(df: DataFrame, strategy: str = "Mean", exclude: list[str] = ()) -> Da
     for c in df.columns:
         if c in gaps:
             fill = ((medians[c] or [None])[0] if strategy == "Median" else row[f"c{num.index(c)}"]["v"])
-            x = F.col(c).cast("double")
+            x = ref(c).cast("double")
             out.append((F.coalesce(x, F.lit(fill)) if fill is not None else x).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(ref(c))
     return fill_categorical(df.select(*out), exclude=list(exclude))
 
 
 def zscore_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
     """Keep rows whose |z| < 3 on every numeric column (population std).
 
-    A missing z (missing value, or a constant column) fails the test, so a
-    constant numeric column removes every row.
+    A missing z (missing value or NaN, or a constant column) fails the test, so
+    a constant numeric column removes every row. The filter itself is on the
+    raw columns, so that it is pushed down: NaN is above every bound.
     """
     num = numeric_cols(df, exclude=exclude)
     if not num:
         return df
-    s = collect_row(df, *[F.struct(F.avg(F.col(c).cast("double")).alias("m"),
-                                   F.stddev_pop(F.col(c).cast("double")).alias("s"),
-                                   (F.min(c) == F.max(c)).alias("const")).alias(f"c{i}")
+    s = collect_row(nan_as_missing(df), *[F.struct(F.avg(ref(c).cast("double")).alias("m"),
+                                   F.stddev_pop(ref(c).cast("double")).alias("s"),
+                                   (F.min(ref(c)) == F.max(ref(c))).alias("const")).alias(f"c{i}")
                           for i, c in enumerate(num)])
     keep = F.lit(True)
     for i, c in enumerate(num):
@@ -80,13 +81,13 @@ def zscore_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
         if st["m"] is None or st["const"]:
             keep = F.lit(False)
             continue
-        x = F.col(c).cast("double")
+        x = ref(c).cast("double")
         z = (x - F.lit(st["m"])) / F.lit(st["s"])
         # the exact test, plus a slightly wider range on the raw column that
         # parquet can use for row-group pruning (a NULL fails both: in a
         # filter NULL counts as false)
         slack = 3 * st["s"] * (1 + 1e-9) + 1e-12
-        keep = keep & (F.col(c) >= F.lit(st["m"] - slack)) & (F.col(c) <= F.lit(st["m"] + slack)) & (F.abs(z) < 3)
+        keep = keep & (ref(c) >= F.lit(st["m"] - slack)) & (ref(c) <= F.lit(st["m"] + slack)) & (F.abs(z) < 3)
     return df.where(keep)
 
 
@@ -96,7 +97,7 @@ def iqr_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
     num = numeric_cols(df, exclude=exclude)
     if not num:
         return df
-    q = quantiles(df, num, [0.25, 0.75])
+    q = quantiles(nan_as_missing(df), num, [0.25, 0.75])
     keep = F.lit(True)
     for c in num:
         if q[c] is None:
@@ -105,13 +106,14 @@ def iqr_filter(df: DataFrame, exclude: list[str] = ()) -> DataFrame:
         q1, q3 = q[c]
         iqr = q3 - q1
         # plain range predicates: NULL fails them inside a filter, and they push down to parquet
-        keep = keep & (F.col(c) >= F.lit(q1 - 1.5 * iqr)) & (F.col(c) <= F.lit(q3 + 1.5 * iqr))
+        keep = keep & (ref(c) >= F.lit(q1 - 1.5 * iqr)) & (ref(c) <= F.lit(q3 + 1.5 * iqr))
     return df.where(keep)
 
 
 def clip_percentiles(df: DataFrame, lo: float = 0.01, hi: float = 0.99, exclude: list[str] = ()) -> DataFrame:
     """Clip numeric values to their [1st, 99th] percentiles; missing stays missing,
     integer columns become double."""
+    df = nan_as_missing(df)
     num = numeric_cols(df, exclude=exclude)
     if not num:
         return df
@@ -120,13 +122,13 @@ def clip_percentiles(df: DataFrame, lo: float = 0.01, hi: float = 0.99, exclude:
     for c in df.columns:
         if c in num and q[c] is not None:
             a, b = q[c]
-            x = F.col(c).cast("double")
+            x = ref(c).cast("double")
             # bare greatest/least skip NULL and would invent a value
             out.append(F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(b)), F.lit(a))).alias(c))
         elif c in num:
-            out.append(F.col(c).cast("double").alias(c))
+            out.append(ref(c).cast("double").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(ref(c))
     return df.select(*out)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import (categorical_cols, collect_row, nan_to_null,
-                                     numeric_cols)
+                                     numeric_cols, ref)
 from tessera.functions.quantiles import quantiles
 
 SCALERS = ("StandardScaler", "MinMaxScaler", "RobustScaler")
@@ -34,7 +34,7 @@ class FittedScaler:
         out = []
         for c in cols:
             ctr, sc = self.center.get(c), self.scale.get(c)
-            x = F.col(c).cast("double")
+            x = ref(c).cast("double")
             if ctr is None:  # all-null column: stays null
                 out.append(x.alias(c))
             elif sc is None:
@@ -45,7 +45,7 @@ class FittedScaler:
 
     def transform(self, df: DataFrame, cols: list[str]) -> DataFrame:
         scaled = dict(zip(cols, self.exprs(cols)))
-        return df.select(*[scaled.get(c, F.col(c)) for c in df.columns])
+        return df.select(*[scaled.get(c, ref(c)) for c in df.columns])
 
 
 def fit_scaler(df: DataFrame, cols: list[str], kind: str = "StandardScaler") -> FittedScaler:
@@ -56,7 +56,7 @@ def fit_scaler(df: DataFrame, cols: list[str], kind: str = "StandardScaler") ->
         return FittedScaler(kind, {}, {})
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = ref(c).cast("double")
         aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
         if kind == "StandardScaler":
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
@@ -99,11 +99,11 @@ class FittedImputer:
         out = []
         for c in df.columns:
             if c in cols and self.fill.get(c) is not None:
-                out.append(F.coalesce(F.col(c).cast("double"), F.lit(self.fill[c])).alias(c))
+                out.append(F.coalesce(ref(c).cast("double"), F.lit(self.fill[c])).alias(c))
             elif c in cols:
-                out.append(F.col(c).cast("double").alias(c))
+                out.append(ref(c).cast("double").alias(c))
             else:
-                out.append(F.col(c))
+                out.append(ref(c))
         return df.select(*out)
 
 
@@ -117,7 +117,7 @@ def fit_imputer(df: DataFrame, cols: list[str], strategy: str = "Mean") -> Fitte
     if strategy == "Median":
         med = quantiles(df, cols, [0.5])
         return FittedImputer(strategy, {c: (med[c] or [None])[0] for c in cols})
-    row = collect_row(df, *[F.avg(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    row = collect_row(df, *[F.avg(ref(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
     return FittedImputer(strategy, {c: row[f"v{i}"] for i, c in enumerate(cols)})
 
 
@@ -132,7 +132,7 @@ def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 1000) -
     """
     if not cols:
         return {}
-    approx = collect_row(df, *[F.approx_count_distinct(F.col(c)).alias(f"d{i}")
+    approx = collect_row(df, *[F.approx_count_distinct(ref(c)).alias(f"d{i}")
                                for i, c in enumerate(cols)])
     for i, c in enumerate(cols):
         if approx[f"d{i}"] > max_categories:
@@ -140,7 +140,7 @@ def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 1000) -
                 f"column {c!r} has about {approx[f'd{i}']} categories, above "
                 f"max_categories={max_categories}; drop it or raise the limit")
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v"))
+        F.struct(F.lit(i).alias("i"), F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias("v"))
         for i, c in enumerate(cols)])).alias("p")).select("p.i", "p.v").distinct()
     cats: dict[str, list[str]] = {c: [] for c in cols}
     for r in pairs.collect():  # bounded by len(cols) * max_categories
@@ -151,7 +151,7 @@ def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 1000) -
 def one_hot_exprs(cats: dict[str, list[str]]) -> tuple[list[Column], list[str]]:
     exprs, names = [], []
     for c, values in cats.items():
-        filled = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+        filled = F.coalesce(ref(c).cast("string"), F.lit(MISSING))
         for v in values:
             exprs.append(F.when(filled == F.lit(v), 1.0).otherwise(0.0))
             names.append(f"{c}_{v}")
@@ -161,7 +161,7 @@ def one_hot_exprs(cats: dict[str, list[str]]) -> tuple[list[Column], list[str]]:
 def one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000) -> DataFrame:
     cats = fit_categories(df, cols, max_categories)
     exprs, names = one_hot_exprs(cats)
-    keep = [F.col(c) for c in df.columns if c not in cols]
+    keep = [ref(c) for c in df.columns if c not in cols]
     return df.select(*keep, *[e.alias(n) for e, n in zip(exprs, names)])
 
 
@@ -194,10 +194,10 @@ def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler
     num = numeric_cols(df, exclude=key_cols)
     cat = categorical_cols(df, exclude=key_cols)
     if num:
-        present = collect_row(df, *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(num)])
+        present = collect_row(df, *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(num)])
         num = [c for i, c in enumerate(num) if present[f"n{i}"] > 0]
     # every statistic pass below and the encoded frame read this table
-    base = (df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in num], *cat)
+    base = (df.select(*key_cols, *[ref(c).cast("double").alias(c) for c in num], *cat)
             .persist(StorageLevel.MEMORY_AND_DISK))
     source = base
     fitted_imp = None
@@ -221,4 +221,4 @@ def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler
 
 def assemble(df: DataFrame, key_cols: list[str], cols: list[str]) -> DataFrame:
     """Plain assembly of already-numeric columns into ``x`` (no scaling)."""
-    return df.select(*key_cols, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    return df.select(*key_cols, F.array(*[ref(c).cast("double") for c in cols]).alias("x"))

@@ -139,7 +139,3 @@ def elbow(df: DataFrame, key: str, max_k: int = 10, x: str = "x", seed: int = 42
         rows.append((k, fit.inertia))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
-
-
-def dim_of(df: DataFrame, x: str = "x") -> int:
-    return vector_dim(df, x)

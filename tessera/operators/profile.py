@@ -14,11 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import collect_row, numeric_cols
+from tessera.functions.exprs import collect_row, nan_as_missing, numeric_cols, ref
 from tessera.functions.quantiles import quantiles
 
-def quartiles():
-    return F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct count (missing ignored) of every column: values are
+    unpivoted to (column, value), made distinct with a map-side combine and
+    counted per column, so no row is expanded once per column in full."""
+    kinds = dict(df.dtypes)
+    values = [F.struct(F.lit(i).alias("i"), ((ref(c) + 0.0) if kinds[c] in ("double", "float") else ref(c)).cast("string").alias("v"))
+              for i, c in enumerate(cols)]
+    pairs = df.select(F.explode(F.array(*values)).alias("p")).select("p.*").where("v is not null").distinct()
+    found = {r["i"]: r["n"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(i, 0) for i, c in enumerate(cols)}
 
 
 # ----------------------------------------------------------------- E1 shape
@@ -26,7 +35,7 @@ def quartiles():
 def shape(df: DataFrame) -> DataFrame:
     """rows, columns, numeric columns, total missing cells."""
     num = set(numeric_cols(df))
-    missing = [F.sum(F.when(F.col(c).isNull() | (F.isnan(c) if c in num else F.lit(False)), 1)
+    missing = [F.sum(F.when(ref(c).isNull() | (F.isnan(ref(c)) if c in num else F.lit(False)), 1)
                      .otherwise(0)) for c in df.columns]
     total = missing[0]
     for m in missing[1:]:
@@ -41,17 +50,17 @@ def shape(df: DataFrame) -> DataFrame:
 
 def column_overview(df: DataFrame, order_by: str) -> DataFrame:
     """type, missing, unique (missing ignored), first non-missing value by key."""
-    cols = [c for c in df.columns]
-    dtypes = dict(df.dtypes)
+    df = nan_as_missing(df)
+    cols, dtypes = list(df.columns), dict(df.dtypes)
+    unique = distinct_counts(df, cols)
     agg = df.agg(*[F.struct(
         F.count(F.lit(1)).alias("n"),
-        F.count(F.col(c)).alias("nn"),
-        F.countDistinct(F.col(c)).alias("nu"),
-        F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order_by))).alias("s"),
+        F.count(ref(c)).alias("nn"),
+        F.min_by(ref(c).cast("string"), F.when(ref(c).isNotNull(), F.col(order_by))).alias("s"),
     ).alias(f"c{i}") for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
                         (F.col(f"c{i}.n") - F.col(f"c{i}.nn")).alias("missing"),
-                        F.col(f"c{i}.nu").alias("unique"),
+                        F.lit(unique[c]).cast("bigint").alias("unique"),
                         F.coalesce(F.col(f"c{i}.s"), F.lit("—")).alias("sample"))
                for i, c in enumerate(cols)]
     return agg.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
@@ -61,15 +70,16 @@ def column_overview(df: DataFrame, order_by: str) -> DataFrame:
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear), max per numeric column."""
+    df = nan_as_missing(df)
     cols = cols or numeric_cols(df)
     qs = quantiles(df, cols, [0.25, 0.5, 0.75])
     agg = df.agg(*[F.struct(
-        F.count(F.col(c)).alias("count"),
-        F.avg(F.col(c).cast("double")).alias("mean"),
-        F.stddev_samp(F.col(c).cast("double")).alias("std"),
-        F.min(F.col(c).cast("double")).alias("min"),
+        F.count(ref(c)).alias("count"),
+        F.avg(ref(c).cast("double")).alias("mean"),
+        F.stddev_samp(ref(c).cast("double")).alias("std"),
+        F.min(ref(c).cast("double")).alias("min"),
         F.array(*[F.lit(v).cast("double") for v in (qs[c] or [None, None, None])]).alias("q"),
-        F.max(F.col(c).cast("double")).alias("max")).alias(f"c{i}") for i, c in enumerate(cols)])
+        F.max(ref(c).cast("double")).alias("max")).alias(f"c{i}") for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}.count").alias("count"),
                         F.col(f"c{i}.mean").alias("mean"), F.col(f"c{i}.std").alias("std"),
                         F.col(f"c{i}.min").alias("min"), F.col(f"c{i}.q")[0].alias("q25"),
@@ -83,7 +93,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def missing_pct(df: DataFrame) -> DataFrame:
     """Percentage of missing cells per column, only columns with any."""
     num = set(numeric_cols(df))
-    agg = df.agg(*[F.avg(F.when(F.col(c).isNull() | (F.isnan(c) if c in num else F.lit(False)), 1.0)
+    agg = df.agg(*[F.avg(F.when(ref(c).isNull() | (F.isnan(ref(c)) if c in num else F.lit(False)), 1.0)
                          .otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(df.columns)])
     structs = [F.struct(F.lit(c).alias("column"), (F.col(f"c{i}") * 100.0).alias("missing_pct"))
                for i, c in enumerate(df.columns)]
@@ -95,15 +105,16 @@ def missing_pct(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     """Equal-width bins on [min, max]; empty bins kept; constant column -> 1 bin."""
-    stats = collect_row(df, F.min(F.col(col).cast("double")).alias("mn"),
-                        F.max(F.col(col).cast("double")).alias("mx"))
+    df = nan_as_missing(df)
+    stats = collect_row(df, F.min(ref(col).cast("double")).alias("mn"),
+                        F.max(ref(col).cast("double")).alias("mx"))
     mn, mx = stats["mn"], stats["mx"]
     spark = df.sparkSession
     if mn is None:
         return spark.createDataFrame([], "bin int, lo double, hi double, count bigint")
     nb = 1 if mn == mx else bins
     width = (mx - mn) / nb if mx > mn else 0.0
-    x = F.col(col).cast("double")
+    x = ref(col).cast("double")
     b = (F.lit(0) if nb == 1 else F.least(F.lit(nb - 1), F.floor((x - F.lit(mn)) / F.lit(width)).cast("int")))
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = spark.range(nb).select(F.col("id").cast("int").alias("bin"))
@@ -119,6 +130,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (extreme values inside the fences)
     and outlier counts. Two passes: quartiles, then fences as literals."""
+    df = nan_as_missing(df)
     cols = cols or numeric_cols(df)
     q = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs, meta = [], []
@@ -129,7 +141,7 @@ def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         q1, q2, q3 = qs
         iqr = q3 - q1
         lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        x = F.col(c).cast("double")
+        x = ref(c).cast("double")
         inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
         aggs.append(F.struct(
             F.lit(c).alias("column"), F.lit(q1).alias("q1"), F.lit(q2).alias("median"),
@@ -152,13 +164,14 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     ``covar_pop / (stddev_pop * stddev_pop)`` with ``try_divide``: a constant
     column yields NULL instead of an ANSI divide-by-zero.
     """
+    df = nan_as_missing(df)
     cols = cols or numeric_cols(df)
     exprs, pairs = [], []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
+            xa, xb = ref(a).cast("double"), ref(b).cast("double")
             both = xa.isNotNull() & xb.isNotNull()
             ya, yb = F.when(both, xa), F.when(both, xb)
             r = F.try_divide(F.covar_pop(ya, yb), F.stddev_pop(ya) * F.stddev_pop(yb))
@@ -188,7 +201,8 @@ def high_corr_pairs(df: DataFrame, threshold: float = 0.8, cols: list[str] | Non
 
 def outlier_counts(df: DataFrame, col: str) -> DataFrame:
     """|z| > 3 (population std) and outside the 1.5 IQR fences, on non-missing values."""
-    x = F.col(col).cast("double")
+    df = nan_as_missing(df)
+    x = ref(col).cast("double")
     s = collect_row(df, F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
     if s["m"] is None:
         return df.sparkSession.createDataFrame([(col, 0, 0, 0)],
@@ -205,7 +219,8 @@ def outlier_counts(df: DataFrame, col: str) -> DataFrame:
 
 def outlier_points(df: DataFrame, col: str, key_cols: list[str]) -> DataFrame:
     """Every non-missing value with its z-score and the |z| > 3 flag."""
-    x = F.col(col).cast("double")
+    df = nan_as_missing(df)
+    x = ref(col).cast("double")
     s = collect_row(df, F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
     z = F.try_divide(x - F.lit(s["m"]), F.lit(s["s"]))
     return (df.where(x.isNotNull())
@@ -217,35 +232,21 @@ def outlier_points(df: DataFrame, col: str, key_cols: list[str]) -> DataFrame:
 
 def top_categories(df: DataFrame, col: str, n: int = 20) -> DataFrame:
     """Most frequent non-missing values; ties broken by value."""
-    return (df.where(F.col(col).isNotNull())
-            .groupBy(F.col(col).cast("string").alias("value"))
+    df = nan_as_missing(df)
+    return (df.where(ref(col).isNotNull())
+            .groupBy(ref(col).cast("string").alias("value"))
             .agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), F.asc("value")).limit(n))
 
 
 # ------------------------------------------------ P3/P4/P8 suggestions, checks
 
-def auto_remove(df: DataFrame, rsd: float = 0.05) -> DataFrame:
-    """Columns whose distinct count (missing ignored) equals the row count or is <= 1.
-
-    A cheap approximate pass (HyperLogLog) rules out columns that are far
-    from both conditions; the exact distinct count runs only on the rest.
-    """
-    cols = df.columns
-    approx = collect_row(df, F.count(F.lit(1)).alias("n"),
-                         *[F.approx_count_distinct(F.col(c), rsd).alias(f"a{i}") for i, c in enumerate(cols)])
-    n = approx["n"]
-    slack = 4 * rsd
-    cand = [c for i, c in enumerate(cols)
-            if approx[f"a{i}"] <= 2 or approx[f"a{i}"] >= (1 - slack) * n]
-    spark = df.sparkSession
-    if not cand:
-        return spark.createDataFrame([], "column string, unique bigint, rows bigint")
-    exact = df.agg(*[F.countDistinct(F.col(c)).alias(f"e{i}") for i, c in enumerate(cand)])
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"e{i}").alias("unique"),
-                        F.lit(n).cast("bigint").alias("rows")) for i, c in enumerate(cand)]
-    return (exact.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-            .where((F.col("unique") == F.col("rows")) | (F.col("unique") <= 1)))
+def auto_remove(df: DataFrame) -> DataFrame:
+    """Columns whose exact distinct count (missing ignored) equals the row count or is <= 1."""
+    df = nan_as_missing(df)
+    n, unique = df.count(), distinct_counts(df, df.columns)
+    rows = [(c, unique[c], n) for c in df.columns if unique[c] == n or unique[c] <= 1]
+    return df.sparkSession.createDataFrame(rows, "column string, unique bigint, rows bigint")
 
 
 def low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
@@ -254,11 +255,12 @@ def low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     When no column exceeds the threshold the suggestion list is empty (the
     selector refuses to fit in that case).
     """
+    df = nan_as_missing(df)
     cols = numeric_cols(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, variance double")
-    agg = df.agg(*[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"v{i}")
+    agg = df.agg(*[F.var_pop(F.coalesce(ref(c).cast("double"), F.lit(0.0))).alias(f"v{i}")
                    for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("variance")) for i, c in enumerate(cols)]
     long = agg.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
@@ -272,11 +274,11 @@ def dropna_impact(df: DataFrame) -> DataFrame:
     num = set(numeric_cols(df))
     complete = F.lit(True)
     for c in df.columns:
-        complete = complete & F.col(c).isNotNull() & (~F.isnan(c) if c in num else F.lit(True))
+        complete = complete & ref(c).isNotNull() & (~F.isnan(ref(c)) if c in num else F.lit(True))
     agg = df.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(complete, 1)).alias("rows_after"))
     pct = F.try_divide(F.col("rows_after") * 100.0, F.col("rows"))
     return agg.select("rows", "rows_after", pct.alias("pct_kept"),
-                      ((F.col("rows_after") < 50) | (pct < 30)).alias("warn"))
+                      ((F.col("rows_after") < 50) | (F.round(pct, 1) < 30)).alias("warn"))
 
 
 

@@ -1,92 +1,108 @@
 """Markdown report as a small DataFrame (section, ordinal, text).
 
-Eight sections: dataset overview, preprocessing choices (the scaler that was
-actually used for training), model, metrics, cluster sizes, mean profiles,
-descriptions, next steps. Every table in it is a per-cluster aggregate, so
-the report is bounded by clusters x features, never by rows.
+The report is a list of sections, each a title and a function that yields
+its lines from the facts gathered once: the labelled table's size, the
+metrics row, and the per-cluster tables. All tables in it are per-cluster
+aggregates, so the report is bounded by clusters x features, never by rows.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from tessera.functions.exprs import numeric_cols
 from tessera.operators import results
 
-# Metric interpretations and closing advice printed in the report.
-INTERPRETATION = {
-    "silhouette": "Higher is better. >0.5 = strong clusters, >0.7 = excellent.",
-    "davies_bouldin": "Lower is better. Measures average cluster similarity.",
-    "calinski_harabasz": "Higher is better. Ratio of between-to-within cluster dispersion.",
+#: metric -> (digits, how to read it)
+METRICS = {
+    "silhouette": (4, "from -1 to 1; points sit nearer to their own cluster than to the next one when it is high"),
+    "davies_bouldin": (4, "0 is ideal; spread of neighbouring clusters relative to their distance"),
+    "calinski_harabasz": (1, "grows with separation; compare runs on the same table only"),
 }
-NEXT_STEPS = [
-    "- **Label your clusters**: review the profiles above and give each cluster a business name.",
-    "- **Validate with domain experts**: balance statistical scores with interpretability.",
-    "- **Test stability**: rerun with another seed or sample and compare the partitions.",
-    "- **Consider DBSCAN**: if you used KMeans, noise points may reveal outliers.",
-    "- **Deploy**: reuse the saved model (statistics + centres) to score new tables.",
-]
+CLOSING = (
+    "Name the clusters after what sets their profiles apart.",
+    "Let someone who knows the data confirm the names.",
+    "Refit on a different sample; clusters that move are weak.",
+    "A saved model scores new tables with the same statistics.",
+)
+MAX_NAMES = 10
+
+
+@dataclass(frozen=True)
+class Facts:
+    rows: int
+    features: list[str]
+    metrics: dict
+    choices: list[tuple[str, str]]
+    model: str
+    shares: list[Row]
+    profiles: list[Row]
+    descriptions: list[Row]
+
+
+def _table(head: tuple[str, ...], rows) -> list[str]:
+    """A Markdown table; nothing when there are no rows."""
+    body = ["| " + " | ".join(str(v) for v in r) + " |" for r in rows]
+    return ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *body] if body else []
+
+
+def _data(f: Facts) -> list[str]:
+    shown = ", ".join(f.features[:MAX_NAMES]) + (", ..." if len(f.features) > MAX_NAMES else "")
+    return [f"{f.rows} rows, {len(f.features)} numeric features: {shown}"]
+
+
+def _model(f: Facts) -> list[str]:
+    found = f"{f.model}: {f.metrics.get('clusters', 'unknown number of')} clusters"
+    return [found + (f", {f.metrics['noise']} noise points" if f.metrics.get("noise") else "")]
+
+
+def _scores(f: Facts) -> list[str]:
+    return _table(("score", "value", "reading"),
+                  [(k, round(f.metrics[k], d), how) for k, (d, how) in METRICS.items() if f.metrics.get(k) is not None])
+
+
+def _sizes(f: Facts) -> list[str]:
+    return _table(("cluster", "rows", "share"), [(r["cluster"], r["count"], f"{round(r['pct'], 1)} %") for r in f.shares])
+
+
+def _profiles(f: Facts) -> list[str]:
+    return _table(("cluster", *f.features), [
+        (r["cluster"], *("" if r[c] is None else round(r[c], 3) for c in f.features)) for r in f.profiles])
+
+
+def _words(f: Facts) -> list[str]:
+    return [f"- {results.NOISE_TEXT} (label -1)" if r["cluster"] == -1 else
+            f"- cluster {r['cluster']}, {r['n']} rows ({round(r['pct'], 1)} %): {r['description']}" for r in f.descriptions]
+
+
+SECTIONS = (
+    ("Table", _data),
+    ("Preparation", lambda f: _table(("step", "choice"), f.choices)),
+    ("Model", _model),
+    ("Scores", _scores),
+    ("Sizes", _sizes),
+    ("Mean profiles", _profiles),
+    ("In words", _words),
+    ("What to do with it", lambda f: [f"- {t}" for t in CLOSING]),
+)
 
 
 def build_report(spark: SparkSession, labelled: DataFrame, key_cols: list[str], metrics: DataFrame,
-                 model_name: str, imputer: str, scaler: str, outliers: str, reduction: str = "PCA") -> DataFrame:
+                 model_name: str, imputer: str, scaler: str, outliers: str, reduction: str = "PCA",
+                 date: str | None = None) -> DataFrame:
+    """``date`` is printed as given; without it the report has no date, so
+    that equal input gives an equal report."""
     feats = numeric_cols(labelled, exclude=[*key_cols, "cluster"])
-    n = labelled.count()
-    m = metrics.collect()[0].asDict() if metrics is not None else {}
-    lines: list[tuple[int, str]] = []
-
-    def add(section: int, text: str) -> None:
-        lines.append((section, text))
-
-    add(0, "# Clustering Analysis Report")
-    add(0, "")
-    add(0, f"**Date:** {_dt.datetime.now().strftime('%Y-%m-%d %H:%M')}")
-    add(1, "## 1. Dataset Overview")
-    add(1, "| Property | Value |")
-    add(1, "|---|---|")
-    add(1, f"| Rows | {n} |")
-    add(1, f"| Features used | {len(feats)} numeric |")
-    add(1, f"| Feature names | {', '.join(feats[:10])}{'…' if len(feats) > 10 else ''} |")
-    add(2, "## 2. Preprocessing Choices")
-    add(2, "| Setting | Value |")
-    add(2, "|---|---|")
-    for k, v in (("Imputer", imputer), ("Scaler", scaler), ("Outlier handling", outliers), ("Visualisation", reduction)):
-        add(2, f"| {k} | {v} |")
-    add(3, "## 3. Model")
-    add(3, "| Property | Value |")
-    add(3, "|---|---|")
-    add(3, f"| Algorithm | {model_name} |")
-    add(3, f"| Clusters found | {m.get('clusters', '?')} |")
-    if m.get("noise"):
-        add(3, f"| Noise points (DBSCAN) | {m['noise']} |")
-    add(4, "## 4. Evaluation Metrics")
-    add(4, "| Metric | Value | Interpretation |")
-    add(4, "|---|---|---|")
-    for k, digits in (("silhouette", 4), ("davies_bouldin", 4), ("calinski_harabasz", 1)):
-        if m.get(k) is not None:
-            add(4, f"| {k} | {round(m[k], digits)} | {INTERPRETATION[k]} |")
-    add(5, "## 5. Cluster Sizes")
-    add(5, "| Cluster | Count | % of Total |")
-    add(5, "|---|---|---|")
-    for r in results.cluster_share(labelled).orderBy("cluster").collect():
-        add(5, f"| Cluster {r['cluster']} | {r['count']} | {round(r['pct'], 1)}% |")
-    if feats:
-        add(6, "## 6. Cluster Profiles (Mean Feature Values)")
-        add(6, "| Cluster | " + " | ".join(feats) + " |")
-        add(6, "|---|" + "---|" * len(feats))
-        for r in results.cluster_profile(labelled, key_cols).orderBy("cluster").collect():
-            add(6, f"| {r['cluster']} | " + " | ".join(str(round(r[c], 3)) if r[c] is not None else "" for c in feats) + " |")
-        add(7, "## 7. Cluster Descriptions")
-        for r in results.cluster_descriptions(labelled, key_cols).orderBy("cluster").collect():
-            if r["cluster"] == -1:
-                add(7, f"**Cluster -1 (Noise):** {results.NOISE_TEXT}")
-            else:
-                add(7, f"**Cluster {r['cluster']}** ({r['n']} records, {round(r['pct'], 1)}%): "
-                       f"Characterised by {r['description']}.")
-    add(8, "## 8. Next Steps")
-    for t in NEXT_STEPS:
-        add(8, t)
-    rows = [(s, i, t) for i, (s, t) in enumerate(lines)]
-    return spark.createDataFrame(rows, "section int, ordinal int, text string")
+    row = metrics.collect() if metrics is not None else []
+    facts = Facts(
+        labelled.count(), feats, row[0].asDict() if row else {},
+        [("imputation", imputer), ("scaling", scaler), ("outliers", outliers), ("projection", reduction)], model_name,
+        results.cluster_share(labelled).orderBy("cluster").collect(),
+        results.cluster_profile(labelled, key_cols).orderBy("cluster").collect() if feats else [],
+        results.cluster_descriptions(labelled, key_cols).orderBy("cluster").collect() if feats else [])
+    lines = [(0, "# Clusters" + (f", {date}" if date else ""))]
+    for n, (title, body) in enumerate(SECTIONS, 1):
+        lines += [(n, f"## {title}"), *((n, t) for t in body(facts))]
+    return spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(lines)], "section int, ordinal int, text string")

@@ -35,3 +35,18 @@ def test_clip_keeps_missing(spark):
 
 def test_drop_rows_any_column(spark):
     assert clean.drop_rows(_df(spark)).where("v is null or s is null").count() == 0
+
+
+def test_nan_is_missing_everywhere(spark):
+    import math
+    from tessera.operators import clean, profile
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, math.nan), (4, 4.0), (5, None)], "k long, v double")
+    d = profile.describe(df, ["v"]).collect()[0]
+    assert (d["count"], d["mean"], d["max"]) == (3, 7 / 3, 4.0) and not math.isnan(d["std"])
+    o = {r["column"]: r for r in profile.column_overview(df, "k").collect()}["v"]
+    assert (o["missing"], o["unique"]) == (2, 3)
+    assert profile.histogram(df, "v").agg({"count": "sum"}).collect()[0][0] == 3
+    assert profile.outlier_counts(df, "v").collect()[0]["n"] == 3
+    assert clean.zscore_filter(df, ["k"]).count() == 3 and clean.iqr_filter(df, ["k"]).count() == 3
+    assert [r["v"] for r in clean.clip_percentiles(df, exclude=["k"]).orderBy("k").collect()][2] is None
+    assert all(r["r"] is None or not math.isnan(r["r"]) for r in profile.corr_matrix(df).collect())

@@ -20,10 +20,9 @@ def test_train_report_and_writers(spark):
     labelled = results.label_join(cf, res.labels, ["c_custkey"])
     rep = build_report(spark, labelled, ["c_custkey"], res.metrics, "DBSCAN", "Mean", "RobustScaler", "None")
     text = [r["text"] for r in rep.orderBy("section", "ordinal").collect()]
-    for i in range(1, 9):
-        assert any(t.startswith(f"## {i}.") for t in text)
-    assert "| Scaler | RobustScaler |" in text  # the scaler actually given is printed
-    assert any(t.startswith("**Cluster -1 (Noise):**") for t in text)
+    assert {r["section"] for r in rep.collect()} == set(range(9))
+    assert "| scaling | RobustScaler |" in text  # the scaler actually given is printed
+    assert any(t.endswith("(label -1)") for t in text) and any("4 clusters, 63 noise points" in t for t in text)
     out = tempfile.mkdtemp(prefix="tessera-out-", dir="/tmp")
     writers.write_report(rep, f"{out}/report")
     writers.write_summary(results.cluster_describe(labelled, ["c_custkey"]), f"{out}/summary")
