@@ -1,236 +1,307 @@
 """Agglomerative clustering (ward, complete, average, single) and the merge
-table (dendrogram).
-
-Hierarchical merging needs the distances between all current clusters, so
-it runs on a bounded set of weighted *units*:
-
-* when the table has at most ``max_units`` rows, every row is a unit and
-  the result is exact;
-* above that, rows are compressed into ``max_units`` micro-clusters with
-  Spark ML KMeans (distributed) and the units are the micro-cluster
-  centroids with their sizes. Ward stays exact relative to the
-  micro-clusters (its merge cost only needs sizes and centroids); the other
-  linkages become centroid approximations. ``AggloResult.exact`` says which.
-
-The unit table (at most ``max_units`` rows whatever the input size) is
-merged by the nearest-neighbour-chain algorithm with Lance-Williams updates
-inside one pandas task; the merge order equals greedy closest-pair merging
-for these reducible linkages. Merges are sorted by height and the first
-``units - k`` are applied, then unit labels are joined back to every row.
-
-Single linkage at a given height needs no units at all: it is the set of
-connected components of the eps-graph with eps = height, which
-:func:`single_linkage_at` computes with the distributed eps-join.
+table (dendrogram), on all rows at any size.
+
+Ward, complete and average linkage are reducible, so greedy closest-pair
+merging gives the same tree as merging all reciprocal nearest neighbours at
+once. A round finds every cluster's nearest cluster and merges the
+reciprocal pairs; the number of rounds is about logarithmic. Distances are
+computed in blocks: rows are dealt into blocks by their cluster, a task
+holds one pair of blocks, reduces its distances to one value per pair of
+clusters (ward: from sizes and centroids; complete and average: maximum and
+sum over the members) and returns each cluster's nearest only, so no pair is
+written out. When at most ``finish`` clusters are left, their distance
+matrix (``finish`` squared values) is put together from the same blocks and
+one task of that bounded size merges the rest with Lance-Williams updates;
+where the rounds stop changes the work, not the tree.
+
+Single linkage needs no cluster distances: its tree is the minimum spanning
+tree, by Boruvka rounds (every component takes its shortest edge to another).
+
+A merge is stored as the smallest keys of its two parts, height and size. A
+cut at k leaves out the k - 1 last merges and takes connected components of
+the others, so any number of rows can be cut. At equal distances the pair of
+smaller keys merges first. The work is quadratic in the rows, as the linkage
+definitions are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components, dense_index
-from tessera.operators.pairs import eps_join, vector_dim
+from tessera.operators.pairs import eps_join
+from tessera.session import ensure_checkpoint_dir
 
 LINKAGES = ("ward", "complete", "average", "single")
-MAX_UNITS = 2000
+FINISH = 800
+BLOCK = 2000
+MERGE = "left long, right long, height double, size long"
 
 
-# --------------------------------------------------------------- merging
+# ----------------------------------------------------- distances in blocks
 
-def _initial_distances(c: np.ndarray, w: np.ndarray, linkage: str) -> np.ndarray:
-    diff = c[:, None, :] - c[None, :, :]
-    d = np.sqrt((diff * diff).sum(-1))
-    if linkage == "ward":
-        nn = w[:, None] * w[None, :]
-        d = np.sqrt(2.0 * nn / (w[:, None] + w[None, :])) * d
-    np.fill_diagonal(d, np.inf)
-    return d
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances, a dimension at a time: equal bits in both directions."""
+    out = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        diff = x[:, d, None] - y[None, :, d]
+        out += diff * diff
+    return out
 
 
-def nn_chain(c: np.ndarray, w: np.ndarray, linkage: str) -> np.ndarray:
-    """Merge table (a, b, height, size) over units with centroids ``c`` and
-    weights ``w``; slot ``a`` holds the merged cluster afterwards."""
-    if linkage not in LINKAGES:
-        raise ValueError(f"unknown linkage {linkage!r}")
-    m = len(c)
-    d = _initial_distances(c.astype(np.float64), w.astype(np.float64), linkage)
-    size = w.astype(np.float64).copy()
-    active = np.ones(m, dtype=bool)
-    merges = []
-    chain: list[int] = []
-    for _ in range(m - 1):
-        if not chain:
-            chain.append(int(np.flatnonzero(active)[0]))
-        while True:
-            a = chain[-1]
-            row = np.where(active, d[a], np.inf)
-            row[a] = np.inf
-            b = int(np.argmin(row))
-            if len(chain) > 1 and row[chain[-2]] <= row[b]:
-                b = chain[-2]
-            if len(chain) > 1 and b == chain[-2]:
-                break
-            chain.append(b)
-        chain.pop()
-        chain.pop()
+def _between(a: pd.DataFrame, b: pd.DataFrame, linkage: str) -> np.ndarray:
+    """Ward distance, or maximum / sum of member distances, of a's clusters
+    (rows) to b's (columns); both sorted by cluster."""
+    xa, xb = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+    if linkage == "ward":
+        wa, wb = a["w"].to_numpy(float), b["w"].to_numpy(float)
+        return np.sqrt(2 * wa[:, None] * wb[None, :] / (wa[:, None] + wb[None, :]) * _squared(xa, xb))
+    ca, cb = a["c"].to_numpy(), b["c"].to_numpy()
+    rows, cols = np.flatnonzero(np.append(True, ca[1:] != ca[:-1])), np.flatnonzero(np.append(True, cb[1:] != cb[:-1]))
+    reduce = {"complete": np.maximum, "single": np.minimum}.get(linkage, np.add)
+    out = np.empty((len(rows), len(cols)))
+    ends = np.append(rows[1:], len(ca))
+    for k, (lo, hi) in enumerate(zip(rows, ends, strict=True)):
+        total = None
+        for s in range(lo, hi, 256):  # a large cluster's distances are reduced as they come
+            part = reduce.reduce(reduce.reduceat(np.sqrt(_squared(xa[s: min(s + 256, hi)], xb)), cols, axis=1), axis=0)
+            total = part if total is None else reduce(total, part)
+        out[k] = total
+    return out
+
+
+def _blocked(points: DataFrame, parts: int) -> DataFrame:
+    """points (c, w, x) as pairs of blocks (i <= j), a cluster's rows together."""
+    mine = F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int")
+    return (points.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other"))
+
+
+def _sides(pdf: pd.DataFrame, linkage: str):
+    """(clusters of i, clusters of j, distances) of one pair of blocks."""
+    pdf = pdf.sort_values("c", kind="stable")
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    a, b = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
+    if a.empty or b.empty:
+        return None
+    d = _between(a, b, linkage)
+    ca, cb = a.groupby("c")["w"].sum(), b.groupby("c")["w"].sum()
+    if linkage == "average":
+        d = d / (ca.to_numpy(float)[:, None] * cb.to_numpy(float)[None, :])
+    ka, kb = ca.index.to_numpy(), cb.index.to_numpy()
+    d = np.where(ka[:, None] == kb[None, :], np.inf, d)
+    return ka, kb, d
+
+
+def _nearest(points: DataFrame, parts: int, linkage: str) -> DataFrame:
+    """(c, d, nb): the nearest other cluster, the smaller id at equal distance."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"c": [], "d": [], "nb": []}).astype({"c": "int64", "nb": "int64"})
+        got = _sides(pdf, linkage)
+        if got is None:
+            return empty
+        ka, kb, d = got
+        parts_ = []
+        for keys, others, m in ((ka, kb, d), (kb, ka, d.T)):
+            at = m.argmin(axis=1)  # first at ties, and the others are sorted
+            best = m[np.arange(len(keys)), at]
+            ok = np.isfinite(best)
+            parts_.append(pd.DataFrame({"c": keys[ok], "d": best[ok], "nb": others[at[ok]]}))
+        return pd.concat(parts_, ignore_index=True)
+
+    near = _blocked(points, parts).groupBy("i", "j").applyInPandas(run, "c long, d double, nb long")
+    return near.groupBy("c").agg(F.min(F.struct("d", "nb")).alias("m")).select("c", "m.d", "m.nb")
+
+
+# ------------------------------------------------------------------ finish
+
+def lance_williams(d: np.ndarray, w: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of clusters with distances ``d`` (inf on the
+    diagonal) and sizes ``w``; slot a holds the merged cluster afterwards."""
+    d, w, alive = d.copy(), w.astype(float).copy(), np.ones(len(w), bool)
+    nearest = d.argmin(axis=1) if len(w) > 1 else np.zeros(len(w), int)
+    out = []
+    for _ in range(len(w) - 1):
+        slots = np.flatnonzero(alive)
+        a = slots[d[slots, nearest[slots]].argmin()]
+        b = nearest[a]
         a, b = min(a, b), max(a, b)
         h = d[a, b]
-        na, nb = size[a], size[b]
-        others = active.copy()
-        others[[a, b]] = False
-        if linkage == "single":
-            new = np.minimum(d[a], d[b])
+        out.append((int(a), int(b), float(h)))
+        rest = alive.copy()
+        rest[[a, b]] = False
+        if linkage == "ward":
+            new = np.sqrt(np.maximum(((w[a] + w) * d[a] ** 2 + (w[b] + w) * d[b] ** 2 - w * h * h) / (w[a] + w[b] + w), 0))
         elif linkage == "complete":
             new = np.maximum(d[a], d[b])
-        elif linkage == "average":
-            new = (na * d[a] + nb * d[b]) / (na + nb)
-        else:  # ward, Lance-Williams on squared distances
-            nk = size
-            new = np.sqrt(((na + nk) * d[a] ** 2 + (nb + nk) * d[b] ** 2 - nk * h * h) / (na + nb + nk))
-        d[a, others] = new[others]
-        d[others, a] = new[others]
-        active[b] = False
-        d[b, :] = np.inf
-        d[:, b] = np.inf
-        size[a] = na + nb
-        merges.append((a, b, h, na + nb))
-    return np.array(merges, dtype=np.float64).reshape(-1, 4)
-
-
-def cut_tree(merges: np.ndarray, m: int, k: int) -> np.ndarray:
-    """Unit labels after the ``m - k`` lowest merges (stable by height)."""
-    parent = np.arange(m)
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    order = np.argsort(merges[:, 2], kind="stable") if len(merges) else []
-    for idx in list(order)[: max(0, m - k)]:
-        a, b = int(merges[idx, 0]), int(merges[idx, 1])
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return np.array([find(i) for i in range(m)])
-
-
-# ------------------------------------------------------------------- units
-
-@dataclass(frozen=True)
-class AggloResult:
-    labels: DataFrame    # (key, cluster)
-    merges: DataFrame    # (step, left, right, height, size) over units
-    exact: bool
-    units: int
-
-
-def _units(df: DataFrame, key: str, x: str, dim: int, n: int, max_units: int, seed: int):
-    """(unit_id, weight, centroid) plus the row -> unit map."""
-    if n <= max_units:
-        rows = df.select(F.col(key).alias("key"), F.col(x).alias("x"))
-        units = rows.select(F.col("key").cast("long").alias("uid"), F.lit(1.0).alias("w"), "x")
-        return units, rows.select("key", F.col("key").cast("long").alias("uid")), True
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    data = df.select(F.col(key).alias("key"), array_to_vector(x).alias("features"))
-    model = KMeans(k=max_units, seed=seed, maxIter=20).fit(data)
-    mapped = model.transform(data).select("key", F.col("prediction").cast("long").alias("uid"))
-    units = (df.select(F.col(key).alias("key"), F.col(x).alias("x")).join(mapped, "key")
-             .groupBy("uid").agg(F.count(F.lit(1)).cast("double").alias("w"),
-                                 F.array(*[F.avg(F.col("x")[i]) for i in range(dim)]).alias("x")))
-    return units, mapped, False
-
-
-def _merge_units(units: DataFrame, linkage: str, ks: list[int]) -> DataFrame:
-    """One pandas task over the bounded unit table: the merge table and the
-    unit labels for every cut in ``ks``."""
-    def merge_all(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uid", kind="stable").reset_index(drop=True)
-        c = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-        w = pdf["w"].to_numpy(dtype=np.float64)
-        mt = nn_chain(c, w, linkage)
-        uids = pdf["uid"].to_numpy()
-        parts = [pd.DataFrame({
-            "kind": "merge", "k": -1, "uid": -1, "label": -1,
-            "left": uids[mt[:, 0].astype(int)] if len(mt) else [],
-            "right": uids[mt[:, 1].astype(int)] if len(mt) else [],
-            "height": mt[:, 2] if len(mt) else [], "size": mt[:, 3] if len(mt) else []})]
-        for k in ks:
-            lab = cut_tree(mt, len(pdf), k)
-            parts.append(pd.DataFrame({"kind": "label", "k": k, "uid": uids, "label": uids[lab],
-                                       "left": -1, "right": -1, "height": 0.0, "size": 0.0}))
-        return pd.concat(parts, ignore_index=True)
-
-    schema = "kind string, k int, uid long, label long, left long, right long, height double, size double"
-    # the unit table has at most max_units rows, so one group is bounded by the parameter
-    return (units.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(merge_all, schema)
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-
-def _prepare(df: DataFrame, key: str, x: str, max_units: int, seed: int, k_max: int):
-    src = df.select(key, x).persist(StorageLevel.MEMORY_AND_DISK)
-    n = src.count()
-    if n < k_max:
-        raise ValueError(f"{n} rows cannot form {k_max} clusters")
-    dim = vector_dim(src, x)
-    units, row_map, exact = _units(src, key, x, dim, n, max_units, seed)
-    return units, row_map, exact, n
-
-
-def agglomerative_cuts(df: DataFrame, key: str, ks: list[int], linkage: str = "ward", x: str = "x",
-                       max_units: int = MAX_UNITS, seed: int = 42) -> DataFrame:
-    """(k, key, cluster) for several cluster counts from one merge tree."""
+        else:
+            new = (w[a] * d[a] + w[b] * d[b]) / (w[a] + w[b])
+        d[a], d[:, a] = np.where(rest, new, np.inf), np.where(rest, new, np.inf)
+        d[b], d[:, b] = np.inf, np.inf
+        alive[b] = False
+        w[a] += w[b]
+        stale = rest & ((nearest == a) | (nearest == b))
+        stale[a] = True
+        nearest[stale] = d[stale].argmin(axis=1)
+        better = rest & ~stale & (d[:, a] < d[np.arange(len(w)), nearest])
+        nearest[better] = a
+    return out
+
+
+def _finish(points: DataFrame, parts: int, linkage: str) -> DataFrame:
+    """Merges of the last clusters: block distances to one matrix in one task."""
+    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _sides(pdf, linkage)
+        if got is None:
+            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": "int64", "b": "int64"})
+        ka, kb, d = got
+        at = np.flatnonzero((ka[:, None] < kb[None, :]).ravel() if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.isfinite(d).ravel())
+        return pd.DataFrame({"a": np.repeat(ka, len(kb))[at], "b": np.tile(kb, len(ka))[at], "d": d.ravel()[at]})
+
+    pairs = _blocked(points, parts).groupBy("i", "j").applyInPandas(matrix, "a long, b long, d double")
+    sizes = points.groupBy("c").agg(F.sum("w").alias("d")).select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("d").cast("double"))
+
+    def merge(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        a, b, d = (np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("a", "b", "d"))
+        own = a == b
+        order = np.argsort(a[own])
+        keys, w = a[own][order], d[own][order]
+        m = np.full((len(keys), len(keys)), np.inf)
+        x, y = np.searchsorted(keys, a[~own]), np.searchsorted(keys, b[~own])
+        m[x, y], m[y, x] = d[~own], d[~own]
+        total = w.copy()
+        rows = []
+        for p, q, h in lance_williams(m, w, linkage):
+            total[p] += total[q]
+            rows.append((int(keys[p]), int(keys[q]), h, int(total[p])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], ["left", "right", "height", "size"])
+
+    # finish squared values at most: bounded by the parameter
+    return pairs.union(sizes).repartition(1).mapInArrow(merge, MERGE)
+
+
+# --------------------------------------------------------------------- tree
+
+def merge_table(df: DataFrame, key: str, linkage: str = "ward", x: str = "x", finish: int = FINISH,
+                block: int = BLOCK) -> DataFrame:
+    """All merges (left, right, height, size); left and right are the smallest
+    keys of the parts."""
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage {linkage!r}")
-    units, row_map, _, _ = _prepare(df, key, x, max_units, seed, max(ks))
-    out = _merge_units(units, linkage, list(ks))
-    unit_lab = out.where(F.col("kind") == "label").select("k", "uid", F.col("label").alias("root"))
-    keyed = row_map.join(unit_lab, "uid")
-    # canonical numbering per k: exactly k clusters per k, so each window partition is bounded by k
-    first = keyed.groupBy("k", "root").agg(F.min("key").alias("mk"))
-    numbered = first.select("k", "root", (F.dense_rank().over(Window.partitionBy("k").orderBy("mk")) - 1)
-                            .cast("int").alias("cluster"))
-    return keyed.join(numbered, ["k", "root"]).select("k", F.col("key").alias(key), "cluster")
-
-
-def agglomerative_fit(df: DataFrame, key: str, k: int = 3, linkage: str = "ward", x: str = "x",
-                      max_units: int = MAX_UNITS, seed: int = 42) -> AggloResult:
-    if linkage not in LINKAGES:
-        raise ValueError(f"unknown linkage {linkage!r}")
-    units, row_map, exact, n = _prepare(df, key, x, max_units, seed, k)
-    out = _merge_units(units, linkage, [k])
-    unit_lab = out.where(F.col("kind") == "label").select("uid", F.col("label").alias("root"))
-    merges = (out.where(F.col("kind") == "merge")
-              .select("left", "right", "height", "size"))
-    # canonical numbering: clusters ordered by their smallest key
-    keyed = row_map.join(unit_lab, "uid")
-    first = keyed.groupBy("root").agg(F.min("key").alias("mk"))
-    numbered = dense_index(first, "mk", out="cluster").join(first, "mk")
-    labels = (keyed.join(numbered.select("root", "cluster"), "root")
-              .select(F.col("key").alias(key), F.col("cluster").cast("int").alias("cluster")))
-    return AggloResult(labels, merges, exact, min(n, max_units))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(x).alias("x")).checkpoint(eager=True)
+    n = rows.count()
+    if linkage == "single":
+        return _spanning_tree(rows, n, block)
+    points = rows.select(F.col("id").alias("c"), F.lit(1).cast("long").alias("w"), "x")
+    found, left, size = None, n, n
+    while left > finish:
+        near = _nearest(points, -(-size // block), linkage).checkpoint(eager=True)
+        back = near.select(F.col("c").alias("nb"), F.col("nb").alias("c"))
+        pairs = near.where("c < nb").join(back, ["c", "nb"]).select("c", "nb", "d")
+        weights = points.groupBy("c").agg(F.sum("w").alias("w"))
+        merged = (pairs.join(weights, "c").join(weights.select(F.col("c").alias("nb"), F.col("w").alias("wb")), "nb")
+                  .select(F.col("c").alias("left"), F.col("nb").alias("right"), F.col("d").alias("height"), (F.col("w") + F.col("wb")).alias("size"))
+                  .checkpoint(eager=True))
+        to = merged.select(F.col("right").alias("c"), F.col("left").alias("to"))
+        moved = points.join(to, "c", "left").select(F.coalesce("to", "c").alias("c"), "w", "x")
+        if linkage == "ward":  # two rows at most share a cluster now: one weighted centroid
+            both = moved.groupBy("c").agg(F.sum("w").alias("w"), F.collect_list(F.struct("w", "x")).alias("p"))
+            first, last = F.col("p")[0], F.element_at("p", -1)
+            mean = F.zip_with(first["x"], last["x"], lambda u, v: (u * first["w"] + v * last["w"]) / F.col("w"))
+            moved = both.select("c", "w", F.when(F.size("p") == 1, first["x"]).otherwise(mean).alias("x"))
+        points = moved.checkpoint(eager=True)
+        count = merged.count()
+        left -= count
+        size = left if linkage == "ward" else n
+        found = merged if found is None else found.union(merged)
+    rest = _finish(points, max(1, -(-size // block)), linkage)
+    return (rest if found is None else found.union(rest)).checkpoint(eager=True)
+
+
+def _spanning_tree(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """Minimum spanning tree by Boruvka rounds."""
+    points = rows.select(F.col("id").alias("c"), F.col("id"), F.lit(1).cast("long").alias("w"), "x")
+    parts, edges, left = max(1, -(-n // block)), None, n
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        pdf = pdf.sort_values("id", kind="stable")
+        a, b = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
+        out = []
+        if not a.empty and not b.empty:
+            d = np.sqrt(_squared(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())))
+            d[a["c"].to_numpy()[:, None] == b["c"].to_numpy()[None, :]] = np.inf
+            for p, q, m in ((a, b, d), (b, a, d.T)):
+                at = m.argmin(axis=1)
+                best = m[np.arange(len(p)), at]
+                ok = np.isfinite(best)
+                one, two = p["id"].to_numpy()[ok], q["id"].to_numpy()[at[ok]]
+                out.append(pd.DataFrame({"c": p["c"].to_numpy()[ok], "d": best[ok], "u": np.minimum(one, two), "v": np.maximum(one, two)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"c": [], "d": [], "u": [], "v": []}).astype(
+            {"c": "int64", "u": "int64", "v": "int64"})
+
+    while left > 1:
+        mine = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        dealt = (points.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+                 .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other"))
+        new = (dealt.groupBy("i", "j").applyInPandas(run, "c long, d double, u long, v long")
+               .groupBy("c").agg(F.min(F.struct("d", "u", "v")).alias("m")).select("m.*").distinct())
+        edges = (new if edges is None else edges.union(new)).distinct().checkpoint(eager=True)
+        labels = connected_components(rows.select("id"), edges.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+        points = points.drop("c").join(labels, "id").select(F.col("root").alias("c"), "id", "w", "x").checkpoint(eager=True)
+        left = points.select("c").distinct().count()
+    none = rows.sparkSession.createDataFrame([], MERGE)
+    # the size of a part of the spanning tree is not known here: 0
+    return none if edges is None else edges.select(F.col("u").alias("left"), F.col("v").alias("right"), F.col("d").alias("height"), F.lit(0).cast("long").alias("size"))
+
+
+def cut(df: DataFrame, key: str, merges: DataFrame, k: int) -> DataFrame:
+    """(key, cluster): the parts without the k - 1 last merges, numbered by
+    their smallest key."""
+    ids = df.select(F.col(key).cast("long").alias("id"))
+    n = ids.count()
+    if n < k:
+        raise ValueError(f"{n} rows cannot form {k} clusters")
+    last = merges.orderBy(F.desc("height"), F.desc("size"), F.desc("left"), F.desc("right")).limit(k - 1)
+    links = merges.join(last.select("left", "right"), ["left", "right"], "left_anti") if k > 1 else merges
+    roots = connected_components(ids, links.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+    first = roots.select("root").distinct()  # k rows
+    numbered = first.select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("int").alias("cluster"))
+    return roots.join(numbered, "root").select(F.col("id").alias(key), "cluster")
+
+
+def agglomerative_cuts(df: DataFrame, key: str, ks: list[int], linkage: str = "ward", x: str = "x") -> DataFrame:
+    """(k, key, cluster) for several cluster counts from one merge tree."""
+    merges = merge_table(df, key, linkage, x)
+    out = None
+    for k in ks:
+        one = cut(df, key, merges, k).select(F.lit(k).alias("k"), key, "cluster")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def agglomerative(df: DataFrame, key: str, k: int = 3, linkage: str = "ward", x: str = "x",
-                  max_units: int = MAX_UNITS) -> DataFrame:
-    return agglomerative_fit(df, key, k, linkage, x, max_units).labels
-
-
-def dendrogram(df: DataFrame, key: str, linkage: str = "ward", x: str = "x",
-               max_units: int = MAX_UNITS) -> DataFrame:
-    """Merge table ordered by height: (step, left, right, height, size)."""
-    res = agglomerative_fit(df, key, 1, linkage, x, max_units)
-    # at most max_units - 1 merge rows: the global ordering window is bounded
-    w = Window.orderBy("height", "left", "right")
-    return (res.merges.withColumn("step", F.row_number().over(w) - 1)
-            .select("step", "left", "right", "height", "size"))
+                  finish: int = FINISH, block: int = BLOCK) -> DataFrame:
+    return cut(df, key, merge_table(df, key, linkage, x, finish, block), k)
+
+
+def dendrogram(df: DataFrame, key: str, linkage: str = "ward", x: str = "x") -> DataFrame:
+    """Merge table in merge order: (step, left, right, height, size); the steps
+    are numbered by the distributed rank."""
+    merges = merge_table(df, key, linkage, x)
+    order = merges.select(F.struct("height", "size", "left", "right").alias("m"))
+    return (dense_index(order, "m", out="step")
+            .select(F.col("step").cast("int").alias("step"), "m.left", "m.right", "m.height", F.col("m.size").cast("double").alias("size")))
 
 
 # ----------------------------------------------------- single linkage, exact

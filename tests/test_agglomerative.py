@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.operators.agglomerative import agglomerative, cut_tree, dendrogram, nn_chain, single_linkage_at
+from tessera.operators.agglomerative import agglomerative, dendrogram, lance_williams, single_linkage_at
 
 
 def greedy(X, link, k):
@@ -33,26 +33,47 @@ def canon(lab):
     return [seen.setdefault(v, len(seen)) for v in lab]
 
 
-def test_nn_chain_equals_greedy():
+def _frame(spark, X):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(X)], "k long, x array<double>")
+
+
+def test_lance_williams_equals_greedy():
     rng = np.random.default_rng(7)
-    for _ in range(10):
-        X = rng.normal(size=(30, 3))
-        for link in ("ward", "complete", "average", "single"):
-            k = int(rng.integers(2, 6))
-            got = cut_tree(nn_chain(X, np.ones(len(X)), link), len(X), k)
-            assert canon(got) == canon(greedy(X, link, k))
+    for _ in range(5):
+        X = rng.normal(size=(25, 3))
+        for link in ("ward", "complete", "average"):
+            d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+            np.fill_diagonal(d, np.inf)
+            merges = lance_williams(d, np.ones(len(X)), link)
+            lab = np.arange(len(X))
+            for a, b, _ in merges[: len(X) - 4]:
+                lab[lab == b] = a
+            assert canon(lab) == canon(greedy(X, link, 4))
 
 
 def test_spark_labels_equal_greedy(spark):
-    rng = np.random.default_rng(8)
-    X = rng.normal(size=(50, 2))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(X)], "k long, x array<double>")
-    for link in ("ward", "complete", "average"):
+    X = np.random.default_rng(8).normal(size=(50, 2))
+    df = _frame(spark, X)
+    for link in ("ward", "complete", "average", "single"):
         got = [r["cluster"] for r in agglomerative(df, "k", 4, link).orderBy("k").collect()]
         assert canon(got) == canon(greedy(X, link, 4))
         assert got[0] == 0  # canonical numbering: cluster of the smallest key is 0
-    d = dendrogram(df, "k", "ward")
-    assert d.count() == 49
+    d = dendrogram(df, "k", "ward").orderBy("step").collect()
+    assert len(d) == 49 and [r["height"] for r in d] == sorted(r["height"] for r in d) and d[-1]["size"] == 50
+
+
+def test_rounds_give_the_tree_of_one_task(spark):
+    """Reciprocal-neighbour rounds over many blocks and one bounded task agree."""
+    X = np.random.default_rng(9).normal(size=(3000, 2))
+    df = _frame(spark, X).cache()
+    one = [r["cluster"] for r in agglomerative(df, "k", 5, "ward", finish=3000).orderBy("k").collect()]
+    many = [r["cluster"] for r in agglomerative(df, "k", 5, "ward", finish=400, block=700).orderBy("k").collect()]
+    assert one == many
+    small = _frame(spark, X[:300]).cache()
+    for link in ("complete", "average"):
+        one = [r["cluster"] for r in agglomerative(small, "k", 5, link).orderBy("k").collect()]
+        many = [r["cluster"] for r in agglomerative(small, "k", 5, link, finish=60, block=90).orderBy("k").collect()]
+        assert one == many
 
 
 def test_single_linkage_at_height_is_threshold_graph(spark):
