@@ -281,11 +281,11 @@ def cut(df: DataFrame, key: str, merges: DataFrame, k: int) -> DataFrame:
 
 
 def agglomerative_cuts(df: DataFrame, key: str, ks: list[int], linkage: str = "ward", x: str = "x") -> DataFrame:
-    """(k, key, cluster) for several cluster counts from one merge tree."""
+    """(n_clusters, key, cluster) for several cluster counts from one merge tree."""
     merges = merge_table(df, key, linkage, x)
     out = None
     for k in ks:
-        one = cut(df, key, merges, k).select(F.lit(k).alias("k"), key, "cluster")
+        one = cut(df, key, merges, k).select(F.lit(k).alias("n_clusters"), key, "cluster")
         out = one if out is None else out.unionByName(one)
     return out
 

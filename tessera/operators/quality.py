@@ -4,12 +4,10 @@ Davies-Bouldin, Calinski-Harabasz. Noise (-1) is excluded everywhere.
 A score needs at least two valid rows and 2 <= clusters <= rows - 1;
 otherwise it is NULL.
 
-Silhouette is quadratic by definition. It runs as block pairs: rows are
-hashed into blocks of about ``block_rows``; each (row block, partner block)
-group computes its distance matrix in numpy inside one task and returns
-only per-(row, partner cluster) distance sums, so memory per task is
-bounded by ``block_rows**2`` and no pair is ever written out. The sums are
-added up per row with an ordinary aggregate. For a linear-time score on
+Silhouette is quadratic by definition. Rows are dealt into blocks of about
+``block_rows``; a task holds one block and streams all rows past it, adding
+up distance sums per cluster, so it returns one value per row and neither
+pairs nor row-cluster sums are written out. For a linear-time score on
 very large tables use :func:`silhouette_squared` (Spark ML's squared-
 distance variant), which is a different metric.
 """
@@ -19,13 +17,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, sq_dist
 
-MAX_CLUSTERS = 10_000  # bound on the per-cluster tables (broadcast / model state)
+BLOCK_CLUSTERS = 1000  # clusters compared at a time
 
 
 def cluster_counts(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -35,7 +32,7 @@ def cluster_counts(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def _valid(df: DataFrame, key: str, x: str, cluster: str) -> DataFrame:
-    return df.where(F.col(cluster) != -1).select(F.col(key).cast("long").alias("id"), F.col(x).alias("x"),
+    return df.where(F.col(cluster) != -1).select(F.xxhash64(key).alias("id"), F.col(x).alias("x"),
                                                  F.col(cluster).cast("int").alias("c"))
 
 
@@ -47,8 +44,6 @@ def _fresh(df: DataFrame) -> DataFrame:
 def _scorable(valid: DataFrame) -> tuple[bool, int, int]:
     r = collect_row(valid, F.count(F.lit(1)).alias("n"), F.count_distinct("c").alias("k"))
     n, k = r["n"], r["k"]
-    if k > MAX_CLUSTERS:
-        raise ValueError(f"{k} clusters is above the supported {MAX_CLUSTERS}")
     return (n >= 2 and 2 <= k <= n - 1), n, k
 
 
@@ -59,39 +54,17 @@ def centroids(valid: DataFrame, dim: int) -> DataFrame:
 
 
 def _with_centroid(valid: DataFrame, cents: DataFrame) -> DataFrame:
-    # one row per cluster (checked against MAX_CLUSTERS), so the broadcast is bounded
-    return valid.join(F.broadcast(cents), "c")
+    return valid.join(cents, "c")  # broadcast when measured small, else shuffled
 
 
 def davies_bouldin(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", dim: int | None = None) -> DataFrame:
-    """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j), s = mean distance to centroid.
-
-    Two distributed passes (centroids, then mean distance to them); the
-    k x k step runs on the k per-cluster rows, which are model state bounded
-    by ``MAX_CLUSTERS``, like the centres of a fitted KMeans.
-    """
+    """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j), s = mean distance to centroid."""
     from tessera.operators.pairs import vector_dim
     valid = _valid(df, key, x, cluster)
-    ok, _, _ = _scorable(valid)
-    spark = df.sparkSession
+    ok, _, k = _scorable(valid)
     if not ok:
-        return spark.createDataFrame([(None,)], "davies_bouldin double")
-    dim = dim or vector_dim(valid)
-    cents = centroids(valid, dim)
-    intra = (_with_centroid(valid, cents)
-             .groupBy("c").agg(F.first("cx").alias("cx"), F.avg(F.sqrt(sq_dist("x", "cx", dim))).alias("s")))
-    rows = intra.collect()
-    c = np.array([r["cx"] for r in rows], dtype=np.float64)
-    sv = np.array([r["s"] for r in rows], dtype=np.float64)
-    dist = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1), 0.0))
-    if np.allclose(sv, 0) or np.allclose(dist, 0):
-        score = 0.0
-    else:
-        dist[dist == 0] = np.inf
-        ratio = (sv[:, None] + sv[None, :]) / dist
-        np.fill_diagonal(ratio, -np.inf)
-        score = float(np.mean(ratio.max(axis=1)))
-    return spark.createDataFrame([(score,)], "davies_bouldin double")
+        return df.sparkSession.createDataFrame([(None,)], "davies_bouldin double")
+    return _davies_bouldin(valid.withColumn("g", F.lit(0)), dim or vector_dim(valid), k).select("davies_bouldin")
 
 
 def calinski_harabasz(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster",
@@ -115,71 +88,177 @@ def calinski_harabasz(df: DataFrame, key: str, x: str = "x", cluster: str = "clu
         .otherwise(F.col("b") * F.lit(float(n - k)) / (F.col("w") * F.lit(float(k - 1)))).alias("calinski_harabasz"))
 
 
-def _block_sums(rows: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from every row of one block to each cluster of a partner block."""
-    if rows.empty or partners.empty:
-        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "pc": pd.Series([], dtype="int32"),
-                             "s": pd.Series([], dtype="float64")})
-    a = np.stack(rows["x"].to_numpy()).astype(np.float64)
-    b = np.stack(partners["x"].to_numpy()).astype(np.float64)
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    d = np.sqrt(np.maximum(d2, 0.0))
-    # exact zero on identical points (the expansion above leaves rounding noise)
-    same = rows["id"].to_numpy()[:, None] == partners["id"].to_numpy()[None, :]
-    d[same] = 0.0
-    codes, uniq = pd.factorize(partners["c"].to_numpy())
-    onehot = np.zeros((len(codes), len(uniq)))
-    onehot[np.arange(len(codes)), codes] = 1.0
-    sums = d @ onehot
-    ids = np.repeat(rows["id"].to_numpy(), len(uniq))
-    pcs = np.tile(uniq, len(rows))
-    return pd.DataFrame({"id": ids.astype("int64"), "pc": pcs.astype("int32"), "s": sums.ravel()})
-
-
-def silhouette_rows(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster",
-                    block_rows: int = 2048) -> DataFrame:
-    """Per-row silhouette (id, c, s) over the non-noise rows."""
-    valid = _valid(df, key, x, cluster)
-    r = collect_row(valid, F.count(F.lit(1)).alias("n"))
-    nb = max(1, math.ceil(r["n"] / block_rows))
-    blk = valid.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
-    # fresh aliases on both sides: the two sides of the cogroup come from the
-    # same rows, and the labels often share lineage with the features
-    left = blk.select(F.col("id").alias("id"), F.col("x").alias("x"), F.col("c").alias("c"),
-                      F.col("rb").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("pb"))
-    right = blk.select(F.col("id").alias("id"), F.col("x").alias("x"), F.col("c").alias("c"),
-                       F.col("rb").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
-
-    def pair_fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        return _block_sums(lpdf, rpdf)
-
-    sums = (left.groupBy("rb", "pb").cogroup(right.groupBy("rb", "pb"))
-            .applyInPandas(pair_fn, schema="id long, pc int, s double")
-            .groupBy("id", "pc").agg(F.sum("s").alias("s")))
-    sizes = _fresh(valid).groupBy(F.col("c").alias("pc")).agg(F.count(F.lit(1)).alias("pn"))
-    own = _fresh(valid.select("id", "c"))
-    # per (row, cluster) mean distance; own cluster divides by n - 1 (self excluded)
-    per = (sums.join(F.broadcast(sizes), "pc").join(own, "id")
-           .select("id", "c", "pc", "pn",
-                   F.when(F.col("pc") == F.col("c"), F.try_divide(F.col("s"), F.col("pn") - 1))
-                   .otherwise(F.col("s") / F.col("pn")).alias("mean_d")))
-    agg = per.groupBy("id", "c").agg(
-        F.max(F.when(F.col("pc") == F.col("c"), F.col("mean_d"))).alias("a"),
-        F.max(F.when(F.col("pc") == F.col("c"), F.col("pn"))).alias("own_n"),
-        F.min(F.when(F.col("pc") != F.col("c"), F.col("mean_d"))).alias("b"))
-    s = (F.when(F.col("own_n") <= 1, F.lit(0.0))
-         .when(F.greatest("a", "b") == 0, F.lit(0.0))
-         .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
-    return agg.select("id", "c", s.alias("s"))
-
-
-def silhouette(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster",
-               block_rows: int = 2048) -> DataFrame:
+def _deal(rows: DataFrame, group: list[str], parts: int) -> DataFrame:
+    """Rows dealt into ``parts`` row blocks per group; every block gets its own
+    rows (side 0) and, behind them, all rows of the group as partners (side 1)."""
+    own = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("side", F.lit(0))
+    partners = rows.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("side", F.lit(1))
+    return own.unionByName(partners).repartition(*group, "rb").sortWithinPartitions(*group, "rb", "side")
+
+
+def _streams(batches, keys: list[str]):
+    """((key values, side), record batch) for runs of rows with equal keys and side."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (*keys, "side")]
+        cut = np.zeros(b.num_rows, bool)
+        for c in cols:
+            cut[1:] |= c[1:] != c[:-1]
+        ends = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            yield tuple(c[lo] for c in cols), b.slice(lo, hi - lo)
+
+
+def _vectors(b) -> np.ndarray:
+    x = b.column("x")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+
+
+class _Silhouette:
+    """One row block: distance sums to every cluster of every labelling,
+    added up while the partners stream by, then one value per row."""
+
+    def __init__(self):
+        self.own, self.sums, self.sizes = [], {}, {}
+
+    def add_own(self, b) -> None:
+        self.own.append((b.column("id").to_numpy(), _vectors(b), np.array(b.column("cs").to_pylist(), dtype=np.int64)))
+
+    def add_partners(self, b) -> None:
+        if isinstance(self.own, list):
+            self.own = tuple(np.concatenate(c) for c in zip(*self.own, strict=True))
+        ids, x, _ = self.own
+        other, y, labels = b.column("id").to_numpy(), _vectors(b), np.array(b.column("cs").to_pylist(), dtype=np.int64)
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T, 0.0))
+        # exact zero of a row to itself (the expansion above leaves rounding noise)
+        d[ids[:, None] == other[None, :]] = 0.0
+        for g in range(labels.shape[1]):
+            order = np.argsort(labels[:, g], kind="stable")
+            order = order[labels[order, g] != -1]
+            if not len(order):
+                continue
+            found, at = np.unique(labels[order, g], return_index=True)
+            part = np.add.reduceat(d[:, order], at, axis=1)
+            for c, total, n in zip(found.tolist(), part.T, np.diff(np.append(at, len(order))).tolist(), strict=True):
+                key = (g, c)
+                self.sums[key] = total if key not in self.sums else self.sums[key] + total
+                self.sizes[key] = self.sizes.get(key, 0) + n
+
+    def result(self):
+        ids, _, labels = self.own
+        out = []
+        for g in range(labels.shape[1]):
+            keys = [k for k in self.sums if k[0] == g]
+            rows = np.flatnonzero(labels[:, g] != -1)
+            if not keys or not len(rows):
+                continue
+            c = np.array([k[1] for k in keys])
+            n = np.array([self.sizes[k] for k in keys], float)
+            sums = np.stack([self.sums[k][rows] for k in keys], axis=1)
+            mine = labels[rows, g][:, None] == c[None, :]
+            own_n = (mine * n).sum(1)
+            a = np.where(mine, sums, 0).sum(1) / np.maximum(own_n - 1, 1)
+            b = np.where(mine, np.inf, sums / n).min(1)
+            top = np.maximum(a, b)
+            s = np.where((own_n <= 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top))
+            out.append((ids[rows], np.full(len(rows), g, np.int32), labels[rows, g], s))
+        return out
+
+
+def _silhouettes(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """(id, g, c, s) from rows (id, x, cs): cs has a row's cluster in every
+    labelling. The distance block of a row block and a partner batch is
+    computed once for all labellings, and only one value per row and
+    labelling leaves the task."""
+    import pyarrow as pa
+
+    def run(batches):
+        here, block = None, None
+
+        def flush():
+            for ids, g, c, s in block.result():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(g), pa.array(c), pa.array(s)], ["id", "g", "c", "s"])
+
+        for (rb, side), b in _streams(batches, ["rb"]):
+            if rb != here:
+                if block is not None:
+                    yield from flush()
+                here, block = rb, _Silhouette()
+            (block.add_partners if side else block.add_own)(b)
+        if block is not None:
+            yield from flush()
+
+    return _deal(rows, [], max(1, math.ceil(n / block_rows))).mapInArrow(run, "id long, g int, c long, s double")
+
+
+def silhouette_rows(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", block_rows: int = 2048) -> DataFrame:
+    """Per-row silhouette (key, c, s) over the non-noise rows."""
+    valid = df.where(F.col(cluster) != -1).select(F.col(key), F.xxhash64(key).alias("id"), F.col(x).alias("x"),
+                                                  F.array(F.col(cluster).cast("int")).alias("cs"))
+    s = _silhouettes(valid.select("id", "x", "cs"), valid.count(), block_rows)
+    return valid.select(key, "id").join(s, "id").select(F.col(key).alias("id"), F.col("c").cast("int").alias("c"), "s")
+
+
+def silhouette(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", block_rows: int = 2048) -> DataFrame:
     valid = _valid(df, key, x, cluster)
-    ok, _, _ = _scorable(valid)
+    ok, n, _ = _scorable(valid)
     if not ok:
         return df.sparkSession.createDataFrame([(None,)], "silhouette double")
-    return silhouette_rows(df, key, x, cluster, block_rows).agg(F.avg("s").alias("silhouette"))
+    rows = valid.select("id", "x", F.array("c").alias("cs"))
+    return _silhouettes(rows, n, block_rows).agg(F.avg("s").alias("silhouette"))
+
+
+def _worst_ratios(clusters: DataFrame, parts: int) -> DataFrame:
+    """(g, r, zero): per cluster the largest (s_i + s_j) / d_ij over the other
+    clusters of its labelling, from rows (g, id, x, s); in blocks."""
+    import pyarrow as pa
+
+    def run(batches):
+        here, own, best = None, None, None
+
+        def flush():
+            ids, _, _ = own
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), here[0], np.int32)), pa.array(best[0]), pa.array(best[1])], ["g", "r", "far"])
+
+        for (g, rb, side), b in _streams(batches, ["g", "rb"]):
+            if (g, rb) != here:
+                if own is not None and best is not None:
+                    yield from flush()
+                here, own, best = (g, rb), None, None
+            part = (b.column("id").to_numpy(), _vectors(b), b.column("s").to_numpy())
+            if side == 0:
+                own = part if own is None else tuple(np.concatenate([u, v]) for u, v in zip(own, part, strict=True))
+                continue
+            if best is None:
+                best = [np.full(len(own[0]), -np.inf), np.zeros(len(own[0]))]
+            for lo in range(0, len(part[0]), 64):  # a slice of partners at a time: no rows x partners x features array
+                ids, y, sv = (c[lo: lo + 64] for c in part)
+                d = np.sqrt(((own[1][:, None, :] - y[None]) ** 2).sum(-1))
+                other = own[0][:, None] != ids[None, :]
+                ratio = np.where(other & (d > 0), (own[2][:, None] + sv[None, :]) / np.where(d > 0, d, 1), np.where(other, 0.0, -np.inf))
+                best[0] = np.maximum(best[0], ratio.max(axis=1))
+                best[1] = np.maximum(best[1], d.max(axis=1))
+        if own is not None and best is not None:
+            yield from flush()
+
+    return _deal(clusters, ["g"], parts).mapInArrow(run, "g int, r double, far double")
+
+
+def _davies_bouldin(valid: DataFrame, dim: int, most: int) -> DataFrame:
+    """(g, davies_bouldin) from rows (g, id, x, c)."""
+    cents = valid.groupBy("g", "c").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dim)]).alias("cx"))
+    intra = (_fresh(valid).join(cents, ["g", "c"]).groupBy("g", "c")
+             .agg(F.first("cx").alias("x"), F.avg(F.sqrt(sq_dist("x", "cx", dim))).alias("s"))
+             .select("g", F.col("c").cast("long").alias("id"), "x", "s"))
+    worst = _worst_ratios(intra, max(1, math.ceil(most / BLOCK_CLUSTERS)))
+    spread = _fresh(intra).groupBy("g").agg(F.max("s").alias("smax"))
+    zero = (F.col("far") <= 1e-8) | (F.col("smax") <= 1e-8)
+    return (worst.groupBy("g").agg(F.avg("r").alias("r"), F.max("far").alias("far")).join(spread, "g")
+            .select("g", F.when(zero, F.lit(0.0)).otherwise(F.col("r")).alias("davies_bouldin")))
+
+
+_exact_silhouette = silhouette
 
 
 def silhouette_squared(df: DataFrame, x: str = "x", cluster: str = "cluster") -> float:
@@ -192,10 +271,16 @@ def silhouette_squared(df: DataFrame, x: str = "x", cluster: str = "cluster") ->
                                distanceMeasure="squaredEuclidean").evaluate(data)
 
 
-def all_metrics(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster") -> DataFrame:
+def all_metrics(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", silhouette: str = "exact") -> DataFrame:
     """clusters, noise, silhouette, davies_bouldin, calinski_harabasz (one row)."""
     counts = cluster_counts(df, cluster).collect()[0]
-    sil = silhouette(df, key, x, cluster).collect()[0][0]
+    if silhouette not in ("exact", "squared", "none"):
+        raise ValueError(f"unknown silhouette {silhouette!r}")
+    sil = None
+    if silhouette == "exact":
+        sil = _exact_silhouette(df, key, x, cluster).collect()[0][0]
+    elif silhouette == "squared" and _scorable(_valid(df, key, x, cluster))[0]:
+        sil = silhouette_squared(df, x, cluster)
     db = davies_bouldin(df, key, x, cluster).collect()[0][0]
     ch = calinski_harabasz(df, key, x, cluster).collect()[0][0]
     return df.sparkSession.createDataFrame(
@@ -212,71 +297,28 @@ def scores_by(df: DataFrame, key: str, group: str, x: str = "x", cluster: str =
     the centroid passes are grouped by ``group``. Returns (group, clusters,
     noise, silhouette, davies_bouldin), NULL scores where not computable."""
     spark = df.sparkSession
-    allrows = df.select(F.col(group).cast("int").alias("g"), F.col(key).cast("long").alias("id"),
+    allrows = df.select(F.col(group).cast("int").alias("g"), F.xxhash64(key).alias("id"),
                         F.col(x).alias("x"), F.col(cluster).cast("int").alias("c"))
     counts = {r["g"]: r for r in allrows.groupBy("g").agg(
         F.count_distinct(F.when(F.col("c") != -1, F.col("c"))).alias("k"),
         F.count(F.when(F.col("c") == -1, 1)).alias("noise"),
         F.count(F.when(F.col("c") != -1, 1)).alias("n")).collect()}
     ok = [g for g, r in counts.items() if r["n"] >= 2 and 2 <= r["k"] <= r["n"] - 1]
-    if sum(counts[g]["k"] for g in ok) > MAX_CLUSTERS:
-        raise ValueError("too many clusters across labellings")
     sil, db = {}, {}
     if ok:
-        valid = allrows.where(F.col("c") != -1).where(F.col("g").isin(ok))
-        valid = valid.persist()
-        nmax = max(counts[g]["n"] for g in ok)
-        nb = max(1, math.ceil(nmax / block_rows))
-        blk = valid.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
-        left = blk.select(F.col("g").alias("g"), F.col("id").alias("id"), F.col("x").alias("x"),
-                          F.col("c").alias("c"), F.col("rb").alias("rb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("pb"))
-        right = blk.select(F.col("g").alias("g"), F.col("id").alias("id"), F.col("x").alias("x"),
-                           F.col("c").alias("c"), F.col("rb").alias("pb"),
-                           F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
-
-        def pair_fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-            out = _block_sums(lpdf, rpdf)
-            out.insert(0, "g", np.int32(lpdf["g"].iloc[0]) if len(lpdf) else np.int32(0))
-            return out
-
-        sums = (left.groupBy("g", "rb", "pb").cogroup(right.groupBy("g", "rb", "pb"))
-                .applyInPandas(pair_fn, schema="g int, id long, pc int, s double")
-                .groupBy("g", "id", "pc").agg(F.sum("s").alias("s")))
-        sizes = _fresh(valid).groupBy("g", F.col("c").alias("pc")).agg(F.count(F.lit(1)).alias("pn"))
-        own = _fresh(valid.select("g", "id", "c"))
-        per = (sums.join(F.broadcast(sizes), ["g", "pc"]).join(own, ["g", "id"])
-               .select("g", "id", "c", "pc", "pn",
-                       F.when(F.col("pc") == F.col("c"), F.try_divide(F.col("s"), F.col("pn") - 1))
-                       .otherwise(F.col("s") / F.col("pn")).alias("mean_d")))
-        ab = per.groupBy("g", "id").agg(
-            F.max(F.when(F.col("pc") == F.col("c"), F.col("mean_d"))).alias("a"),
-            F.max(F.when(F.col("pc") == F.col("c"), F.col("pn"))).alias("own_n"),
-            F.min(F.when(F.col("pc") != F.col("c"), F.col("mean_d"))).alias("b"))
-        s = (F.when(F.col("own_n") <= 1, F.lit(0.0)).when(F.greatest("a", "b") == 0, F.lit(0.0))
-             .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
-        sil = {r["g"]: r["s"] for r in ab.groupBy("g").agg(F.avg(s).alias("s")).collect()}
-        # Davies-Bouldin: centroids and mean distance to them per (labelling, cluster)
         from tessera.operators.pairs import vector_dim
-        dim = vector_dim(valid)
-        cents = valid.groupBy("g", "c").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dim)]).alias("cx"))
-        intra = (_fresh(valid).join(F.broadcast(cents), ["g", "c"])
-                 .groupBy("g", "c").agg(F.first("cx").alias("cx"),
-                                        F.avg(F.sqrt(sq_dist("x", "cx", dim))).alias("s")))
-        by_g: dict[int, list] = {}
-        for r in intra.collect():  # one row per (labelling, cluster): bounded by MAX_CLUSTERS
-            by_g.setdefault(r["g"], []).append(r)
-        for g, rows in by_g.items():
-            c = np.array([r["cx"] for r in rows], dtype=np.float64)
-            sv = np.array([r["s"] for r in rows], dtype=np.float64)
-            dist = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1), 0.0))
-            if np.allclose(sv, 0) or np.allclose(dist, 0):
-                db[g] = 0.0
-            else:
-                dist[dist == 0] = np.inf
-                ratio = (sv[:, None] + sv[None, :]) / dist
-                np.fill_diagonal(ratio, -np.inf)
-                db[g] = float(np.mean(ratio.max(axis=1)))
-        valid.unpersist()
+        place = {g: i for i, g in enumerate(sorted(ok))}
+        good = allrows.where(F.col("g").isin(ok))
+        # one row per id with its cluster in every labelling (noise where it has none)
+        by_place = F.map_from_entries(F.collect_list(F.struct(F.create_map(*[v for g, i in place.items() for v in (F.lit(g), F.lit(i))])[F.col("g")].alias("i"), "c")))
+        rows = (good.groupBy("id").agg(F.first("x").alias("x"), by_place.alias("m"))
+                .select("id", "x", F.array(*[F.coalesce(F.col("m")[F.lit(i)], F.lit(-1)) for i in range(len(place))]).alias("cs")).persist())
+        n = rows.count()
+        names = {i: g for g, i in place.items()}
+        sil = {names[r["g"]]: r["s"] for r in _silhouettes(rows, n, block_rows).groupBy("g").agg(F.avg("s").alias("s")).collect()}
+        dim = vector_dim(rows)
+        db = {r["g"]: r["davies_bouldin"] for r in
+              _davies_bouldin(good.where("c <> -1"), dim, max(counts[g]["k"] for g in ok)).collect()}
+        rows.unpersist()
     rows = [(int(g), int(r["k"]), int(r["noise"]), sil.get(g), db.get(g)) for g, r in counts.items()]
     return spark.createDataFrame(rows, "g int, clusters bigint, noise bigint, silhouette double, davies_bouldin double")

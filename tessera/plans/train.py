@@ -1,8 +1,14 @@
 """Training job: preprocess -> fit -> score, with dispatch by algorithm name.
 
 ``train`` returns the labels (by key), the fitted state and a one-row
-metrics frame. Fitted state is small: scaler statistics, category lists and
-KMeans centres or DBSCAN core keys.
+metrics frame. Fitted state: scaler statistics, category lists and KMeans
+centres or the table of DBSCAN core points.
+
+The key may be one column of any type or several columns. Clustering itself
+runs on a 64-bit number per row: an integer key as it is, any other key
+through its rank (so that clusters are numbered in key order), which is
+joined back at the end. Tables without a key get one by
+:func:`with_row_key`.
 """
 
 from __future__ import annotations
@@ -11,12 +17,35 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.functions.exprs import ref
 from tessera.operators import encode, quality
+from tessera.operators.graph import dense_index
 
 ALGORITHMS = ("KMeans", "DBSCAN", "Agglomerative")
 
 
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """``df`` with a number per row in input order. It is checkpointed, so the
+    numbers stay the same however often the table is read."""
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.select(F.monotonically_increasing_id().alias(name), *[ref(c) for c in df.columns]).checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, key: str | list[str]) -> tuple[DataFrame, str, DataFrame | None]:
+    """(frame, integer key column, its mapping to the real key or None)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if len(keys) == 1 and dict(df.dtypes)[keys[0]] in ("bigint", "int", "smallint", "tinyint"):
+        return df, keys[0], None
+    whole = df.withColumn("_key", F.struct(*[ref(c) for c in keys]))
+    ranks = dense_index(whole, "_key", out="_rid").select(F.col("_rid").cast("long").alias("_rid"), "_key")
+    ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+    frame = whole.join(ranks, "_key").drop("_key", *keys)
+    return frame, "_rid", ranks.select("_rid", "_key.*")
+
+
 def fit_labels(x_df: DataFrame, key: str, algorithm: str, params: dict) -> DataFrame:
     """``(key, cluster)`` for one algorithm on a frame with ``x``."""
     if algorithm == "KMeans":
@@ -39,15 +68,37 @@ class TrainResult:
     metrics: DataFrame
     algorithm: str
     params: dict
+    centres: list[list[float]] | None = None   # KMeans
+    core: DataFrame | None = None              # DBSCAN: core points with their cluster
+
+
+def fit(x_df: DataFrame, key: str, algorithm: str, params: dict):
+    """(labels, KMeans centres or None, DBSCAN core points or None)."""
+    if algorithm == "KMeans":
+        from tessera.operators.kmeans import assign, kmeans_fit
+        got = kmeans_fit(x_df, key, params.get("n_clusters", 3), params.get("init", "k-means++"), params.get("max_iter", 300))
+        return assign(x_df.select(key, "x"), got.centres).select(key, "cluster"), got.centres, None
+    if algorithm == "DBSCAN":
+        from tessera.operators.dbscan import core_points
+        core = core_points(x_df, key, params.get("eps", 0.5), params.get("min_samples", 5))
+        return fit_labels(x_df, key, algorithm, params), None, core
+    return fit_labels(x_df, key, algorithm, params), None, None
 
 
-def train(df: DataFrame, key: str, algorithm: str, params: dict, scaler: str = "StandardScaler",
-          imputer: str = "Mean", min_columns: int = 2) -> TrainResult:
-    feats = [c for c in df.columns if c != key]
+def train(df: DataFrame, key: str | list[str], algorithm: str, params: dict, scaler: str = "StandardScaler",
+          imputer: str = "Mean", min_columns: int = 2, silhouette: str = "exact") -> TrainResult:
+    """``silhouette`` is ``exact`` (quadratic), ``squared`` (linear-time, another
+    metric) or ``none``: the caller's choice, never made by size."""
+    keys = [key] if isinstance(key, str) else list(key)
+    feats = [c for c in df.columns if c not in keys]
     if len(feats) < min_columns:
         raise ValueError(f"at least {min_columns} feature columns are needed to cluster")
-    enc = encode.preprocess(df, [key], scaler, imputer)
+    frame, rid, mapping = numbered(df, key)
+    enc = encode.preprocess(frame, [rid], scaler, imputer)
     x = enc.frame.persist(StorageLevel.MEMORY_AND_DISK)
-    labels = fit_labels(x, key, algorithm, params).persist(StorageLevel.MEMORY_AND_DISK)
-    metrics = quality.all_metrics(x.join(labels, key), key)
-    return TrainResult(labels, enc, metrics, algorithm, params)
+    labels, centres, core = fit(x, rid, algorithm, params)
+    labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
+    metrics = quality.all_metrics(x.join(labels, rid), rid, silhouette=silhouette)
+    if mapping is not None:
+        labels = labels.join(mapping, rid).select(*[ref(k) for k in keys], "cluster")
+    return TrainResult(labels, enc, metrics, algorithm, params, centres, core)

@@ -13,6 +13,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import null_if_nan, ref
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
@@ -48,6 +50,8 @@ def save_model(spark: SparkSession, path: str, algorithm: str, params: dict, enc
                core: DataFrame | None = None, core_x: DataFrame | None = None) -> None:
     """Fitted statistics (scaler, imputer, categories), and the model: KMeans
     centres or the DBSCAN core points with their cluster numbers."""
+    if encoded.numeric and encoded.imputer is None:
+        raise ValueError("a model with KNN imputation cannot be saved: filling a gap needs the training rows")
     meta = {
         "algorithm": algorithm, "params": params,
         "feature_names": encoded.feature_names, "numeric": encoded.numeric,
@@ -82,7 +86,7 @@ def encode_with(model: dict, df: DataFrame, key: str) -> DataFrame:
     parts = []
     sc, imp = meta["scaler"], meta["imputer"]
     for c in meta["numeric"]:
-        x = F.col(c).cast("double")
+        x = null_if_nan(ref(c).cast("double"))  # NaN is missing, as in training
         if imp and imp["fill"].get(c) is not None:
             x = F.coalesce(x, F.lit(imp["fill"][c]))
         ctr, s = sc["center"].get(c), sc["scale"].get(c)
@@ -93,7 +97,7 @@ def encode_with(model: dict, df: DataFrame, key: str) -> DataFrame:
         else:
             parts.append((x - F.lit(ctr)) / F.lit(s))
     for c, values in meta["categories"].items():
-        filled = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+        filled = F.coalesce(ref(c).cast("string"), F.lit(MISSING))
         parts += [F.when(filled == F.lit(v), 1.0).otherwise(0.0) for v in values]
     return df.select(key, F.array(*[p.cast("double") for p in parts]).alias("x"))
 

@@ -58,3 +58,19 @@ def test_noise_excluded_and_single_cluster_is_null(spark):
     assert quality.silhouette(df, "k").collect()[0][0] is None
     counts = quality.cluster_counts(df).collect()[0]
     assert (counts["clusters"], counts["noise"]) == (1, 5)
+
+
+def test_many_clusters(spark):
+    """10,000 clusters of two rows: per-row silhouettes from the closed form."""
+    from pyspark.sql import functions as F
+    df = spark.range(20_000).select("id", F.array((F.floor(F.col("id") / 2) * 10 + F.col("id") % 2).cast("double")).alias("x"),
+                                    F.floor(F.col("id") / 2).cast("int").alias("cluster"))
+    assert quality.cluster_counts(df).collect()[0]["clusters"] == 10_000
+    # neighbouring centres 10 apart, mean distance to the centre 0.5: ratio 0.1
+    assert abs(quality.davies_bouldin(df, "id").collect()[0][0] - 0.1) < 1e-9
+    few = df.where("cluster < 1500")
+    got = quality.silhouette(few, "id", block_rows=1024).collect()[0][0]
+    # own distance 1, mean distance to the next cluster 9.5 or 10.5 (both 10 +- 0.5), ends have one neighbour
+    x = [c * 10 + r for c in range(1500) for r in range(2)]
+    want = sum(1 - 1 / min(abs(v - ((v // 10 + s) * 10 + 0.5)) for s in (-1, 1) if 0 <= v // 10 + s < 1500) for v in x) / len(x)
+    assert abs(got - want) < 1e-9

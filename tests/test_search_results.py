@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tessera.operators import results
@@ -43,3 +45,46 @@ def test_train_validation(spark):
         train(one, "k", "KMeans", {"n_clusters": 2})
     with pytest.raises(ValueError):
         fit_labels(one, "k", "Spectral", {})
+
+
+def test_search_skips_what_cannot_be_fitted_and_scores_the_refit(spark):
+    df = spark.createDataFrame([(i, [float(i % 2) * 9 + i * 0.01, 1.0]) for i in range(4)], "k long, x array<double>")
+    res = search.run_search(df, "k")
+    assert res.ranked.agg(F.max("clusters")).collect()[0][0] < 4 and res.labels.count() == 4
+    assert res.metrics.collect()[0]["silhouette"] > 0.9
+
+
+def test_any_key_gives_the_labels_of_the_integer_key(spark):
+    from tessera.plans.train import train, with_row_key
+    from tessera.sources import tables as T
+    cf = T.customer_features(spark, "/root/testdata/sf0.001")
+    want = {r["c_custkey"]: r["cluster"] for r in train(cf, "c_custkey", "DBSCAN", {"eps": 0.6}).labels.collect()}
+    text = cf.withColumn("c_custkey", F.format_string("c%06d", "c_custkey"))
+    got = {int(r["c_custkey"][1:]): r["cluster"] for r in train(text, "c_custkey", "DBSCAN", {"eps": 0.6}).labels.collect()}
+    assert got == want
+    two = cf.withColumn("a", F.floor(F.col("c_custkey") / 10)).withColumn("b", F.col("c_custkey") % 10).drop("c_custkey")
+    got = {r["a"] * 10 + r["b"]: r["cluster"] for r in train(two, ["a", "b"], "DBSCAN", {"eps": 0.6}).labels.collect()}
+    assert got == want
+    bare = with_row_key(cf.drop("c_custkey"))
+    got = Counter(r["cluster"] for r in train(bare, "row_key", "DBSCAN", {"eps": 0.6}).labels.collect())
+    sizes = Counter(want.values())
+    assert got[-1] == sizes[-1] and sorted(got.values()) == sorted(sizes.values())  # numbered in row order
+
+
+def test_trained_model_scores_its_rows(spark):
+    import tempfile
+    import pytest
+    from tessera.plans.train import train
+    from tessera.sinks import writers
+    from tessera.sources import tables as T
+    cf = T.customer_features(spark, "/root/testdata/sf0.001").withColumn(
+        "acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("acctbal")).otherwise(F.lit(float("nan"))))
+    for imputer in ("Mean", "Median"):
+        res = train(cf, "c_custkey", "KMeans", {"n_clusters": 3}, imputer=imputer, silhouette="none")
+        path = tempfile.mkdtemp(prefix="tessera-model-", dir="/tmp") + "/m"
+        writers.save_model(spark, path, "KMeans", res.params, res.encoded, centres=res.centres)
+        scored = writers.score(writers.load_model(spark, path), cf, "c_custkey")
+        assert {tuple(r) for r in scored.collect()} == {tuple(r) for r in res.labels.collect()}
+    knn = train(cf, "c_custkey", "KMeans", {"n_clusters": 3}, imputer="KNN", silhouette="none")
+    with pytest.raises(ValueError):
+        writers.save_model(spark, "/tmp/never", "KMeans", knn.params, knn.encoded, centres=knn.centres)
