@@ -11,6 +11,7 @@ from tessera.llm import (
     embedding_dedup,
     license_scan,
     minhash_dedup,
+    oracles,
     pii_surrogates,
     quality_classifier,
     secret_scan,
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
