@@ -18,12 +18,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import collect_row
+from tessera.functions.exprs import collect_row, nan_as_missing
 from tessera.operators.pairs import block_pairs
 
 _SCHEMA = "rid long, ci int, d2 double, dk long, v double"
 
 
+def _smallest(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest values of each row, earlier columns first at
+    ties. Only values up to the k-th are sorted."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    bound = np.partition(d, k - 1, axis=1)[:, k - 1: k]
+    out = np.empty((len(d), k), np.int64)
+    for i, (row, top) in enumerate(zip(d, bound, strict=True)):
+        near = np.flatnonzero(row <= top)
+        out[i] = near[np.argsort(row[near], kind="stable")[:k]]
+    return out
+
+
 def _partial_topk(k: int, p: int):
     def fn(rec: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -54,7 +67,7 @@ def _partial_topk(k: int, p: int):
             sub = d2[np.ix_(recv, donors)]
             sub = np.where(np.isnan(sub), np.inf, sub)
             kk = min(k, len(donors))
-            order = np.argsort(sub, axis=1, kind="stable")[:, :kk]
+            order = _smallest(sub, kk)
             dist = np.take_along_axis(sub, order, axis=1)
             ok = np.isfinite(dist)
             if not ok.any():
@@ -74,6 +87,7 @@ def knn_impute(df: DataFrame, key_cols: list[str], cols: list[str], k: int = 5,
     """Fill gaps in ``cols`` (doubles) with the mean of the k nearest donors."""
     if len(key_cols) != 1:
         raise ValueError("knn_impute needs a single key column")
+    df = nan_as_missing(df)
     key = key_cols[0]
     p = len(cols)
     vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])

@@ -88,16 +88,21 @@ SQL_UF = """user_features AS (
 SQL_EG = """events_gaps AS (
   SELECT event_id, user_id,
          CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type,
-         CASE WHEN event_id % 7 <> 0 THEN value END AS value
+         CASE WHEN event_id % 7 <> 0 AND event_id % 19 <> 0 THEN value END AS value
   FROM events)"""
 
 SQL_PG = """part_gaps AS (
   SELECT p_partkey,
          CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS p_size,
-         CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice END AS p_retailprice,
+         CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN p_retailprice END AS p_retailprice,
          p_type
   FROM part)"""
 
+SQL_PS = SQL_PG + """,
+part_spikes AS (
+  SELECT p_partkey, p_size, CASE WHEN p_partkey % 97 = 0 THEN p_retailprice * 1000 ELSE p_retailprice END AS p_retailprice, p_type
+  FROM part_gaps)"""
+
 SQL_PW = """part_wide AS (
   SELECT p_partkey, p_size, p_retailprice, CAST(p_size AS DOUBLE) * p_retailprice AS size_x_price,
          CAST(5.0 AS DOUBLE) AS const5, p_type
@@ -107,6 +112,13 @@ SQL_LN = """line_num AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax
   FROM lineitem)"""
 
+SQL_LS = """line_spikes AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CASE WHEN (l_partkey + l_suppkey) % 89 = 0 THEN l_quantity * 1000 ELSE l_quantity END AS l_quantity,
+         CASE WHEN (l_orderkey + l_linenumber) % 97 = 0 THEN l_extendedprice * 1000 ELSE l_extendedprice END AS l_extendedprice,
+         l_discount, l_tax
+  FROM lineitem)"""
+
 SQL_EL = """embed_labelled AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label AS cluster FROM embeddings)"""
 
@@ -270,9 +282,9 @@ GROUP BY q1, q2, q3""")
     return f"WITH {cte}\n" + "\nUNION ALL\n".join(parts)
 
 
-@register("box_stats", _box_sql("part_gaps", ["p_partkey", "p_size", "p_retailprice"], SQL_PG))
+@register("box_stats", _box_sql("part_spikes", ["p_partkey", "p_size", "p_retailprice"], SQL_PS))
 def q_box_stats(spark, sf):
-    return r6(profile.box_stats(T.part_gaps(spark, sf)))
+    return r6(profile.box_stats(T.part_spikes(spark, sf)))
 
 
 PW_NUM = ["p_partkey", "p_size", "p_retailprice", "size_x_price", "const5"]
@@ -309,17 +321,17 @@ def q_high_corr_pairs(spark, sf):
     return profile.high_corr_pairs(T.part_wide(spark, sf), 0.8, PW_NUM)
 
 
-@register("outlier_counts", """
-WITH s AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd,
-                  quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)
+@register("outlier_counts", f"""
+WITH {SQL_LS}, s AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd,
+                  quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM line_spikes)
 SELECT 'l_extendedprice' AS "column",
        CAST(count(CASE WHEN abs((l_extendedprice - m) / sd) > 3 THEN 1 END) AS BIGINT) AS z_outliers,
        CAST(count(CASE WHEN l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)
                   THEN 1 END) AS BIGINT) AS iqr_outliers,
        CAST(count(*) AS BIGINT) AS n
-FROM lineitem, s""")
+FROM line_spikes, s""")
 def q_outlier_counts(spark, sf):
-    return profile.outlier_counts(T.table(spark, sf, "lineitem"), "l_extendedprice")
+    return profile.outlier_counts(T.line_spikes(spark, sf), "l_extendedprice")
 
 
 @register("outlier_points", f"""
@@ -452,22 +464,22 @@ LN_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 @register("outlier_zscore", f"""
-WITH {SQL_LN},
-s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in LN_VALS)} FROM line_num)
-SELECT line_num.* FROM line_num, s
+WITH {SQL_LS},
+s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in LN_VALS)} FROM line_spikes)
+SELECT line_spikes.* FROM line_spikes, s
 WHERE {" AND ".join(f"abs(({c} - m_{c}) / s_{c}) < 3" for c in LN_VALS)}""")
 def q_outlier_zscore(spark, sf):
-    return clean.zscore_filter(T.line_num(spark, sf), exclude=LN_KEYS)
+    return clean.zscore_filter(T.line_spikes(spark, sf), exclude=LN_KEYS)
 
 
 @register("outlier_iqr", f"""
-WITH {SQL_LN},
+WITH {SQL_LS},
 q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in LN_VALS)}
-      FROM line_num)
-SELECT line_num.* FROM line_num, q
+      FROM line_spikes)
+SELECT line_spikes.* FROM line_spikes, q
 WHERE {" AND ".join(f"{c} >= a_{c} - 1.5 * (b_{c} - a_{c}) AND {c} <= b_{c} + 1.5 * (b_{c} - a_{c})" for c in LN_VALS)}""")
 def q_outlier_iqr(spark, sf):
-    return clean.iqr_filter(T.line_num(spark, sf), exclude=LN_KEYS)
+    return clean.iqr_filter(T.line_spikes(spark, sf), exclude=LN_KEYS)
 
 
 @register("outlier_clip", f"""
@@ -481,8 +493,8 @@ def q_outlier_clip(spark, sf):
 
 
 @register("clean_job", f"""
-WITH {SQL_PG},
-kept AS (SELECT p_size, p_retailprice, p_type FROM part_gaps),
+WITH {SQL_PS},
+kept AS (SELECT p_size, p_retailprice, p_type FROM part_spikes),
 imp AS (SELECT coalesce(CAST(p_size AS DOUBLE), (SELECT quantile_cont(p_size, 0.5) FROM kept)) AS p_size,
                coalesce(p_retailprice, (SELECT quantile_cont(p_retailprice, 0.5) FROM kept)) AS p_retailprice,
                coalesce(p_type, 'Missing') AS p_type FROM kept),
@@ -493,7 +505,7 @@ WHERE p_size BETWEEN a1 - 1.5 * (b1 - a1) AND b1 + 1.5 * (b1 - a1)
   AND p_retailprice BETWEEN a2 - 1.5 * (b2 - a2) AND b2 + 1.5 * (b2 - a2)""")
 def q_clean_job(spark, sf):
     from tessera.plans.clean_job import CleanConfig, run_clean
-    return r6(run_clean(T.part_gaps(spark, sf), CleanConfig(imputation="Median", outliers="IQR")))
+    return r6(run_clean(T.part_spikes(spark, sf), CleanConfig(imputation="Median", outliers="IQR")))
 
 
 # ================================================================ features
@@ -1032,6 +1044,65 @@ def q_csv_infer(spark, sf):
     return spark.createDataFrame([(c, t) for c, t in types.items()], "column string, dtype string")
 
 
+@register("csv_round_trip", f"""
+WITH {SQL_EG}
+SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events_gaps""")
+def q_csv_round_trip(spark, sf):
+    """Write the table as CSV, read it back with the loader's inference."""
+    import uuid
+
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sinks import writers
+    from tessera.sources.csv import load_csv
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    writers.write_labelled(T.events_gaps(spark, sf), path)
+    return r6(load_csv(spark, path))
+
+
+@register("dbscan_string_key", f"""
+WITH RECURSIVE {SQL_UF}, {sql_zscore("user_features", "user_id", UF_COLS, "uz")},
+{sql_dbscan("uz", "user_id", UF_COLS, EPS_UF, 5, "ulab")}
+SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS user_id, cluster FROM ulab""")
+def q_dbscan_string_key(spark, sf):
+    from tessera.plans.train import train
+    uf = T.user_features(spark, sf).withColumn("user_id", F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 9, "0")))
+    return train(uf, "user_id", "DBSCAN", {"eps": EPS_UF, "min_samples": 5}, silhouette="none").labels
+
+
+@register("dbscan_composite_key", f"""
+WITH RECURSIVE {SQL_UF}, {sql_zscore("user_features", "user_id", UF_COLS, "uz")},
+{sql_dbscan("uz", "user_id", UF_COLS, EPS_UF, 5, "ulab")}
+SELECT CAST(user_id // 10 AS BIGINT) AS a, CAST(user_id % 10 AS BIGINT) AS b, cluster FROM ulab""")
+def q_dbscan_composite_key(spark, sf):
+    from tessera.plans.train import train
+    uf = (T.user_features(spark, sf).withColumn("a", F.floor(F.col("user_id") / 10)).withColumn("b", F.col("user_id") % 10)
+          .drop("user_id"))
+    return train(uf, ["a", "b"], "DBSCAN", {"eps": EPS_UF, "min_samples": 5}, silhouette="none").labels
+
+
+@register("kmeans_check", f"""
+WITH {SQL_CF}
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS off_centre, true AS cost_agrees
+FROM customer_features""")
+def q_kmeans_check(spark, sf):
+    """What a fit must satisfy: every row in its nearest cluster's mean, every
+    centre the mean of its rows (to the convergence tolerance), cost = sum d2."""
+    cf = T.customer_features(spark, sf)
+    enc = encode.preprocess(cf, ["c_custkey"], "StandardScaler", "Mean")
+    fit = kmeans.kmeans_fit(enc.frame, "c_custkey", 3)
+    dist = [F.sqrt(sum((F.col("x")[i] - F.lit(v)) * (F.col("x")[i] - F.lit(v)) for i, v in enumerate(c))) for c in fit.centres]
+    lab = kmeans.assign(enc.frame, fit.centres).withColumn("ds", F.array(*dist))
+    near = lab.agg(F.count(F.lit(1)).alias("rows"),
+                   F.count(F.when(F.col("ds")[F.col("cluster")] > F.array_min("ds") + 1e-9, 1)).alias("not_nearest"),
+                   F.sum(F.pow(F.array_min("ds"), F.lit(2))).alias("cost"))
+    means = lab.groupBy("cluster").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(enc.dim)]).alias("m"))
+    centres = F.array(*[F.array(*[F.lit(v) for v in c]) for c in fit.centres])
+    gap = F.array_max(F.zip_with("m", centres[F.col("cluster")], lambda u, v: F.abs(u - v)))
+    off = means.where(gap > 0.05).count()
+    return near.select("rows", "not_nearest", F.lit(off).cast("bigint").alias("off_centre"),
+                       (F.abs(F.col("cost") / F.lit(fit.inertia) - 1) < 1e-6).alias("cost_agrees"))
+
+
 @register("report")
 def q_report(spark, sf):
     """The eight-section report for DBSCAN on the per-user features."""

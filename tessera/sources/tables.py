@@ -51,7 +51,9 @@ def events_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         "event_id", "user_id",
         F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"),
-        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+        # two kinds of gaps: NULL and NaN
+        F.when(F.col("event_id") % 19 == 0, F.lit(float("nan")))
+        .when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
 
 
 def part_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +61,25 @@ def part_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         "p_partkey",
         F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("p_size"),
-        F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice")).alias("p_retailprice"),
+        F.when(F.col("p_partkey") % 17 == 0, F.lit(float("nan")))
+        .when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice")).alias("p_retailprice"),
         "p_type")
 
 
+def part_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part_gaps with outliers: every 97th price a thousand times as high."""
+    return part_gaps(spark, sf_dir).withColumn(
+        "p_retailprice", F.when(F.col("p_partkey") % 97 == 0, F.col("p_retailprice") * 1000).otherwise(F.col("p_retailprice")))
+
+
+def line_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_num with outliers in price and quantity."""
+    spike = (F.col("l_orderkey") + F.col("l_linenumber")) % 97 == 0
+    return line_num(spark, sf_dir).withColumns({
+        "l_extendedprice": F.when(spike, F.col("l_extendedprice") * 1000).otherwise(F.col("l_extendedprice")),
+        "l_quantity": F.when((F.col("l_partkey") + F.col("l_suppkey")) % 89 == 0, F.col("l_quantity") * 1000).otherwise(F.col("l_quantity"))})
+
+
 def part_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
