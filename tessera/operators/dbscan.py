@@ -4,7 +4,7 @@
    neighbourhood, core status and label), so duplicates never produce pairs;
 1. eps-join (grid cells, salted) -> neighbour pairs of units, self excluded;
 2. core: neighbours counted with multiplicity, itself included, >= min_samples;
-3. connected components of the core-core graph (distributed union-find);
+3. connected components of the core-core graph;
 4. a non-core point with a core neighbour takes the smallest cluster number
    among its core neighbours (that is the cluster that reaches it first when
    clusters are grown in key order); all others are noise (-1);
@@ -22,8 +22,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import sq_dist
 from tessera.operators.graph import connected_components, dense_index
-from tessera.operators.pairs import eps_join, vector_dim
+from tessera.operators.pairs import _salts, eps_join, grid_axes, vector_dim
 
 
 @dataclass(frozen=True)
@@ -40,18 +41,12 @@ def _units(pts: DataFrame) -> DataFrame:
     return pts.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
 
 
-def _unit_pairs(units: DataFrame, eps: float, dim: int, max_cell_rows: int):
-    pairs = eps_join(units.select("id", "x"), eps, dim, max_cell_rows=max_cell_rows)
-    both = (pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
-            .unionByName(pairs.select(F.col("j").alias("a"), F.col("i").alias("b"))))
-    return pairs, both
-
-
-def _unit_degree(units: DataFrame, both: DataFrame) -> DataFrame:
-    """(id, n): neighbours of a unit counted with multiplicity, itself included."""
-    wb = both.join(units.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    nb = wb.groupBy("a").agg(F.sum("wb").alias("nbw"))
-    return (units.select("id", "w").join(nb.withColumnRenamed("a", "id"), "id", "left")
+def _unit_degree(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, n): neighbours of a unit counted with multiplicity, itself
+    included. Pairs carry the weights, so counting is one partial aggregate."""
+    nb = (pairs.select(F.col("i").alias("id"), F.col("w_j").alias("w")).union(pairs.select("j", "w_i"))
+          .groupBy("id").agg(F.sum("w").alias("nbw")))
+    return (units.select("id", "w").join(nb, "id", "left")
             .select("id", (F.col("w") + F.coalesce("nbw", F.lit(0))).alias("n")))
 
 
@@ -59,7 +54,7 @@ def _labels_from_pairs(pts: DataFrame, units: DataFrame, pairs: DataFrame, min_s
                        key: str) -> DBSCANResult:
     both = (pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
             .unionByName(pairs.select(F.col("j").alias("a"), F.col("i").alias("b"))))
-    core = (_unit_degree(units, both).where(F.col("n") >= min_samples)
+    core = (_unit_degree(units, pairs).where(F.col("n") >= min_samples)
             .select("id").persist(StorageLevel.MEMORY_AND_DISK))
     cc_edges = (pairs.join(core.withColumnRenamed("id", "i"), "i", "left_semi")
                 .join(core.withColumnRenamed("id", "j"), "j", "left_semi")
@@ -90,8 +85,10 @@ def dbscan_fit(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
     pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
     units = _units(pts).persist(StorageLevel.MEMORY_AND_DISK)
     dim = vector_dim(units)
-    pairs, _ = _unit_pairs(units, eps, dim, max_cell_rows)
-    return _labels_from_pairs(pts, units, pairs.persist(StorageLevel.MEMORY_AND_DISK), min_samples, key)
+    pairs = eps_join(units, eps, dim, max_cell_rows=max_cell_rows, carry=("w",)).persist(StorageLevel.MEMORY_AND_DISK)
+    found = _labels_from_pairs(pts, units, pairs, min_samples, key)
+    pairs.unpersist()  # the labels are checkpointed
+    return found
 
 
 def dbscan_multi(df: DataFrame, key: str, eps_list: list[float], min_samples: int = 5, x: str = "x",
@@ -101,11 +98,11 @@ def dbscan_multi(df: DataFrame, key: str, eps_list: list[float], min_samples: in
     pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
     units = _units(pts).persist(StorageLevel.MEMORY_AND_DISK)
     dim = vector_dim(units)
-    widest = (eps_join(units.select("id", "x"), max(eps_list), dim, max_cell_rows=max_cell_rows, with_d2=True)
+    widest = (eps_join(units, max(eps_list), dim, max_cell_rows=max_cell_rows, with_d2=True, carry=("w",))
               .persist(StorageLevel.MEMORY_AND_DISK))
     out = None
     for eps in eps_list:
-        pairs = widest.where(F.col("d2") <= F.lit(float(eps) * float(eps))).select("i", "j")
+        pairs = widest.where(F.col("d2") <= F.lit(float(eps) * float(eps)))
         lab = _labels_from_pairs(pts, units, pairs, min_samples, key).labels
         lab = lab.select(F.lit(float(eps)).alias("eps"), key, "cluster")
         out = lab if out is None else out.unionByName(lab)
@@ -123,8 +120,7 @@ def neighbour_counts(df: DataFrame, key: str, eps: float, x: str = "x",
     """``(key, n_neighbors)``: points within eps, the point itself included."""
     pts = df.select(F.col(key).alias("id"), F.col(x).alias("x"))
     units = _units(pts)
-    _, both = _unit_pairs(units, eps, vector_dim(units), max_cell_rows)
-    deg = _unit_degree(units, both)
+    deg = _unit_degree(units, eps_join(units, eps, vector_dim(units), max_cell_rows=max_cell_rows, carry=("w",)))
     return (pts.join(units.select("x", F.col("id").alias("uid")), "x")
             .join(deg.withColumnRenamed("id", "uid"), "uid")
             .select(F.col("id").alias(key), F.col("n").cast("bigint").alias("n_neighbors")))
@@ -137,28 +133,29 @@ def core_points(df: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5,
             .join(res.labels, key).select(key, F.col(x).alias("x"), "cluster"))
 
 
-def assign_to_core(new: DataFrame, core: DataFrame, key: str, eps: float, x: str = "x") -> DataFrame:
+def assign_to_core(new: DataFrame, core: DataFrame, key: str, eps: float, x: str = "x",
+                   max_cell_rows: int = 20000) -> DataFrame:
     """New rows take the cluster of their nearest core point within eps
     (ties to the lower cluster number); rows with no core point within eps
-    are noise. Uses the same grid eps-join, between two different tables."""
-    from tessera.functions.exprs import sq_dist
+    are noise. The same grid as the eps-join, on the two coordinates along
+    which the core points vary most, between two tables; crowded cells are
+    salted alike."""
     dim = vector_dim(new, x)
-    a0, a1 = 0, (1 if dim > 1 else None)
-
-    def cells(df, idc, xc):
-        return df.select(F.col(idc).alias("nid"), F.col(xc).alias("nx"),
-                         F.floor(F.col(xc)[a0] / eps).alias("cx"),
-                         (F.floor(F.col(xc)[a1] / eps) if a1 is not None else F.lit(0).cast("long")).alias("cy"))
-
-    probe = cells(new, key, x)
-    offs = [(dx, dy) for dx in (-1, 0, 1) for dy in ((-1, 0, 1) if a1 is not None else (0,))]
-    build = (core.select(F.col("x").alias("kx"), F.col("cluster").alias("kc"),
-                         F.floor(F.col("x")[a0] / eps).alias("bx"),
-                         (F.floor(F.col("x")[a1] / eps) if a1 is not None else F.lit(0).cast("long")).alias("by"))
-             .select("kx", "kc", F.explode(F.array(*[F.struct((F.col("bx") + dx).alias("cx"), (F.col("by") + dy).alias("cy"))
-                                                      for dx, dy in offs])).alias("c"))
-             .select("kx", "kc", "c.cx", "c.cy"))
-    near = (probe.join(build, ["cx", "cy"])
+    axes = grid_axes(core, dim)
+
+    def cells(df, c):
+        return [F.floor(F.col(c)[axes[0]] / eps).alias("cx"),
+                (F.floor(F.col(c)[axes[1]] / eps) if len(axes) > 1 else F.lit(0).cast("long")).alias("cy")]
+
+    probe = new.select(F.col(key).alias("nid"), F.col(x).alias("nx"), *cells(new, x))
+    salted = _salts(probe, max_cell_rows)
+    offs = [(dx, dy) for dx in (-1, 0, 1) for dy in ((-1, 0, 1) if len(axes) > 1 else (0,))]
+    near_cells = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx, dy in offs]))
+    build = (core.select(F.col("x").alias("kx"), F.col("cluster").alias("kc"), *cells(core, "x"))
+             .select("kx", "kc", near_cells.alias("c")).select("kx", "kc", "c.cx", "c.cy"))
+    build = salted(build).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    probe = salted(probe).withColumn("salt", F.pmod(F.xxhash64("nid"), F.col("salts")).cast("int")).drop("salts")
+    near = (probe.join(build, ["cx", "cy", "salt"])
             .withColumn("d2", sq_dist("nx", "kx", dim))
             .where(F.col("d2") <= eps * eps)
             .groupBy("nid").agg(F.min(F.struct("d2", "kc")).alias("b")))

@@ -9,11 +9,13 @@ neighbourhood is joined (the own cell and four "forward" cells), which
 finds every unordered pair exactly once and replicates each point 5 times
 instead of 9.
 
-Skew: a crowded cell would put all its points into one join task. Cells
-are counted first (one aggregate, kept as a DataFrame) and every cell gets
-a salt factor ``ceil(n / max_cell_rows)``; the probing side is split by a
-hash of the row id, the replicated side is copied once per salt. Every
-task then holds at most ``max_cell_rows`` probe rows of one cell.
+Skew: a crowded cell would put all its points into one join task. Cells are
+counted (a partial aggregate), and only those above ``max_cell_rows`` are
+kept, at most rows / max_cell_rows of them: a table so small that it is
+broadcast to give these cells a salt factor, without shuffling the points.
+The probing side is split by a hash of the row id, the replicated side is
+copied once per salt. Every task then holds at most ``max_cell_rows`` probe
+rows of one cell.
 """
 
 from __future__ import annotations
@@ -45,11 +47,31 @@ def grid_axes(pts: DataFrame, dim: int, x: str = "x") -> list[int]:
     return sorted(order[:2])
 
 
+#: Crowded cells at most so many are broadcast (a few dozen bytes each); more are joined by a shuffle.
+BROADCAST_CELLS = 200_000
+
+
+def _salts(base: DataFrame, max_cell_rows: int):
+    """A function that adds ``salts`` to a frame with cx, cy: the number of
+    parts of the cell, 1 for all cells but the crowded ones."""
+    crowded = (base.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell_rows)
+               .select("cx", "cy", F.ceil(F.col("n") / F.lit(float(max_cell_rows))).cast("int").alias("salts")))
+    crowded = crowded.persist()
+    n = crowded.count()
+    if n == 0:
+        crowded.unpersist()
+        return lambda df: df.withColumn("salts", F.lit(1))
+    table = F.broadcast(crowded) if n <= BROADCAST_CELLS else crowded
+    return lambda df: df.join(table, ["cx", "cy"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+
 def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
-             max_cell_rows: int = 20000, axes: list[int] | None = None, with_d2: bool = False) -> DataFrame:
+             max_cell_rows: int = 20000, axes: list[int] | None = None, with_d2: bool = False,
+             carry: tuple[str, ...] = ()) -> DataFrame:
     """All unordered pairs ``(i, j)``, ``i < j``, with Euclidean distance <= eps.
 
-    ``pts`` has columns ``id`` (orderable, unique) and ``x`` (array<double>).
+    ``pts`` has columns ``id`` (orderable, unique) and ``x`` (array<double>);
+    columns named in ``carry`` come along as ``<name>_i`` and ``<name>_j``.
     """
     if eps <= 0:
         raise ValueError("eps must be positive")
@@ -58,25 +80,22 @@ def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
     a0 = axes[0]
     a1 = axes[1] if len(axes) > 1 else None
     base = pts.select(
-        "id", F.col(x).alias("x"),
+        "id", F.col(x).alias("x"), *carry,
         F.floor(F.col(x)[a0] / F.lit(eps)).alias("cx"),
         (F.floor(F.col(x)[a1] / F.lit(eps)) if a1 is not None else F.lit(0).cast("long")).alias("cy"))
-    cells = base.groupBy("cx", "cy").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(max_cell_rows))).cast("int").alias("salts"))
-    probe = (base.join(cells, ["cx", "cy"])
-             .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-             .select("id", "x", "cx", "cy", "salt"))
+    salted = _salts(base, max_cell_rows)
+    probe = (salted(base).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+             .select("id", "x", "cx", "cy", "salt", *[F.col(c).alias(f"{c}_1") for c in carry]))
     offsets = _HALF_2D if a1 is not None else _HALF_1D
     # a point of cell Q meets the probe cells Q - o, o in the half
     # neighbourhood: each pair of adjacent cells is joined once, and a pair
     # inside one cell is kept in id order
     shifted = base.select(
-        F.col("id").alias("id2"), F.col("x").alias("x2"),
+        F.col("id").alias("id2"), F.col("x").alias("x2"), *[F.col(c).alias(f"{c}_2") for c in carry],
         F.explode(F.array(*[F.struct((F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"),
                                      F.lit(dx == 0 and dy == 0).alias("same"))
                             for dx, dy in offsets])).alias("c"))
-    build = (shifted.select("id2", "x2", "c.cx", "c.cy", "c.same")
-             .join(cells, ["cx", "cy"])  # only cells that exist
+    build = (salted(shifted.select("id2", "x2", "c.cx", "c.cy", "c.same", *[f"{c}_2" for c in carry]))
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
              .drop("salts"))
     out = (probe.join(build, ["cx", "cy", "salt"])
@@ -85,6 +104,10 @@ def eps_join(pts: DataFrame, eps: float, dim: int | None = None, x: str = "x",
            .where(F.col("d2") <= F.lit(float(eps) * float(eps))))
     cols = [F.least("id", "id2").alias("i"), F.greatest("id", "id2").alias("j")]
     cols += [F.col("d2")] if with_d2 else []
+    for c in carry:
+        first = F.col("id") < F.col("id2")
+        cols += [F.when(first, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(f"{c}_i"),
+                 F.when(first, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1")).alias(f"{c}_j")]
     return out.select(*cols)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, numeric_cols
 
+# The phrases of the descriptions.
 NOISE_TEXT = "Outlier points not assigned to any cluster by DBSCAN."
 
 
@@ -62,7 +63,10 @@ def feature_importance(labelled: DataFrame, key_cols: list[str], cluster: str =
 
 def cluster_heatmap(labelled: DataFrame, key_cols: list[str], cluster: str = "cluster",
                     features: list[str] | None = None) -> DataFrame:
-    """Cluster means scaled per feature: (m - min) / (max - min + 1e-9)."""
+    """Cluster means scaled per feature: (m - min) / (max - min + 1e-9); no
+    rows for a single feature, which has nothing to compare."""
+    if len(_features(labelled, key_cols, cluster, features)) < 2:
+        labelled = labelled.limit(0)
     long = profile_long(labelled, key_cols, cluster, features)
     w = Window.partitionBy("feature")
     lo, hi = F.min("mean").over(w), F.max("mean").over(w)
@@ -71,7 +75,9 @@ def cluster_heatmap(labelled: DataFrame, key_cols: list[str], cluster: str = "cl
 
 def pair_scatter(labelled: DataFrame, key_cols: list[str], cluster: str = "cluster",
                  features: list[str] | None = None, top: int = 4) -> DataFrame:
-    """Key, the top features by spread, and the label."""
+    """Key, the top features by spread, and the label; no rows for a single feature."""
+    if len(_features(labelled, key_cols, cluster, features)) < 2:
+        labelled = labelled.limit(0)
     best = [r["feature"] for r in feature_importance(labelled, key_cols, cluster, features, top).collect()]
     return labelled.select(*key_cols, *best, cluster)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import null_if_nan, ref
@@ -79,14 +79,14 @@ def load_model(spark: SparkSession, path: str) -> dict:
     return model
 
 
-def encode_with(model: dict, df: DataFrame, key: str) -> DataFrame:
-    """Apply saved imputation, scaling and one-hot to a new table -> (key, x)."""
+def feature_vector(meta: dict) -> Column:
+    """The encoded feature vector of a saved model as one expression: imputed
+    and scaled numbers, then the one-hot block. NaN is missing, as in training."""
     from tessera.operators.encode import MISSING
-    meta = model["meta"]
     parts = []
     sc, imp = meta["scaler"], meta["imputer"]
     for c in meta["numeric"]:
-        x = null_if_nan(ref(c).cast("double"))  # NaN is missing, as in training
+        x = null_if_nan(ref(c).cast("double"))
         if imp and imp["fill"].get(c) is not None:
             x = F.coalesce(x, F.lit(imp["fill"][c]))
         ctr, s = sc["center"].get(c), sc["scale"].get(c)
@@ -99,7 +99,12 @@ def encode_with(model: dict, df: DataFrame, key: str) -> DataFrame:
     for c, values in meta["categories"].items():
         filled = F.coalesce(ref(c).cast("string"), F.lit(MISSING))
         parts += [F.when(filled == F.lit(v), 1.0).otherwise(0.0) for v in values]
-    return df.select(key, F.array(*[p.cast("double") for p in parts]).alias("x"))
+    return F.array(*[p.cast("double") for p in parts])
+
+
+def encode_with(model: dict, df: DataFrame, key: str) -> DataFrame:
+    """Apply saved imputation, scaling and one-hot to a new table -> (key, x)."""
+    return df.select(key, feature_vector(model["meta"]).alias("x"))
 
 
 def score(model: dict, df: DataFrame, key: str) -> DataFrame:

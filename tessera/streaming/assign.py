@@ -18,33 +18,15 @@ from pyspark.sql import functions as F
 from tessera.operators import encode
 from tessera.operators.kmeans import assign, kmeans_fit
 from tessera.session import ensure_checkpoint_dir
+from tessera.sinks.writers import feature_vector
 
 
 def assign_stream(stream: DataFrame, model: dict, key: str, keep: list[str] = ()) -> DataFrame:
     """(key, kept columns..., cluster) for every row of a streaming frame."""
-    scored = stream.withColumn("x", _x_expr(model))
+    scored = stream.withColumn("x", feature_vector(model["meta"]))
     return assign(scored, model["centres"]).select(key, *keep, "cluster")
 
 
-def _x_expr(model: dict):
-    """The encoded feature vector as one column expression (no join)."""
-    from tessera.operators.encode import MISSING
-    meta = model["meta"]
-    parts = []
-    sc, imp = meta["scaler"], meta["imputer"]
-    for c in meta["numeric"]:
-        v = F.col(c).cast("double")
-        if imp and imp["fill"].get(c) is not None:
-            v = F.coalesce(v, F.lit(imp["fill"][c]))
-        ctr, s = sc["center"].get(c), sc["scale"].get(c)
-        parts.append(v if ctr is None else (F.when(v.isNotNull(), F.lit(0.0)) if s is None
-                                            else (v - F.lit(ctr)) / F.lit(s)))
-    for c, values in meta["categories"].items():
-        filled = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-        parts += [F.when(filled == F.lit(v), 1.0).otherwise(0.0) for v in values]
-    return F.array(*[p.cast("double") for p in parts])
-
-
 def share_drift(scored: DataFrame, ts: str, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Rows per (event-time window, cluster), with a watermark on ``ts``."""
     # watermarks need TIMESTAMP (session time zone); NTZ columns are converted
@@ -67,27 +49,30 @@ def fit_static_model(df: DataFrame, key: str, k: int = 3, scaler: str = "Standar
 
 
 def events_drift(spark: SparkSession, sf_dir: str, k: int = 3, window: str = "1 day",
-                 watermark: str = "1 hour", files_per_trigger: int = 1, output_mode: str = "complete") -> DataFrame:
+                 watermark: str = "1 hour", files_per_trigger: int = 1) -> DataFrame:
     """Fit KMeans on the static events features, then replay the events
     table as a stream and return the per-day cluster counts it produced.
 
-    A finite replay uses complete mode so that the last windows are flushed
-    (the result is windows x clusters rows); an unbounded stream should use
-    append mode, where the watermark closes windows and drops their state.
+    Update mode: a micro-batch writes the windows it changed as files in the
+    shared folder, the watermark drops the state of closed windows, and
+    nothing is kept in the driver. Counts only grow, so a window's last
+    count is its largest.
     """
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     static = spark.read.parquet(path)
-    feats = static.select("event_id", "event_type", "value")
-    model = fit_static_model(feats, "event_id", k)
+    model = fit_static_model(static.select("event_id", "event_type", "value"), "event_id", k)
     # the file source watches a directory; the glob picks the events file(s)
     stream = (spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files_per_trigger)
               .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
-    scored = stream.withColumn("x", _x_expr(model))
-    scored = assign(scored, model["centres"]).select("event_id", "ts", "cluster")
-    drift = share_drift(scored, "ts", window, watermark)
-    name = f"drift_{uuid.uuid4().hex[:8]}"
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (drift.writeStream.outputMode(output_mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    drift = share_drift(assign_stream(stream, model, "event_id", ["ts"]), "ts", window, watermark)
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again after a failure overwrites its own files
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+
+    q = (drift.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return (spark.read.schema(drift.schema).parquet(f"{home}/out")
+            .groupBy("window_start", "window_end", "cluster").agg(F.max("n").alias("n")))
