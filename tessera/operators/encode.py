@@ -165,6 +165,21 @@ def one_hot(df: DataFrame, cols: list[str], max_categories: int = 1000) -> DataF
     return df.select(*keep, *[e.alias(n) for e, n in zip(exprs, names)])
 
 
+def one_hot_sparse(df: DataFrame, key_cols: list[str], cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((keys, indices), dictionary): the positions of the ones, for any number
+    of categories. The dictionary (column, value, index), ordered by column
+    and value, is a table that is joined, never collected."""
+    from tessera.operators.graph import dense_index
+    long = df.select(*[ref(c) for c in key_cols], F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias("v"))
+        for i, c in enumerate(cols)])).alias("_cv"))
+    index = dense_index(long, "_cv", out="index").withColumn("index", F.col("index").cast("long"))
+    ones = (long.join(index, "_cv").groupBy(*[ref(c) for c in key_cols])
+            .agg(F.array_sort(F.collect_list("index")).alias("indices")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return ones, index.select(names[F.col("_cv.i")].alias("column"), F.col("_cv.v").alias("value"), "index")
+
+
 # ----------------------------------------------------------------- assemble
 
 @dataclass(frozen=True)

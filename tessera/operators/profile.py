@@ -158,6 +158,9 @@ def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 # ------------------------------------------------------------ C1 correlation
 
+PAIRS_PER_JOB = 150
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered column pair on pairwise-complete rows.
 
@@ -177,13 +180,18 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             r = F.try_divide(F.covar_pop(ya, yb), F.stddev_pop(ya) * F.stddev_pop(yb))
             exprs.append(r.alias(f"r{len(pairs)}"))
             pairs.append((a, b))
-    agg = df.agg(*exprs)
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"r{k}").alias("r")))
-    return agg.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    # a wide table takes several aggregates of a size that still compiles
+    out = None
+    for lo in range(0, len(pairs), PAIRS_PER_JOB):
+        part = pairs[lo: lo + PAIRS_PER_JOB]
+        structs = []
+        for k, (a, b) in enumerate(part, lo):
+            structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r")))
+            if a != b:
+                structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"r{k}").alias("r")))
+        agg = df.agg(*exprs[lo: lo + PAIRS_PER_JOB]).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+        out = agg if out is None else out.union(agg)
+    return out
 
 
 def high_corr_pairs(df: DataFrame, threshold: float = 0.8, cols: list[str] | None = None) -> DataFrame:

@@ -39,3 +39,25 @@ def test_mean_imputer_leaves_all_null_column_null(spark):
     fitted = encode.fit_imputer(df, ["d"], "Mean")
     assert fitted.fill["d"] is None
     assert fitted.transform(df, ["d"]).where("d is not null").count() == 0
+
+
+def test_sparse_one_hot_has_no_limit(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators.encode import one_hot_sparse
+    df = spark.range(3000).select("id", F.concat(F.lit("v"), F.col("id") % 1500).alias("a"),
+                                  F.when(F.col("id") % 2 == 0, F.lit("x")).alias("b.c"))
+    ones, names = one_hot_sparse(df, ["id"], ["a", "b.c"])
+    assert names.count() == 1502 and names.agg(F.max("index")).collect()[0][0] == 1501
+    index = {(r["column"], r["value"]): r["index"] for r in names.collect()}
+    got = {r["id"]: r["indices"] for r in ones.collect()}
+    assert got[7] == [index["a", "v7"], index["b.c", "Missing"]] and got[1508] == [index["a", "v8"], index["b.c", "x"]]
+
+
+def test_wide_correlation(spark):
+    import numpy as np
+    from tessera.operators.profile import corr_matrix
+    x = np.random.default_rng(3).normal(size=(40, 30))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], [f"c{i}" for i in range(30)])
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in corr_matrix(df).collect()}
+    want = np.corrcoef(x.T)
+    assert len(got) == 900 and all(abs(got[f"c{i}", f"c{j}"] - want[i, j]) < 1e-9 for i in range(30) for j in range(30))
