@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import Merges
 from tessera.llm.common import slices, table
 
-MAX_STATES = 400_000
-MAX_WORDS = 600_000
+MAX_STATES = 250_000
+MAX_WORDS = 400_000
 CHUNK_CHARS = 1 << 16
 ARITY = 32
 #: The characters with the Unicode property White_Space.
