@@ -27,6 +27,7 @@ from tessera.llm.common import BROADCAST_IDS, free_name, materialize, table
 from tessera.session import ship_package
 
 MIN_QUALITY = 0.3
+SIMILARITY = 80  # percent of five-word shingles
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = minhash_dedup.near_duplicates(docs)
+    found = minhash_dedup.near_duplicates(docs, percent=SIMILARITY)
     gone = materialize(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
     n = gone.count()  # 8 bytes each: broadcast up to a bound, else shuffled, with the same result
     left = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti")

@@ -6,8 +6,8 @@ sketch values are the keys of inverted lists.
 
 1. Documents with equal sets (size and 128-bit fingerprint of the whole set)
    form one class; only class representatives are compared.
-2. A pair of Jaccard similarity >= 0.85 shares far more than ``share`` of its
-   sketches (k = 64: below 60 % has a probability of about 1e-7 at exactly
+2. A pair of Jaccard similarity >= 0.85 shares far more than ``share`` (0.6)
+   of its sketches (k = 64: below 60 % has a probability of about 1e-7 at exactly
    0.85). Sketch values are ranked by how many documents retain them, and a
    document enters the lists of its rarest values only: so many that two
    documents sharing ``share`` of their sketches must meet (prefix
@@ -208,13 +208,15 @@ def _compare_blocks(least: float):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    k: int = K, percent: int = 85, share: float = 0.6, estimate: float | None = None,
+                    k: int = K, percent: int = 85, share: float | None = None, estimate: float | None = None,
                     short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Two documents are linked when 100 * intersection >= percent * union of
     their shingle sets; ``component_id`` is the smallest id reachable.
     """
+    if share is None:
+        share = percent / 100 - 0.25
     if estimate is None:
         estimate = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

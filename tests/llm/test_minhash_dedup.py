@@ -57,6 +57,7 @@ def test_long_lists_keep_every_link(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(df, rows, short_list=4, block=32)  # many blocks
     check(df, rows, short_list=4)
+    assert sorted((tuple(r) for r in near_duplicates(df, percent=80).collect()), key=str) == brute(rows, 80)
 
 
 def test_edge_rows(spark):
