@@ -8,6 +8,7 @@ BIGINT on both sides; every computed column is aliased identically.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -995,19 +996,41 @@ pc AS (SELECT a.{key} AS i, a.cluster AS own, b.cluster AS pc, sum(sqrt({d})) AS
 ab AS (SELECT i, max(CASE WHEN pc.pc = own THEN s / (sz.n - 1) END) AS a, min(CASE WHEN pc.pc <> own THEN s / sz.n END) AS b,
               max(CASE WHEN pc.pc = own THEN sz.n END) AS own_n FROM pc JOIN sz ON sz.cluster = pc.pc GROUP BY i),
 sil AS (SELECT avg(CASE WHEN own_n <= 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab),
-c AS (SELECT cluster, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in cols)} FROM v GROUP BY cluster),
+c AS (SELECT cluster, count(*) AS n_rows, {", ".join(f"avg({c}) AS {c}" for c in cols)} FROM v GROUP BY cluster),
 g AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in cols)} FROM v),
 intra AS (SELECT v.cluster, avg(sqrt({dc})) AS s, sum({dc}) AS w FROM v JOIN c USING (cluster) GROUP BY v.cluster),
 dbr AS (SELECT a.cluster, max((ia.s + ib.s) / sqrt({dcc})) AS r FROM c a JOIN c b ON a.cluster <> b.cluster
         JOIN intra ia ON ia.cluster = a.cluster JOIN intra ib ON ib.cluster = b.cluster GROUP BY a.cluster),
 db AS (SELECT avg(r) AS davies_bouldin FROM dbr),
 ch AS (SELECT CASE WHEN (SELECT sum(w) FROM intra) = 0 THEN 1.0 ELSE
-          (SELECT sum(c.n * ({dg})) FROM c, g) * ((SELECT count(*) FROM v) - (SELECT count(*) FROM c))
+          (SELECT sum(c.n_rows * ({dg})) FROM c, g) * ((SELECT count(*) FROM v) - (SELECT count(*) FROM c))
           / ((SELECT sum(w) FROM intra) * ((SELECT count(*) FROM c) - 1)) END AS calinski_harabasz),
 cnt AS (SELECT CAST(count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS BIGINT) AS clusters,
                CAST(count(CASE WHEN cluster = -1 THEN 1 END) AS BIGINT) AS noise FROM {lab})"""
 
 
+def _search_scores_sql() -> str:
+    eps_list = (0.2, 0.4, 0.6, 0.8, 1.0)
+    ctes = [sql_dbscan("uz", "user_id", UF_COLS, eps, 5, f"s{i}") for i, eps in enumerate(eps_list)]
+    parts = []
+    for i, eps in enumerate(eps_list):
+        # every configuration has its own names for the metric tables
+        ctes.append(re.sub(r"\b(v|sz|pc|ab|sil|c|g|intra|dbr|db|ch|cnt)\b", rf"\1_{i}", _metrics_sql(f"s{i}", "uz", "user_id", UF_COLS)))
+        parts.append(f"""SELECT CAST({eps} AS DOUBLE) AS eps, coalesce(nullif(round(silhouette, 4), 0), -1.0) AS silhouette,
+       coalesce(nullif(round(davies_bouldin, 4), 0), 999.0) AS davies_bouldin, clusters FROM cnt_{i}, sil_{i}, db_{i} WHERE clusters >= 2""")
+    return (f"WITH RECURSIVE {SQL_UF},\n{sql_zscore('user_features', 'user_id', UF_COLS, 'uz')},\n"
+            + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts))
+
+
+@register("automl_dbscan_scores", _search_scores_sql())
+def q_automl_dbscan_scores(spark, sf):
+    """The scores of the search's DBSCAN configurations, over all rows."""
+    from tessera.plans.search import config_grid, evaluate
+    configs = [c for c in config_grid(8) if c.algorithm == "DBSCAN"]
+    eps = F.create_map(*[v for c in configs for v in (F.lit(c.ordinal), F.lit(float(c.params["eps"])))])
+    return evaluate(_uf_x(spark, sf), "user_id", configs).select(eps[F.col("ordinal")].alias("eps"), "silhouette", "davies_bouldin", "clusters")
+
+
 @register("train_dbscan_e2e", f"""
 WITH RECURSIVE {SQL_CF_DB},
 {_metrics_sql("clab", "cz", "c_custkey", CF_COLS)}
@@ -1121,6 +1144,23 @@ def q_stream_cluster_drift(spark, sf):
     return events_drift(spark, sf)
 
 
+FIXED_CENTRES = (10.0, 40.0, 90.0)
+
+
+@register("stream_fixed_centres", f"""
+WITH s AS (SELECT date_trunc('day', ts) AS d, CASE {" ".join(
+    f"WHEN {' AND '.join(f'abs(value - {c}) <= abs(value - {o})' for o in FIXED_CENTRES)} THEN {i}" for i, c in enumerate(FIXED_CENTRES))} END AS cluster
+  FROM events)
+SELECT CAST(d AS TIMESTAMP) AS window_start, CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, CAST(cluster AS INTEGER) AS cluster,
+       CAST(count(*) AS BIGINT) AS n FROM s GROUP BY d, cluster""")
+def q_stream_fixed_centres(spark, sf):
+    """The stream with a given model: nearest of three values, per day."""
+    from tessera.streaming.assign import events_drift
+    meta = {"algorithm": "KMeans", "params": {}, "feature_names": ["value"], "numeric": ["value"], "categories": {}, "imputer": None,
+            "scaler": {"kind": "StandardScaler", "center": {"value": 0.0}, "scale": {"value": 1.0}}}
+    return events_drift(spark, sf, watermark="400 days", model={"meta": meta, "centres": [[c] for c in FIXED_CENTRES]})
+
+
 @register("xy_pairs", f"""
 WITH {SQL_EG}
 SELECT event_id, CAST(user_id AS DOUBLE) AS x, round(value, 6) AS y, event_type AS color FROM events_gaps""")

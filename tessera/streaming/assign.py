@@ -49,9 +49,10 @@ def fit_static_model(df: DataFrame, key: str, k: int = 3, scaler: str = "Standar
 
 
 def events_drift(spark: SparkSession, sf_dir: str, k: int = 3, window: str = "1 day",
-                 watermark: str = "1 hour", files_per_trigger: int = 1) -> DataFrame:
-    """Fit KMeans on the static events features, then replay the events
-    table as a stream and return the per-day cluster counts it produced.
+                 watermark: str = "1 hour", files_per_trigger: int = 1, model: dict | None = None) -> DataFrame:
+    """Replay the events table as a stream, scored by ``model`` (by default a
+    KMeans fitted on the static events features), and return the cluster
+    counts per window that it produced.
 
     Update mode: a micro-batch writes the windows it changed as files in the
     shared folder, the watermark drops the state of closed windows, and
@@ -60,7 +61,8 @@ def events_drift(spark: SparkSession, sf_dir: str, k: int = 3, window: str = "1
     """
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     static = spark.read.parquet(path)
-    model = fit_static_model(static.select("event_id", "event_type", "value"), "event_id", k)
+    if model is None:
+        model = fit_static_model(static.select("event_id", "event_type", "value"), "event_id", k)
     # the file source watches a directory; the glob picks the events file(s)
     stream = (spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files_per_trigger)
               .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
