@@ -13,6 +13,7 @@ from __future__ import annotations
 
 BASE = -1  # rank of a symbol that needs no merge
 NEVER = 1 << 40
+MAX_ANSWERS = 500_000
 
 
 class Merges:
@@ -63,7 +64,7 @@ class Merges:
         key = a << 24 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > MAX_ANSWERS:
                 self._fits.clear()
             known = self._fits[key] = self._decide(a, b)
         return known

@@ -31,8 +31,8 @@ from tessera.llm.bpe import Merges
 from tessera.llm.common import slices, table
 
 META = "▁"  # stands for a blank
-MAX_WORDS = 500_000
-INDEX_CHARS = 1 << 20
+MAX_WORDS = 300_000
+INDEX_CHARS = 1 << 18
 LOCKSTEP = 256  # longer words are relaxed edge by edge
 FREE = 1 << 22  # edge label of a character that is in no piece
 
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     def run(batches):
         c = codec(spec.value)
         for whole in batches:
-            for b in slices(whole, text_col, 8 << 20):
+            for b in slices(whole, text_col):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.encode(b.column(text_col).to_pylist()), pa.list_(pa.int32()))],
                                                  [*b.schema.names, out])
     return docs.mapInArrow(run, schema)
@@ -320,7 +320,7 @@ def digests(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFra
     def run(batches):
         c = codec(spec.value)
         for whole in batches:
-            for b in slices(whole, text_col, 8 << 20):
+            for b in slices(whole, text_col):
                 texts = [t or "" for t in b.column(text_col).to_pylist()]
                 ids = c.encode(texts)
                 yield pa.RecordBatch.from_arrays(
