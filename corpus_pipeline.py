@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, minhash_dedup, quality_classifier, secret_scan, sentencepiece_codec
-from tessera.llm.common import BROADCAST_IDS, free_name, materialize, table
-from tessera.session import ship_package
+from tessera.llm.common import BROADCAST_IDS, free_name, materialize, prepare, table
 
 MIN_QUALITY = 0.3
 SIMILARITY = 80  # percent of five-word shingles
@@ -38,7 +37,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     found = minhash_dedup.near_duplicates(docs, percent=SIMILARITY)
     gone = materialize(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
     n = gone.count()  # 8 bytes each: broadcast up to a bound, else shuffled, with the same result
@@ -56,14 +55,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return secret_scan.redacted(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ship_package(spark)
+    prepare(spark)
     encoded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"),
                                          public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces")

@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir, ship_package
 
+#: Rows a batch on the way to Python workers.
+BATCH_ROWS = 1000
 #: Ids at most so many (8 bytes each) may be broadcast; beyond it the same join is shuffled.
 BROADCAST_IDS = 2_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and send texts to Python workers in small batches:
+    ten thousand documents at once would be held several times over."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

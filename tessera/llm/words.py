@@ -21,7 +21,7 @@ _CODE_FOLDED = _CODE[FOLD]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _LANE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 _POW: dict[str, np.ndarray] = {}
 
 
@@ -62,7 +62,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SE
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Hash of each byte span; done in blocks of about 2 MB of text."""
+    """Hash of each byte span; done in blocks of about 1 MB of text."""
     out = np.empty(len(starts), np.uint64)
     code = _CODE_FOLDED if fold else _CODE
     i = 0
