@@ -13,7 +13,7 @@ from __future__ import annotations
 
 BASE = -1  # rank of a symbol that needs no merge
 NEVER = 1 << 40
-MAX_ANSWERS = 500_000
+MAX_ANSWERS = 150_000
 
 
 class Merges:

@@ -31,7 +31,7 @@ from tessera.llm.bpe import Merges
 from tessera.llm.common import slices, table
 
 META = "▁"  # stands for a blank
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 INDEX_CHARS = 1 << 18
 LOCKSTEP = 256  # longer words are relaxed edge by edge
 FREE = 1 << 22  # edge label of a character that is in no piece
@@ -85,7 +85,7 @@ class Codec:
             self.raw[i] = bytes([b])
         self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         self.odd: dict[tuple[int, int], list[int]] = {}
-        self._asked, self._answers = np.full(1 << 21, -1), np.zeros(1 << 21, bool)
+        self._asked, self._answers = np.full(1 << 20, -1), np.zeros(1 << 20, bool)
         # a character that is in no piece ends a word: it is a few byte pieces by itself
         free = "" if "\n" in letters else "\n"
         self.pattern = re.compile(f"{META}*[^{META}{free}]+|{META}+" + (f"|{free}" if free else ""))
@@ -200,7 +200,7 @@ class Codec:
     def _may_follow(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
         """``fits`` for arrays, through a direct-mapped table of earlier answers."""
         keys = before << 24 | label
-        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         answer = self._answers[slot]
         miss = self._asked[slot] != keys
         if miss.any():
