@@ -31,7 +31,7 @@ from tessera.llm.bpe import Merges
 from tessera.llm.common import slices, table
 
 META = "▁"  # stands for a blank
-MAX_WORDS = 150_000
+MAX_WORDS = 300_000
 INDEX_CHARS = 1 << 18
 LOCKSTEP = 256  # longer words are relaxed edge by edge
 FREE = 1 << 22  # edge label of a character that is in no piece
