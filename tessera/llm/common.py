@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -58,6 +60,31 @@ def semi_by_id(big: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return big.join(ids, col, "left_semi")
 
 
+_HELD: dict = {}
+
+
+def held(key, build):
+    """A large structure that a worker process keeps for its next tasks, built
+    when first asked for; one at a time, as workers serve many operators."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Give the memory of a structure that an earlier operator held back to
+    the system; called when the tasks of an operator that holds none begin."""
+    if not _HELD:
+        return
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array and the offsets of its rows; null is empty."""
     if isinstance(col, pa.ChunkedArray):

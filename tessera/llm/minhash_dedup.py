@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.llm.common import materialize, semi_by_id, slices, sorted_groups, table, utf8
+from tessera.llm.common import let_go, materialize, semi_by_id, slices, sorted_groups, table, utf8
 from tessera.operators.graph import component_labels
 
 K = 64
@@ -77,6 +77,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _features(n: int, k: int):
     def run(batches):
+        let_go()
         for whole in batches:
             for b in slices(whole, "text"):
                 size, f1, f2, sketch = [], [], [], []
@@ -96,6 +97,7 @@ def _features(n: int, k: int):
 
 def _full_sets(n: int):
     def run(batches):
+        let_go()
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [words.signed(s) for s in _shingle_sets(b, n)]

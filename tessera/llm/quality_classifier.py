@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.llm.common import slices, table, utf8
+from tessera.llm.common import let_go, slices, table, utf8
 
 DIMS = 1 << 18
 SAMPLE_ROWS = 6_000
@@ -85,6 +85,7 @@ def features(texts: pa.Array, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]
 def _counts(dims: int):
     """Per task one row for each slot met: rows of class 0 and 1 that have it."""
     def run(batches):
+        let_go()
         total = np.zeros((2, dims + 1), np.int64)
         for whole in batches:
             for b in slices(whole, "text"):
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
     text = text_col
 
     def run(batches):
+        let_go()
         m = shared.value
         bias, slope, shift = m["rest"]
         for whole in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import Merges
-from tessera.llm.common import slices, table
+from tessera.llm.common import held, slices, table
 
 META = "▁"  # stands for a blank
 MAX_WORDS = 300_000
@@ -265,15 +265,9 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_LOADED: dict[int, Codec] = {}
-
-
 def codec(spec: bytes) -> Codec:
     """One codec a worker process."""
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED[key] = Codec(spec)
-    return _LOADED[key]
+    return held(("codec", hash(spec)), lambda: Codec(spec))
 
 
 def _spec(spark: SparkSession, model_path: str):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Merges
-from tessera.llm.common import slices, table
+from tessera.llm.common import held, slices, table
 
 MAX_STATES = 250_000
 MAX_WORDS = 400_000
@@ -187,15 +187,9 @@ class Transducer:
         return h1, n1 + self.count(t1 + h2) + n2, t2
 
 
-_LOADED: dict[int, Transducer] = {}
-
-
 def transducer(spec: bytes) -> Transducer:
     """One transducer a worker process; its states serve all its tasks."""
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED[key] = Transducer(spec)
-    return _LOADED[key]
+    return held(("transducer", hash(spec)), lambda: Transducer(spec))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
