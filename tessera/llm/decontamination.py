@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds and local alignment.
+"""Benchmark decontamination: n-gram seeds and local alignment.
 
 Words are runs of characters other than blanks and ASCII punctuation, in
-lower case. One pass over all documents counts in how many of them each
-n-gram of the benchmark occurs. An item's seeds are its rare n-grams: those
-at most ``rarity`` times as frequent as its median n-gram (plus five), so
-that an item keeps seeds however often the corpus copies it, and loses
-phrases that any text may hold. A second pass joins seeds to the documents'
-n-grams; around the hits of an item a window of the document (item length
-plus slack on both sides, overlapping windows merged) is aligned with the
-item by Smith-Waterman over words (match 2, mismatch and gap -1). Score is
-the alignment score over that of a full match; at ``threshold`` the document
-is contaminated.
+lower case. Every n-gram of an item is a seed, however many documents hold
+it. Around the seeds of an item in a document a window is taken that no
+alignment at the threshold through the seed can leave (overlapping windows
+merged). A window that has too few of the item's words for the threshold is
+passed over; the others are aligned with the item by Smith-Waterman over
+words (match 2, mismatch and gap -1). Score is the alignment score over that
+of a full match; at ``threshold`` the document is contaminated. So a pair is
+found whenever an alignment at the threshold holds ``n`` words in a row.
 
 The benchmark is the query set: it is taken in blocks of about
 ``BLOCK_CHARS`` characters, each sent to the tasks and held against all
@@ -31,8 +29,11 @@ from tessera.llm.common import slices, table, utf8
 
 NGRAM = 3
 THRESHOLD = 0.5
-RARITY = 4.0
 BLOCK_CHARS = 8_000_000
+#: Seeds (n-gram in a row, item that has it) and window words held at once.
+SEEDS = 1_000_000
+#: Cells of the windows that are aligned together.
+CELLS = 1 << 20
 
 BREAKS = words.SEPARATOR.copy()
 BREAKS[33:48] = BREAKS[58:65] = BREAKS[91:97] = BREAKS[123:127] = True
@@ -44,6 +45,11 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hash_spans(data, starts, ends), first
 
 
+def _owned(h: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """One key for a word as a word of an item."""
+    return words.mix(h + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Items:
     """A block of the benchmark: word hashes and n-grams by item."""
 
@@ -51,6 +57,8 @@ class Items:
         h, first = _words(pa.array(texts, pa.string()))
         self.n, self.ids = n, ids
         self.words = [h[first[i]: first[i + 1]] for i in range(len(ids))]
+        self.sizes = np.diff(first)
+        self.own, self.times = np.unique(_owned(h, np.repeat(np.arange(len(ids)), self.sizes)), return_counts=True)
         grams = []  # (length, gram, item, place)
         for i, w in enumerate(self.words):
             m = min(n, len(w))
@@ -69,16 +77,6 @@ class Items:
         bits[(known >> np.uint64(44)).astype(np.int64)] = True
         self.by_length[m] = (known, np.append(start, len(gram)), item, place, bits)
 
-    def rare(self, df: dict[int, int], rarity: float) -> Items:
-        """The same items with their rare n-grams only."""
-        for m, (known, start, item, place, _) in list(self.by_length.items()):
-            gram = np.repeat(known, np.diff(start))
-            f = np.array([df.get(int(g), 0) for g in gram.view(np.int64)])
-            median = {i: np.median(f[item == i]) for i in np.unique(item).tolist()}
-            keep = f <= rarity * np.array([median[i] for i in item.tolist()]) + 5
-            self._index(m, gram[keep], item[keep], place[keep])
-        return self
-
     def hits(self, h: np.ndarray, first: np.ndarray):
         """For each n-gram length: (row, word place in row, index of the known n-gram)."""
         for m in self.lengths:
@@ -94,22 +92,6 @@ class Items:
             yield m, row, maybe - gfirst[row], at
 
 
-def _frequencies(items):
-    def run(batches):
-        total: dict[int, int] = {}
-        block = items.value
-        for whole in batches:
-            for b in slices(whole, "text"):
-                h, first = _words(b.column("text"))
-                for m, row, _, at in block.hits(h, first):
-                    known = block.by_length[m][0]
-                    for g, c in zip(*np.unique(np.unique(np.stack([row, at], axis=1), axis=0)[:, 1], return_counts=True), strict=True):
-                        key = int(known[g].view(np.int64))
-                        total[key] = total.get(key, 0) + int(c)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "df"])
-    return run
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman scores of item k with window k (arrays of word hashes)."""
     out = np.zeros(len(items), np.int64)
@@ -118,7 +100,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     while lo < len(order):
         width = len(windows[order[lo]])
         hi = lo + 1
-        while hi < len(order) and hi - lo < 512 and len(windows[order[hi]]) <= 2 * width + 16:
+        while hi < len(order) and hi - lo < 512 and len(windows[order[hi]]) <= 2 * width + 16 and (hi - lo) * len(windows[order[hi]]) < CELLS:
             hi += 1
         lanes = order[lo:hi]
         width, height = max(len(windows[k]) for k in lanes), max(len(items[k]) for k in lanes)
@@ -145,38 +127,57 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _common(block: Items, h: np.ndarray, start: np.ndarray, size: np.ndarray, it: np.ndarray) -> np.ndarray:
+    """Words that window k (``size`` words from ``start``) and its item have in
+    common, repeats counted: no alignment has more matches."""
+    out = np.zeros(len(it), np.int64)
+    lo, reach = 0, np.cumsum(size)
+    while lo < len(it):
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + SEEDS, side="right")))
+        n = size[lo:hi]
+        at = np.arange(n.sum()) + np.repeat(start[lo:hi] - (np.cumsum(n) - n), n)
+        window = np.repeat(np.arange(hi - lo), n)
+        key = _owned(h[at], it[lo:hi][window])
+        known = np.minimum(np.searchsorted(block.own, key), len(block.own) - 1)
+        ok = block.own[known] == key
+        pair, times = np.unique(window[ok] * len(block.own) + known[ok], return_counts=True)
+        out[lo:hi] = np.bincount(pair // len(block.own), np.minimum(times, block.times[pair % len(block.own)]), hi - lo)
+        lo = hi
+    return out
+
+
 def _found(block: Items, h: np.ndarray, first: np.ndarray, threshold: float):
     """(row, item, score) of the rows' windows that reach the threshold; best per pair."""
-    rows, its, los, his = [], [], [], []
-    for m, row, place, at in block.hits(h, first):
-        _, start, item, where, _ = block.by_length[m]
+    hits = [(m, row, place, at, block.by_length[m][1]) for m, row, place, at in block.hits(h, first)]
+    rows = len(first) - 1
+    if rows > 1 and sum((start[at + 1] - start[at]).sum() for _, _, _, at, start in hits) > SEEDS:
+        half = rows // 2
+        cut = first[half]
+        return (_found(block, h[:cut], first[: half + 1], threshold)
+                + [(r + half, i, s) for r, i, s in _found(block, h[cut:], first[half:] - cut, threshold)])
+    seeds = []
+    for m, row, place, at, start in hits:
+        _, _, item, where, _ = block.by_length[m]
         times = start[at + 1] - start[at]
         k = np.repeat(start[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         row, place = np.repeat(row, times), np.repeat(place, times)
-        size = np.array([len(w) for w in block.words])[item[k]]
-        slack = size // 4 + 4
-        rows.append(row)
-        its.append(item[k])
-        los.append(np.maximum(place - where[k] - slack, 0))
-        his.append(np.minimum(place - where[k] + size + slack, np.diff(first)[row]))
-    if not rows:
-        return []
-    row, it, lo, hi = (np.concatenate(x) for x in (rows, its, los, his))
-    if not len(row):
+        size = block.sizes[item[k]]
+        # an alignment at the threshold has no more gaps, as each takes one off a full match
+        slack = np.maximum(np.floor(2 * size * (1 - threshold) + 1e-9), 0).astype(np.int64)
+        seeds.append((row, item[k], np.maximum(place - where[k] - slack, 0), np.minimum(place - where[k] + size + slack, np.diff(first)[row])))
+    if not sum(len(x[0]) for x in seeds):
         return []
+    row, it, lo, hi = (np.concatenate(x) for x in zip(*seeds, strict=True))
     by = np.lexsort((lo, it, row))
     row, it, lo, hi = row[by], it[by], lo[by], hi[by]
-    new = np.ones(len(row), bool)  # merge overlapping windows of one row and item
-    reach = hi[0]
-    for k in range(1, len(row)):
-        if row[k] == row[k - 1] and it[k] == it[k - 1] and lo[k] <= reach:
-            new[k] = False
-            reach = max(reach, hi[k])
-        else:
-            reach = hi[k]
-    group = np.flatnonzero(new)
+    # merge overlapping windows of one row and item: shifted by pair, none reaches into the next pair
+    pair = np.concatenate([[0], np.cumsum((row[1:] != row[:-1]) | (it[1:] != it[:-1]))]) * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + pair)
+    group = np.flatnonzero(np.concatenate([[True], (lo + pair)[1:] > reach[:-1]]))
     hi = np.maximum.reduceat(hi, group)
     row, it, lo = row[group], it[group], lo[group]
+    ok = _common(block, h, first[row] + lo, hi - lo, it) / block.sizes[it] >= threshold
+    row, it, lo, hi = row[ok], it[ok], lo[ok], hi[ok]
     best: dict[tuple[int, int], float] = {}
     items = [block.words[i] for i in it.tolist()]
     windows = [h[first[r] + a: first[r] + b] for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)]
@@ -187,27 +188,22 @@ def _found(block: Items, h: np.ndarray, first: np.ndarray, threshold: float):
     return [(r, i, s) for (r, i), s in best.items()]
 
 
-def _blocks(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, text_col: str, n: int, rarity: float):
-    """The benchmark's blocks with their rare n-grams, broadcast."""
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, n: int):
+    """The benchmark's blocks, broadcast."""
     query = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     size = query.agg(F.sum(F.char_length("t"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK_CHARS))
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
     for p in range(parts):
         got = query.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()
-        block = Items([r["i"] for r in got], [r["t"] for r in got], n)
-        shared = spark.sparkContext.broadcast(block)
-        counted = texts.mapInArrow(_frequencies(shared), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        yield spark.sparkContext.broadcast(block.rare({r["gram"]: r["df"] for r in counted.collect()}, rarity))
+        yield docs.sparkSession.sparkContext.broadcast(Items([r["i"] for r in got], [r["t"] for r in got], n))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", n: int = NGRAM, rarity: float = RARITY, threshold: float = THRESHOLD) -> DataFrame:
+                  item_text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """``(id_col, item_id, score)`` of every document and item it holds."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for shared in _blocks(docs, items, item_id, item_text, text_col, n, rarity):
+    for shared in _blocks(docs, items, item_id, item_text, n):
         def run(batches, shared=shared):
             block = shared.value
             for whole in batches:
@@ -222,9 +218,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                         n: int = NGRAM, rarity: float = RARITY, threshold: float = THRESHOLD) -> DataFrame:
+                         n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    for shared in _blocks(docs, items, item_id, item_text, text_col, n, rarity):
+    for shared in _blocks(docs, items, item_id, item_text, n):
         def run(batches, shared=shared):
             for whole in batches:
                 for b in slices(whole, text_col):

@@ -85,6 +85,31 @@ def test_copied_items_keep_their_seeds(spark):
     assert got.count() == 200 and got.agg(F.min("score")).first()[0] == 1.0
 
 
+def test_edited_copies_are_found_however_many(spark):
+    """All pairs against brute force: edited copies and excerpts in 5, 6 and 50
+    documents, an inserted word after every third, and a phrase that all hold."""
+    own = [[f"i{i}w{k}" for k in range(30)] for i in range(8)]
+    items = [(i, " ".join(["which", "of", "the", "following", *w])) for i, w in enumerate(own)]
+    rows = []
+    for i, copies in ((0, 5), (1, 6), (2, 50)):
+        edited = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(own[i])]
+        excerpt = own[i + 3][:17]
+        wider = [x for k, w in enumerate(own[6]) for x in ([w, f"y{k}"] if k % 3 == 2 else [w])]
+        for c in range(copies):
+            for passage in (edited, excerpt, wider, own[7][:10]):
+                d = len(rows)
+                rows.append((d, " ".join(["which of the following", *(f"d{d}a{k}" for k in range(8)), *passage, *(f"d{d}b{k}" for k in range(8))])))
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            a, b = item.split(), text.split()
+            score = smith_waterman(a, b) / (2 * len(a)) if len({*a} & {*b}) * 2 >= len(a) else 0
+            if score >= 0.5:
+                want[d, i] = score
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) >= 2 * 61 and {(r[0], r[1]): r[2] for r in got.collect()} == want
+
+
 def test_documents_hold_exact_items(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     texts, wanted = docs.select("doc_id", "text").collect(), items.collect()
