@@ -1181,6 +1181,5 @@ def q_cluster_map(spark, sf):
 @register("automl_comparison")
 def q_automl_comparison(spark, sf):
     """The comparison series of the ranked search (shown when >= 3 results)."""
-    from tessera.plans.search import rank, evaluate, config_grid, deterministic_sample
-    x = deterministic_sample(_uf_x(spark, sf), "user_id")
-    return results.comparison_series(rank(evaluate(x, "user_id", config_grid(8))))
+    from tessera.plans.search import rank, evaluate, config_grid
+    return results.comparison_series(rank(evaluate(_uf_x(spark, sf), "user_id", config_grid(8))))

@@ -54,6 +54,19 @@ def test_search_skips_what_cannot_be_fitted_and_scores_the_refit(spark):
     assert res.metrics.collect()[0]["silhouette"] > 0.9
 
 
+def test_comparison_takes_all_rows(spark, monkeypatch):
+    from tessera.plans import catalog
+    rows = []
+    x = spark.range(5200).select(F.col("id").alias("user_id"), F.array((F.col("id") % 2).cast("double") * 9).alias("x"))
+
+    def counted(x_df, key, configs):
+        rows.append(x_df.count())
+        return spark.createDataFrame([(0, "KMeans", "{}", 0.5, 1.0, 2)], search.SCORES)
+    monkeypatch.setattr(catalog, "_uf_x", lambda *_: x)
+    monkeypatch.setattr(search, "evaluate", counted)
+    assert catalog.queries()["automl_comparison"](spark, "").count() == 1 and rows == [5200]
+
+
 def test_any_key_gives_the_labels_of_the_integer_key(spark):
     from tessera.plans.train import train, with_row_key
     from tessera.sources import tables as T
