@@ -10,6 +10,7 @@ beyond the watermark are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,23 +50,30 @@ def fit_static_model(df: DataFrame, key: str, k: int = 3, scaler: str = "Standar
 
 
 def events_drift(spark: SparkSession, sf_dir: str, k: int = 3, window: str = "1 day",
-                 watermark: str = "1 hour", files_per_trigger: int = 1, model: dict | None = None) -> DataFrame:
+                 watermark: str | None = None, files_per_trigger: int = 1, model: dict | None = None) -> DataFrame:
     """Replay the events table as a stream, scored by ``model`` (by default a
     KMeans fitted on the static events features), and return the cluster
     counts per window that it produced.
 
     Update mode: a micro-batch writes the windows it changed as files in the
-    shared folder, the watermark drops the state of closed windows, and
-    nothing is kept in the driver. Counts only grow, so a window's last
-    count is its largest.
+    shared folder, and nothing is kept in the driver. Counts only grow, so a
+    window's last count is its largest. The replay is finite and its files
+    come in any order of time, so by default the watermark lies beyond the
+    table's time span and no row counts as late; the state is one count per
+    window and cluster. A given ``watermark`` drops rows that are later.
     """
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     static = spark.read.parquet(path)
     if model is None:
         model = fit_static_model(static.select("event_id", "event_type", "value"), "event_id", k)
-    # the file source watches a directory; the glob picks the events file(s)
+    if watermark is None:
+        ts = F.col("ts").cast("timestamp").cast("double")
+        span = static.agg(F.max(ts) - F.min(ts)).first()[0]
+        watermark = f"{math.ceil(span or 0) + 1} seconds"
+    # the file source refuses the plain path of a file; as a pattern, the path
+    # may be a file or a directory of part files
     stream = (spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files_per_trigger)
-              .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+              .parquet(f"{path[:-1]}[{path[-1]}]"))
     drift = share_drift(assign_stream(stream, model, "event_id", ["ts"]), "ts", window, watermark)
     home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 

@@ -53,3 +53,22 @@ def test_stream_drift_counts_every_event(spark):
     out = events_drift(spark, SF)
     assert out.agg(F.sum("n")).collect()[0][0] == spark.read.parquet(f"{SF}/events.parquet").count()
     assert set(out.columns) == {"window_start", "window_end", "cluster", "n"}
+
+
+def test_stream_drift_of_part_files_in_any_order(spark):
+    """Part files in reverse order of time, far more than the old hour apart,
+    beside a table of a similar name: every event is counted once."""
+    import os
+    from tessera.streaming.assign import events_drift
+    home = tempfile.mkdtemp(prefix="tessera-events-", dir="/tmp")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    spark.createDataFrame(events.orderBy(F.desc("ts")).limit(300).collect(), events.schema).repartitionByRange(3, F.desc("ts")).write.parquet(f"{home}/events.parquet")
+    events.limit(5).coalesce(1).write.parquet(f"{home}/other")
+    os.rename(glob.glob(f"{home}/other/part-*")[0], f"{home}/events_old.parquet")
+    parts = sorted(glob.glob(f"{home}/events.parquet/part-*"))
+    for k, part in enumerate(parts):  # the stream takes the oldest file first
+        os.utime(part, (1_700_000_000 + 60 * k,) * 2)
+    got = {(r["window_start"], r["cluster"]): r["n"] for r in events_drift(spark, home).collect()}
+    assert len(parts) == 3 and sum(got.values()) == 300
+    days = {r["d"]: r["n"] for r in spark.read.parquet(f"{home}/events.parquet").groupBy(F.date_trunc("day", "ts").alias("d")).agg(F.count("*").alias("n")).collect()}
+    assert len(days) > 1 and days == {d: sum(n for (w, _), n in got.items() if w == d) for d in days}
