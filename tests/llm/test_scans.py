@@ -62,6 +62,29 @@ def test_licences(spark, documents, texts):
         assert (r["license"] is not None) == bool(re.search("licen[cs]e|CC BY", texts[r["doc_id"]], re.I))
 
 
+def test_wrapped_headers(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version {} of the License, or", "(at your option) any later version."]
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License."]
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal',
+           "in the Software without restriction, including without limitation the rights"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"]
+    headers = {"GPL-3.0": [x.format(3) for x in gpl], "GPL-2.0": [x.format(2) for x in gpl], "Apache-2.0": apache, "MIT": mit, "BSD-3-Clause": bsd}
+    rows, want = [], {}
+    for name, lines in headers.items():
+        for mark in ("", " * ", "# "):
+            words = " ".join(lines).split()
+            for text in (lines, [" ".join(words[k: k + 5]) for k in range(0, len(words), 5)]):
+                want[len(rows)] = name
+                rows.append((len(rows), "\n".join(["Copyright 2020", "", *(mark + x for x in text), "", "import sys", "print(sys.path)"]), f"d{len(rows)}/a.py"))
+    rows += [(100, "\n".join(["Copyright (c) 2020, A", "All rights reserved.", "", *bsd]), "lib/LICENSE"), (101, "code", "lib/x/y.c"), (102, "free\nsoftware\nversion", "z")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert {k: got[k]["license"] for k in want} == want
+    # both lines of Apache reach the threshold by themselves
+    assert all(got[k]["n_statements"] == (2 if want[k] == "Apache-2.0" and k % 2 == 0 else 1) for k in want)
+    assert got[101]["effective"] == "BSD-3-Clause" and got[102]["effective"] is None
+
+
 def test_licence_inheritance_and_edges(spark):
     mit, mpl = "Released under the MIT License.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
     rows = [(1, mit, "a/LICENSE"), (2, "code", "a/b/c.py"), (3, "x\nLicensed under the Apache License, Version 2.0.\ny", "a/b/d.py"), (4, None, "z/q"),
