@@ -16,6 +16,7 @@ from tessera.llm import (
     quality_classifier,
     secret_scan,
     sentencepiece_codec,
+    sharding,
     token_counts,
     warc,
 )
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": pii_surrogates.op8_pii_surrogates,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op12_sharding": sharding.op12_sharding,
     }
 
 

@@ -44,6 +44,25 @@ FROM v JOIN comp USING (vec_id) LEFT JOIN deg ON deg.vec_id = v.vec_id
 """
 
 
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a VARCHAR expression; needs the CTE ``crc(t)``."""
+    return (f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+            "lambda x: CAST(('0x' || x) AS BIGINT))), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), CAST(4294967295 AS BIGINT))")
+
+
+OP12 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
+                    CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
+             md5(coalesce(text, ''))[1:15] AS h FROM documents, crc),
+s AS (SELECT *, row_number() OVER w - 1 AS r, sum(size) OVER w AS upto, sum(size) OVER () AS total FROM d
+      WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, CAST(((2 * upto - size) * 40) // (2 * total) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
+
 def _op10() -> str:
     from tessera.llm.secret_scan import BASE, OWNED
 
@@ -83,4 +102,5 @@ FROM d LEFT JOIN per USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1, "op3_warc": OP3, "op4_embedding_dedup": OP4, "op10_secret_scan": _op10()}
+    return {"op1_minhash_dedup": OP1, "op3_warc": OP3, "op4_embedding_dedup": OP4, "op10_secret_scan": _op10(),
+            "op12_sharding": OP12}
