@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (
+    conversation_trie,
     decontamination,
     embedding_dedup,
     license_scan,
@@ -19,6 +20,7 @@ from tessera.llm import (
     sharding,
     token_counts,
     warc,
+    whitening,
 )
 
 
@@ -34,7 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": pii_surrogates.op8_pii_surrogates,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_conversation_trie": conversation_trie.op11_conversation_trie,
         "op12_sharding": sharding.op12_sharding,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 

@@ -50,9 +50,38 @@ def crc32_sql(text: str) -> str:
             "lambda x: CAST(('0x' || x) AS BIGINT))), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), CAST(4294967295 AS BIGINT))")
 
 
+#: The table of ``crc32_sql``, built by its rule (reflected polynomial EDB88320).
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
+                    CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t)"""
+
+OP11 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, x, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) AS pos
+      FROM (SELECT conv_id, turn, coalesce(text, '') AS x, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s
+            FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, crc),
+l AS (SELECT c.*, least(h, coalesce(own, 0)) AS taken FROM c LEFT JOIN own ON own.conv_id = c.base),
+r AS (SELECT l.conv_id, pos, x, s FROM l JOIN t ON t.conv_id = l.base AND t.pos <= l.h
+      UNION ALL SELECT l.conv_id, pos - l.h + l.taken, x, s FROM l JOIN t ON t.conv_id = l.conv_id AND t.pos > l.h),
+p AS (SELECT conv_id, pos AS d, strlen(x) AS w, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM own),
+m AS (SELECT conv_id, d, w, sha256(k) AS k, lag(sha256(k)) OVER (PARTITION BY conv_id ORDER BY d) AS up,
+             d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+node AS (SELECT d, k, any_value(up) AS up, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n,
+                sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+         FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY d, up),
+own_sums AS (SELECT node.*, coalesce(kids.n, 0) AS n_children, (node.n - 1) * w AS saved FROM node LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k),
+sums AS (SELECT a.d, a.k, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(v.saved) AS saved
+         FROM own_sums v JOIN m a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY a.d, a.k)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, CAST(sums.leaves AS BIGINT) AS n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM own_sums v JOIN sums ON sums.d = v.d AND sums.k = v.k LEFT JOIN node up ON up.d = v.d - 1 AND up.k = v.up
+"""
+
 OP12 = f"""
-WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
-                    CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS t),
+WITH {CRC_TABLE},
 d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
              md5(coalesce(text, ''))[1:15] AS h FROM documents, crc),
 s AS (SELECT *, row_number() OVER w - 1 AS r, sum(size) OVER w AS upto, sum(size) OVER () AS total FROM d
@@ -103,4 +132,4 @@ FROM d LEFT JOIN per USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_minhash_dedup": OP1, "op3_warc": OP3, "op4_embedding_dedup": OP4, "op10_secret_scan": _op10(),
-            "op12_sharding": OP12}
+            "op11_conversation_trie": OP11, "op12_sharding": OP12}
