@@ -1,11 +1,13 @@
 """Embedding whitening with distributed block matrices.
 
 Vectors become whole numbers, x = floor(scale * c). The model is fitted on
-each distinct x once: sums and count are exact, the centred rows go into a
-``BlockMatrix``, its transpose times itself (the long side split over tasks)
-is the scatter matrix, whose few columns fit the driver and are decomposed
-there. A second product, of all centred rows with the whitening matrix,
-projects them; rows come back by index.
+each distinct x once; sums and count are exact. Each task indexes its centred
+rows into blocks, the last one filled up with zero rows, which add nothing.
+The blocks whose repeated rows are zero as well form the ``BlockMatrix`` of
+the fit: its transpose times itself (the long side split over tasks) is the
+scatter matrix, whose few columns fit the driver and are decomposed there. A
+second product, of the blocks of all rows with the whitening matrix, projects
+them; the results come back by block index.
 
 * Rows whose vector is null, empty, or holds a null or non-finite entry are
   left out. Vectors of different lengths are fitted apart, each length as a
@@ -29,10 +31,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark import StorageLevel
 from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,30 +74,41 @@ def _whole(df: DataFrame, vec_col: str) -> DataFrame:
     return df.where(v.isNotNull() & (F.size(v) > 0)).where(~bad).withColumn("x", scaled)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _numbered(blocks: DataFrame) -> DataFrame:
     """``idx`` 0, 1, ... over materialized rows with ``_u`` (task number above
     bit 33, place in the task below): the counts of the tasks are added up."""
     task = F.shiftright("_u", 33)
-    counts = rows.groupBy(task.alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.min("_u").alias("_least"))
+    counts = blocks.groupBy(task.alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.min("_u").alias("_least"))
     before = Window.partitionBy(F.lit(0)).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("_t", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-    return rows.join(F.broadcast(ahead), task == F.col("_t")).withColumn("idx", F.col("_ahead") + F.col("_u") - F.col("_least")).drop(
+    return blocks.join(F.broadcast(ahead), task == F.col("_t")).withColumn("idx", F.col("_ahead") + F.col("_u") - F.col("_least")).drop(
         "_t", "_ahead", "_least")  # one broadcast row a task
 
 
-def _blocks(rows: DataFrame, n: int, width: int) -> BlockMatrix:
-    """``idx``, ``centred`` as a matrix of row blocks."""
-    size = max(BLOCK_ROWS, min(-(-n // BLOCKS), BLOCK_VALUES // width))
-    vectors = rows.select(F.col("idx"), array_to_vector("centred").alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, width).toBlockMatrix(size, width)
+def _matrix(blocks: DataFrame, size: int, width: int, fit: bool) -> BlockMatrix:
+    """``idx``, ``values`` (a block's columns as bytes), ``reps`` as a matrix
+    of row blocks; of the fit, with the rows that are not in it zero."""
+    def entry(r):
+        values = np.frombuffer(r["values"])
+        if fit:
+            values = (values.reshape(width, size) * np.array(r["reps"], float)).ravel()
+        return (r["idx"], 0), DenseMatrix(size, width, values)
 
+    entries = blocks.select("idx", "values", "reps").rdd.map(entry)  # MLlib takes blocks as an RDD
+    whole = BlockMatrix(entries, size, width, size * blocks.count(), width)
+    return whole.persist(StorageLevel.MEMORY_AND_DISK)  # each product reads it several times
 
-def _scatter(blocks: BlockMatrix) -> np.ndarray:
+
+def _free(m: BlockMatrix) -> None:
+    m._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
+def _scatter(whole: BlockMatrix) -> np.ndarray:
     """Transpose times matrix; the rows in between are split over tasks, whose
     products are added up, so no task holds all blocks."""
-    splits = max(1, -(-blocks.numRowBlocks // BLOCKS_A_TASK))
-    whole = blocks.transpose()._java_matrix_wrapper.call("multiply", blocks._java_matrix_wrapper._java_model, splits)
-    return np.asarray(BlockMatrix(whole, blocks.colsPerBlock, blocks.colsPerBlock).toLocalMatrix().toArray())
+    splits = max(1, -(-whole.numRowBlocks // BLOCKS_A_TASK))
+    product = whole.transpose()._java_matrix_wrapper.call("multiply", whole._java_matrix_wrapper._java_model, splits)
+    return np.asarray(BlockMatrix(product, whole.colsPerBlock, whole.colsPerBlock).toLocalMatrix().toArray())
 
 
 def _column_sums(rows: DataFrame, width: int) -> list[int]:
@@ -107,46 +119,65 @@ def _column_sums(rows: DataFrame, width: int) -> list[int]:
     return [found[i] for i in range(width)]
 
 
-def _centred(n: int, sums: list[int], most: int):
-    """Arrow function: adds ``centred`` = (n x - S) / n, the difference exact, and ``deviation``."""
-    narrow = len(sums) * (2 * n * max(most, 1)) ** 2 < 1 << 62
+def _into_blocks(n: int, sums: list[int], most: int, size: int):
+    """Arrow function: rows (id, rep, x) to blocks of ``size`` rows: their ids,
+    ``reps``, ``deviation`` and ``values``, the columns of (n x - S) / n as
+    bytes. The difference is exact: in 64 bits where it fits, else in Python's
+    whole numbers."""
     width = len(sums)
+    narrow = width * (2 * n * max(most, 1)) ** 2 < 1 << 62
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        flat = t["x"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+        diff = (flat if narrow else flat.astype(object)) * n - np.array(sums, dtype=np.int64 if narrow else object)
+        dev = pa.array([int(v) if v < 1 << 63 else None for v in (diff * diff).sum(axis=1)], pa.int64())
+        whole = np.zeros((size, width))
+        whole[: len(flat)] = (diff / n).astype(np.float64)
+        reps = np.zeros(size, bool)
+        reps[: len(flat)] = t["rep"].to_numpy(zero_copy_only=False)
+        one = pa.array([0, len(flat)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(one, t["id"].combine_chunks()), pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(reps)),
+             pa.ListArray.from_arrays(one, dev), pa.array([whole.T.tobytes()], pa.binary())], ["ids", "reps", "deviations", "values"])
 
     def run(batches):
-        shift = np.array(sums, dtype=np.int64 if narrow else object)
+        held, rows = [], 0
         for b in batches:
-            flat = b.column("x").flatten().to_numpy().reshape(-1, width)
-            diff = (flat if narrow else flat.astype(object)) * n - shift
-            total = (diff * diff).sum(axis=1)
-            dev = [int(t) if t < 1 << 63 else None for t in total]
-            centred = (diff / n).astype(np.float64)
-            cols = [c for name, c in zip(b.schema.names, b.columns, strict=True) if name != "x"]
-            offsets = pa.array(np.arange(0, (len(flat) + 1) * width, width, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(dev, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(centred.ravel()))],
-                [*[s for s in b.schema.names if s != "x"], "deviation", "centred"])
+            while b.num_rows:
+                part = b.slice(0, size - rows)
+                held.append(part)
+                rows, b = rows + part.num_rows, b.slice(part.num_rows)
+                if rows == size:
+                    yield made(pa.Table.from_batches(held))
+                    held, rows = [], 0
+        if rows:
+            yield made(pa.Table.from_batches(held))
 
     return run
 
 
-def _fit(fit: DataFrame, n: int, sums: list[int], components: int) -> Whitening:
-    width = len(sums)
-    cov = _scatter(_blocks(_numbered(fit), n, width)) / n
+def _fit(blocks: DataFrame, size: int, n: int, sums: list[int], components: int) -> Whitening:
+    whole = _matrix(blocks, size, len(sums), fit=True)
+    cov = _scatter(whole) / n
+    _free(whole)
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     order = np.argsort(-values, kind="stable")
     top = [i for i in order[:components] if values[i] > NO_VARIANCE * max(values[order[0]], 0) and values[i] > 0]
     return Whitening(n, sums, values[top], vectors[:, top] / np.sqrt(values[top]), float(np.trace(cov)))
 
 
-def _project(rows: DataFrame, count: int, model: Whitening) -> DataFrame:
-    """``idx``, ``z``: the centred rows times the whitening matrix."""
-    spark = rows.sparkSession
+def _project(blocks: DataFrame, size: int, model: Whitening) -> DataFrame:
+    """``idx``, ``z``: each block's rows times the whitening matrix."""
+    spark = blocks.sparkSession
     width, k = model.matrix.shape
-    blocks = _blocks(rows, count, width)
-    matrix = DenseMatrix(width, k, model.matrix.ravel(order="F").tolist())
-    by = BlockMatrix(spark.sparkContext.parallelize([((0, 0), matrix)], 1), width, k, width, k)
-    back = blocks.multiply(by).toIndexedRowMatrix().rows.map(lambda r: (r.index, [float(v) for v in r.vector.toArray()]))
-    return spark.createDataFrame(back, "idx long, z array<double>")
+    whole = _matrix(blocks, size, width, fit=False)
+    entries = spark.sparkContext.parallelize([((0, 0), DenseMatrix(width, k, model.matrix.ravel(order="F")))], 1)
+    product = whole.multiply(BlockMatrix(entries, width, k, width, k))
+    rows = product.blocks.map(lambda b: (b[0][0], b[1].toArray().tolist()))
+    done = materialize(spark.createDataFrame(rows, "idx long, z array<array<double>>", verifySchema=False), "projected")
+    _free(whole)
+    return done
 
 
 def whiten(df: DataFrame, id_col: str, vec_col: str, components: int = COMPONENTS) -> tuple[DataFrame, dict[int, Whitening]]:
@@ -159,28 +190,24 @@ def whiten(df: DataFrame, id_col: str, vec_col: str, components: int = COMPONENT
     firsts = materialize(rows.groupBy("x").agg(F.min("_u").alias("_u")).select("_u", "x"), "distinct")
     sizes = firsts.groupBy(F.size("x").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("most"))
     parts, models = [], {}
+    id_type = rows.schema["id"].dataType.simpleString()
     for width, n, most in sorted(tuple(r) for r in sizes.collect()):
         mine = F.size("x") == width
         sums = _column_sums(firsts.where(mine), width)
-        centre = _centred(n, sums, most)
-        shape = "deviation long, centred array<double>"
-        fit = materialize(firsts.where(mine).select("x").mapInArrow(centre, shape)
-                          .select("centred", F.monotonically_increasing_id().alias("_u")), "fit")
-        model = models[width] = _fit(fit, n, sums, components)
-        if not len(model.values):
-            continue
         marked = rows.where(mine).join(firsts.select("_u", F.lit(True).alias("rep")), "_u", "left").select(
             "id", F.coalesce("rep", F.lit(False)).alias("rep"), "x")
-        id_type = rows.schema["id"].dataType.simpleString()
-        whole = materialize(marked.mapInArrow(centre, f"id {id_type}, rep boolean, {shape}")
-                            .withColumn("_u", F.monotonically_increasing_id()), "centred")
-        indexed = _numbered(whole)
-        count = whole.count()
-        done = _project(indexed.select("idx", "centred"), count, model)
-        parts.append(indexed.drop("centred", "_u").join(done, "idx").select(
-            "id", F.lit(n).cast("long").alias("n"), "deviation", "z", F.lit(width).alias("width"), "rep"))
+        size = max(1, min(max(BLOCK_ROWS, -(-n // BLOCKS)), BLOCK_VALUES // width))
+        blocks = materialize(marked.mapInArrow(_into_blocks(n, sums, most, size), f"ids array<{id_type}>, reps array<boolean>, deviations array<long>, values binary")
+                             .withColumn("_u", F.monotonically_increasing_id()), "blocks")
+        blocks = _numbered(blocks)
+        model = models[width] = _fit(blocks, size, n, sums, components)
+        if not len(model.values):
+            continue
+        each = F.explode(F.arrays_zip("ids", "deviations", F.slice("reps", F.lit(1), F.size("ids")).alias("reps"), F.slice("z", F.lit(1), F.size("ids")).alias("z")))
+        parts.append(blocks.drop("values").join(_project(blocks, size, model), "idx").select(each.alias("r")).select(
+            F.col("r.ids").alias("id"), F.lit(n).cast("long").alias("n"), F.col("r.deviations").alias("deviation"), F.col("r.z").alias("z"),
+            F.lit(width).alias("width"), F.col("r.reps").alias("rep")))
     if not parts:
-        id_type = rows.schema["id"].dataType.simpleString()
         return df.sparkSession.createDataFrame([], f"id {id_type}, n long, deviation long, z array<double>, width int, rep boolean"), models
     return materialize(reduce(DataFrame.unionByName, parts), "whitened"), models
 
