@@ -1,211 +1,201 @@
 """Exact quantiles (linear interpolation between order statistics) at any size.
 
-Spark's ``percentile`` is exact but keeps a value -> count map per
-aggregation buffer and merges a whole column into one final buffer, so its
-memory grows with the number of distinct values. It is used only when the
-column's distinct count is known to be small. Otherwise the quantile is
-found by order statistics:
-
-1. the non-missing values are range-partitioned on (value, hash of the row),
-   so a value repeated by a third of the rows is spread over many
-   partitions instead of landing in one;
-2. the partitioned column is reliably checkpointed (range bounds come from
-   sampling: a recomputed partition must hold the same rows as counted);
-3. per-partition counts (one number per partition) locate each needed rank;
-4. only the partitions that hold needed ranks are sorted locally and the
-   values at those ranks are read.
-
-All high-cardinality columns of one call share one pass (unpivoted on a
-column id).
+Selection by counting. One scan builds a mergeable quantile sketch of every
+column (``percentile_approx``, whose rank error is at most n / ACCURACY) and
+reads from it two values that enclose each wanted rank. A second scan counts
+the rows below, at and between the two values and brings back the few in
+between, among which the exact order statistic is picked. Where a column is so
+long that there are more than ``LIMIT`` rows in between, the range is
+narrowed by a sketch of those rows first. No row is shuffled or written; each
+task returns a sketch, a few counts and at most ``LIMIT`` values a quantile.
+
+Values that repeat are counted, not collected, so a value held by a third of
+the rows costs nothing. Columns of up to ``LIMIT`` values are brought back as
+they are.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, ref
 
-SMALL_DISTINCT = 50_000   # distinct values up to which ``percentile`` is used: a few MB in a buffer, same result
-ROWS_PER_PARTITION = 2_000_000
+ACCURACY = 10_000
+LIMIT = 20_000
+COLUMNS_PER_JOB = 24
+TARGETS_PER_JOB = 72
+_INF = float("inf")
 
 
-def _ranks(n: int, probs: list[float]) -> list[int]:
-    need = set()
-    for p in probs:
-        h = (n - 1) * p
-        need.add(int(math.floor(h)))
-        need.add(int(math.ceil(h)))
-    return sorted(need)
+def _value(c: str) -> Column:
+    """The column as double; NaN is missing, like NULL."""
+    x = ref(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-def _interpolate(n: int, probs: list[float], at: dict[int, float]) -> list[float]:
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        out.append(at[lo] + (h - lo) * (at[hi] - at[lo]))
-    return out
+def _interpolate(n: int, p: float, at: dict[int, float]) -> float:
+    h = (n - 1) * p
+    lo, hi = int(math.floor(h)), int(math.ceil(h))
+    if at[lo] == at[hi]:
+        return at[lo]
+    return at[lo] + (h - lo) * (at[hi] - at[lo])
 
 
-def order_statistic_quantiles_multi(df: DataFrame, cols: list[str], probs: list[float],
-                                   counts: dict[str, int]) -> dict[str, list[float] | None]:
-    """Exact linear quantiles of several columns in one range-partitioned pass.
-
-    The columns are unpivoted to (column id, value) and range-partitioned on
-    (column id, value, row hash); each column then occupies a contiguous run
-    of partitions, and a rank is located from the per-(partition, column)
-    counts.
-    """
-    from tessera.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    live = [c for c in cols if counts.get(c)]
-    out: dict[str, list[float] | None] = {c: None for c in cols}
-    if not live:
-        return out
-    tb = F.xxhash64(*df.columns)
-    long = df.select(tb.alias("tb"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("cid"), ref(c).cast("double").alias("v")) for i, c in enumerate(live)])).alias("p"))
-    long = long.select("p.cid", "p.v", "tb").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    total = sum(counts[c] for c in live)
-    parts = max(1, -(-total // ROWS_PER_PARTITION))
-    ensure_checkpoint_dir(spark)
-    ranged = (long.repartitionByRange(parts, "cid", "v", "tb").withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    pc = sorted((r["cid"], r["_pid"], r["c"]) for r in
-                ranged.groupBy("cid", "_pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    starts: dict[tuple[int, int], tuple[int, int]] = {}
-    acc: dict[int, int] = {}
-    for cid, pid, c in pc:
-        starts[(cid, pid)] = (acc.get(cid, 0), c)
-        acc[cid] = acc.get(cid, 0) + c
-    want: dict[tuple[int, int], list[int]] = {}
-    for cid, c in enumerate(live):
-        for r in _ranks(counts[c], probs):
-            for (cc, pid), (s0, n) in starts.items():
-                if cc == cid and s0 <= r < s0 + n:
-                    want.setdefault((cid, pid), []).append(r - s0)
-    sel = F.lit(False)
-    for (cid, pid), locals_ in want.items():
-        sel = sel | ((F.col("cid") == cid) & (F.col("_pid") == pid) & F.col("lr").isin(locals_))
-    w = Window.partitionBy("_pid", "cid").orderBy("v", "tb")
-    picked = (ranged.where(F.col("_pid").isin(sorted({p for _, p in want})))
-              .withColumn("lr", F.row_number().over(w) - 1).where(sel).collect())
-    at: dict[int, dict[int, float]] = {}
-    for r in picked:
-        at.setdefault(r["cid"], {})[starts[(r["cid"], r["_pid"])][0] + r["lr"]] = r["v"]
-    for cid, c in enumerate(live):
-        out[c] = _interpolate(counts[c], probs, at[cid])
-    return out
+@dataclass
+class _Target:
+    """The ranks of one quantile of one column (and group), known to lie
+    between the values ``lo`` and ``hi``, with at most ``most`` rows strictly between."""
+
+    ranks: list[int]
+    lo: float
+    hi: float
+    most: float
+    found: dict[int, float]
+
+    def done(self) -> bool:
+        return len(self.found) == len(self.ranks)
+
+
+def _bracket_probs(p: float) -> list[float]:
+    """Probabilities whose sketched values enclose the ranks of ``p``."""
+    return [max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY)]
+
+
+def _target(p: float, n: int, lo: float, hi: float) -> _Target:
+    h = (n - 1) * p
+    ranks = sorted({int(math.floor(h)), int(math.ceil(h))})
+    if n <= LIMIT:
+        return _Target(ranks, -_INF, _INF, n, {})
+    lo = -_INF if p - 2 / ACCURACY <= 0 else lo
+    hi = _INF if p + 2 / ACCURACY >= 1 else hi
+    return _Target(ranks, lo, hi, 8 * n / ACCURACY + 16, {})
+
 
+def _sketch(v: Column, probs: list[float]) -> Column:
+    return F.percentile_approx(v, F.array(*[F.lit(float(q)) for q in probs]), F.lit(ACCURACY))
 
-def order_statistic_quantiles(df: DataFrame, col: str, probs: list[float], n: int | None = None) -> list[float] | None:
-    """Exact linear quantiles of one column without a single-task buffer."""
-    if n is None:
-        v = F.col(col).cast("double")
-        n = df.where(v.isNotNull() & ~F.isnan(v)).count()
-    return order_statistic_quantiles_multi(df, [col], probs, {col: n})[col]
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              small_distinct: int = SMALL_DISTINCT) -> dict[str, list[float] | None]:
-    """Exact linear quantiles for several columns: one ``percentile``
-    aggregate for the columns with few distinct values, order statistics for
-    the others."""
-    if not cols:
-        return {}
-    def value(c):  # NaN is missing, like NULL
-        x = ref(c).cast("double")
-        return F.when(~F.isnan(x), x)
-
-    stats = collect_row(df, F.count(F.lit(1)).alias("n"),
-                        *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)])
-    if stats["n"] <= small_distinct:
-        small, large = list(cols), []
-    else:
-        approx = collect_row(df, *[F.approx_count_distinct(ref(c), 0.05).alias(f"d{i}")
-                                   for i, c in enumerate(cols)])
-        small = [c for i, c in enumerate(cols) if approx[f"d{i}"] * 1.2 <= small_distinct]
-        large = [c for c in cols if c not in small]
+
+def _counted(v: Column, lo: Column, hi: Column, collect: Column | None) -> Column:
+    """Rows below and at ``lo``, between, and (sorted) the values between where ``collect``."""
+    inside = (v > lo) & (v < hi)
+    some = F.lit(None).cast("array<double>") if collect is None else F.array_sort(F.collect_list(F.when(inside & collect, v)))
+    return F.struct(F.count(F.when(v < lo, 1)).alias("below"), F.count(F.when(v == lo, 1)).alias("at"),
+                    F.count(F.when(inside, 1)).alias("inside"), some.alias("some"))
+
+
+def _settle(t: _Target, row) -> list[float] | None:
+    """Take what the counts decide; else the relative ranks (0 to 1) to sketch next."""
+    first = row["below"] + row["at"]
+    wanted = []
+    for r in t.ranks:
+        if row["below"] <= r < first:
+            t.found[r] = t.lo
+        elif r >= first + row["inside"]:
+            t.found[r] = t.hi
+        elif row["some"]:
+            t.found[r] = row["some"][r - first]
+        elif r >= first:
+            wanted.append((r - first) / max(1, row["inside"] - 1))
+        else:
+            raise RuntimeError("a quantile lies outside its sketched range: did the input change between scans?")
+    return wanted or None
+
+
+# ------------------------------------------------------------- whole table
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    """Exact linear quantiles for several columns; None for a column without values."""
     out: dict[str, list[float] | None] = {}
-    if small:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = collect_row(df, *[F.percentile(value(c), arr).alias(f"q{i}")
-                                for i, c in enumerate(small)])
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else None
-    if large:
-        out.update(order_statistic_quantiles_multi(df, large, probs,
-                                                   {c: stats[f"n{cols.index(c)}"] for c in large}))
+    for lo in range(0, len(cols), COLUMNS_PER_JOB):
+        out.update(_selected(df, cols[lo: lo + COLUMNS_PER_JOB], probs))
     return out
 
 
-def grouped_quantiles(df: DataFrame, group: str, cols: list[str], probs: list[float],
-                      small_distinct: int = SMALL_DISTINCT) -> dict[tuple, list[float] | None]:
-    """Exact linear quantiles per (group value, column).
-
-    With few distinct values per column, one grouped ``percentile``
-    aggregate; otherwise one range-partitioned order-statistics pass over
-    (column id, group, value, row hash), so a group holding a third of the
-    rows is spread over many partitions. Keys of the result: (group, column).
-    """
-    if not cols:
-        return {}
-
-    def value(c):
-        x = ref(c).cast("double")
-        return F.when(~F.isnan(x), x)
-
-    n = df.count()
-    if n <= small_distinct:
-        large = False
-    else:
-        approx = collect_row(df, *[F.approx_count_distinct(ref(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)])
-        large = any(approx[f"d{i}"] * 1.2 > small_distinct for i in range(len(cols)))
-    if not large:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        rows = df.groupBy(group).agg(*[F.percentile(value(c), arr).alias(f"q{i}") for i, c in enumerate(cols)]).collect()
-        return {(r[group], c): (list(r[f"q{i}"]) if r[f"q{i}"] is not None else None)
-                for r in rows for i, c in enumerate(cols)}
-    from tessera.session import ensure_checkpoint_dir
-    tb = F.xxhash64(*df.columns)
-    long = (df.select(F.col(group).alias("g"), tb.alias("tb"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("cid"), value(c).alias("v")) for i, c in enumerate(cols)])).alias("p"))
-        .select("p.cid", "g", "p.v", "tb").where(F.col("v").isNotNull()))
-    parts = max(1, min(10_000, -(-n * len(cols) // ROWS_PER_PARTITION)))
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (long.repartitionByRange(parts, "cid", "g", "v", "tb").withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    pc = sorted(((r["cid"], r["g"], r["_pid"], r["c"]) for r in
-                 ranged.groupBy("cid", "g", "_pid").agg(F.count(F.lit(1)).alias("c")).collect()),
-                key=lambda t: (t[0], str(t[1]), t[2]))
-    starts, acc = {}, {}
-    for cid, g, pid, c in pc:
-        starts[(cid, g, pid)] = (acc.get((cid, g), 0), c)
-        acc[(cid, g)] = acc.get((cid, g), 0) + c
-    want = {}
-    for (cid, g), total in acc.items():
-        for r in _ranks(total, probs):
-            for (c2, g2, pid), (s0, cnt) in starts.items():
-                if c2 == cid and g2 == g and s0 <= r < s0 + cnt:
-                    want.setdefault((cid, g, pid), []).append(r - s0)
-    sel = F.lit(False)
-    for (cid, g, pid), locs in want.items():
-        gcond = F.col("g").isNull() if g is None else (F.col("g") == F.lit(g))
-        sel = sel | ((F.col("cid") == cid) & gcond & (F.col("_pid") == pid) & F.col("lr").isin(locs))
-    w = Window.partitionBy("_pid", "cid", "g").orderBy("v", "tb")
-    picked = (ranged.where(F.col("_pid").isin(sorted({p for _, _, p in want})))
-              .withColumn("lr", F.row_number().over(w) - 1).where(sel).collect())
-    at = {}
-    for r in picked:
-        key = (r["cid"], r["g"])
-        at.setdefault(key, {})[starts[(r["cid"], r["g"], r["_pid"])][0] + r["lr"]] = r["v"]
-    out = {}
-    groups = {g for (_, g) in acc}
-    for g in groups:
-        for i, c in enumerate(cols):
-            total = acc.get((i, g), 0)
-            out[(g, c)] = _interpolate(total, probs, at[(i, g)]) if total else None
+def _selected(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    edges = [q for p in probs for q in _bracket_probs(p)]
+    first = collect_row(df, *[F.struct(F.count(_value(c)).alias("n"), _sketch(_value(c), edges).alias("q")).alias(f"c{i}")
+                              for i, c in enumerate(cols)])
+    n = {c: first[f"c{i}"]["n"] for i, c in enumerate(cols)}
+    targets = {(c, j): _target(p, n[c], *first[f"c{i}"]["q"][2 * j: 2 * j + 2])
+               for i, c in enumerate(cols) if n[c] for j, p in enumerate(probs)}
+    while open_ := dict([(k, t) for k, t in targets.items() if not t.done()][:TARGETS_PER_JOB]):
+        row = collect_row(df, *[
+            _counted(_value(c), F.lit(t.lo), F.lit(t.hi), F.lit(True) if t.most <= LIMIT else None).alias(f"t{i}")
+            for i, ((c, _), t) in enumerate(open_.items())])
+        narrow = {}
+        for i, (k, t) in enumerate(open_.items()):
+            wanted = _settle(t, row[f"t{i}"])
+            if wanted:
+                narrow[k] = (t, wanted, row[f"t{i}"]["inside"])
+        if narrow:  # more rows in between than may be collected: a sketch of those
+            inside = [F.when((_value(c) > F.lit(t.lo)) & (_value(c) < F.lit(t.hi)), _value(c)) for (c, _), (t, _, _) in narrow.items()]
+            asked = [[max(0.0, min(w) - 2 / ACCURACY), min(1.0, max(w) + 2 / ACCURACY)] for _, w, _ in narrow.values()]
+            row = collect_row(df, *[_sketch(v, q).alias(f"s{i}") for i, (v, q) in enumerate(zip(inside, asked, strict=True))])
+            for i, ((t, w, m), q) in enumerate(zip(narrow.values(), asked, strict=True)):
+                a, b = row[f"s{i}"]
+                t.lo, t.hi = (t.lo if q[0] <= 0 else a), (t.hi if q[1] >= 1 else b)
+                t.most = 8 * m / ACCURACY + 16
+    return {c: [_interpolate(n[c], p, targets[c, j].found) for j, p in enumerate(probs)] if n[c] else None for c in cols}
+
+
+# ------------------------------------------------------------------ grouped
+
+def grouped_quantiles(df: DataFrame, group: str, cols: list[str], probs: list[float]) -> dict[tuple, list[float] | None]:
+    """Exact linear quantiles per (group value, column): the same selection,
+    with one sketch and one pair of values a group. Keys: (group, column).
+    Results and sketched values are bounded by the number of groups."""
+    out: dict[tuple, list[float] | None] = {}
+    for lo in range(0, len(cols), COLUMNS_PER_JOB):
+        out.update(_selected_by_group(df, group, cols[lo: lo + COLUMNS_PER_JOB], probs))
     return out
+
+
+def _selected_by_group(df: DataFrame, group: str, cols: list[str], probs: list[float]) -> dict[tuple, list[float] | None]:
+    edges = [q for p in probs for q in _bracket_probs(p)]
+    rows = df.select(ref(group).alias("_g"), *[_value(c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    values = [F.col(f"_v{i}") for i in range(len(cols))]
+    first = rows.groupBy("_g").agg(*[F.struct(F.count(v).alias("n"), _sketch(v, edges).alias("q")).alias(f"c{i}") for i, v in enumerate(values)]).collect()
+    n = {(r["_g"], i): r[f"c{i}"]["n"] for r in first for i in range(len(cols))}
+    places = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    targets = {(r["_g"], i, j): _target(probs[j], n[r["_g"], i], *r[f"c{i}"]["q"][2 * j: 2 * j + 2])
+               for r in first for i, j in places if n[r["_g"], i]}
+    schema = f"_g {dict(rows.dtypes)['_g']}, " + ", ".join(f"l{i}_{j} double, h{i}_{j} double, k{i}_{j} boolean" for i, j in places)
+    while True:
+        groups = {g for (g, _, _), t in targets.items() if not t.done()}
+        if not groups:
+            break
+        ranges = [(g, *[v for i, j in places for v in _range_of(targets.get((g, i, j)))]) for g in groups]
+        near = df.sparkSession.createDataFrame(ranges, schema).withColumnRenamed("_g", "_g2")
+        joined = rows.join(F.broadcast(near), rows["_g"].eqNullSafe(near["_g2"]))  # one row a group
+        counts = joined.groupBy("_g").agg(*[
+            _counted(values[i], F.col(f"l{i}_{j}"), F.col(f"h{i}_{j}"), F.col(f"k{i}_{j}")).alias(f"t{i}_{j}") for i, j in places]).collect()
+        narrow = {}
+        for r in counts:
+            for i, j in places:
+                t = targets.get((r["_g"], i, j))
+                if t is not None and not t.done():
+                    wanted = _settle(t, r[f"t{i}_{j}"])
+                    if wanted:
+                        narrow[r["_g"], i, j] = (t, wanted, r[f"t{i}_{j}"]["inside"])
+        if narrow:
+            steps = [k / 64 for k in range(65)]  # relative ranks differ by group: an even grid around them
+            sketches = joined.groupBy("_g").agg(*[
+                _sketch(F.when((values[i] > F.col(f"l{i}_{j}")) & (values[i] < F.col(f"h{i}_{j}")), values[i]), steps).alias(f"s{i}_{j}")
+                for i, j in places]).collect()
+            for r in sketches:
+                for i, j in places:
+                    if (r["_g"], i, j) in narrow:
+                        t, w, m = narrow[r["_g"], i, j]
+                        a, b = math.floor((min(w) - 2 / ACCURACY) * 64), math.ceil((max(w) + 2 / ACCURACY) * 64)
+                        t.lo, t.hi = (t.lo if a <= 0 else r[f"s{i}_{j}"][a]), (t.hi if b >= 64 else r[f"s{i}_{j}"][b])
+                        t.most = m * (b - a) / 64 + 8 * m / ACCURACY + 16
+    return {(r["_g"], c): [_interpolate(n[r["_g"], i], p, targets[r["_g"], i, j].found) for j, p in enumerate(probs)] if n[r["_g"], i] else None
+            for r in first for i, c in enumerate(cols)}
+
+
+def _range_of(t: _Target | None) -> tuple:
+    return (None, None, False) if t is None or t.done() else (t.lo, t.hi, t.most <= LIMIT)
