@@ -6,37 +6,35 @@ The distance uses only coordinates present in both rows and is scaled by
 c over the k nearest donors (ties broken by donor key); a row that shares
 no coordinate with any donor gets the column mean.
 
-Receivers (rows with a gap) and donors are paired block by block; every
-task keeps only a partial top-k per (receiver, column), and the final top-k
-is a window over (receiver, column) groups of at most k x blocks rows.
+Rows are grouped by which columns they lack. Between two such patterns the
+shared coordinates are the same for all rows, so the donors of one pattern
+are found by an exact nearest-neighbour join (``operators.neighbours``) in
+those coordinates; the candidates of all patterns are merged by a window of
+at most k rows a pattern. Tables that are small (``FEW_BLOCKS``) or have more
+than ``MAX_JOINS`` pairs of patterns compare receivers and donors block by
+block instead, with the same result; every task keeps a partial top-k.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import collect_row, nan_as_missing
+from tessera.functions.exprs import collect_row, nan_as_missing, ref
+from tessera.functions.joins import join_shared
+from tessera.operators.keys import numbered
+from tessera.operators.neighbours import LEAF_ROWS, nearest, smallest
 from tessera.operators.pairs import block_pairs
 
+MAX_JOINS = 12   # pairs of gap patterns that are joined one by one
+FEW_BLOCKS = 16  # pairs of blocks that are compared at once instead
 _SCHEMA = "rid long, ci int, d2 double, dk long, v double"
 
 
-def _smallest(d: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest values of each row, earlier columns first at
-    ties. Only values up to the k-th are sorted."""
-    if k >= d.shape[1]:
-        return np.argsort(d, axis=1, kind="stable")[:, :k]
-    bound = np.partition(d, k - 1, axis=1)[:, k - 1: k]
-    out = np.empty((len(d), k), np.int64)
-    for i, (row, top) in enumerate(zip(d, bound, strict=True)):
-        near = np.flatnonzero(row <= top)
-        out[i] = near[np.argsort(row[near], kind="stable")[:k]]
-    return out
-
-
 def _partial_topk(k: int, p: int):
     def fn(rec: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -67,7 +65,7 @@ def _partial_topk(k: int, p: int):
             sub = d2[np.ix_(recv, donors)]
             sub = np.where(np.isnan(sub), np.inf, sub)
             kk = min(k, len(donors))
-            order = _smallest(sub, kk)
+            order = smallest(sub, kk)
             dist = np.take_along_axis(sub, order, axis=1)
             ok = np.isfinite(dist)
             if not ok.any():
@@ -82,38 +80,88 @@ def _partial_topk(k: int, p: int):
     return fn
 
 
+def _by_blocks(base: DataFrame, k: int, p: int, block_rows: int, receivers: int, rows: int) -> DataFrame:
+    """Candidates by comparing every receiver with every donor, block by block."""
+    rec = base.where("gap").select(F.col("id").alias("rid"), "v", F.col("id"))
+    don = base.select(F.col("id").alias("dk"), "v", F.col("id"))
+    return block_pairs(rec, don, _partial_topk(k, p), _SCHEMA, block_rows, left_rows=receivers, right_rows=rows)
+
+
+def _pattern_pairs(masks: list[tuple[int, ...]], p: int):
+    """(gaps of receivers, gaps of donors, columns the donors can fill, shared columns)"""
+    for gaps in masks:
+        for lacking in masks:
+            wanted = [i for i in gaps if i not in lacking]
+            shared = [i for i in range(p) if i not in gaps and i not in lacking]
+            if wanted and shared:
+                yield gaps, lacking, wanted, shared
+
+
+def _by_pattern(base: DataFrame, pairs: list, k: int, p: int, leaf_rows: int) -> DataFrame | None:
+    """Candidates by one nearest-neighbour join for each pair of a receivers'
+    and a donors' pattern of gaps: between them the distance uses the same
+    coordinates for all rows, so it is an ordinary distance in those."""
+    out = None
+
+    def rows_of(mask: tuple[int, ...], shared: list[int]) -> DataFrame:
+        here = F.lit(True)
+        for i in range(p):
+            here = here & (F.isnan(F.col("v")[i]) if i in mask else ~F.isnan(F.col("v")[i]))
+        return base.where(here).select("id", F.array(*[F.col("v")[i] for i in shared]).alias("x"))
+
+    for gaps, lacking, wanted, shared in pairs:
+        near = nearest(rows_of(gaps, shared), rows_of(lacking, shared), k, leaf_rows=leaf_rows)
+        values = base.select(F.col("id").alias("nb"), "v")
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col("v")[i].alias("v")) for i in wanted]))
+        got = join_shared(near, values, ["nb"]).select(
+            F.col("id").alias("rid"), (F.col("d2") * F.lit(p / len(shared))).alias("d2"), F.col("nb").alias("dk"), each.alias("c"))
+        got = got.select("rid", "c.ci", "d2", "dk", "c.v")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def knn_impute(df: DataFrame, key_cols: list[str], cols: list[str], k: int = 5,
-               block_rows: int = 2048) -> DataFrame:
-    """Fill gaps in ``cols`` (doubles) with the mean of the k nearest donors."""
-    if len(key_cols) != 1:
-        raise ValueError("knn_impute needs a single key column")
-    df = nan_as_missing(df)
-    key = key_cols[0]
+               block_rows: int = 2048, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Fill gaps in ``cols`` (doubles) with the mean of the k nearest donors.
+    The key may be one column of any type or several; ties go in its order."""
+    names = df.columns
+    frame, key, mapping = numbered(nan_as_missing(df), key_cols)
     p = len(cols)
-    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])
+    vec = F.array(*[F.coalesce(ref(c).cast("double"), F.lit(float("nan"))) for c in cols])
     any_gap = F.lit(False)
     for c in cols:
-        any_gap = any_gap | F.col(c).isNull()
-    base = df.select(F.col(key).cast("long").alias("id"), vec.alias("v"), any_gap.alias("gap"))
-    counts = collect_row(df, F.count(F.lit(1)).alias("n"), F.count(F.when(any_gap, 1)).alias("r"),
-                         *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
+        any_gap = any_gap | ref(c).isNull()
+    base = frame.select(ref(key).cast("long").alias("id"), vec.alias("v"), any_gap.alias("gap"))
+    counts = collect_row(frame, F.count(F.lit(1)).alias("n"), F.count(F.when(any_gap, 1)).alias("r"),
+                         *[F.avg(ref(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
     if counts["r"] == 0:
         return df
-    rec = base.where("gap").select(F.col("id").alias("rid"), "v", F.col("id"))
-    don = base.select(F.col("id").alias("dk"), "v", F.col("id"))
-    part = block_pairs(rec, don, _partial_topk(k, p), _SCHEMA, block_rows,
-                       left_rows=counts["r"], right_rows=counts["n"])
-    w = Window.partitionBy("rid", "ci").orderBy("d2", "dk")
-    fills = (part.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-             .groupBy("rid", "ci").agg(F.avg("v").alias("fill")))
-    wide = fills.groupBy("rid").agg(*[F.max(F.when(F.col("ci") == i, F.col("fill"))).alias(f"f{i}")
-                                      for i in range(p)])
-    out = df.join(wide, df[key].cast("long") == wide["rid"], "left")
+    pairs = None
+    if p < 63 and math.ceil(counts["r"] / block_rows) * math.ceil(counts["n"] / block_rows) > FEW_BLOCKS:
+        mask = sum((F.when(ref(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(cols)), F.lit(0).cast("long"))
+        most = 4 * MAX_JOINS
+        bits = [r["m"] for r in frame.select(mask.alias("m")).distinct().limit(most + 1).collect()]
+        if len(bits) <= most:
+            pairs = list(_pattern_pairs([tuple(i for i in range(p) if b >> i & 1) for b in sorted(bits)], p))
+    if pairs is not None and len(pairs) <= MAX_JOINS:
+        part = _by_pattern(base, pairs, k, p, leaf_rows)
+    else:
+        part = _by_blocks(base, k, p, block_rows, counts["r"], counts["n"])
     sel = []
-    for c in df.columns:
+    if part is not None:
+        w = Window.partitionBy("rid", "ci").orderBy("d2", "dk")
+        fills = (part.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+                 .groupBy("rid", "ci").agg(F.avg("v").alias("fill")))
+        wide = fills.groupBy("rid").agg(*[F.max(F.when(F.col("ci") == i, F.col("fill"))).alias(f"_f{i}")
+                                          for i in range(p)])
+        frame = frame.join(wide, ref(key).cast("long") == F.col("rid"), "left")
+    if mapping is not None:
+        frame = frame.join(mapping, key)
+    for c in names:
         if c in cols:
             i = cols.index(c)
-            sel.append(F.coalesce(F.col(c).cast("double"), F.col(f"f{i}"), F.lit(counts[f"m{i}"])).alias(c))
+            filled = [F.col(f"_f{i}")] if part is not None else []
+            sel.append(F.coalesce(ref(c).cast("double"), *filled, F.lit(counts[f"m{i}"])).alias(c))
         else:
-            sel.append(df[c])
-    return out.select(*sel)
+            sel.append(ref(c))
+    return frame.select(*sel)
