@@ -38,6 +38,7 @@ def _dist2_to(x: str, centre: list[float]) -> Column:
     return e
 
 
+CHUNK_VALUES = 1 << 22  # differences held at once
 EXPR_MAX_VALUES = 64  # up to k * d literals the assignment stays one codegen'd expression
 
 
@@ -46,13 +47,18 @@ def _nearest_udf(centres: list[list[float]]):
     from pyspark.sql.functions import pandas_udf
 
     C = np.asarray(centres, dtype=np.float64)
+    step = max(1, CHUNK_VALUES // max(1, C.size))
 
     @pandas_udf("struct<i:int,d:double>")
     def nearest(xs: pd.Series) -> pd.DataFrame:
-        X = np.stack(xs.to_numpy()).astype(np.float64)
-        d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-        i = np.argmin(d2, axis=1)  # first minimum: ties go to the lowest index
-        return pd.DataFrame({"i": i.astype("int32"), "d": d2[np.arange(len(X)), i]})
+        X = np.stack(xs.to_numpy()).astype(np.float64) if len(xs) else np.empty((0, C.shape[1]))
+        at, best = [np.empty(0, np.int64)], [np.empty(0)]
+        for lo in range(0, len(X), step):  # the differences of a few rows to all centres at a time
+            d2 = ((X[lo:lo + step, None, :] - C[None, :, :]) ** 2).sum(-1)
+            i = np.argmin(d2, axis=1)  # first minimum: ties go to the lowest index
+            at.append(i)
+            best.append(d2[np.arange(len(i)), i])
+        return pd.DataFrame({"i": np.concatenate(at).astype("int32"), "d": np.concatenate(best)})
 
     return nearest
 
