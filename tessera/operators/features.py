@@ -2,7 +2,8 @@
 and the centred 2-D projection.
 
 PCA needs only the p x p covariance of the standardised columns: it is
-computed in one aggregate (p(p+1)/2 expressions), the eigen-decomposition
+computed in one aggregate (p(p+1)/2 expressions; Gramian blocks for wide
+tables), the eigen-decomposition
 of that small matrix runs on the driver (bounded by the column count, as in
 Spark ML's own PCA), and the projection is a column expression per row.
 """
@@ -13,7 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import collect_row, numeric_cols
+from tessera.functions.exprs import collect_row, null_if_nan, numeric_cols, ref
+from tessera.operators.gramian import column_moments, moments
+
+#: Columns up to which covariances are one aggregate of expressions; beyond, Gramian blocks.
+WIDE = 16
 
 
 def _check_new_name(df: DataFrame, name: str) -> None:
@@ -26,20 +31,22 @@ def ratio_feature(df: DataFrame, a: str, b: str, name: str | None = None) -> Dat
     infinite result of b = -1e-9 is also NULL (documented deviation)."""
     name = name or f"{a}_per_{b}"
     _check_new_name(df, name)
-    den = F.nullif(F.col(b).cast("double"), F.lit(0.0)) + F.lit(1e-9)
-    return df.withColumn(name, F.try_divide(F.col(a).cast("double"), den))
+    den = F.nullif(ref(b).cast("double"), F.lit(0.0)) + F.lit(1e-9)
+    return df.withColumn(name, F.try_divide(ref(a).cast("double"), den))
 
 
 def interaction_feature(df: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:
     name = name or f"{a}_x_{b}"
     _check_new_name(df, name)
-    return df.withColumn(name, F.col(a).cast("double") * F.col(b).cast("double"))
+    return df.withColumn(name, ref(a).cast("double") * ref(b).cast("double"))
 
 
 def _standardised_cov(df: DataFrame, cols: list[str], fill_zero: bool) -> tuple[np.ndarray, dict]:
-    xs = [F.col(c).cast("double") for c in cols]
+    xs = [null_if_nan(ref(c).cast("double")) for c in cols]
     if fill_zero:
         xs = [F.coalesce(x, F.lit(0.0)) for x in xs]
+    if len(cols) > WIDE:
+        return np.nan_to_num(column_moments(df, xs).correlation()), {}
     st = collect_row(df, *[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"),
                                     (F.min(x) == F.max(x)).alias("c")).alias(f"c{i}")
                            for i, x in enumerate(xs)])
@@ -76,16 +83,22 @@ def pca_project_2d(x_df: DataFrame, key_cols: list[str], dim: int, x: str = "x")
     that its largest-magnitude loading is positive. A single feature is padded
     with a zero column."""
     xs = [F.col(x)[i] for i in range(dim)]
-    means = collect_row(x_df, *[F.avg(v).alias(f"m{i}") for i, v in enumerate(xs)])
-    cs = [v - F.lit(means[f"m{i}"]) for i, v in enumerate(xs)]
+    if dim > WIDE:
+        found = moments(x_df, F.col(x), dim)
+        mean, cov = found.means(), found.covariance()
+    else:
+        got = collect_row(x_df, *[F.avg(v).alias(f"m{i}") for i, v in enumerate(xs)])
+        mean = [got[f"m{i}"] for i in range(dim)]
+    cs = [v - F.lit(None if m is None else float(m)).cast("double") for v, m in zip(xs, mean, strict=True)]
     if dim == 1:
-        return x_df.select(*key_cols, cs[0].alias("pc1"), F.lit(0.0).alias("pc2"))
-    cov_row = collect_row(x_df, *[F.covar_pop(cs[i], cs[j]).alias(f"v{i}_{j}")
-                                  for i in range(dim) for j in range(i, dim)])
-    cov = np.zeros((dim, dim))
-    for i in range(dim):
-        for j in range(i, dim):
-            cov[i, j] = cov[j, i] = cov_row[f"v{i}_{j}"] or 0.0
+        return x_df.select(*[ref(k) for k in key_cols], cs[0].alias("pc1"), F.lit(0.0).alias("pc2"))
+    if dim <= WIDE:
+        cov_row = collect_row(x_df, *[F.covar_pop(cs[i], cs[j]).alias(f"v{i}_{j}")
+                                      for i in range(dim) for j in range(i, dim)])
+        cov = np.zeros((dim, dim))
+        for i in range(dim):
+            for j in range(i, dim):
+                cov[i, j] = cov[j, i] = cov_row[f"v{i}_{j}"] or 0.0
     w, v = np.linalg.eigh(cov)
     order = np.argsort(w)[::-1][:2]
     comps = []
@@ -96,9 +109,14 @@ def pca_project_2d(x_df: DataFrame, key_cols: list[str], dim: int, x: str = "x")
         comps.append(vec)
     proj = []
     for vec in comps:
+        if dim > WIDE:  # one expression over the array instead of hundreds of terms
+            weights, shift = (F.array(*[F.lit(float(v)) for v in a]) for a in (vec, mean))
+            terms = F.zip_with(F.zip_with(F.col(x), shift, lambda u, m: u - m), weights, lambda u, w: u * w)
+            proj.append(F.aggregate(terms, F.lit(0.0), lambda t, u: t + u))
+            continue
         e = None
         for i in range(dim):
             term = cs[i] * F.lit(float(vec[i]))
             e = term if e is None else e + term
         proj.append(e)
-    return x_df.select(*key_cols, proj[0].alias("pc1"), proj[1].alias("pc2"))
+    return x_df.select(*[ref(k) for k in key_cols], proj[0].alias("pc1"), proj[1].alias("pc2"))

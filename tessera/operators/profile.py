@@ -16,20 +16,42 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, nan_as_missing, numeric_cols, ref
 from tessera.functions.quantiles import quantiles
+from tessera.operators.gramian import column_moments
+
+
+#: Relative error of the distinct sketches, and how far (in those) an estimate may be off before a column is ruled out.
+SKETCH_ERROR = 0.01
+SKETCH_MARGIN = 8
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Exact distinct count (missing ignored) of every column: values are
-    unpivoted to (column, value), made distinct with a map-side combine and
-    counted per column, so no row is expanded once per column in full."""
+    """Exact distinct count (missing ignored) of every column: two 64-bit
+    hashes of the values are unpivoted to (column, hashes), made distinct with
+    a map-side combine and counted per column."""
     kinds = dict(df.dtypes)
-    values = [F.struct(F.lit(i).alias("i"), ((ref(c) + 0.0) if kinds[c] in ("double", "float") else ref(c)).cast("string").alias("v"))
+    def plain(c):
+        return ((ref(c) + 0.0) if kinds[c] in ("double", "float") else ref(c)).cast("string")
+    values = [F.struct(F.lit(i).alias("i"), F.when(ref(c).isNotNull(), F.xxhash64(plain(c))).alias("a"), F.xxhash64(F.lit(1), plain(c)).alias("b"))
               for i, c in enumerate(cols)]
-    pairs = df.select(F.explode(F.array(*values)).alias("p")).select("p.*").where("v is not null").distinct()
+    pairs = df.select(F.explode(F.array(*values)).alias("p")).select("p.*").where("a is not null").distinct()
     found = {r["i"]: r["n"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {c: found.get(i, 0) for i, c in enumerate(cols)}
 
 
+def distinct_sketches(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, tuple[int, float]]]:
+    """(rows, {column: (values present, estimated distinct values)}): one scan
+    with a mergeable sketch a column, nothing shuffled but the sketches."""
+    row = collect_row(df, F.count(F.lit(1)).alias("n"), *[F.struct(
+        F.count(ref(c)).alias("n"), F.approx_count_distinct(ref(c), SKETCH_ERROR).alias("d"),
+        F.min(ref(c)).alias("lo"), F.max(ref(c)).alias("hi")).alias(f"c{i}") for i, c in enumerate(cols)])
+    out = {}
+    for i, c in enumerate(cols):
+        s = row[f"c{i}"]
+        one = s["n"] > 0 and s["lo"] == s["hi"]  # exactly known without counting
+        out[c] = (s["n"], float(1 if one else max(2, s["d"])) if s["n"] else 0.0)
+    return row["n"], out
+
+
 # ----------------------------------------------------------------- E1 shape
 
 def shape(df: DataFrame) -> DataFrame:
@@ -158,40 +180,41 @@ def box_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 # ------------------------------------------------------------ C1 correlation
 
-PAIRS_PER_JOB = 150
+#: Pairs of columns up to which one aggregate computes all coefficients; wider tables use Gramian blocks.
+PAIRS_IN_ONE = 150
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson r for every ordered column pair on pairwise-complete rows.
+    """Pearson r for every ordered column pair on pairwise-complete rows, in
+    one scan of the table however many columns there are.
 
-    ``covar_pop / (stddev_pop * stddev_pop)`` with ``try_divide``: a constant
-    column yields NULL instead of an ANSI divide-by-zero.
+    A column that is constant on the rows of a pair yields NULL.
     """
     df = nan_as_missing(df)
     cols = cols or numeric_cols(df)
-    exprs, pairs = [], []
+    if len(cols) * (len(cols) + 1) // 2 > PAIRS_IN_ONE:
+        return corr_gramian(df, cols)
+    exprs, structs = [], []
     for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
+        for b in cols[i:]:
             xa, xb = ref(a).cast("double"), ref(b).cast("double")
             both = xa.isNotNull() & xb.isNotNull()
             ya, yb = F.when(both, xa), F.when(both, xb)
-            r = F.try_divide(F.covar_pop(ya, yb), F.stddev_pop(ya) * F.stddev_pop(yb))
-            exprs.append(r.alias(f"r{len(pairs)}"))
-            pairs.append((a, b))
-    # a wide table takes several aggregates of a size that still compiles
-    out = None
-    for lo in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[lo: lo + PAIRS_PER_JOB]
-        structs = []
-        for k, (a, b) in enumerate(part, lo):
+            k = len(exprs)
+            varies = (F.min(ya) < F.max(ya)) & (F.min(yb) < F.max(yb))  # merged deviations of a constant are not always 0
+            exprs.append(F.when(varies, F.try_divide(F.covar_pop(ya, yb), F.stddev_pop(ya) * F.stddev_pop(yb))).alias(f"r{k}"))
             structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r")))
             if a != b:
                 structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"r{k}").alias("r")))
-        agg = df.agg(*exprs[lo: lo + PAIRS_PER_JOB]).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-        out = agg if out is None else out.union(agg)
-    return out
+    return df.agg(*exprs).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+def corr_gramian(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The same from masked Gramian blocks, for any number of columns."""
+    cols = cols or numeric_cols(df)
+    r = column_moments(df, [ref(c) for c in cols]).correlation()
+    rows = [(a, b, None if r[i, j] != r[i, j] else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
 
 
 def high_corr_pairs(df: DataFrame, threshold: float = 0.8, cols: list[str] | None = None) -> DataFrame:
@@ -199,9 +222,9 @@ def high_corr_pairs(df: DataFrame, threshold: float = 0.8, cols: list[str] | Non
     cols = cols or numeric_cols(df)
     pos = {c: i for i, c in enumerate(cols)}
     cm = corr_matrix(df, cols)
-    order = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pos[c]))])
-    return (cm.where(order[F.col("col_a")] < order[F.col("col_b")])
-            .where(F.abs("r") > threshold)
+    order = df.sparkSession.createDataFrame(list(pos.items()), "col string, pos int")  # a row a column
+    first, second = order.toDF("col_a", "_pa"), order.toDF("col_b", "_pb")
+    return (cm.where(F.abs("r") > threshold).join(F.broadcast(first), "col_a").join(F.broadcast(second), "col_b").where("_pa < _pb")
             .select("col_a", "col_b", F.bround("r", 3).alias("r")))
 
 
@@ -232,7 +255,7 @@ def outlier_points(df: DataFrame, col: str, key_cols: list[str]) -> DataFrame:
     s = collect_row(df, F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
     z = F.try_divide(x - F.lit(s["m"]), F.lit(s["s"]))
     return (df.where(x.isNotNull())
-            .select(*key_cols, x.alias("value"), z.alias("z"),
+            .select(*[ref(k) for k in key_cols], x.alias("value"), z.alias("z"),
                     F.coalesce(F.abs(z) > 3, F.lit(False)).alias("is_outlier")))
 
 
@@ -250,10 +273,19 @@ def top_categories(df: DataFrame, col: str, n: int = 20) -> DataFrame:
 # ------------------------------------------------ P3/P4/P8 suggestions, checks
 
 def auto_remove(df: DataFrame) -> DataFrame:
-    """Columns whose exact distinct count (missing ignored) equals the row count or is <= 1."""
+    """Columns whose exact distinct count (missing ignored) equals the row count or is <= 1.
+
+    Smallest and largest value decide the constant ones. All-distinct columns
+    must be complete and have an estimated distinct count near the row count;
+    only those few candidates are counted exactly.
+    """
     df = nan_as_missing(df)
-    n, unique = df.count(), distinct_counts(df, df.columns)
-    rows = [(c, unique[c], n) for c in df.columns if unique[c] == n or unique[c] <= 1]
+    n, sketch = distinct_sketches(df, df.columns)
+    far = 1 - SKETCH_MARGIN * SKETCH_ERROR
+    near = [c for c, (present, d) in sketch.items() if d > 1 and present == n and d >= far * n]
+    unique = {c: int(d) for c, (_, d) in sketch.items() if d <= 1}
+    unique |= distinct_counts(df.select(*[ref(c) for c in near]), near) if near else {}
+    rows = [(c, unique[c], n) for c in df.columns if c in unique and (unique[c] == n or unique[c] <= 1)]
     return df.sparkSession.createDataFrame(rows, "column string, unique bigint, rows bigint")
 
 
@@ -296,7 +328,7 @@ def xy_pairs(df: DataFrame, key_cols: list[str], x: str, y: str, color: str | No
     """The points of an x/y scatter (all rows; sample downstream with the
     deterministic sample when a display needs fewer)."""
     df = nan_as_missing(df)
-    cols = [*key_cols, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    cols = [*[ref(k) for k in key_cols], ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y")]
     if color:
-        cols.append(F.col(color).cast("string").alias("color"))
+        cols.append(ref(color).cast("string").alias("color"))
     return df.select(*cols)
