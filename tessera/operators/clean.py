@@ -133,10 +133,12 @@ def clip_percentiles(df: DataFrame, lo: float = 0.01, hi: float = 0.99, exclude:
 
 
 def remove_outliers(df: DataFrame, method: str = "None", exclude: list[str] = ()) -> DataFrame:
-    if method.startswith("Z"):
+    if method and method.startswith("Z"):
         return zscore_filter(df, exclude)
-    if method.startswith("IQR"):
+    if method and method.startswith("IQR"):
         return iqr_filter(df, exclude)
-    if method.startswith("Clip"):
+    if method and method.startswith("Clip"):
         return clip_percentiles(df, exclude=exclude)
+    if method not in ("None", "", None):
+        raise ValueError(f"unknown outlier method {method!r}; one of {OUTLIER_METHODS}")
     return df

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.exprs import (categorical_cols, collect_row, nan_to_null,
                                      numeric_cols, ref)
@@ -198,22 +199,56 @@ class Encoded:
         return len(self.feature_names)
 
 
+def vector_cols(df: DataFrame, exclude=()) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name not in set(exclude)
+            and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType)]
+
+
+def _check_finite(df: DataFrame, num: list[str], vectors: list[str]) -> dict[str, int]:
+    """Refuse infinities and arrays with gaps or of different lengths; the arrays' lengths. One aggregate."""
+    infinite = [F.count(F.when(F.abs(ref(c).cast("double")) == float("inf"), 1)).alias(f"i{i}") for i, c in enumerate(num)]
+    odd = [F.struct(
+        F.min(F.size(ref(c))).alias("least"), F.max(F.size(ref(c))).alias("most"), F.count(F.when(ref(c).isNull(), 1)).alias("nulls"),
+        F.count(F.when(F.exists(ref(c), lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))), 1)).alias("gaps"))
+        .alias(f"v{i}") for i, c in enumerate(vectors)]
+    if not infinite and not odd:
+        return {}
+    row = collect_row(df, *infinite, *odd)
+    bad = [c for i, c in enumerate(num) if row[f"i{i}"]]
+    if bad:
+        raise ValueError(f"infinite values in {bad}")
+    for i, c in enumerate(vectors):
+        s = row[f"v{i}"]
+        if s["nulls"] or s["gaps"] or s["least"] != s["most"]:
+            raise ValueError(f"the arrays of {c!r} must all be there, of one length and finite")
+    return {c: row[f"v{i}"]["most"] or 0 for i, c in enumerate(vectors)}
+
+
 def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler",
                imputer: str = "Mean", max_categories: int = 1000, knn_k: int = 5) -> Encoded:
     """Numeric block (imputed, scaled) then one-hot block, as ``x: array<double>``.
 
     Columns that are entirely missing are dropped from ``x`` (they have no
     statistic to impute with). With no usable column, ``x`` is one zero.
+    Arrays of numbers are ready-made features: their elements follow the others
+    as they are, and every row needs one of the same length without gaps.
+    Columns of other types and infinite values are refused before any fitting.
     """
     df = nan_to_null(df)
     num = numeric_cols(df, exclude=key_cols)
     cat = categorical_cols(df, exclude=key_cols)
+    vectors = vector_cols(df, exclude=key_cols)
+    other = [c for c in df.columns if c not in {*key_cols, *num, *cat, *vectors}]
+    if other:
+        raise ValueError(f"columns {other} are neither numbers, texts nor arrays of numbers; leave them out or flatten them")
+    widths = _check_finite(df, num, vectors)
     if num:
         present = collect_row(df, *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(num)])
         num = [c for i, c in enumerate(num) if present[f"n{i}"] > 0]
     # every statistic pass below and the encoded frame read this table
-    base = (df.select(*key_cols, *[ref(c).cast("double").alias(c) for c in num], *cat)
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    keys = [ref(k) for k in key_cols]
+    base = (df.select(*keys, *[ref(c).cast("double").alias(c) for c in num], *[ref(c) for c in cat],
+                      *[ref(c).cast("array<double>").alias(c) for c in vectors]).persist(StorageLevel.MEMORY_AND_DISK))
     source = base
     fitted_imp = None
     if num:
@@ -228,12 +263,14 @@ def preprocess(df: DataFrame, key_cols: list[str], scaler: str = "StandardScaler
     oh_exprs, oh_names = one_hot_exprs(cats)
     parts = fitted_sc.exprs(num) + oh_exprs
     names = list(num) + oh_names
-    if not parts:
+    names += [f"{c}_{i}" for c in vectors for i in range(widths[c])]
+    if not names:
         parts, names = [F.lit(0.0)], ["zero"]
-    frame = base.select(*key_cols, F.array(*[p.cast("double") for p in parts]).alias("x"))
+    x = F.array(*[p.cast("double") for p in parts]) if parts else F.array().cast("array<double>")
+    frame = base.select(*keys, F.concat(x, *[ref(c) for c in vectors]).alias("x") if vectors else x.alias("x"))
     return Encoded(frame, names, num, fitted_sc, fitted_imp, cats, source)
 
 
 def assemble(df: DataFrame, key_cols: list[str], cols: list[str]) -> DataFrame:
     """Plain assembly of already-numeric columns into ``x`` (no scaling)."""
-    return df.select(*key_cols, F.array(*[ref(c).cast("double") for c in cols]).alias("x"))
+    return df.select(*[ref(k) for k in key_cols], F.array(*[ref(c).cast("double") for c in cols]).alias("x"))

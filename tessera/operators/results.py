@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import collect_row, numeric_cols
+from tessera.functions.exprs import collect_row, numeric_cols, ref
 
-# The phrases of the descriptions.
+# The texts of the descriptions (this one, and "near-average across all features" below).
 NOISE_TEXT = "Outlier points not assigned to any cluster by DBSCAN."
 
 
 def label_join(df: DataFrame, labels: DataFrame, key_cols: list[str], cluster: str = "cluster") -> DataFrame:
     """Attach labels by key (rows are matched by identity, not by position)."""
-    return df.join(labels.select(*key_cols, cluster), key_cols, "inner")
+    return df.join(labels.select(*[ref(k) for k in key_cols], ref(cluster)), key_cols, "inner")
 
 
 def _features(df: DataFrame, key_cols: list[str], cluster: str, features: list[str] | None) -> list[str]:
@@ -41,7 +41,7 @@ def cluster_profile(labelled: DataFrame, key_cols: list[str], cluster: str = "cl
                     features: list[str] | None = None) -> DataFrame:
     """Mean of every numeric feature per cluster (missing ignored), wide form."""
     feats = _features(labelled, key_cols, cluster, features)
-    return labelled.groupBy(cluster).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in feats])
+    return labelled.groupBy(cluster).agg(*[F.avg(ref(c).cast("double")).alias(c) for c in feats])
 
 
 def profile_long(labelled: DataFrame, key_cols: list[str], cluster: str = "cluster",
@@ -49,7 +49,7 @@ def profile_long(labelled: DataFrame, key_cols: list[str], cluster: str = "clust
     """(cluster, feature, mean): the radar series."""
     feats = _features(labelled, key_cols, cluster, features)
     wide = cluster_profile(labelled, key_cols, cluster, feats)
-    structs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean")) for c in feats]
+    structs = [F.struct(F.lit(c).alias("feature"), ref(c).alias("mean")) for c in feats]
     return wide.select(cluster, F.explode(F.array(*structs)).alias("r")).select(cluster, "r.feature", "r.mean")
 
 
@@ -79,7 +79,7 @@ def pair_scatter(labelled: DataFrame, key_cols: list[str], cluster: str = "clust
     if len(_features(labelled, key_cols, cluster, features)) < 2:
         labelled = labelled.limit(0)
     best = [r["feature"] for r in feature_importance(labelled, key_cols, cluster, features, top).collect()]
-    return labelled.select(*key_cols, *best, cluster)
+    return labelled.select(*[ref(c) for c in [*key_cols, *best, cluster]])
 
 
 def cluster_describe(labelled: DataFrame, key_cols: list[str], cluster: str = "cluster",
@@ -89,11 +89,11 @@ def cluster_describe(labelled: DataFrame, key_cols: list[str], cluster: str = "c
     feats = _features(labelled, key_cols, cluster, features)
     qs = grouped_quantiles(labelled, cluster, feats, [0.25, 0.5, 0.75])
     agg = labelled.groupBy(cluster).agg(*[F.struct(
-        F.count(F.col(c)).alias("count"),
-        F.avg(F.col(c).cast("double")).alias("mean"),
-        F.stddev_samp(F.col(c).cast("double")).alias("std"),
-        F.min(F.col(c).cast("double")).alias("min"),
-        F.max(F.col(c).cast("double")).alias("max")).alias(f"c{i}") for i, c in enumerate(feats)])
+        F.count(ref(c)).alias("count"),
+        F.avg(ref(c).cast("double")).alias("mean"),
+        F.stddev_samp(ref(c).cast("double")).alias("std"),
+        F.min(ref(c).cast("double")).alias("min"),
+        F.max(ref(c).cast("double")).alias("max")).alias(f"c{i}") for i, c in enumerate(feats)])
     # quartiles per (cluster, feature): one row per cluster, so a literal map is bounded
     qmap = F.create_map(*[x for (g, c), q in qs.items() if q is not None
                           for x in (F.lit(f"{g}|{c}"), F.array(*[F.lit(float(v)) for v in q]))])
@@ -116,9 +116,9 @@ def cluster_descriptions(labelled: DataFrame, key_cols: list[str], cluster: str
     the meaning of above and below flips; that is kept on purpose.
     """
     feats = _features(labelled, key_cols, cluster, features)
-    overall = collect_row(labelled, *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(feats)])
+    overall = collect_row(labelled, *[F.avg(ref(c).cast("double")).alias(f"m{i}") for i, c in enumerate(feats)])
     prof = labelled.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"),
-                                         *[F.avg(F.col(c).cast("double")).alias(f"f{i}") for i, c in enumerate(feats)])
+                                         *[F.avg(ref(c).cast("double")).alias(f"f{i}") for i, c in enumerate(feats)])
     above = F.filter(F.array(*[F.when(F.col(f"f{i}") > F.lit(overall[f"m{i}"]) * 1.1, F.lit(c))
                                for i, c in enumerate(feats)]), lambda v: v.isNotNull())
     below = F.filter(F.array(*[F.when(F.col(f"f{i}") < F.lit(overall[f"m{i}"]) * 0.9, F.lit(c))
@@ -139,7 +139,7 @@ def cluster_map(x_df: DataFrame, labels: DataFrame, key_cols: list[str], dim: in
     """Points of the cluster map: centred 2-D PCA projection of ``x`` with the
     label (and optional hover columns), joined by key."""
     from tessera.operators.features import pca_project_2d
-    pts = pca_project_2d(x_df, key_cols, dim).join(labels.select(*key_cols, "cluster"), key_cols)
+    pts = pca_project_2d(x_df, key_cols, dim).join(labels.select(*[ref(k) for k in key_cols], "cluster"), key_cols)
     return pts.join(hover, key_cols, "left") if hover is not None else pts
 
 

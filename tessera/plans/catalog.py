@@ -878,10 +878,12 @@ def q_deterministic_sample(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera.plans import catalog_models  # noqa: F401 - registers its queries
     return {name: q.run for name, q in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import catalog_models  # noqa: F401
     return {name: q.sql for name, q in REGISTRY.items() if q.sql}
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from tessera.functions.exprs import ref
 from tessera.operators import clean, profile
 
 MIN_ROWS = 10
@@ -35,8 +36,8 @@ def run_clean(df: DataFrame, cfg: CleanConfig = CleanConfig(), persist: bool = F
     keep = cfg.keep if cfg.keep is not None else default_keep(df)
     keep = list(dict.fromkeys([*[c for c in cfg.exclude if c in df.columns], *keep]))
     if not [c for c in keep if c not in cfg.exclude]:
-        raise ValueError("select at least one column to keep")
-    out = df.select(*keep)
+        raise ValueError("nothing is left to clean: keep some column besides the excluded ones")
+    out = df.select(*[ref(c) for c in keep])
     out = clean.impute(out, cfg.imputation, exclude=cfg.exclude)
     out = clean.remove_outliers(out, cfg.outliers, exclude=cfg.exclude)
     if persist:

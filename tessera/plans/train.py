@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import ref
 from tessera.operators import encode, quality
-from tessera.operators.graph import dense_index
+from tessera.operators.keys import numbered
 
-ALGORITHMS = ("KMeans", "DBSCAN", "Agglomerative")
+ALGORITHMS = ("KMeans", "DBSCAN", "Agglomerative", "Birch", "MeanShift", "Spectral")
 
 
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
@@ -34,18 +34,6 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(name), *[ref(c) for c in df.columns]).checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, key: str | list[str]) -> tuple[DataFrame, str, DataFrame | None]:
-    """(frame, integer key column, its mapping to the real key or None)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    if len(keys) == 1 and dict(df.dtypes)[keys[0]] in ("bigint", "int", "smallint", "tinyint"):
-        return df, keys[0], None
-    whole = df.withColumn("_key", F.struct(*[ref(c) for c in keys]))
-    ranks = dense_index(whole, "_key", out="_rid").select(F.col("_rid").cast("long").alias("_rid"), "_key")
-    ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
-    frame = whole.join(ranks, "_key").drop("_key", *keys)
-    return frame, "_rid", ranks.select("_rid", "_key.*")
-
-
 def fit_labels(x_df: DataFrame, key: str, algorithm: str, params: dict) -> DataFrame:
     """``(key, cluster)`` for one algorithm on a frame with ``x``."""
     if algorithm == "KMeans":
@@ -58,6 +46,16 @@ def fit_labels(x_df: DataFrame, key: str, algorithm: str, params: dict) -> DataF
     if algorithm == "Agglomerative":
         from tessera.operators.agglomerative import agglomerative
         return agglomerative(x_df, key, k=params.get("n_clusters", 3), linkage=params.get("linkage", "ward"))
+    if algorithm == "Birch":
+        from tessera.operators.birch import birch
+        return birch(x_df, key, k=params.get("n_clusters", 3), threshold=params.get("threshold", 0.5), branching=params.get("branching_factor", 50))
+    if algorithm == "MeanShift":
+        from tessera.operators.meanshift import estimate_bandwidth, mean_shift
+        width = params.get("bandwidth") or estimate_bandwidth(x_df, key, params.get("neighbours", 50))
+        return mean_shift(x_df, key, width, min_bin=params.get("min_bin_freq", 1))
+    if algorithm == "Spectral":
+        from tessera.operators.spectral import spectral
+        return spectral(x_df, key, k=params.get("n_clusters", 3), neighbours=params.get("n_neighbors", 10), gamma=params.get("gamma"))
     raise ValueError(f"Unknown algorithm: {algorithm}")
 
 
