@@ -110,7 +110,7 @@ class Codec:
         order = np.argsort(rank, kind="stable")
         while done < self.depth:
             ahead = np.zeros(n, np.int64)
-            ahead[: n - done] = rank[done:] + 1
+            ahead[: max(n - done, 0)] = rank[done:] + 1  # nothing is ahead of a suffix shorter than this
             key = rank * (n + 2 + len(self._alphabet)) + ahead
             order = np.argsort(key, kind="stable")
             step = np.zeros(n, np.int64)
@@ -275,8 +275,14 @@ def _spec(spark: SparkSession, model_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _free(df: DataFrame, out: str) -> None:
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out!r} already; name the result otherwise (out=...)")
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
-    """``docs`` with the array column ``out`` of piece ids."""
+    """``docs`` with the array column ``out`` of piece ids; a null text has null pieces."""
+    _free(docs, out)
     spec = _spec(docs.sparkSession, model_path)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -291,6 +297,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
 
 def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
     """``encoded`` with the column ``out``, the text of the pieces."""
+    _free(encoded, out)
     spec = _spec(encoded.sparkSession, model_path)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
@@ -303,7 +310,7 @@ def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", out:
 
 
 def digests(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_pieces, the SHA-256 of the ids as
+    """``docs`` without the text (null counts as empty), with n_pieces, the SHA-256 of the ids as
     little-endian 32-bit integers, and whether decoding gives the text back;
     encoding and decoding run in one task, so ids need not be shuffled."""
     spec = _spec(docs.sparkSession, model_path)

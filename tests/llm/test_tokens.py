@@ -80,3 +80,28 @@ def test_encode_decode(spark, pieces, texts):
         assert r["label"] == 7 and r["decoded"] == r["text"]
         assert r["pieces"] == (None if r["text"] is None else library.encode(r["text"]))
     assert encode(df.limit(0), path).count() == 0
+
+
+def test_batches_of_any_size(pieces):
+    """New words of any total length, in a fresh codec and after a cached batch."""
+    path, library = pieces
+    raw = open(path, "rb").read()
+    cases = ["x"[:n] + "dogs and cats in a row of words, éß日本!"[: max(0, n - 1)] for n in range(0, 41)]
+    fresh = Codec(raw)
+    for i, text in enumerate(cases):
+        one = Codec(raw) if i < 16 else fresh
+        assert [x.tolist() for x in one.encode([text])] == [library.encode(text)], text
+    fresh.encode(["hello"])
+    for text in ["hello dogs", "a b", "x", "", "hello q", "hello zq zq"]:
+        assert [x.tolist() for x in fresh.encode([text])] == [library.encode(text)]
+    for text in strings(2000, 5):
+        assert fresh.encode([text])[0].tolist() == library.encode(text)
+
+
+def test_existing_columns_are_refused(spark, pieces):
+    df = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, pieces int")
+    with pytest.raises(ValueError, match="pieces"):
+        encode(df, pieces[0])
+    other = encode(df, pieces[0], out="ids")
+    with pytest.raises(ValueError, match="text"):
+        decode(other, pieces[0], pieces_col="ids", out="text")
