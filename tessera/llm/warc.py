@@ -259,7 +259,8 @@ def _joined(spark: SparkSession, path: str, base: DataFrame, at: DataFrame, chai
              .withColumn("bytes", F.aggregate(F.slice("ps", 2, 1 << 30), F.col("ps")[0]["piece"],
                                               lambda acc, p: F.concat(acc, F.lit(MAGIC), p["piece"])))
              .join(chain.where("not whole").select("file", F.col("at").alias("record"), "payload_bytes"), ["file", "record"]))
-    first = F.instr(F.col("bytes").cast("string"), END.decode())  # headers are ASCII: characters are bytes
+    # one character a byte, whatever the header holds: the place found is one in bytes
+    first = F.instr(F.decode("bytes", "ISO-8859-1"), END.decode())
     return whole.withColumn("first", first).select("file", F.col("record").alias("at"), F.substring(
             "bytes", F.col("first") + 4, F.col("payload_bytes").cast("int")).alias("joined"))
 

@@ -61,3 +61,9 @@ def test_pages_and_empty_table(spark):
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str) == want(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_headers_beyond_ascii(spark, small_ranges):
+    rows = [(1, "http://x/éü/日本", "x" + M + "y" * 50), (2, "http://x/ß", RECORD * 3), (3, "http://x/é" * 40, "日本" + M + "é" * 2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.round_trip(df).collect()), key=str) == want(rows)
