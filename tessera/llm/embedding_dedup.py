@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import words
 from tessera.llm.common import materialize, sorted_groups, table
 from tessera.operators.graph import connected_components
 
@@ -82,8 +83,16 @@ def buckets(unit: np.ndarray, tables: int, hashes: int, probes: int, seed: int =
             for k in range(hashes):
                 code = code * (2 * d) + np.where(swap == k, second[k], best[k])
             keys[:, t, p] = code
-        keys[:, t, :] |= t << 46
-    return (keys ^ (dim << 54)).reshape(n, tables * probes)
+        # table and code in 47 bits (hashed where they need more), the length in the 16 below: lengths never mix
+        keys[:, t, :] = _folded(keys[:, t, :], t, hashes * (2 * d).bit_length())
+    return (keys << 16 | (dim & 0xFFFF)).reshape(n, tables * probes)
+
+
+def _folded(code: np.ndarray, t: int, bits: int) -> np.ndarray:
+    if bits + 8 <= 47 and t < 256:
+        return code | t << bits
+    mixed = words.mix(code.view(np.uint64) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return (mixed >> np.uint64(17)).view(np.int64)
 
 
 def _matrix(col) -> np.ndarray:

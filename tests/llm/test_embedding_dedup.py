@@ -1,5 +1,6 @@
 """Embedding near-duplicates against all cosines."""
 import numpy as np
+import pytest
 
 from tessera.llm.embedding_dedup import _merge, buckets, near_vectors
 
@@ -51,3 +52,28 @@ def test_recall_at_the_threshold():
         x, y = (buckets(v, tables, hashes, hashes).reshape(2000, tables, hashes) for v in (a, b))
         met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
         assert met.mean() > 0.99
+
+
+@pytest.mark.parametrize("dim", [384, 768, 1536])
+def test_recall_of_wide_vectors(dim):
+    rng = np.random.default_rng(dim)
+    a, o = rng.normal(size=(2, 400, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    o -= (o * a).sum(axis=1)[:, None] * a
+    o /= np.linalg.norm(o, axis=1)[:, None]
+    b = 0.9 * a + np.sqrt(1 - 0.81) * o
+    for hashes in (2, 3):
+        tables = 3 + 3 * 2 ** (hashes - 1)
+        x, y = (buckets(v, tables, hashes, hashes).reshape(400, tables, hashes) for v in (a, b))
+        assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.9
+
+
+def test_lengths_do_not_mix_in_buckets(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim in (2, 64, 512, 768, 1024, 1536):
+        c = rng.normal(size=dim)
+        rows += [(len(rows) + k, (c + 0.05 * rng.normal(size=dim)).tolist()) for k in range(6)]
+    check(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows)
+    keys = {d: set(buckets(np.eye(1, d), 8, 3, 3).ravel().tolist()) for d in (64, 512, 513, 1024, 40000)}
+    assert all(not keys[a] & keys[b] for a in keys for b in keys if a < b)
