@@ -17,13 +17,13 @@ sketch values are the keys of inverted lists.
    copies, every document is compared with the list's pivot. Links merge
    documents into components, and lists that still span several components
    are compared in full inside the tasks, as pairs of blocks of ``block``
-   documents, by larger sketches; only pairs of different components that
-   may be links leave the task, of certain links a spanning forest. Pairs
-   inside one component decide nothing and are never formed, and no link
-   between components is lost.
-4. Each candidate pair is filtered by the union sketch: of the k smallest
-   values of both sketches, the share in both estimates Jaccard; below
-   ``estimate`` (over 4.5 standard errors under 0.85) it is dropped.
+   documents, by their full sets; of the links found between different
+   components a spanning forest leaves the task. Pairs inside one component
+   decide nothing and are never formed.
+4. Each pair of a short list or with a pivot is filtered by the union sketch:
+   of the k smallest values of both sketches, the share in both estimates
+   Jaccard; below ``estimate`` (over 4.5 standard errors under 0.85, a chance
+   of about 1e-5 for a pair at exactly 0.85) it is dropped.
 5. What is left is verified on the full sets.
 
 Defined cases: null, empty or blank texts have no shingles and link with
@@ -45,8 +45,8 @@ from tessera.operators.graph import component_labels
 K = 64
 SHORT_LIST = 16
 BLOCK = 1024
-#: Values of the larger sketches that compare long lists; sets of fewer shingles are there in full.
-WIDE = 512
+#: Shingles of all members of a block at most (on average, by a hash of the id).
+BLOCK_SHINGLES = 1 << 20
 FEATURES = "id long, n_shingles long, f1 long, f2 long, sketch array<long>"
 
 
@@ -126,20 +126,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, estimate: float, percen
 
 
 def _rest(long: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a long list and may
-    be links, by comparing blocks of the list's members inside the tasks."""
-    placed = (long.join(labels, F.col("id") == F.col("v"), "left")
-              .select("value", "id", F.coalesce("root", "id").alias("root")))
-    placed = materialize(placed, "placed")
-    open_lists = (placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-                  .where("lo <> hi").select("value", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
-    wide = sets.select("id", F.transform(F.slice("shingles", 1, WIDE), lambda x: F.shiftright(x, 32).cast("int")).alias("wide"))
-    members = (placed.join(open_lists, "value").join(wide, "id")
+    """Links (src, dst) between different components in the long lists. The
+    members of a list that spans several components are dealt into blocks,
+    bounded in members and in shingles; a task compares two blocks by their
+    full sets and returns a forest that connects all that their links
+    connect, so at most one link a member and pair of blocks leaves it."""
+    sized = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("s"))
+    placed = materialize(long.join(sized, "id").join(labels, F.col("id") == F.col("v"), "left")
+                         .select("value", "id", "s", F.coalesce("root", "id").alias("root")), "placed")
+    open_lists = (placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
+                  .where("lo <> hi").select("value", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")))
+    members = (placed.drop("s").join(open_lists, "value").join(sets, "id")
                .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "wide"))
+               .select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "shingles"))
     return (members.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-            .mapInArrow(_compare_blocks(percent / 100), "a long, b long"))
+            .mapInArrow(_compare_blocks(percent), "src long, dst long"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,44 +170,39 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
 
 
-def _compare_blocks(least: float):
+def _compare_blocks(percent: int):
     def run(batches):
         for g in sorted_groups(batches, ["value", "i", "j"]):
             ids, roots, side = (g.column(c).to_numpy() for c in ("id", "root", "mine"))
             if roots.min() == roots.max():
                 continue
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            col = g.column("wide").combine_chunks()
+            col = g.column("shingles").combine_chunks()
             off = col.offsets.to_numpy().astype(np.int64)
             flat = col.values.to_numpy()[off[0]: off[-1]]
-            off -= off[0]
             size = np.diff(off)
-            top = np.where(size < WIDE, np.iinfo(np.int32).max, flat[np.maximum(off[1:] - 1, 0)])
             _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
             shared = times[code] > 1  # values of one member only are in no intersection
             row = np.repeat(np.arange(len(ids)), size)[shared]
             _, code = np.unique(code[shared], return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            row, code = row[order], code[order]
             x, y = np.flatnonzero(side == i), np.flatnonzero(side == j)
-            common = np.zeros((len(x), len(y)), np.float32)
-            for lo in range(0, int(code.max(initial=-1)) + 1, 2048):
-                here = (code >= lo) & (code < lo + 2048)
-                m = np.zeros((len(ids), 2048), np.float32)
-                m[row[here], code[here] - lo] = 1
-                common += m[x] @ m[y].T
-            # elements of each member up to each other member's last value: there both sets are known in full
-            below = np.stack([np.searchsorted(flat[off[r]: off[r + 1]], top, side="right") for r in range(len(ids))])
-            union = below[np.ix_(x, y)] + below[np.ix_(y, x)].T - common
-            whole = (size[x][:, None] < WIDE) & (size[y][None, :] < WIDE)
-            bound = np.where(whole, least - 0.001, least - 4.5 * np.sqrt(least * (1 - least) / np.maximum(union, 1)))
-            a, b = np.nonzero((common >= bound * union) & (common > 0) & (roots[x][:, None] != roots[y][None, :]))
-            spread = np.sqrt(least * (1 - least) / np.maximum(union[a, b], 1))
-            sure = common[a, b] >= np.where(whole[a, b], least + 0.001, least + 5 * spread) * union[a, b]
+            common = np.zeros((len(x), len(y)), np.float32)  # counts: exact up to 2^24, sets are far smaller
+            cuts = np.searchsorted(code, np.arange(0, int(code.max(initial=-1)) + 2049, 2048))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    m = np.zeros((len(ids), 2048), np.float32)
+                    m[row[lo:hi], code[lo:hi] % 2048] = 1
+                    common += m[x] @ m[y].T
+            common = common.astype(np.int64)
+            union = size[x][:, None] + size[y][None, :] - common
+            a, b = np.nonzero((100 * common >= percent * union) & (common > 0) & (roots[x][:, None] != roots[y][None, :]))
             a, b = x[a], y[b]
-            lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-            certain = np.flatnonzero(sure)
-            keep = np.concatenate([certain[_forest(roots[a[certain]], roots[b[certain]])], np.flatnonzero(~sure)])
+            keep = _forest(roots[a], roots[b])
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep])], ["a", "b"])
+                src, dst = ids[a[keep]], ids[b[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], ["src", "dst"])
     return run
 
 
@@ -251,8 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = x.join(y, "value").where("a < b").select("a", "b").union(long.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     links = materialize(_verified(pairs, sets, k, estimate, percent), "links")
     if not long.isEmpty():
-        rest = _rest(long.select("value", "id"), component_labels(links), sets, percent, block)
-        links = links.union(materialize(_verified(rest, sets, k, estimate, percent), "links"))
+        links = links.union(materialize(_rest(long.select("value", "id"), component_labels(links), sets, percent, block), "links"))
 
     # components of the representatives, then of every document
     links = links.union(_shared_ids(feats, classes))

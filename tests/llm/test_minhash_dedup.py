@@ -2,6 +2,7 @@
 import random
 import re
 
+from tessera.llm import minhash_dedup
 from tessera.llm.minhash_dedup import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,3 +68,22 @@ def test_edge_rows(spark):
     clash = spark.createDataFrame([(*r, 1, "v") for r in rows], "doc_id long, text string, id int, sketch string")
     check(clash, rows)
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_lists_return_links_in_proportion_to_their_members(spark, monkeypatch):
+    """Copies around the threshold: four times the copies, about four times the links."""
+    left = []
+    rest = minhash_dedup._rest
+
+    def counted(*a):
+        out = rest(*a).cache()
+        left.append(out.count())
+        return out
+    monkeypatch.setattr(minhash_dedup, "_rest", counted)
+    for n in (200, 800):
+        rows = list(enumerate(family(random.Random(9), n, words=120, edits=24)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=str)
+        if n == 200:
+            assert got == brute(rows)
+    assert left[1] <= 8 * left[0] + 800
