@@ -17,11 +17,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import collect_row, sq_dist
 
+def _row_id(df: DataFrame, key: str) -> Column:
+    """A whole number that tells rows apart: an integer key itself, else its hash."""
+    return F.col(key).cast("long") if dict(df.dtypes).get(key) in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(key)
+
+
 BLOCK_CLUSTERS = 1000  # clusters compared at a time
 
 
@@ -32,7 +37,7 @@ def cluster_counts(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def _valid(df: DataFrame, key: str, x: str, cluster: str) -> DataFrame:
-    return df.where(F.col(cluster) != -1).select(F.xxhash64(key).alias("id"), F.col(x).alias("x"),
+    return df.where(F.col(cluster) != -1).select(_row_id(df, key).alias("id"), F.col(x).alias("x"),
                                                  F.col(cluster).cast("int").alias("c"))
 
 
@@ -128,11 +133,23 @@ class _Silhouette:
     def add_partners(self, b) -> None:
         if isinstance(self.own, list):
             self.own = tuple(np.concatenate(c) for c in zip(*self.own, strict=True))
+            self.order = np.argsort(self.own[0], kind="stable")
+        step = max(1, CHUNK_VALUES // len(self.own[0]))  # distances held at once
+        for lo in range(0, b.num_rows, step):
+            self._add(b.slice(lo, step))
+
+    def _add(self, b) -> None:
         ids, x, _ = self.own
         other, y, labels = b.column("id").to_numpy(), _vectors(b), np.array(b.column("cs").to_pylist(), dtype=np.int64)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T, 0.0))
+        # a large common offset would eat the digits of the products below
+        u, v = x - x[0], y - x[0]
+        d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * u @ v.T, 0.0))
         # exact zero of a row to itself (the expansion above leaves rounding noise)
-        d[ids[:, None] == other[None, :]] = 0.0
+        order = self.order
+        at = np.minimum(np.searchsorted(ids, other, sorter=order), len(ids) - 1)
+        hit = np.flatnonzero(ids[order[at]] == other)
+        same = hit[(x[order[at[hit]]] == y[hit]).all(axis=1)]
+        d[order[at[same]], same] = 0.0
         for g in range(labels.shape[1]):
             order = np.argsort(labels[:, g], kind="stable")
             order = order[labels[order, g] != -1]
@@ -166,7 +183,20 @@ class _Silhouette:
         return out
 
 
-def _silhouettes(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
+CHUNK_VALUES = 1 << 23
+BLOCK_ROWS, MAX_BLOCK_ROWS = 2048, 65_536
+
+
+def _blocks_for(rows: DataFrame, n: int, block_rows: int | None) -> int:
+    """Number of row blocks: each gets a copy of all rows, so blocks are as
+    large as still gives every core two of them, up to ``MAX_BLOCK_ROWS``."""
+    if block_rows is None:
+        cores = max(1, int(rows.sparkSession.conf.get("spark.default.parallelism", "0")) or rows.sparkSession.sparkContext.defaultParallelism)
+        block_rows = max(BLOCK_ROWS, min(MAX_BLOCK_ROWS, math.ceil(n / (2 * cores))))
+    return max(1, math.ceil(n / block_rows))
+
+
+def _silhouettes(rows: DataFrame, n: int, block_rows: int | None) -> DataFrame:
     """(id, g, c, s) from rows (id, x, cs): cs has a row's cluster in every
     labelling. The distance block of a row block and a partner batch is
     computed once for all labellings, and only one value per row and
@@ -189,18 +219,18 @@ def _silhouettes(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
         if block is not None:
             yield from flush()
 
-    return _deal(rows, [], max(1, math.ceil(n / block_rows))).mapInArrow(run, "id long, g int, c long, s double")
+    return _deal(rows, [], _blocks_for(rows, n, block_rows)).mapInArrow(run, "id long, g int, c long, s double")
 
 
-def silhouette_rows(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", block_rows: int = 2048) -> DataFrame:
+def silhouette_rows(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", block_rows: int | None = None) -> DataFrame:
     """Per-row silhouette (key, c, s) over the non-noise rows."""
-    valid = df.where(F.col(cluster) != -1).select(F.col(key), F.xxhash64(key).alias("id"), F.col(x).alias("x"),
+    valid = df.where(F.col(cluster) != -1).select(F.col(key), _row_id(df, key).alias("id"), F.col(x).alias("x"),
                                                   F.array(F.col(cluster).cast("int")).alias("cs"))
     s = _silhouettes(valid.select("id", "x", "cs"), valid.count(), block_rows)
     return valid.select(key, "id").join(s, "id").select(F.col(key).alias("id"), F.col("c").cast("int").alias("c"), "s")
 
 
-def silhouette(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", block_rows: int = 2048) -> DataFrame:
+def silhouette(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster", block_rows: int | None = None) -> DataFrame:
     valid = _valid(df, key, x, cluster)
     ok, n, _ = _scorable(valid)
     if not ok:
@@ -291,13 +321,13 @@ def all_metrics(df: DataFrame, key: str, x: str = "x", cluster: str = "cluster",
 # ------------------------------------------------ many labellings at once
 
 def scores_by(df: DataFrame, key: str, group: str, x: str = "x", cluster: str = "cluster",
-              block_rows: int = 2048) -> DataFrame:
+              block_rows: int | None = None) -> DataFrame:
     """Silhouette and Davies-Bouldin for several labellings of the same rows
     in one pass: ``df`` has (group, key, x, cluster); the block-pair job and
     the centroid passes are grouped by ``group``. Returns (group, clusters,
     noise, silhouette, davies_bouldin), NULL scores where not computable."""
     spark = df.sparkSession
-    allrows = df.select(F.col(group).cast("int").alias("g"), F.xxhash64(key).alias("id"),
+    allrows = df.select(F.col(group).cast("int").alias("g"), _row_id(df, key).alias("id"),
                         F.col(x).alias("x"), F.col(cluster).cast("int").alias("c"))
     counts = {r["g"]: r for r in allrows.groupBy("g").agg(
         F.count_distinct(F.when(F.col("c") != -1, F.col("c"))).alias("k"),
