@@ -5,11 +5,12 @@ Ward, complete and average linkage are reducible, so greedy closest-pair
 merging gives the same tree as merging all reciprocal nearest neighbours at
 once. A round finds every cluster's nearest cluster and merges the
 reciprocal pairs; the number of rounds is about logarithmic. Distances are
-computed in blocks: rows are dealt into blocks by their cluster, a task
-holds one pair of blocks, reduces its distances to one value per pair of
-clusters (ward: from sizes and centroids; complete and average: maximum and
-sum over the members) and returns each cluster's nearest only, so no pair is
-written out. When at most ``finish`` clusters are left, their distance
+computed in blocks: rows are dealt into blocks by their cluster, those of a
+cluster larger than a block over all blocks; a task holds one pair of blocks,
+reduces its distances to one value per pair of clusters (ward: from sizes and
+centroids; complete and average: maximum and sum over the members) and returns
+each cluster's nearest only, so no pair is written out but those with a large
+cluster, whose parts are combined in Spark. When at most ``finish`` clusters are left, their distance
 matrix (``finish`` squared values) is put together from the same blocks and
 one task of that bounded size merges the rest with Lance-Williams updates;
 where the rounds stop changes the work, not the tree.
@@ -75,46 +76,94 @@ def _between(a: pd.DataFrame, b: pd.DataFrame, linkage: str) -> np.ndarray:
     return out
 
 
-def _blocked(points: DataFrame, parts: int) -> DataFrame:
-    """points (c, w, x) as pairs of blocks (i <= j), a cluster's rows together."""
-    mine = F.pmod(F.xxhash64("c"), F.lit(parts)).cast("int")
-    return (points.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+def _large(points: DataFrame, linkage: str, block: int) -> DataFrame | None:
+    """Clusters (c) of more than ``block`` rows, fewer than rows / block; None
+    if there are none. Ward keeps one row a cluster."""
+    if linkage == "ward":
+        return None
+    large = points.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("c", F.lit(True).alias("large")).checkpoint(eager=True)
+    return None if large.isEmpty() else large
+
+
+def _blocked(points: DataFrame, parts: int, large: DataFrame | None) -> DataFrame:
+    """points (c, w, x) as pairs of blocks (i <= j): a cluster's rows together,
+    those of large clusters dealt over all blocks."""
+    mine = F.pmod(F.xxhash64("c"), F.lit(parts))
+    if large is not None:
+        points = points.join(F.broadcast(large), "c", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        mine = F.when(F.col("large"), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(mine)
+    else:
+        points = points.withColumn("large", F.lit(False))
+    return (points.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other"))
 
 
 def _sides(pdf: pd.DataFrame, linkage: str):
-    """(clusters of i, clusters of j, distances) of one pair of blocks."""
+    """One pair of blocks: clusters of i and of j, their distances (raw maxima
+    or sums; inf to itself), row counts and whether they are large."""
     pdf = pdf.sort_values("c", kind="stable")
     i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
     a, b = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
     if a.empty or b.empty:
         return None
     d = _between(a, b, linkage)
-    ca, cb = a.groupby("c")["w"].sum(), b.groupby("c")["w"].sum()
-    if linkage == "average":
-        d = d / (ca.to_numpy(float)[:, None] * cb.to_numpy(float)[None, :])
-    ka, kb = ca.index.to_numpy(), cb.index.to_numpy()
+    ga, gb = (s.groupby("c").agg(w=("w", "sum"), large=("large", "first")) for s in (a, b))
+    ka, kb = ga.index.to_numpy(), gb.index.to_numpy()
     d = np.where(ka[:, None] == kb[None, :], np.inf, d)
-    return ka, kb, d
+    return (ka, kb, d, ga["w"].to_numpy(float), gb["w"].to_numpy(float), ga["large"].to_numpy(bool)[:, None] | gb["large"].to_numpy(bool)[None, :], i == j)
+
+
+_PAIRS = "c long, nb long, d double, part boolean"
+
+
+def _rows(c, nb, d, part: bool) -> pd.DataFrame:
+    return pd.DataFrame({"c": np.asarray(c, np.int64), "nb": np.asarray(nb, np.int64), "d": np.asarray(d, float), "part": part})
+
 
+def _parts(ka, kb, d, wanted, same: bool) -> pd.DataFrame:
+    """The entries ``wanted`` once each, smaller cluster first."""
+    take = wanted & np.isfinite(d) & ((ka[:, None] < kb[None, :]) if same else True)
+    r, q = np.nonzero(take)
+    return _rows(np.minimum(ka[r], kb[q]), np.maximum(ka[r], kb[q]), d[r, q], True)
+
+
+def _combined(parts: DataFrame, points: DataFrame, linkage: str) -> DataFrame:
+    """``(c, nb, d)`` from the parts of each pair of clusters (c < nb)."""
+    if linkage == "complete":
+        return parts.groupBy("c", "nb").agg(F.max("d").alias("d"))
+    whole = parts.groupBy("c", "nb").agg(F.sum("d").alias("d"))
+    w = points.groupBy("c").agg(F.sum("w").alias("w"))
+    return (whole.join(w, "c").join(w.select(F.col("c").alias("nb"), F.col("w").alias("wb")), "nb")
+            .select("c", "nb", (F.col("d") / (F.col("w").cast("double") * F.col("wb").cast("double"))).alias("d")))
+
+
+def _nearest(points: DataFrame, parts: int, linkage: str, block: int) -> DataFrame:
+    """(c, d, nb): the nearest other cluster, the smaller id at equal distance.
+    Between clusters that are each in one block the task decides; with a large
+    one it returns its part of the distance, and the parts are combined."""
+    large = _large(points, linkage, block)
 
-def _nearest(points: DataFrame, parts: int, linkage: str) -> DataFrame:
-    """(c, d, nb): the nearest other cluster, the smaller id at equal distance."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"c": [], "d": [], "nb": []}).astype({"c": "int64", "nb": "int64"})
         got = _sides(pdf, linkage)
         if got is None:
-            return empty
-        ka, kb, d = got
-        parts_ = []
+            return _rows([], [], [], False)
+        ka, kb, d, wa, wb, split, same = got
+        out = [_parts(ka, kb, d, split, same)] if split.any() else []
+        if linkage == "average":
+            d = d / (wa[:, None] * wb[None, :])
+        d = np.where(split, np.inf, d)
         for keys, others, m in ((ka, kb, d), (kb, ka, d.T)):
             at = m.argmin(axis=1)  # first at ties, and the others are sorted
             best = m[np.arange(len(keys)), at]
             ok = np.isfinite(best)
-            parts_.append(pd.DataFrame({"c": keys[ok], "d": best[ok], "nb": others[at[ok]]}))
-        return pd.concat(parts_, ignore_index=True)
-
-    near = _blocked(points, parts).groupBy("i", "j").applyInPandas(run, "c long, d double, nb long")
+            out.append(_rows(keys[ok], others[at[ok]], best[ok], False))
+        return pd.concat(out, ignore_index=True)
+
+    near = _blocked(points, parts, large).groupBy("i", "j").applyInPandas(run, _PAIRS)
+    if large is not None:
+        near = near.checkpoint(eager=True)
+        whole = _combined(near.where("part").drop("part"), points, linkage)
+        near = near.where("not part").select("c", "nb", "d").unionByName(whole).unionByName(whole.select(F.col("nb").alias("c"), F.col("c").alias("nb"), "d"))
     return near.groupBy("c").agg(F.min(F.struct("d", "nb")).alias("m")).select("c", "m.d", "m.nb")
 
 
@@ -153,17 +202,21 @@ def lance_williams(d: np.ndarray, w: np.ndarray, linkage: str) -> list[tuple[int
     return out
 
 
-def _finish(points: DataFrame, parts: int, linkage: str) -> DataFrame:
+def _finish(points: DataFrame, parts: int, linkage: str, block: int) -> DataFrame:
     """Merges of the last clusters: block distances to one matrix in one task."""
+    large = _large(points, linkage, block)
+
     def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
         got = _sides(pdf, linkage)
         if got is None:
-            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": "int64", "b": "int64"})
-        ka, kb, d = got
-        at = np.flatnonzero((ka[:, None] < kb[None, :]).ravel() if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.isfinite(d).ravel())
-        return pd.DataFrame({"a": np.repeat(ka, len(kb))[at], "b": np.tile(kb, len(ka))[at], "d": d.ravel()[at]})
-
-    pairs = _blocked(points, parts).groupBy("i", "j").applyInPandas(matrix, "a long, b long, d double")
+            return _rows([], [], [], True)
+        ka, kb, d, _, _, _, same = got
+        return _parts(ka, kb, d, np.ones(d.shape, bool), same)
+
+    pairs = _blocked(points, parts, large).groupBy("i", "j").applyInPandas(matrix, _PAIRS).drop("part")
+    if linkage != "ward":
+        pairs = _combined(pairs, points, linkage)
+    pairs = pairs.select(F.col("c").alias("a"), F.col("nb").alias("b"), "d")
     sizes = points.groupBy("c").agg(F.sum("w").alias("d")).select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("d").cast("double"))
 
     def merge(batches):
@@ -205,7 +258,7 @@ def merge_table(df: DataFrame, key: str, linkage: str = "ward", x: str = "x", fi
     points = rows.select(F.col("id").alias("c"), F.lit(1).cast("long").alias("w"), "x")
     found, left, size = None, n, n
     while left > finish:
-        near = _nearest(points, -(-size // block), linkage).checkpoint(eager=True)
+        near = _nearest(points, -(-size // block), linkage, block).checkpoint(eager=True)
         back = near.select(F.col("c").alias("nb"), F.col("nb").alias("c"))
         pairs = near.where("c < nb").join(back, ["c", "nb"]).select("c", "nb", "d")
         weights = points.groupBy("c").agg(F.sum("w").alias("w"))
@@ -224,7 +277,7 @@ def merge_table(df: DataFrame, key: str, linkage: str = "ward", x: str = "x", fi
         left -= count
         size = left if linkage == "ward" else n
         found = merged if found is None else found.union(merged)
-    rest = _finish(points, max(1, -(-size // block)), linkage)
+    rest = _finish(points, max(1, -(-size // block)), linkage, block)
     return (rest if found is None else found.union(rest)).checkpoint(eager=True)
 
 

@@ -81,3 +81,14 @@ def test_single_linkage_at_height_is_threshold_graph(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(X)], "k long, x array<double>")
     got = [r["cluster"] for r in single_linkage_at(df, "k", 0.45).orderBy("k").collect()]
     assert got == [0, 0, 0, 1, 1, 2]
+
+
+def test_clusters_larger_than_a_block(spark):
+    """Two dense groups outgrow their block: their rows are dealt over all blocks, with the same tree."""
+    rng = np.random.default_rng(12)
+    X = np.concatenate([rng.normal(size=(26, 2)) * 0.5, rng.normal(size=(22, 2)) * 0.5 + [6, 1], rng.normal(size=(6, 2)) * 4 + [0, 30]])
+    df = _frame(spark, X).cache()
+    for link in ("complete", "average"):
+        one = [r["cluster"] for r in agglomerative(df, "k", 4, link).orderBy("k").collect()]
+        many = [r["cluster"] for r in agglomerative(df, "k", 4, link, finish=4, block=18).orderBy("k").collect()]
+        assert one == many
