@@ -80,10 +80,10 @@ def _partial_topk(k: int, p: int):
     return fn
 
 
-def _by_blocks(base: DataFrame, k: int, p: int, block_rows: int, receivers: int, rows: int) -> DataFrame:
+def _by_blocks(base: DataFrame, donors: DataFrame, k: int, p: int, block_rows: int, receivers: int, rows: int) -> DataFrame:
     """Candidates by comparing every receiver with every donor, block by block."""
     rec = base.where("gap").select(F.col("id").alias("rid"), "v", F.col("id"))
-    don = base.select(F.col("id").alias("dk"), "v", F.col("id"))
+    don = donors.select(F.col("id").alias("dk"), "v", F.col("id"))
     return block_pairs(rec, don, _partial_topk(k, p), _SCHEMA, block_rows, left_rows=receivers, right_rows=rows)
 
 
@@ -97,21 +97,21 @@ def _pattern_pairs(masks: list[tuple[int, ...]], p: int):
                 yield gaps, lacking, wanted, shared
 
 
-def _by_pattern(base: DataFrame, pairs: list, k: int, p: int, leaf_rows: int) -> DataFrame | None:
+def _by_pattern(base: DataFrame, donors: DataFrame, pairs: list, k: int, p: int, leaf_rows: int) -> DataFrame | None:
     """Candidates by one nearest-neighbour join for each pair of a receivers'
     and a donors' pattern of gaps: between them the distance uses the same
     coordinates for all rows, so it is an ordinary distance in those."""
     out = None
 
-    def rows_of(mask: tuple[int, ...], shared: list[int]) -> DataFrame:
+    def rows_of(rows: DataFrame, mask: tuple[int, ...], shared: list[int]) -> DataFrame:
         here = F.lit(True)
         for i in range(p):
             here = here & (F.isnan(F.col("v")[i]) if i in mask else ~F.isnan(F.col("v")[i]))
-        return base.where(here).select("id", F.array(*[F.col("v")[i] for i in shared]).alias("x"))
+        return rows.where(here).select("id", F.array(*[F.col("v")[i] for i in shared]).alias("x"))
 
     for gaps, lacking, wanted, shared in pairs:
-        near = nearest(rows_of(gaps, shared), rows_of(lacking, shared), k, leaf_rows=leaf_rows)
-        values = base.select(F.col("id").alias("nb"), "v")
+        near = nearest(rows_of(base, gaps, shared), rows_of(donors, lacking, shared), k, leaf_rows=leaf_rows)
+        values = donors.select(F.col("id").alias("nb"), "v")
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col("v")[i].alias("v")) for i in wanted]))
         got = join_shared(near, values, ["nb"]).select(
             F.col("id").alias("rid"), (F.col("d2") * F.lit(p / len(shared))).alias("d2"), F.col("nb").alias("dk"), each.alias("c"))
@@ -120,10 +120,17 @@ def _by_pattern(base: DataFrame, pairs: list, k: int, p: int, leaf_rows: int) ->
     return out
 
 
+def donor_table(df: DataFrame, key_cols: list[str], cols: list[str]) -> DataFrame:
+    """``id`` and ``cols`` of the rows, for filling gaps of other tables later."""
+    frame, key, _ = numbered(nan_as_missing(df), key_cols)
+    return frame.select(ref(key).cast("long").alias("id"), *[ref(c).cast("double").alias(c) for c in cols])
+
+
 def knn_impute(df: DataFrame, key_cols: list[str], cols: list[str], k: int = 5,
-               block_rows: int = 2048, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+               block_rows: int = 2048, leaf_rows: int = LEAF_ROWS, donors: DataFrame | None = None) -> DataFrame:
     """Fill gaps in ``cols`` (doubles) with the mean of the k nearest donors.
-    The key may be one column of any type or several; ties go in its order."""
+    The key may be one column of any type or several; ties go in its order.
+    Donors are the rows themselves, or those of ``donors`` (:func:`donor_table`)."""
     names = df.columns
     frame, key, mapping = numbered(nan_as_missing(df), key_cols)
     p = len(cols)
@@ -132,21 +139,24 @@ def knn_impute(df: DataFrame, key_cols: list[str], cols: list[str], k: int = 5,
     for c in cols:
         any_gap = any_gap | ref(c).isNull()
     base = frame.select(ref(key).cast("long").alias("id"), vec.alias("v"), any_gap.alias("gap"))
-    counts = collect_row(frame, F.count(F.lit(1)).alias("n"), F.count(F.when(any_gap, 1)).alias("r"),
-                         *[F.avg(ref(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)])
-    if counts["r"] == 0:
+    given = base if donors is None else donors.select("id", vec.alias("v"))
+    value = [F.when(~F.isnan(F.col("v")[i]), F.col("v")[i]) for i in range(p)]
+    counts = collect_row(given, F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)])
+    receivers = base.where("gap").count()
+    if receivers == 0:
         return df
     pairs = None
-    if p < 63 and math.ceil(counts["r"] / block_rows) * math.ceil(counts["n"] / block_rows) > FEW_BLOCKS:
-        mask = sum((F.when(ref(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(cols)), F.lit(0).cast("long"))
+    if p < 63 and math.ceil(receivers / block_rows) * math.ceil(counts["n"] / block_rows) > FEW_BLOCKS:
+        mask = sum((F.when(F.isnan(F.col("v")[i]), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(p)), F.lit(0).cast("long"))
         most = 4 * MAX_JOINS
-        bits = [r["m"] for r in frame.select(mask.alias("m")).distinct().limit(most + 1).collect()]
+        either = base.select("v") if donors is None else base.select("v").unionByName(given.select("v"))
+        bits = [r["m"] for r in either.select(mask.alias("m")).distinct().limit(most + 1).collect()]
         if len(bits) <= most:
             pairs = list(_pattern_pairs([tuple(i for i in range(p) if b >> i & 1) for b in sorted(bits)], p))
     if pairs is not None and len(pairs) <= MAX_JOINS:
-        part = _by_pattern(base, pairs, k, p, leaf_rows)
+        part = _by_pattern(base, given, pairs, k, p, leaf_rows)
     else:
-        part = _by_blocks(base, k, p, block_rows, counts["r"], counts["n"])
+        part = _by_blocks(base, given, k, p, block_rows, receivers, counts["n"])
     sel = []
     if part is not None:
         w = Window.partitionBy("rid", "ci").orderBy("d2", "dk")

@@ -68,6 +68,8 @@ class TrainResult:
     params: dict
     centres: list[list[float]] | None = None   # KMeans
     core: DataFrame | None = None              # DBSCAN: core points with their cluster
+    row_key: str | None = None                 # key of ``encoded.frame`` and of ``row_labels``
+    row_labels: DataFrame | None = None        # labels by that key (``labels`` has the table's own)
 
 
 def fit(x_df: DataFrame, key: str, algorithm: str, params: dict):
@@ -97,6 +99,7 @@ def train(df: DataFrame, key: str | list[str], algorithm: str, params: dict, sca
     labels, centres, core = fit(x, rid, algorithm, params)
     labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     metrics = quality.all_metrics(x.join(labels, rid), rid, silhouette=silhouette)
+    row_labels = labels
     if mapping is not None:
         labels = labels.join(mapping, rid).select(*[ref(k) for k in keys], "cluster")
-    return TrainResult(labels, enc, metrics, algorithm, params, centres, core)
+    return TrainResult(labels, enc, metrics, algorithm, params, centres, core, rid, row_labels)

@@ -47,23 +47,30 @@ def write_report(report: DataFrame, path: str) -> None:
 # ------------------------------------------------------------------ models
 
 def save_model(spark: SparkSession, path: str, algorithm: str, params: dict, encoded, centres=None,
-               core: DataFrame | None = None, core_x: DataFrame | None = None) -> None:
+               core: DataFrame | None = None, core_x: DataFrame | None = None, members: DataFrame | None = None) -> None:
     """Fitted statistics (scaler, imputer, categories), and the model: KMeans
-    centres or the DBSCAN core points with their cluster numbers."""
-    if encoded.numeric and encoded.imputer is None:
-        raise ValueError("a model with KNN imputation cannot be saved: filling a gap needs the training rows")
+    centres, the DBSCAN core points with their cluster numbers, or for any
+    other algorithm its ``members`` (cluster, x). KNN imputation is saved as
+    the table of its donors, the training rows."""
+    knn = bool(encoded.numeric) and encoded.imputer is None
     meta = {
         "algorithm": algorithm, "params": params,
         "feature_names": encoded.feature_names, "numeric": encoded.numeric,
         "scaler": {"kind": encoded.scaler.kind, "center": encoded.scaler.center, "scale": encoded.scaler.scale},
         "imputer": ({"strategy": encoded.imputer.strategy, "fill": encoded.imputer.fill}
                     if encoded.imputer else None),
-        "categories": encoded.categories,
+        "categories": encoded.categories, "knn": knn,
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     if centres is not None:
         rows = [(i, [float(v) for v in c]) for i, c in enumerate(centres)]
         spark.createDataFrame(rows, "cluster int, x array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+    if knn:
+        from tessera.operators.knn import donor_table
+        keys = [c for c in encoded.source.columns if c not in {*encoded.numeric, *encoded.categories}]
+        donor_table(encoded.source, keys, encoded.numeric).write.mode("overwrite").parquet(f"{path}/donors")
+    if members is not None:
+        members.select(F.col("cluster").cast("int").alias("cluster"), "x").write.mode("overwrite").parquet(f"{path}/members")
     if core_x is not None:
         core_x.write.mode("overwrite").parquet(f"{path}/core")
 
@@ -76,6 +83,10 @@ def load_model(spark: SparkSession, path: str) -> dict:
         model["centres"] = [list(r["x"]) for r in rows]
     elif meta["algorithm"] == "DBSCAN":
         model["core"] = spark.read.parquet(f"{path}/core")
+    else:
+        model["members"] = spark.read.parquet(f"{path}/members")
+    if meta.get("knn"):
+        model["donors"] = spark.read.parquet(f"{path}/donors")
     return model
 
 
@@ -104,12 +115,16 @@ def feature_vector(meta: dict) -> Column:
 
 def encode_with(model: dict, df: DataFrame, key: str) -> DataFrame:
     """Apply saved imputation, scaling and one-hot to a new table -> (key, x)."""
+    if model.get("donors") is not None:
+        from tessera.operators.knn import knn_impute
+        df = knn_impute(df, [key], model["meta"]["numeric"], donors=model["donors"])
     return df.select(key, feature_vector(model["meta"]).alias("x"))
 
 
 def score(model: dict, df: DataFrame, key: str) -> DataFrame:
-    """Labels for new rows: nearest centre (KMeans) or the cluster of the
-    nearest core point within eps (DBSCAN; otherwise noise)."""
+    """Labels for new rows: nearest centre (KMeans), the cluster of the nearest
+    core point within eps (DBSCAN; otherwise noise), or that of the nearest
+    member (any other algorithm; at equal distance the smaller number)."""
     x = encode_with(model, df, key)
     meta = model["meta"]
     if meta["algorithm"] == "KMeans":
@@ -118,4 +133,12 @@ def score(model: dict, df: DataFrame, key: str) -> DataFrame:
     if meta["algorithm"] == "DBSCAN":
         from tessera.operators.dbscan import assign_to_core
         return assign_to_core(x, model["core"], key, meta["params"].get("eps", 0.5))
-    raise ValueError(f"scoring is not available for {meta['algorithm']}")
+    from tessera.operators.keys import numbered
+    from tessera.operators.neighbours import nearest
+    points = model["members"].groupBy("x").agg(F.min("cluster").alias("cluster"))
+    # ids in the order of the clusters, so that ties go to the smaller number
+    number = F.col("cluster").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("x"), F.lit(1 << 40))
+    frame, rid, mapping = numbered(x, key)
+    near = nearest(frame.select(F.col(rid).alias("id"), "x"), points.select(number.alias("id"), "x"), 1)
+    found = near.select(F.col("id").alias(rid), F.shiftright("nb", 40).cast("int").alias("cluster"))
+    return found if mapping is None else found.join(mapping, rid).select(ref(key), "cluster")

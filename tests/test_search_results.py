@@ -1,3 +1,4 @@
+import tempfile
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_train_validation(spark):
     with pytest.raises(ValueError):
         train(one, "k", "KMeans", {"n_clusters": 2})
     with pytest.raises(ValueError):
-        fit_labels(one, "k", "Spectral", {})
+        fit_labels(one, "k", "OPTICS", {})  # not an algorithm of this library
 
 
 def test_search_skips_what_cannot_be_fitted_and_scores_the_refit(spark):
@@ -99,5 +100,24 @@ def test_trained_model_scores_its_rows(spark):
         scored = writers.score(writers.load_model(spark, path), cf, "c_custkey")
         assert {tuple(r) for r in scored.collect()} == {tuple(r) for r in res.labels.collect()}
     knn = train(cf, "c_custkey", "KMeans", {"n_clusters": 3}, imputer="KNN", silhouette="none")
-    with pytest.raises(ValueError):
-        writers.save_model(spark, "/tmp/never", "KMeans", knn.params, knn.encoded, centres=knn.centres)
+    path = tempfile.mkdtemp(prefix="tessera-model-", dir="/tmp") + "/m"
+    writers.save_model(spark, path, "KMeans", knn.params, knn.encoded, centres=knn.centres)
+    scored = writers.score(writers.load_model(spark, path), cf, "c_custkey")
+    assert {tuple(r) for r in scored.collect()} == {tuple(r) for r in knn.labels.collect()}
+
+
+def test_any_labelling_scores_new_rows(spark):
+    """Agglomerative labels, KNN imputation and a string key: training rows get their labels back."""
+    from tessera.plans.train import train
+    from tessera.sinks import writers
+    rows = [(f"r{i:02d}", 9.0 * (i % 3) + i / 100 if i % 7 else None, 3.0 * (i % 3) + i / 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    res = train(df, "k", "Agglomerative", {"n_clusters": 3, "linkage": "average"}, imputer="KNN", silhouette="none")
+    members = res.encoded.frame.join(res.row_labels, res.row_key)
+    path = tempfile.mkdtemp(prefix="tessera-model-", dir="/tmp") + "/m"
+    writers.save_model(spark, path, "Agglomerative", res.params, res.encoded, members=members)
+    model = writers.load_model(spark, path)
+    assert {tuple(r) for r in writers.score(model, df, "k").collect()} == {tuple(r) for r in res.labels.collect()}
+    new = spark.createDataFrame([("x", 9.2, 3.1), ("y", None, 6.0)], "k string, a double, b double")
+    label = {r["k"]: r["cluster"] for r in res.labels.collect()}
+    assert {tuple(r) for r in writers.score(model, new, "k").collect()} == {("x", label["r01"]), ("y", label["r02"])}
