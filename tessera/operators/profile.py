@@ -309,6 +309,13 @@ def low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     return long.withColumn("_any", any_high).where(F.col("_any") & (F.col("variance") < threshold)).drop("_any")
 
 
+def select_features(df: DataFrame, exclude: list[str] = (), threshold: float = 0.01) -> list[str]:
+    """Names of the columns kept by default: all but the low-variance numeric
+    ones; ``exclude`` (keys) is neither judged nor removed."""
+    low = {r["column"] for r in low_variance(df.select(*[ref(c) for c in df.columns if c not in exclude]), threshold).collect()}
+    return [c for c in df.columns if c not in low]
+
+
 def dropna_impact(df: DataFrame) -> DataFrame:
     """Rows before/after dropping any-missing rows, and the loss warning."""
     num = set(numeric_cols(df))

@@ -237,3 +237,51 @@ def q_cluster_descriptions_many(spark, sf):
     """Groups that differ in all fourteen features: three of them are named."""
     grown = _many(spark, sf).select("c_custkey", "cluster", *[(F.col(c) * (1 + F.col("cluster") * 0.2)).alias(c) for c in MANY])
     return r6(results.cluster_descriptions(grown, ["c_custkey"]))
+
+
+# ================================================================ lists that follow from the data
+
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@register("kept_column_list", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\" FROM customer HAVING count(DISTINCT {c}) > 1 AND count(DISTINCT {c}) < count(*)" for c in CUSTOMER))
+def q_kept_column_list(spark, sf):
+    """The names that the default selection keeps, from distinct counts."""
+    from tessera.plans.clean_job import default_keep
+    keep = default_keep(T.table(spark, sf, "customer").select(*CUSTOMER))
+    return spark.createDataFrame([(c,) for c in keep], "column string")
+
+
+TAX = ["l_tax", "l_discount", "price_k", "quantity_k", "both"]
+
+
+@register("selected_feature_list", f"""
+WITH t AS (SELECT l_tax, l_discount, l_extendedprice / 1000 AS price_k, l_quantity / 1000 AS quantity_k, l_tax * l_discount * 100 AS both FROM lineitem),
+v AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, var_pop({c}) AS v FROM t" for c in TAX)})
+SELECT feature FROM v WHERE v >= 0.01 OR (SELECT max(v) FROM v) <= 0.01""")
+def q_selected_feature_list(spark, sf):
+    """The features that have enough variance, from the variances."""
+    t = T.table(spark, sf, "lineitem").selectExpr("l_tax", "l_discount", "l_extendedprice / 1000 AS price_k", "l_quantity / 1000 AS quantity_k",
+                                                  "l_tax * l_discount * 100 AS both")
+    return spark.createDataFrame([(c,) for c in profile.select_features(t)], "feature string")
+
+
+SQL_PAIR_MAP = """p AS (SELECT c_custkey, avg_total AS a, n_orders * 1000 AS b FROM customer_features),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM p),
+e AS (SELECT *, (va + vb) / 2 + sqrt((va - vb) * (va - vb) / 4 + c * c) AS l1, (va + vb) / 2 - sqrt((va - vb) * (va - vb) / 4 + c * c) AS l2 FROM m),
+u AS (SELECT *, sqrt(c * c + (l1 - va) * (l1 - va)) AS n1, sqrt(c * c + (l2 - va) * (l2 - va)) AS n2 FROM e),
+w AS (SELECT ma, mb, c / n1 AS x1, (l1 - va) / n1 AS y1, c / n2 AS x2, (l2 - va) / n2 AS y2 FROM u),
+s AS (SELECT *, CASE WHEN abs(x1) >= abs(y1) THEN sign(x1) ELSE sign(y1) END AS s1, CASE WHEN abs(x2) >= abs(y2) THEN sign(x2) ELSE sign(y2) END AS s2 FROM w)"""
+
+
+@register("cluster_map_pair", f"""
+WITH {SQL_MANY}, {SQL_PAIR_MAP}
+SELECT p.c_custkey, round(s1 * ((a - ma) * x1 + (b - mb) * y1), 6) AS pc1, round(s2 * ((a - ma) * x2 + (b - mb) * y2), 6) AS pc2,
+       CAST(p.c_custkey % 4 AS INTEGER) AS cluster, c_name FROM p JOIN customer USING (c_custkey), s""")
+def q_cluster_map_pair(spark, sf):
+    """The map of two features: projection on their principal axes, labels and names."""
+    cf = T.customer_features(spark, sf).withColumn("b", F.col("n_orders") * 1000)
+    labels = cf.select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("cluster"))
+    hover = T.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return r6(results.cluster_map(encode.assemble(cf, ["c_custkey"], ["avg_total", "b"]), labels, ["c_custkey"], 2, hover))
