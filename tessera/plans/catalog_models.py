@@ -253,17 +253,17 @@ def q_kept_column_list(spark, sf):
     return spark.createDataFrame([(c,) for c in keep], "column string")
 
 
-TAX = ["l_tax", "l_discount", "price_k", "quantity_k", "both"]
+TAX = ["l_tax", "l_discount", "price_k", "quantity_k", "product"]
 
 
 @register("selected_feature_list", f"""
-WITH t AS (SELECT l_tax, l_discount, l_extendedprice / 1000 AS price_k, l_quantity / 1000 AS quantity_k, l_tax * l_discount * 100 AS both FROM lineitem),
+WITH t AS (SELECT l_tax, l_discount, l_extendedprice / 1000 AS price_k, l_quantity / 1000 AS quantity_k, l_tax * l_discount * 100 AS product FROM lineitem),
 v AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, var_pop({c}) AS v FROM t" for c in TAX)})
 SELECT feature FROM v WHERE v >= 0.01 OR (SELECT max(v) FROM v) <= 0.01""")
 def q_selected_feature_list(spark, sf):
     """The features that have enough variance, from the variances."""
     t = T.table(spark, sf, "lineitem").selectExpr("l_tax", "l_discount", "l_extendedprice / 1000 AS price_k", "l_quantity / 1000 AS quantity_k",
-                                                  "l_tax * l_discount * 100 AS both")
+                                                  "l_tax * l_discount * 100 AS product")
     return spark.createDataFrame([(c,) for c in profile.select_features(t)], "feature string")
 
 
