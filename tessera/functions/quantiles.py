@@ -3,7 +3,7 @@
 Selection by counting. One scan builds a mergeable quantile sketch of every
 column (``percentile_approx``, whose rank error is at most n / ACCURACY) and
 reads from it two values that enclose each wanted rank. A second scan counts
-the rows below, at and between the two values and brings back the few in
+the rows below, at and between the two values, a third brings back the few in
 between, among which the exact order statistic is picked. Where a column is so
 long that there are more than ``LIMIT`` rows in between, the range is
 narrowed by a sketch of those rows first. No row is shuffled or written; each
@@ -16,6 +16,7 @@ they are.
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass
 
@@ -79,15 +80,37 @@ def _sketch(v: Column, probs: list[float]) -> Column:
     return F.percentile_approx(v, F.array(*[F.lit(float(q)) for q in probs]), F.lit(ACCURACY))
 
 
-def _counted(v: Column, lo: Column, hi: Column, collect: Column | None) -> Column:
-    """Rows below and at ``lo``, between, and (sorted) the values between where ``collect``."""
-    inside = (v > lo) & (v < hi)
-    some = F.lit(None).cast("array<double>") if collect is None else F.array_sort(F.collect_list(F.when(inside & collect, v)))
+def _inside(v: Column, lo, hi) -> Column:
+    return (v > lo) & (v < hi)
+
+
+def _counts(v: Column, lo, hi) -> Column:
+    """Rows below and at ``lo``, and between (plain counts: compiled code)."""
+    return F.struct(F.count(F.when(v < lo, 1)).alias("below"), F.count(F.when(v == lo, 1)).alias("at"), F.count(F.when(_inside(v, lo, hi), 1)).alias("inside"))
+
+
+def _counted(v: Column, lo: Column, hi: Column, collect: Column) -> Column:
+    """The same with (sorted) the values between where ``collect``, for groups."""
+    some = F.array_sort(F.collect_list(F.when(_inside(v, lo, hi) & collect, v)))
     return F.struct(F.count(F.when(v < lo, 1)).alias("below"), F.count(F.when(v == lo, 1)).alias("at"),
-                    F.count(F.when(inside, 1)).alias("inside"), some.alias("some"))
+                    F.count(F.when(_inside(v, lo, hi), 1)).alias("inside"), some.alias("some"))
 
 
-def _settle(t: _Target, row) -> list[float] | None:
+def _between(df: DataFrame, targets: dict) -> dict:
+    """The sorted values strictly inside each target's range: one list a
+    column of the values inside any of its ranges, which are few."""
+    ranges: dict[str, Column] = {}
+    for (c, _), t in targets.items():
+        inside = _inside(_value(c), F.lit(t.lo), F.lit(t.hi))
+        ranges[c] = ranges[c] | inside if c in ranges else inside
+    if not ranges:
+        return {}
+    row = collect_row(df, *[F.collect_list(F.when(inside, _value(c))).alias(f"v{i}") for i, (c, inside) in enumerate(ranges.items())])
+    values = {c: sorted(row[f"v{i}"]) for i, c in enumerate(ranges)}
+    return {k: values[k[0]][bisect.bisect_right(values[k[0]], t.lo): bisect.bisect_left(values[k[0]], t.hi)] for k, t in targets.items()}
+
+
+def _settle(t: _Target, row, some) -> list[float] | None:
     """Take what the counts decide; else the relative ranks (0 to 1) to sketch next."""
     first = row["below"] + row["at"]
     wanted = []
@@ -96,8 +119,8 @@ def _settle(t: _Target, row) -> list[float] | None:
             t.found[r] = t.lo
         elif r >= first + row["inside"]:
             t.found[r] = t.hi
-        elif row["some"]:
-            t.found[r] = row["some"][r - first]
+        elif some:
+            t.found[r] = some[r - first]
         elif r >= first:
             wanted.append((r - first) / max(1, row["inside"] - 1))
         else:
@@ -123,14 +146,17 @@ def _selected(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, l
     targets = {(c, j): _target(p, n[c], *first[f"c{i}"]["q"][2 * j: 2 * j + 2])
                for i, c in enumerate(cols) if n[c] for j, p in enumerate(probs)}
     while open_ := dict([(k, t) for k, t in targets.items() if not t.done()][:TARGETS_PER_JOB]):
-        row = collect_row(df, *[
-            _counted(_value(c), F.lit(t.lo), F.lit(t.hi), F.lit(True) if t.most <= LIMIT else None).alias(f"t{i}")
-            for i, ((c, _), t) in enumerate(open_.items())])
-        narrow = {}
+        row = collect_row(df, *[_counts(_value(c), F.lit(t.lo), F.lit(t.hi)).alias(f"t{i}") for i, ((c, _), t) in enumerate(open_.items())])
+        narrow, near = {}, {}
         for i, (k, t) in enumerate(open_.items()):
-            wanted = _settle(t, row[f"t{i}"])
-            if wanted:
+            wanted = _settle(t, row[f"t{i}"], None)
+            if wanted and t.most <= LIMIT:
+                near[k] = (t, row[f"t{i}"])
+            elif wanted:
                 narrow[k] = (t, wanted, row[f"t{i}"]["inside"])
+        some = _between(df, {k: t for k, (t, _) in near.items()})
+        for k, (t, counts) in near.items():
+            _settle(t, counts, some[k])
         if narrow:  # more rows in between than may be collected: a sketch of those
             inside = [F.when((_value(c) > F.lit(t.lo)) & (_value(c) < F.lit(t.hi)), _value(c)) for (c, _), (t, _, _) in narrow.items()]
             asked = [[max(0.0, min(w) - 2 / ACCURACY), min(1.0, max(w) + 2 / ACCURACY)] for _, w, _ in narrow.values()]
@@ -178,7 +204,7 @@ def _selected_by_group(df: DataFrame, group: str, cols: list[str], probs: list[f
             for i, j in places:
                 t = targets.get((r["_g"], i, j))
                 if t is not None and not t.done():
-                    wanted = _settle(t, r[f"t{i}_{j}"])
+                    wanted = _settle(t, r[f"t{i}_{j}"], r[f"t{i}_{j}"]["some"])
                     if wanted:
                         narrow[r["_g"], i, j] = (t, wanted, r[f"t{i}_{j}"]["inside"])
         if narrow:

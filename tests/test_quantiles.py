@@ -46,6 +46,6 @@ def test_grouped_selection(spark, monkeypatch, limit, accuracy):
 def test_no_row_is_shuffled(spark):
     """Both scans are aggregates whose partial results alone are exchanged."""
     df = spark.range(1000).selectExpr("cast(id as double) as v")
-    plan = df.agg(Q._counted(Q._value("v"), Q.F.lit(1.0), Q.F.lit(9.0), Q.F.lit(True)), Q._sketch(Q._value("v"), [0.5]))
+    plan = df.agg(Q._counts(Q._value("v"), 1.0, 9.0), Q._sketch(Q._value("v"), [0.5]))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "partial" in text and "RangePartitioning" not in text
