@@ -88,3 +88,46 @@ def test_hot_duplicate_value(spark):
     counts = {r["k"]: r["n_neighbors"] for r in neighbour_counts(_frame(spark, X), "k", 0.3).collect()}
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     assert all(counts[i] == int((D[i] <= 0.3).sum()) for i in range(len(X)))
+
+
+def test_within_matches_brute_force(spark):
+    from tessera.operators.pairs import within
+    rng = np.random.default_rng(21)
+    for dim in (1, 3):
+        X = rng.normal(size=(900, dim))
+        near = (((X[:, None] - X[None]) ** 2).sum(-1)) <= 0.49
+        c = rng.integers(0, 6, size=len(X))
+        rows = spark.createDataFrame([(i, x.tolist(), int(v)) for i, (x, v) in enumerate(zip(X, c, strict=True))], "id long, x array<double>, v long")
+        axes = [0, dim - 1] if dim > 1 else [0]
+        total = {r["id"]: r["v"] for r in within(rows, rows, 0.7, axes, "total", 300).collect()}
+        assert total == dict(enumerate((near @ c).tolist()))
+        least = {r["id"]: r["v"] for r in within(rows.where("id < 50"), rows.where("v > 2"), 0.7, axes, "least", 300).collect()}
+        assert least == {i: int(c[near[i] & (c > 2)].min()) for i in range(50) if (near[i] & (c > 2)).any()}
+        links = {(r["src"], r["dst"]) for r in within(rows, rows, 0.7, axes, "links").collect()}
+        a, b = np.nonzero(near)
+        assert links == {(int(c[i]), int(c[j])) for i, j in zip(a, b, strict=True) if c[i] < c[j]}
+
+
+def test_links_over_corners_first_give_the_same_labels(spark, monkeypatch):
+    from tessera.operators import dbscan as module
+    monkeypatch.setattr(module, "REP_ROWS", 0)
+    rng = np.random.default_rng(22)
+    X = np.vstack([rng.normal(size=(60, 3)) * 0.3 + rng.normal(size=3) * 2 for _ in range(3)] + [rng.uniform(-4, 4, size=(20, 3))])
+    for eps, ms in ((0.4, 4), (0.9, 6)):
+        assert (_labels(dbscan(_frame(spark, X), "k", eps, ms)) == sequential_dbscan(X, eps, ms)).all()
+
+
+def test_dense_rows_leave_no_pairs(spark):
+    # 6,000 rows within eps of each other: 18 million pairs, none of which may reach a shuffle
+    from pyspark.sql import functions as F
+    df = spark.range(6000).select(F.col("id").alias("k"), F.array(*[F.rand(s) * 0.1 for s in (1, 2, 3)]).alias("x"))
+    plan = neighbour_counts(df, "k", 1.0)
+    got = plan.groupBy("n_neighbors").count().collect()
+    assert [(r["n_neighbors"], r["count"]) for r in got] == [(6000, 6000)]
+    assert dbscan(df, "k", 1.0, 6000).groupBy("cluster").count().collect()[0].asDict() == {"cluster": 0, "count": 6000}
+
+
+def test_rows_without_numbers_are_noise(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(i, [0.1 * i, 0.0]) for i in range(5)] + [(9, [nan, 0.0]), (10, [float("inf"), 0.0])], "k long, x array<double>")
+    assert _labels(dbscan(df, "k", 0.5, 3)).tolist() == [0] * 5 + [-1, -1]
