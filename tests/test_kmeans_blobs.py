@@ -37,3 +37,25 @@ def test_assignment_is_nearest_centre_and_canonical(spark):
     want = np.argmin(((X[:, None] - C[None]) ** 2).sum(-1), axis=1)
     assert (got == want).all()
     assert got[0] == 0  # canonical numbering starts with the cluster of the smallest key
+
+
+def test_lloyd_steps_match_numpy_and_run_few_tasks(spark):
+    import numpy as np
+
+    from tessera.operators.kmeans import _lloyd, side_by_side
+    rng = np.random.default_rng(31)
+    X = rng.normal(size=(500, 3))
+    start = [*X[:4].tolist(), [90.0, 90.0, 90.0]]  # the last centre never gets a row
+    at, steps = np.array(start), 0
+    while True:
+        steps += 1
+        d2 = ((X[:, None] - at[None]) ** 2).sum(-1)
+        near, cost = d2.argmin(1), d2.min(1).sum()
+        new = np.array([X[near == c].mean(0) if (near == c).any() else at[c] for c in range(5)])
+        moved, at = ((new - at) ** 2).sum(1).max(), new
+        if moved <= 1e-8:
+            break
+    rows = spark.createDataFrame([(x.tolist(),) for x in X], "x array<double>").repartition(3)
+    got, other = side_by_side(rows, [lambda: _lloyd(rows, start, 300, 1e-4), lambda: _lloyd(rows, start, 2, 0.0)])
+    assert np.allclose(got[0], at) and np.isclose(got[1], cost) and got[2] == steps
+    assert other[2] == 2 and other[0][4] == [90.0, 90.0, 90.0]
