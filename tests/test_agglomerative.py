@@ -92,3 +92,19 @@ def test_clusters_larger_than_a_block(spark):
         one = [r["cluster"] for r in agglomerative(df, "k", 4, link).orderBy("k").collect()]
         many = [r["cluster"] for r in agglomerative(df, "k", 4, link, finish=4, block=18).orderBy("k").collect()]
         assert one == many
+
+
+def test_repeated_vectors_and_many_rounds(spark):
+    """Equal rows merge first, by key; rounds of joins leave the optimizer's size estimate small."""
+    from tessera.operators.agglomerative import cut, merge_table
+    rng = np.random.default_rng(13)
+    X = np.repeat(rng.normal(size=(10, 2)), 3, axis=0)[rng.permutation(30)]
+    df = _frame(spark, X).cache()
+    for link in ("ward", "average"):
+        tree = merge_table(df, "k", link, finish=3, block=8)
+        assert tree._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+        got = {(r["left"], r["right"], r["size"]) for r in tree.where("height = 0").collect()}
+        groups = [np.flatnonzero((X == v).all(axis=1)).tolist() for v in np.unique(X, axis=0)]
+        assert got == {(g[0], k, n) for g in groups for n, k in enumerate(g[1:], 2)} and tree.count() == 29
+        labels = [r["cluster"] for r in cut(df, "k", tree, 4).orderBy("k").collect()]
+        assert canon(labels) == canon(greedy(X, link, 4))
