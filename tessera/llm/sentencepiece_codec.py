@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import Merges
-from tessera.llm.common import held, slices, table
+from tessera.llm.common import held, slices, table, trim
 
 META = "▁"  # stands for a blank
 MAX_WORDS = 300_000
@@ -102,7 +102,7 @@ class Codec:
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         codes = table_[back]
         codes[starts + lengths] = 0
-        return codes, starts, points
+        return codes, starts, points.astype(np.int32)
 
     def _suffixes(self, codes: np.ndarray) -> np.ndarray:
         """Suffixes sorted by their first ``depth`` characters, by prefix doubling."""
@@ -157,22 +157,29 @@ class Codec:
         codes, starts, points = self._codes(words)
         order = self._suffixes(codes)
         lo, hi = self._ranges(codes, order)
-        count = hi - lo
-        piece = np.repeat(np.arange(len(count)), count)
-        begin = order[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-        label, length = self.piece_id[piece], self.piece_len[piece]
-        other = np.flatnonzero(codes == 1)
-        begin, label = np.concatenate([begin, other]), np.concatenate([label, np.full(len(other), FREE)])
-        length = np.concatenate([length, np.ones(len(other), np.int64)])
-        end, sizes = begin + length, np.array([len(w) for w in words])
-        word = np.repeat(np.arange(len(words)), sizes + 1)[begin]
-        last = np.full(len(codes) + 1, -1)  # label of the last piece of the segmented prefix
-        back = np.zeros(len(codes) + 1, np.int64)
+        count, other, sizes = hi - lo, np.flatnonzero(codes == 1), np.array([len(w) for w in words])
+        # several edges a character: their arrays are the largest ones, so 32 bits where these do
+        kind = np.int32 if int(count.sum()) + len(codes) < 1 << 31 else np.int64
+        at = np.repeat((lo - np.concatenate([[0], np.cumsum(count)[:-1]])).astype(kind), count)
+        at += np.arange(len(at), dtype=kind)
+        begin = np.concatenate([order.astype(kind)[at], other.astype(kind)])
+        del at, order
+        label = np.concatenate([np.repeat(self.piece_id.astype(kind), count), np.full(len(other), FREE, kind)])
+        end = np.concatenate([np.repeat(self.piece_len.astype(kind), count), np.ones(len(other), kind)])
+        end += begin
+        last = np.full(len(codes) + 1, -1, kind)  # label of the last piece of the segmented prefix
+        back = np.zeros(len(codes) + 1, kind)
         last[starts] = FREE
-        far = sizes[word] > LOCKSTEP
-        self._lockstep(begin[~far], label[~far], end[~far], (end - starts[word])[~far], last, back)
-        if far.any():
+        long, first = np.repeat(sizes > LOCKSTEP, sizes + 1), np.repeat(starts.astype(kind), sizes + 1)
+        if long.any():
+            far = long[begin]
             self._one_by_one(begin[far], label[far], end[far], last, back)
+            begin, label, end = begin[~far], label[~far], end[~far]
+        step = np.subtract(end, first[begin], dtype=np.int16, casting="unsafe")  # at most LOCKSTEP
+        by = np.argsort(step, kind="stable").astype(kind)
+        cuts = np.searchsorted(step[by], np.arange(1, int(step.max(initial=0)) + 2))
+        self._lockstep(begin, label, end, by, cuts, last, back)
+        del begin, label, end, step, by, first, long
         # all words' paths backwards at once; sorted by place they are the ids in order
         at, left, path = starts + sizes, np.arange(len(words)), []
         while len(left):
@@ -199,7 +206,7 @@ class Codec:
 
     def _may_follow(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
         """``fits`` for arrays, through a direct-mapped table of earlier answers."""
-        keys = before << 24 | label
+        keys = before.astype(np.int64) << 24 | label
         slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         answer = self._answers[slot]
         miss = self._asked[slot] != keys
@@ -210,14 +217,12 @@ class Codec:
             self._asked[slot[miss]], self._answers[slot[miss]] = keys[miss], found[inv]
         return answer
 
-    def _lockstep(self, begin, label, end, step, last, back) -> None:
-        """Relax the edges of all words, those that end at the words' k-th character together."""
-        step = step.astype(np.int16)  # at most LOCKSTEP
-        by = np.argsort(step, kind="stable")
-        begin, label, end = begin[by], label[by], end[by]
-        cuts = np.searchsorted(step[by], np.arange(1, int(step.max(initial=0)) + 2))
+    def _lockstep(self, begin, label, end, by, cuts, last, back) -> None:
+        """Relax the edges of all words, those that end at the words' k-th character together:
+        ``by`` lists the edges in this order, ``cuts`` where each character's begin."""
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            b, x, e = begin[lo:hi], label[lo:hi], end[lo:hi]
+            now = by[lo:hi]
+            b, x, e = begin[now], label[now], end[now]
             before = last[b]
             open_ = before >= 0
             b, x, e, before = b[open_], x[open_], e[open_], before[open_]
@@ -236,15 +241,16 @@ class Codec:
 
     # -- texts ---------------------------------------------------------
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = []
-        for t in texts:
-            if not t:
-                split.append(None if t is None else [])
-            else:
-                split.append(self.pattern.findall(META + t.replace(" ", META)))
+        def split(t: str) -> list[str]:
+            return self.pattern.findall(META + t.replace(" ", META)) if t else []
+
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        new = list({w for s in split if s for w in s}.difference(self.words))
+        # texts are split twice, so that the words of one text are held at a time and the new ones
+        new: set[str] = set()
+        for t in texts:
+            if t:
+                new.update(w for w in split(t) if w not in self.words)
         part, size = [], 0
         for w in new:
             part.append(w)
@@ -254,8 +260,11 @@ class Codec:
                 part, size = [], 0
         if part:
             self._learn(part)
+        if new:
+            del new, part
+            trim()
         ids = self.words.__getitem__
-        return [None if s is None else np.frombuffer(b"".join(map(ids, s)), "<i4") for s in split]
+        return [None if t is None else np.frombuffer(b"".join(map(ids, split(t))), "<i4") for t in texts]
 
     def decode(self, ids) -> str:
         if ids is None:

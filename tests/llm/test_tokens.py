@@ -1,5 +1,6 @@
 """Token counts and SentencePiece pieces against the public libraries."""
 import random
+import tracemalloc
 
 import pytest
 
@@ -98,6 +99,23 @@ def test_batches_of_any_size(pieces):
         assert fresh.encode([text])[0].tolist() == library.encode(text)
 
 
+def test_memory_of_a_batch_is_a_few_times_its_text(pieces):
+    """The words of a batch are not held all at once, and the arrays of an index are small."""
+    raw, rng = open(pieces[0], "rb").read(), random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbg", k=8)) for _ in range(24000)]
+    texts = [" ".join(words[k:k + 80] + ["the"] * 2000) for k in range(0, 24000, 80)]
+    codec = Codec(raw)
+    codec.encode(["warm up"])
+    tracemalloc.start()
+    try:
+        got = codec.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [len(x) for x in got] == [len(x) for x in pieces[1].encode(texts)]
+    assert peak < 15 * sum(map(len, texts))
+
+
 def test_existing_columns_are_refused(spark, pieces):
     df = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, pieces int")
     with pytest.raises(ValueError, match="pieces"):
