@@ -11,6 +11,8 @@ if some cross merge has priority over the merges that consume both sides.
 
 from __future__ import annotations
 
+import numpy as np
+
 BASE = -1  # rank of a symbol that needs no merge
 NEVER = 1 << 40
 MAX_ANSWERS = 150_000
@@ -24,6 +26,7 @@ class Merges:
         self.pairs, self.symbols = pairs, symbols
         self._edges: dict[int, tuple[tuple, tuple] | None] = {}
         self._fits: dict[int, bool] = {}
+        self._tables: tuple | None = None
 
     def merge(self, ids: list[int]) -> tuple[list[int], dict]:
         """Plain merging by rank, leftmost first; also the merge trees."""
@@ -86,3 +89,42 @@ class Merges:
                 if rank < until_l and rank <= until_r:
                     return False
         return True
+
+    def fits_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` for arrays of token ids: all pairs of edge nodes are looked up at once,
+        and only borders where the order of events decides are merged one by one."""
+        if self._tables is None:
+            self._tables = self._edge_tables()
+        keys, ranks, ok, (first_r, many_r, right), (first_l, many_l, left) = self._tables
+        good = ok[a] & ok[b]
+        wide = many_l[b]
+        many = np.where(good, many_r[a] * wide, 0)
+        pair = np.repeat(np.arange(len(a)), many)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+        i, j = first_r[a][pair] + k // wide[pair], first_l[b][pair] + k % wide[pair]
+        key = right[i, 0] << 24 | left[j, 0]
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        met = np.flatnonzero(keys[at] == key) if len(keys) else np.empty(0, np.int64)
+        rank, pair, right, left = ranks[at[met]], pair[met], right[i[met]], left[j[met]]
+        events = rank <= np.maximum(right[:, 1], left[:, 1])
+        good[pair[~events & (rank < right[:, 2]) & (rank <= left[:, 2])]] = False
+        for p in np.unique(pair[events]).tolist():
+            good[p] = self._decide(int(a[p]), int(b[p]))
+        return good
+
+    def _edge_tables(self) -> tuple:
+        """Sorted pairs with their ranks; which ids are tokens; first row, length and rows of their right and left edges."""
+        keys = np.array([a << 24 | b for a, b in self.pairs], np.int64)
+        by = np.argsort(keys)
+        ranks = np.array([r for r, _ in self.pairs.values()], np.int64)[by]
+        ok = np.zeros(max(self.symbols, default=0) + 1, bool)
+        sides = []
+        for side in (0, 1):
+            many, rows = np.zeros(len(ok), np.int64), []
+            for t in sorted(self.symbols):
+                edges = self.edges(t)
+                if edges is not None:
+                    ok[t], many[t] = True, len(edges[side])
+                    rows += edges[side]
+            sides.append((np.cumsum(many) - many, many, np.array(rows, np.int64).reshape(-1, 3)))
+        return keys[by], ranks, ok, *sides

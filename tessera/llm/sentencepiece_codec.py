@@ -2,7 +2,7 @@
 
 Per batch of texts the words not met before are concatenated into one index
 text. Its suffixes, compared up to the longest piece, are sorted (prefix
-doubling); every piece is binary-searched for its range of suffixes, which
+doubling from as many characters as one integer holds); every piece is binary-searched for its range of suffixes, which
 lists all its occurrences; the occurrences are edges from a position to the
 position behind the piece. Sorted by position, they are relaxed from left to
 right: an edge extends the segmentation of the prefix it starts at if the
@@ -19,7 +19,9 @@ prefix and returns the text (the model's normalisation is the identity).
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -77,87 +79,102 @@ class Codec:
         self.piece_id = np.array([matched[x] for x in self.pieces])
         self.piece_len = np.array([len(x) for x in self.pieces])
         self.depth = int(self.piece_len.max())
-        self.bare = {s: c for c, s in self.symbol.items() if s >= n}
+        self.pieces_end = n  # ids from here on are characters of no piece of their own
         self.raw = [b""] * n
         for x, i in ids.items():
             self.raw[i] = x.replace(META, " ").encode()
         for b, i in self.bytes_id.items():
             self.raw[i] = bytes([b])
-        self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
-        self.odd: dict[tuple[int, int], list[int]] = {}
+        self._forget()
         self._asked, self._answers = np.full(1 << 20, -1), np.zeros(1 << 20, bool)
         # a character that is in no piece ends a word: it is a few byte pieces by itself
         free = "" if "\n" in letters else "\n"
         self.pattern = re.compile(f"{META}*[^{META}{free}]+|{META}+" + (f"|{free}" if free else ""))
-        self._alphabet = {c: k + 2 for k, c in enumerate(sorted(letters))}  # 0 ends a word, 1 is any other character
+        alphabet = {c: k + 2 for k, c in enumerate(sorted(letters))}  # 0 ends a word, 1 is any other character
+        self._code = np.ones(0x110000, np.int32)
+        self._code[[ord(c) for c in alphabet]] = list(alphabet.values())
+        self._bits = (len(alphabet) + 1).bit_length()
+        self._packed = 63 // self._bits  # characters in one integer
+        # for every piece and every such run of its characters the smallest and the largest integer that begin with it
+        runs = -(-self.depth // self._packed)
+        low = np.zeros((len(self.pieces), runs * self._packed), np.int64)
+        for k, x in enumerate(self.pieces):
+            low[k, : len(x)] = [alphabet[c] for c in x]
+        high = np.where(np.arange(low.shape[1]) < self.piece_len[:, None], low, (1 << self._bits) - 1)
+        self._low, self._high = (self._pack(x.reshape(len(x), runs, self._packed)) for x in (low, high))
+
+    def _forget(self) -> None:
+        """No word is known: their numbers, and by number the place of their ids in ``ids``."""
+        self.number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids, self.place = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     # -- index ---------------------------------------------------------
-    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Characters of all words, each word behind by one 0; word starts."""
+    def _pack(self, codes: np.ndarray) -> np.ndarray:
+        """Codes along the last axis as one integer each."""
+        key = np.zeros(codes.shape[:-1], np.int64)
+        for k in range(codes.shape[-1]):
+            key = key << self._bits | codes[..., k]
+        return key
+
+    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Characters of all words, each word behind by one 0; word starts and lengths; code points."""
         text = "\0".join(words) + "\0"
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        known, back = np.unique(points, return_inverse=True)
-        table_ = np.array([self._alphabet.get(chr(c), 1) for c in known])
-        lengths = np.array([len(w) for w in words])
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        codes = table_[back]
+        points = np.frombuffer(text.encode("utf-32-le"), np.int32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        codes = self._code[points]
         codes[starts + lengths] = 0
-        return codes, starts, points.astype(np.int32)
-
-    def _suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Suffixes sorted by their first ``depth`` characters, by prefix doubling."""
-        n, rank, done = len(codes), codes.copy(), 1
-        order = np.argsort(rank, kind="stable")
+        return codes, starts, lengths, points
+
+    def _suffixes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes sorted by their first ``depth`` characters, by prefix doubling;
+        the first characters of every suffix as one integer (0 behind the end)."""
+        n, done = len(codes), self._packed
+        padded = np.append(codes, np.zeros(done, codes.dtype))
+        runs = key = self._pack(np.lib.stride_tricks.sliding_window_view(padded, done)[:n])
+        order = np.argsort(key)
         while done < self.depth:
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(n - done, 0)] = rank[done:] + 1  # nothing is ahead of a suffix shorter than this
-            key = rank * (n + 2 + len(self._alphabet)) + ahead
-            order = np.argsort(key, kind="stable")
-            step = np.zeros(n, np.int64)
-            step[1:] = key[order][1:] != key[order][:-1]
+            at = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
+            rank[order] = np.cumsum(np.append(False, at[1:] != at[:-1]))
+            key = rank * n
+            key[: max(n - done, 0)] += rank[done:]  # the rank of no more characters is 0
+            order = np.argsort(key)
             done *= 2
-        return order
+        return order, runs
 
-    def _ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ranges(self, runs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every piece the range of sorted suffixes that begin with it: binary
-        search, one character of all pieces at a time."""
-        m = len(self.pieces)
-        lo, hi = np.zeros(m, np.int64), np.full(m, len(codes), np.int64)
-        for d in range(self.depth):
+        search, one run of characters of all pieces at a time."""
+        first = runs[order]
+        lo, hi = np.searchsorted(first, self._low[:, 0], "left"), np.searchsorted(first, self._high[:, 0], "right")
+        for k in range(1, self._low.shape[1]):
+            d = k * self._packed
             live = np.flatnonzero((self.piece_len > d) & (lo < hi))
             if not len(live):
                 break
-            want = self._piece_codes[live, d]
-            for side in (0, 1):  # first suffix not below, first above
-                a, b = lo[live].copy(), hi[live].copy()
+            for side, want in enumerate((self._low[live, k], self._high[live, k])):  # first suffix not below, first above
+                a, b = lo[live], hi[live]
                 while (open_ := a < b).any():
                     mid = (a + b) >> 1
-                    at = np.minimum(order[np.minimum(mid, len(order) - 1)] + d, len(codes) - 1)
-                    below = (codes[at] < want) if side == 0 else (codes[at] <= want)
+                    at = np.minimum(order[np.minimum(mid, len(order) - 1)] + d, len(runs) - 1)
+                    below = (runs[at] < want) if side == 0 else (runs[at] <= want)
                     a = np.where(open_ & below, mid + 1, a)
                     b = np.where(open_ & ~below, mid, b)
                 if side == 0:
-                    first = a
+                    begin = a
                 else:
-                    lo[live], hi[live] = first, a
+                    lo[live], hi[live] = begin, a
         return lo, hi
 
-    @property
-    def _piece_codes(self) -> np.ndarray:
-        if not hasattr(self, "_pc"):
-            self._pc = np.zeros((len(self.pieces), self.depth), np.int64)
-            for k, x in enumerate(self.pieces):
-                self._pc[k, : len(x)] = [self._alphabet[c] for c in x]
-        return self._pc
-
     # -- relax ---------------------------------------------------------
-    def _learn(self, words: list[str]) -> None:
-        codes, starts, points = self._codes(words)
-        order = self._suffixes(codes)
-        lo, hi = self._ranges(codes, order)
-        count, other, sizes = hi - lo, np.flatnonzero(codes == 1), np.array([len(w) for w in words])
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one behind the other, and where each word's end."""
+        codes, starts, sizes, points = self._codes(words)
+        order, runs = self._suffixes(codes)
+        lo, hi = self._ranges(runs, order)
+        del runs
+        count, other = hi - lo, np.flatnonzero(codes == 1)
         # several edges a character: their arrays are the largest ones, so 32 bits where these do
         kind = np.int32 if int(count.sum()) + len(codes) < 1 << 31 else np.int64
         at = np.repeat((lo - np.concatenate([[0], np.cumsum(count)[:-1]])).astype(kind), count)
@@ -192,17 +209,13 @@ class Codec:
         by[place] = ids + 1
         place = np.flatnonzero(by)
         ids = by[place] - 1
-        odd = (ids == FREE) | np.isin(ids, list(self.bare))
-        for k in np.flatnonzero(odd).tolist():
-            self.odd[int(ids[k]), int(points[place[k]])] = [self.bytes_id[x] for x in chr(points[place[k]]).encode()]
+        odd = ids >= self.pieces_end
         if odd.any():
-            spelled = [self.odd[i, int(points[p])] if o else [i] for i, p, o in zip(ids.tolist(), place.tolist(), odd.tolist(), strict=True)]
+            spelled = [[self.bytes_id[x] for x in chr(points[p]).encode()] if o else [i]
+                       for i, p, o in zip(ids.tolist(), place.tolist(), odd.tolist(), strict=True)]
             place = np.repeat(place, [len(x) for x in spelled])
             ids = np.array([i for x in spelled for i in x])
-        cut = np.searchsorted(place, np.append(starts, len(codes))).tolist()
-        blob = ids.astype("<i4").tobytes()
-        for w, x, y in zip(words, cut[:-1], cut[1:], strict=True):
-            self.words[w] = blob[4 * x: 4 * y]
+        return ids.astype(np.int32), np.searchsorted(place, starts + sizes)
 
     def _may_follow(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
         """``fits`` for arrays, through a direct-mapped table of earlier answers."""
@@ -212,7 +225,7 @@ class Codec:
         miss = self._asked[slot] != keys
         if miss.any():
             new, inv = np.unique(keys[miss], return_inverse=True)
-            found = np.array([self.merges.fits(k >> 24, k & 0xFFFFFF) for k in new.tolist()])
+            found = self.merges.fits_all(new >> 24, new & 0xFFFFFF)
             answer[miss] = found[inv]
             self._asked[slot[miss]], self._answers[slot[miss]] = keys[miss], found[inv]
         return answer
@@ -241,30 +254,42 @@ class Codec:
 
     # -- texts ---------------------------------------------------------
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        def split(t: str) -> list[str]:
-            return self.pattern.findall(META + t.replace(" ", META)) if t else []
-
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        # texts are split twice, so that the words of one text are held at a time and the new ones
-        new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(w for w in split(t) if w not in self.words)
+        if len(self.number) > MAX_WORDS:
+            self._forget()
+        # a text is kept as its words' numbers, so that the words of one text are held at a time and the new ones
+        known, numbers, get = len(self.number), [], self.number.__getitem__
+        try:
+            for t in texts:
+                words = self.pattern.findall(META + t.replace(" ", META)) if t else []
+                numbers.append(None if t is None else np.fromiter(map(get, words), np.int32, len(words)))
+            if len(self.number) > known:
+                self._learn_all(list(itertools.islice(self.number, known, None)))
+                trim()
+        except BaseException:
+            self._forget()  # words have numbers already, but no ids
+            raise
+        return [None if x is None else self._spelled(x) for x in numbers]
+
+    def _learn_all(self, new: list[str]) -> None:
+        ids, place = [self.ids], [self.place]
         part, size = [], 0
-        for w in new:
+        for k, w in enumerate(new, 1):
             part.append(w)
             size += len(w) + 1
-            if size >= INDEX_CHARS:
-                self._learn(part)
+            if size >= INDEX_CHARS or k == len(new):
+                found, ends = self._learn(part)
+                ids.append(found)
+                place.append(ends + place[-1][-1])
                 part, size = [], 0
-        if part:
-            self._learn(part)
-        if new:
-            del new, part
-            trim()
-        ids = self.words.__getitem__
-        return [None if t is None else np.frombuffer(b"".join(map(ids, split(t))), "<i4") for t in texts]
+        self.ids, self.place = np.concatenate(ids), np.concatenate(place)
+
+    def _spelled(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers, one behind the other."""
+        begin = self.place[numbers]
+        many = self.place[numbers + 1] - begin
+        at = np.repeat(begin - np.cumsum(many) + many, many)
+        at += np.arange(len(at))
+        return self.ids[at]
 
     def decode(self, ids) -> str:
         if ids is None:

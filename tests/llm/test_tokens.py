@@ -2,6 +2,7 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pytest
 
 from tessera.llm.sentencepiece_codec import Codec, decode, encode
@@ -116,6 +117,31 @@ def test_memory_of_a_batch_is_a_few_times_its_text(pieces):
     assert peak < 15 * sum(map(len, texts))
 
 
+def test_borders_are_decided_together(pieces, monkeypatch):
+    """Borders of new words are looked up as arrays, with the answers of the scalar rule;
+    only those where the order of merges decides are merged one by one."""
+    rng, codec = random.Random(11), Codec(open(pieces[0], "rb").read())
+    merges, asked, alone = codec.merges, [], []
+    together, decide = merges.fits_all, merges._decide
+    monkeypatch.setattr(merges, "fits_all", lambda a, b: asked.append((a, b)) or together(a, b))
+    monkeypatch.setattr(merges, "_decide", lambda a, b: alone.append((a, b)) or decide(a, b))
+    texts = [" ".join("".join(rng.choices("etaoinshrdlucmfwypvbgé日", k=9)) for _ in range(300)) for _ in range(10)]
+    assert [x.tolist() for x in codec.encode(texts)] == pieces[1].encode(texts)
+    borders = [(int(a), int(b)) for x, y in asked for a, b in zip(x, y, strict=True)]
+    assert len(borders) > 3000 and len(alone) < len(borders) / 4
+    assert [bool(g) for x, y in asked for g in together(x, y)] == [decide(a, b) for a, b in borders]
+    tokens = sorted(merges.symbols)
+    some = np.array([[rng.choice(tokens), rng.choice(tokens)] for _ in range(20000)])
+    assert together(some[:, 0], some[:, 1]).tolist() == [decide(a, b) for a, b in some.tolist()]
+
+
+def test_a_failed_batch_leaves_no_half_known_words(pieces):
+    codec = Codec(open(pieces[0], "rb").read())
+    with pytest.raises(UnicodeEncodeError):
+        codec.encode(["new words", "\ud800"])
+    assert codec.encode(["new words"])[0].tolist() == pieces[1].encode("new words")
+
+
 def test_existing_columns_are_refused(spark, pieces):
     df = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, pieces int")
     with pytest.raises(ValueError, match="pieces"):
