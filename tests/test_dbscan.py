@@ -117,6 +117,18 @@ def test_links_over_corners_first_give_the_same_labels(spark, monkeypatch):
         assert (_labels(dbscan(_frame(spark, X), "k", eps, ms)) == sequential_dbscan(X, eps, ms)).all()
 
 
+def test_crowded_cells_of_few_ids(spark):
+    """Links take a cube's number as id: a crowded cell may hold fewer ids than it has parts."""
+    from tessera.operators.pairs import within
+    rng = np.random.default_rng(23)
+    X, c = rng.uniform(0, 0.9, size=(400, 3)), np.repeat([3, 8], 200)
+    rows = spark.createDataFrame([(int(v), x.tolist(), int(v)) for x, v in zip(X, c, strict=True)], "id long, x array<double>, v long")
+    assert {(r["src"], r["dst"]) for r in within(rows, rows, 1.0, [0, 1], "links", 50).collect()} == {(3, 8)}
+    one = spark.createDataFrame([(7, [0.1, 0.1, 0.1], 1)] * 40, "id long, x array<double>, v long")  # all in one part of four
+    assert {(r["src"], r["dst"]) for r in within(one, rows, 2.0, [0, 1], "links", 10).collect()} == {(1, 3), (1, 8)}
+    assert [r["v"] for r in within(one, rows, 2.0, [0, 1], "total", 10).collect()] == [int(c.sum())] * 40
+
+
 def test_dense_rows_leave_no_pairs(spark):
     # 6,000 rows within eps of each other: 18 million pairs, none of which may reach a shuffle
     from pyspark.sql import functions as F
