@@ -2,6 +2,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import license_scan, pii_surrogates, secret_scan
 from tessera.llm.secret_scan import op10_secret_scan
 
@@ -98,6 +100,44 @@ def test_licence_inheritance_and_edges(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_query_inherits_from_documents_that_are_licences(spark, tmp_path):
+    """`documents` has no file names: a document that is a licence as a whole speaks for source/lang, no other one does."""
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    prose = "Some words about a garden and its trees, rain in the evening, old stones by a river."
+    rows = [(1, mit, "s1", "en"), (2, prose, "s1", "en"), (3, prose, "s1", "de"), (4, f"{prose}\n{gpl}\n{prose}", "s2", "en"), (5, prose, "s2", "en"),
+            (6, gpl + "\n" + gpl, None, "en"), (7, prose, None, "en"), (8, gpl, "s3", "en"), (8, gpl, "s3", "en"), (9, None, "s3", "en"),
+            (None, mit, "s4", "en"), (10, "", "s4", "en"), (11, "x", "s4", "fr"), (12, "\n".join(["# " + x for x in gpl.split()]), "s5", "en"), (13, "y", "s5", "en")]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = license_scan.op5_license_scan(spark, str(tmp_path)).collect()
+    got = sorted(((r["doc_id"], r["license"], r["inherited"], r["effective"]) for r in out), key=str)
+    assert got == sorted([(1, "MIT", None, "MIT"), (2, None, "MIT", "MIT"), (3, None, None, None), (4, "GPL-3.0", None, "GPL-3.0"), (5, None, None, None),
+                          (6, "GPL-3.0", None, "GPL-3.0"), (7, None, None, None), (8, "GPL-3.0", None, "GPL-3.0"), (8, "GPL-3.0", None, "GPL-3.0"),
+                          (9, None, "GPL-3.0", "GPL-3.0"), (None, "MIT", None, "MIT"), (10, None, "MIT", "MIT"), (11, None, None, None),
+                          (12, "GPL-3.0", None, "GPL-3.0"), (13, None, "GPL-3.0", "GPL-3.0")], key=str)
+
+
+def test_whole_texts_are_pruned_soundly(spark):
+    """Texts near the threshold: as a whole judged by a plain TF-IDF cosine, long or short."""
+    import math
+    mit = "Released under the MIT License."
+    rows = [(k * 100 + n, "\n".join([mit] * k + [f"word{i} and the" for i in range(n)]), f"s{k}-{n}", "en") for k in (1, 2, 6) for n in (0, 1, 2, 3, 5, 9, 30)]
+    rows += [(10000 + i, "licence free prose", r[2], "en") for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    templates = {"MIT": (mit,)}
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    got = {r["doc_id"]: r["effective"] for r in license_scan.scan(df.withColumn("path", path), templates=templates, by_text=True).collect()}
+    words = [re.findall("[a-z0-9]+", r[1].lower()) for r in rows]
+    form = re.findall("[a-z0-9]+", mit.lower())
+    idf = {t: math.log((1 + len(rows)) / (1 + sum(t in w for w in words))) + 1 for t in form}
+    unseen = math.log(1 + len(rows)) + 1
+
+    def cosine(ws):
+        x = {t: ws.count(t) * idf.get(t, unseen) for t in set(ws)}
+        return sum(x.get(t, 0) * idf[t] for t in form) / math.sqrt(sum(v * v for v in x.values()) * sum(idf[t] ** 2 for t in form))
+    wanted = [cosine(w) >= license_scan.THRESHOLD for w in words[:len(rows) // 2]]
+    assert [got[10000 + i] == "MIT" for i in range(len(wanted))] == wanted and 0 < sum(wanted) < len(wanted)
+
+
 def test_heavy_terms_prune_nothing():
     vector = {"of": 1.0, "the": 1.1, "license": 6.0, "apache": 7.0}
     light = set(vector) - license_scan._heavy(vector, 0.75)
