@@ -108,3 +108,25 @@ def test_repeated_vectors_and_many_rounds(spark):
         assert got == {(g[0], k, n) for g in groups for n, k in enumerate(g[1:], 2)} and tree.count() == 29
         labels = [r["cluster"] for r in cut(df, "k", tree, 4).orderBy("k").collect()]
         assert canon(labels) == canon(greedy(X, link, 4))
+
+
+def test_boxes_decide_most_merges(spark, monkeypatch):
+    """Merges decided within boxes are those of the whole matrix, and few rounds compare all rows with all rows."""
+    from tessera.operators import agglomerative as A
+    from tessera.operators.merge_boxes import Box
+    rng = np.random.default_rng(14)
+    for link in ("ward", "complete", "average"):
+        X, w = rng.normal(size=(300, 3)), rng.integers(1, 4, size=300)
+        box = Box(np.arange(300), w, X, link, 40)
+        box.run(np.full(3, -np.inf), np.full(3, np.inf))
+        d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)) * (np.sqrt(2 * w[:, None] * w[None] / (w[:, None] + w[None])) if link == "ward" else 1)
+        np.fill_diagonal(d, np.inf)
+        want = {(a, b): h for a, b, h in lance_williams(d, w.astype(float), link)}
+        assert len(box.merges) > 30 and all(abs(want[a, b] - h) < 1e-9 for a, b, h, _ in box.merges)
+    calls, real = [], A._nearest
+    monkeypatch.setattr(A, "_nearest", lambda *a: calls.append(1) or real(*a))
+    df = _frame(spark, rng.normal(size=(900, 2))).cache()
+    many = A.merge_table(df, "k", "average", finish=80, block=100)
+    assert not calls
+    one = A.merge_table(df, "k", "average", finish=900)
+    assert {(r["left"], r["right"], r["size"], round(r["height"], 9)) for r in many.collect()} == {(r["left"], r["right"], r["size"], round(r["height"], 9)) for r in one.collect()}
