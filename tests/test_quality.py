@@ -74,3 +74,29 @@ def test_many_clusters(spark):
     x = [c * 10 + r for c in range(1500) for r in range(2)]
     want = sum(1 - 1 / min(abs(v - ((v // 10 + s) * 10 + 0.5)) for s in (-1, 1) if 0 <= v // 10 + s < 1500) for v in x) / len(x)
     assert abs(got - want) < 1e-9
+
+
+def test_rows_alike_in_all_labellings_are_added_up_once(monkeypatch):
+    """The block sums of many labellings, with noise, are those of plain distances; one sum a group, not one a labelling."""
+    import pyarrow as pa
+    from tessera.operators import quality as Q
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 2)) + 1000.0
+    labels = np.stack([rng.integers(-1, 2, size=300), np.arange(300) % 3, np.full(300, -1)], axis=1).astype(np.int32)
+    sums = []
+    monkeypatch.setattr(Q, "TILE_VALUES", 700)
+
+    def batch(ids):
+        off = [pa.array(np.arange(0, (len(ids) + 1) * k, k, dtype=np.int32)) for k in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(off[0], pa.array(x[ids].ravel())),
+                                           pa.ListArray.from_arrays(off[1], pa.array(labels[ids].ravel()))], ["id", "x", "cs"])
+    for order in (np.lexsort(labels.T[::-1]), np.arange(300)):
+        block = Q._Silhouette()
+        block.add_own(batch(np.arange(100)))
+        block.add_partners(batch(order))
+        d = np.sqrt(((x[:100, None] - x[None]) ** 2).sum(-1))
+        assert set(block.sums) == {(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)}
+        for (g, c), total in block.sums.items():
+            assert np.allclose(total, d[:, labels[:, g] == c].sum(axis=1)) and block.sizes[g, c] == (labels[:, g] == c).sum()
+        sums.append(len(block.result()))
+    assert sums == [2, 2]
